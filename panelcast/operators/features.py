@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.chunks import at_offset, bounded_window
 from ..functions.time import Grid, day_of, season_slot
+from .splits import fold_sums
 
 CONTEXT_SUFFIXES = ("lag1", "lead1", "roll3")
 # The driver columns that get temporal context, and the solar set.
@@ -207,6 +208,25 @@ def supervised_windows(
     return wide.select(*keys, "day", *chans, *drivers, "target", "weight", "evaluate")
 
 
+def training_statistics(assigned: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``<c>_mean, <c>_sd`` (population) of each fold's training rows."""
+    sums = {}
+    for c in cols:
+        ok = F.col(c).isNotNull()
+        sums |= {
+            f"_n_{c}": F.when(ok, 1.0).otherwise(0.0),
+            f"_s_{c}": F.when(ok, F.col(c)),
+            f"_q_{c}": F.when(ok, F.col(c) * F.col(c)),
+        }
+    m = fold_sums(assigned, sums)
+    out = []
+    for c in cols:
+        mean = F.col(f"_s_{c}") / F.col(f"_n_{c}")
+        var = F.col(f"_q_{c}") / F.col(f"_n_{c}") - mean * mean
+        out += [mean.alias(f"{c}_mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias(f"{c}_sd")]
+    return m.select("series_id", "protocol", "fold", *out)
+
+
 def standardise(frame: DataFrame, stats: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """``(x - mean) / (sd + 1e-6)`` with training statistics ``<c>_mean, <c>_sd``; NULL becomes 0."""
     joined = frame.join(stats, list(keys))

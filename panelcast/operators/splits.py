@@ -184,6 +184,18 @@ def fold_sums(assigned: DataFrame, sums: dict[str, Column], by: dict[str, Column
     )
 
 
+def hide_history(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """Per fold, the values a history feature may use: 0 and unavailable on held-out days."""
+    joined = rows.withColumn("day", day_of(F.col("ts"))).join(splits, ["series_id", "day"])
+    visible = F.col("role") == "train"
+    return joined.withColumns(
+        {
+            "history_y": F.when(visible, F.col("y_filled")).otherwise(0.0),
+            "history_available": visible & ~F.col("is_missing"),
+        }
+    )
+
+
 def fold_capacity(assigned: DataFrame, overall: DataFrame, q: float = 0.999, min_rows: int = 50) -> DataFrame:
     """Capacity per fold from its training rows, or the series' when there are too few."""
     per_fold = train_rows(assigned.select("series_id", "is_missing", "y_filled", "train_of", "eval_of")).groupBy(

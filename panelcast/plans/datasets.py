@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +70,13 @@ D = Dataset(
     _frame_d,
 )
 
+# the daily panel with a short training head: early folds meet unseen months
+E = replace(
+    D,
+    name="e",
+    setup=replace(D.setup, rolling={"n_folds": 6, "first_test_days": 150, "min_train_rows": 100}),
+)
+
 _stored: dict[tuple, DataFrame] = {}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import panels
+from . import features, forecasts, panels, scores
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "panels"]
+__all__ = ["ORACLES", "QUERIES", "features", "forecasts", "panels", "scores"]

@@ -77,7 +77,7 @@ def s04_provenance(spark, sf):
     return verdict.select("source", "first_ts", "last_ts", "n_rows", "n_null", "source_ok", "span_ok", "usable")
 
 
-_FACTS = f"""SELECT protocol, fold, series_id, ts, model, {r('y', 4)} AS y, {r('yhat', 4)} AS yhat, active, is_missing FROM pred_h"""
+_FACTS = f"""SELECT protocol, fold, series_id, ts, model, {r("y")} AS y, {r("yhat")} AS yhat, active, is_missing FROM pred_h"""
 
 
 @query("s05_prediction_facts", sql(_FACTS))
@@ -85,7 +85,7 @@ def s05_prediction_facts(spark, sf):
     wide = stored_forecasts(spark, sf, H).where(F.col("role") == "test")
     long = to_long(wide, ["Persistence", "Climatology", "SmartPersistence", "Scaled", "OLS2"])
     return tidy(
-        results.prediction_facts([long]).drop("role", "slot"), 4
+        results.prediction_facts([long]).drop("role", "slot")
     )
 
 
@@ -119,7 +119,7 @@ def q02_regular_grid(spark, sf):
 
 @query(
     "q02_regular_grid_users",
-    sql("SELECT series_id, count(*) AS n, count(y) AS n_obs, min(ts) AS first_ts, max(ts) AS last_ts, (round(sum(CAST(y AS DECIMAL(18,2)))::DOUBLE, 2) + 0.0) AS total FROM panel_u GROUP BY 1"),
+    sql(f"SELECT series_id, count(*) AS n, count(y) AS n_obs, min(ts) AS first_ts, max(ts) AS last_ts, {r('sum(CAST(y AS DECIMAL(18,2)))::DOUBLE', 2)} AS total FROM panel_u GROUP BY 1"),
 )
 def q02_regular_grid_users(spark, sf):
     return tables.panel_u(spark, sf).groupBy("series_id").agg(
@@ -287,7 +287,7 @@ def q13_daily_maxima(spark, sf):
 @query(
     "q14_typical_profile",
     sql(
-        f"""SELECT series_id, m, {", ".join(f"{r(f'max(med) FILTER (WHERE s = {i})', 4)} AS s{i}" for i in range(7))}, arg_max(s, (med, -s)) AS peak_slot, {r('max(med)', 4)} AS peak_median
+        f"""SELECT series_id, m, {", ".join(f"{r(f'max(med) FILTER (WHERE s = {i})')} AS s{i}" for i in range(7))}, arg_max(s, (med, -s)) AS peak_slot, {r('max(med)')} AS peak_median
         FROM (SELECT series_id, month(ts) AS m, slot % 7 AS s, median(y) AS med FROM panel_d WHERE NOT is_missing GROUP BY ALL) GROUP BY ALL"""
     ),
 )
@@ -296,7 +296,7 @@ def q14_typical_profile(spark, sf):
     med = quality.cell_medians(tables.panel_d(spark, sf), cell)
     wide = med.groupBy("series_id", "m").pivot("s", list(range(7))).agg(F.max("median_y"))
     wide = wide.withColumnsRenamed({str(i): f"s{i}" for i in range(7)})
-    return tidy(wide.join(quality.peak_slots(med, "m", "s"), ["series_id", "m"]), 4)
+    return tidy(wide.join(quality.peak_slots(med, "m", "s"), ["series_id", "m"]))
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+NUDGE = 0.017
 
 
 def query(name: str, sql: str | None = None):
@@ -24,9 +25,10 @@ def query(name: str, sql: str | None = None):
 
 
 def rnd(c: Column | str, digits: int = 6) -> Column:
-    """Rounded for comparison, without negative zero."""
+    """Rounded for comparison, without negative zero. The nudge makes values that lie
+    exactly halfway, up to summation noise, round the same way everywhere."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits) + F.lit(0.0)
+    return F.round(c + F.lit(NUDGE * 10.0**-digits), digits) + F.lit(0.0)
 
 
 def tidy(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import re
 
+from .registry import NUDGE
+
 _PARTS: dict[str, str] = {}
 
 
@@ -26,7 +28,8 @@ def sql(body: str) -> str:
 
 
 def r(expr: str, digits: int = 6) -> str:
-    return f"(round({expr}, {digits}) + 0.0)"
+    """Rounded as :func:`panelcast.queries.registry.rnd` does."""
+    return f"(round(({expr}) + CAST({NUDGE * 10.0**-digits!r} AS DOUBLE), {digits}) + 0.0)"
 
 
 def metric_sql(y: str = "y", yhat: str = "yhat", cap: str | None = None, digits: int = 6) -> str:
@@ -245,3 +248,6 @@ def _backtest(x: str, season: int, per_day: int, first: int, folds: int, k: int,
 
 _backtest("h", 24, 24, 12, 3, 5, 50, "n_events", "mean_value")
 _backtest("d", 7, 1, 730, 4, 5, 200, "n_orders", "mean_price")
+# the daily panel with a short head, so that early folds meet unseen months
+part("frame_e", "SELECT * FROM frame_d")
+_backtest("e", 7, 1, 150, 6, 5, 100, "n_orders", "mean_price")
