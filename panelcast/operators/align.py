@@ -81,7 +81,7 @@ def offset_scan(frame: DataFrame, offset: Column, extras: Sequence[int] = (-2, -
     """Score corrections that move each row by its own local offset plus a constant."""
     target = frame.withColumn("_offset", offset).select("series_id", "slot", "driver", "active", "capacity", "_offset").where("active")
     source = frame.where("y is not null").select("series_id", "slot", "y")
-    rows = moved_by_row(source, target, -F.col("_offset"), extras)
+    rows = moved_by_row(source, target, F.col("_offset"), extras)
     return (
         rows.withColumn("yhat", physics_proxy(F.col("capacity"), F.col("driver")))
         .groupBy("series_id", "extra")

@@ -163,7 +163,9 @@ def significance_table(
     models = list(dict.fromkeys([*bases, *ensembles, stack, comparator]))
     e = F.col("y") - F.col("yhat")
     rmse = to_long(rows, models).groupBy(*keys, "model").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
-    low = lambda names, tag: best_per_group(rmse.where(F.col("model").isin(*names)), keys).select(
+    # equal up to summation noise counts as a tie, settled by name
+    rank = rmse.withColumn("_score", F.round("rmse", 7))
+    low = lambda names, tag: best_per_group(rank.where(F.col("model").isin(*names)), keys, by="_score").select(
         *keys, F.col("model").alias(f"lowest_{tag}"), F.col("rmse").alias(f"lowest_{tag}_rmse")
     )
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("rmse")))

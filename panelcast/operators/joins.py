@@ -33,21 +33,28 @@ def common_slots(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("slot",)) ->
     return a.join(b.select(*keys), list(keys), "left_semi")
 
 
-def lookback(df: DataFrame, values: dict[str, Column], grid: Grid, seasons: int = 7, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+def lookback(
+    df: DataFrame,
+    values: dict[str, Column],
+    grid: Grid,
+    seasons: int = 7,
+    keys: Sequence[str] = ("series_id",),
+    latest: dict[str, Column] | None = None,
+) -> DataFrame:
     """Latest non-NULL value at the same season slot, 1..``seasons`` seasons back.
 
     One RANGE window over (series, season slot) instead of ``seasons`` self-joins.
+    ``latest`` columns look exactly one season back.
     """
-    w = (
-        Window.partitionBy(*keys, "_ss")
-        .orderBy("_sn")
-        .rangeBetween(-seasons, -1)
-    )
+    w = Window.partitionBy(*keys, "_ss").orderBy("_sn")
+    back, one = w.rangeBetween(-seasons, -1), w.rangeBetween(-1, -1)
+    cols = {n: F.last(c, ignorenulls=True).over(back) for n, c in values.items()}
+    cols |= {n: F.last(c).over(one) for n, c in (latest or {}).items()}
     return (
         df.withColumns(
             {"_ss": season_slot(F.col("slot"), grid), "_sn": season_no(F.col("slot"), grid)}
         )
-        .withColumns({n: F.last(c, ignorenulls=True).over(w) for n, c in values.items()})
+        .withColumns(cols)
         .drop("_ss", "_sn")
     )
 
@@ -76,7 +83,8 @@ def shifted(values: DataFrame, against: DataFrame, shifts: Sequence[int], keys:
 
 
 def moved_by_row(values: DataFrame, against: DataFrame, target_offset: Column, extras: Sequence[int], keys: Sequence[str] = ("series_id",)) -> DataFrame:
-    """For each target row and extra, the value ``extra - target_offset`` slots earlier.
+    """For each target row and extra, the value ``extra - target_offset`` slots earlier:
+    a record written ``target_offset`` slots ahead is moved back by it, plus ``extra``.
 
     ``target_offset`` is a column of ``against`` (such as the local clock offset).
     """

@@ -266,6 +266,45 @@ def two_by_two(scores: DataFrame, keys: Sequence[str], a: str, b: str, value: st
     return out.withColumn("interaction", F.col("effect_with") - F.col("effect_without"))
 
 
+def fallback_audit(rows: DataFrame) -> DataFrame:
+    """How often references had to fall back, per fold and pooled (``fold`` = 'ALL').
+
+    ``rows`` are test rows with the flags ``lag_seen, back_seen, cell_seen, slot_seen``.
+    """
+    flags = {
+        "lag_missing": "lag_seen",
+        "lookback_exhausted": "back_seen",
+        "unseen_cell": "cell_seen",
+        "unseen_slot": "slot_seen",
+    }
+    aggs = [F.count("*").alias("scored")]
+    for name, flag in flags.items():
+        aggs += [F.count_if(~F.col(flag)).alias(name), (100.0 * F.count_if(~F.col(flag)) / F.count("*")).alias(f"{name}_pct")]
+    return (
+        observed(rows)
+        .where("active")
+        .groupingSets([["protocol", "fold"], ["protocol"]], "protocol", "fold")
+        .agg(*aggs)
+        .withColumn("fold", F.coalesce("fold", F.lit("ALL")))
+    )
+
+
+def lag_observed_scores(pred: DataFrame, reference: str) -> DataFrame:
+    """Active-slot RMSE and skill on all scored rows and on those whose lag was observed."""
+    tags = F.array_compact(F.array(F.lit("all scored"), F.when(F.col("lag_seen"), F.lit("lag observed"))))
+    e = F.col("y") - F.col("yhat")
+    keys = ["series_id", "protocol"]
+    out = (
+        observed(pred)
+        .where("active")
+        .withColumn("tag", F.explode(tags))
+        .groupBy(*keys, "tag", "model")
+        .agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    )
+    most = F.max("n").over(Window.partitionBy(*keys))
+    return add_skill(out.withColumn("pct_of_scored", 100.0 * F.col("n") / most), reference, [*keys, "tag"])
+
+
 def density(pred: DataFrame, keys: Sequence[str], width: Column) -> DataFrame:
     """Counts per square cell of (actual, forecast); empty cells do not appear."""
     return (

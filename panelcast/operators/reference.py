@@ -26,7 +26,8 @@ def cell_key(month: Column, slot: Column) -> Column:
 
 
 def with_lookback(frame: DataFrame, grid: Grid, driver: str | None = None, seasons: int = 7, missing: str = "null") -> DataFrame:
-    """Adds ``prev_y`` and, with a driver, ``prev_pair`` (y and driver of one past row).
+    """Adds ``prev_y``, ``prev_lag`` (exactly one season back) and, with a driver,
+    ``prev_pair`` (y and driver of one past row).
 
     ``missing="zero"`` treats filled zeros as observations, as a pipeline that
     fills before it forecasts does; the default looks further back instead.
@@ -36,7 +37,7 @@ def with_lookback(frame: DataFrame, grid: Grid, driver: str | None = None, seaso
     if driver:
         ok = y.isNotNull() & F.col(driver).isNotNull()
         values["prev_pair"] = F.when(ok, F.struct(y.alias("y"), F.col(driver).alias("g")))
-    return lookback(frame, values, grid, seasons)
+    return lookback(frame, values, grid, seasons, latest={"prev_lag": F.col("y")})
 
 
 def climatology_profile(assigned: DataFrame, grid: Grid) -> DataFrame:
@@ -69,19 +70,20 @@ def climatology_value(month: Column, slot: Column) -> Column:
     return F.greatest(v, F.lit(0.0))
 
 
-def ratio_profile(assigned: DataFrame, capacities: DataFrame, grid: Grid, driver: str, bound: float | None = 1.5) -> DataFrame:
+def ratio_profile(assigned: DataFrame, capacities: DataFrame, grid: Grid, driver: str, bound: float | Column | None = 1.5, carry: Sequence[str] = ()) -> DataFrame:
     """Per fold: mean training ratio overall and by season slot.
 
     The ratio is bounded, so it depends on the fold's capacity and every fold has
     to see its rows. Capacities travel as one map per series, so copies per fold
-    are made inside the map-side aggregation and are not shuffled.
+    are made inside the map-side aggregation and are not shuffled. ``carry`` names
+    columns a ``bound`` column needs.
     """
     fold_id = F.concat_ws("|", "protocol", "fold")
     caps = capacities.groupBy("series_id").agg(
         F.map_from_entries(F.collect_list(F.struct(fold_id, "capacity"))).alias("_caps")
     )
     rows = train_rows(
-        assigned.select("series_id", "slot", "y", "is_missing", driver, "train_of", "eval_of").join(caps, "series_id")
+        assigned.select("series_id", "slot", "y", "is_missing", driver, "train_of", "eval_of", *carry).join(caps, "series_id")
     )
     r = C.ratio(F.col("y"), F.try_element_at("_caps", fold_id), F.col(driver), bound)
     slots = (

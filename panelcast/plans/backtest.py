@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stage import stage
-from ..functions.time import Grid
+from ..functions.time import Grid, season_slot
 from ..operators import fusion, linear, reference, splits
 from ..operators.grid import attach, capacity, complete_days, day_facts, days_without_missing
 from ..operators.metrics import add_skill, metric_columns, observed, to_long, with_subsets
@@ -34,7 +34,8 @@ class Setup:
     rolling: dict = field(default_factory=dict)
     random: dict = field(default_factory=dict)
     seasons: int = 7
-    bound: float | None = 1.5
+    bound: float | Column | None = 1.5
+    carry: tuple[str, ...] = ()
     missing: str = "null"
     drop_gap_days: bool = False
 
@@ -60,7 +61,7 @@ def learn(assigned: DataFrame, setup: Setup, ridge: bool = True) -> DataFrame:
     out = (
         caps.withColumnRenamed("capacity", "capacity_fold")
         .join(reference.climatology_profile(assigned, setup.grid), list(FOLD), "left")
-        .join(reference.ratio_profile(assigned, caps, setup.grid, "driver", setup.bound), list(FOLD), "left")
+        .join(reference.ratio_profile(assigned, caps, setup.grid, "driver", setup.bound, setup.carry), list(FOLD), "left")
         .join(linear.through_origin(assigned, setup.pair[0]), list(FOLD), "left")
         .join(linear.two_driver_ols(assigned, *setup.pair), list(FOLD), "left")
     )
@@ -84,10 +85,18 @@ def base_columns(setup: Setup, ridge: bool = True) -> dict[str, Column]:
 def forecast(assigned: DataFrame, learnt: DataFrame, setup: Setup, ridge: bool = True) -> DataFrame:
     """Wide forecasts of validation and test rows: one join to what the fold learnt."""
     rows = splits.eval_rows(assigned).join(learnt, list(FOLD))
+    s = season_slot(F.col("slot"), setup.grid)
+    cell = reference.cell_key(F.month("ts"), s)
+    seen = {
+        "lag_seen": F.col("prev_lag").isNotNull(),
+        "back_seen": F.col("prev_y").isNotNull(),
+        "cell_seen": F.try_element_at("clim_cell", cell).isNotNull(),
+        "slot_seen": F.try_element_at("clim_slot", s).isNotNull(),
+    }
     models = {**reference.reference_columns(setup.grid, "driver", setup.bound), **base_columns(setup, ridge)}
     return rows.select(
         *FOLD, "role", "slot", "ts", "day", "y", "active", "is_missing", "driver", "capacity", "capacity_fold",
-        *[c.alias(n) for n, c in models.items()],
+        *[c.alias(n) for n, c in {**seen, **models}.items()],
     )
 
 

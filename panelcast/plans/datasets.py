@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.stage import stage
 from ..functions.time import DAILY, HOURLY
-from ..operators.features import active_by_elevation, active_by_label
+from ..operators.features import active_by_elevation, active_by_label, add_cyclic, temporal_context
 from ..operators.grid import capacity
 from ..operators.joins import with_drivers
 from ..sources import tables
-from .backtest import Setup, forecasts
+from .backtest import Setup, forecasts, fuse, scored_frame
 
 # The default site.
 LAT, LON, TILT, FACING = 50.91, -1.40, 30.0, 180.0
@@ -28,9 +28,10 @@ class Dataset:
     frame: Callable[[SparkSession, str], DataFrame]
 
 
-def _frame_h(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hourly_frame(panel: DataFrame, exog: DataFrame) -> DataFrame:
+    """Hourly panel with filled drivers, the elevation mask and the envelope driver."""
     drivers = ["n_events", "mean_value", "mean_k"]
-    joined = with_drivers(tables.panel_h(spark, sf_dir), tables.exog_h(spark, sf_dir), drivers)
+    joined = with_drivers(panel, exog, drivers)
     return active_by_elevation(joined, LAT, LON).withColumn("driver", F.col("mean_value") * 10.0)
 
 
@@ -54,7 +55,7 @@ H = Dataset(
         random={"n_folds": 5, "seed": 0},
     ),
     tables.panel_h,
-    _frame_h,
+    lambda spark, sf: hourly_frame(tables.panel_h(spark, sf), tables.exog_h(spark, sf)),
 )
 D = Dataset(
     "d",
@@ -90,3 +91,21 @@ def stored_forecasts(spark: SparkSession, sf_dir: str, ds: Dataset) -> DataFrame
         _stored[key] = stage(forecasts(ds.frame(spark, sf_dir), ds.setup), f"forecasts-{ds.name}")
     tables.ensure_utc(spark)
     return _stored[key]
+
+
+def stored_fused(spark: SparkSession, sf_dir: str, ds: Dataset, members=("Scaled", "OLS2")) -> DataFrame:
+    """Test rows with every fused forecast of ``members``, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, ds.name, tuple(members))
+    if key not in _stored:
+        _stored[key] = stage(fuse(stored_forecasts(spark, sf_dir, ds), list(members)), f"fused-{ds.name}")
+    return _stored[key]
+
+
+def stored_rows(spark: SparkSession, sf_dir: str, ds: Dataset) -> DataFrame:
+    """Assigned rows of a dataset (features, lookback, fold memberships), written once."""
+    key = (spark.sparkContext.applicationId, sf_dir, ds.name, "rows")
+    if key not in _stored:
+        frame = add_cyclic(temporal_context(ds.frame(spark, sf_dir), ["n_events", "mean_value"]))
+        _stored[key] = stage(scored_frame(frame, ds.setup)[0], f"rows-{ds.name}")
+    tables.ensure_utc(spark)
+    return _stored[key]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import features, forecasts, panels, scores
+from . import alignment, comparisons, features, forecasts, fusions, models, panels, scores, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "features", "forecasts", "panels", "scores"]
+__all__ = ["ORACLES", "QUERIES", "alignment", "comparisons", "features", "forecasts", "fusions", "models", "panels", "scores", "streams"]

@@ -128,14 +128,17 @@ def filled(col: str) -> str:
 
 
 part("sun_h", f"SELECT slot, ts, {sun_items('50.91', '-1.40')} FROM (SELECT DISTINCT slot, ts FROM panel_h)")
-part(
-    "frame_h",
-    f"""SELECT p.series_id, p.slot, p.ts, y, y_filled, is_missing, {filled('n_events')} AS n_events,
+
+
+def hourly_frame(panel: str, exog: str, sun: str = "sun_h", prefix: str = "") -> str:
+    return f"""SELECT '{prefix}' || p.series_id AS series_id, p.slot, p.ts, y, y_filled, is_missing, {filled('n_events')} AS n_events,
     {filled('mean_value')} AS mean_value, {filled('mean_k')} AS mean_k, s.sun_elev > 5.0 AS active,
     {filled('mean_value')} * 10.0 AS driver, capacity
-    FROM panel_h p LEFT JOIN exog_h e ON e.slot = p.slot JOIN cap_h c ON c.series_id = p.series_id
-    JOIN sun_h s ON s.slot = p.slot""",
-)
+    FROM {panel} p LEFT JOIN {exog} e ON e.slot = p.slot JOIN cap_h c ON c.series_id = p.series_id
+    JOIN {sun} s ON s.slot = p.slot"""
+
+
+part("frame_h", hourly_frame("panel_h", "exog_h"))
 part(
     "lab_d",
     """SELECT series_id, month(ts) AS m, slot % 7 AS s, median(y_filled) AS med FROM panel_d GROUP BY ALL""",
@@ -149,13 +152,14 @@ part(
 )
 
 
-def _backtest(x: str, season: int, per_day: int, first: int, folds: int, k: int, min_rows: int, x1: str, x2: str) -> None:
+def _backtest(x: str, season: int, per_day: int, first: int, folds: int, k: int, min_rows: int, x1: str, x2: str, seed: str = "0") -> None:
     w = f"(PARTITION BY series_id, slot % {season} ORDER BY slot // {season} RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING)"
     part(
         f"back_{x}",
         f"""SELECT *, last_value(y IGNORE NULLS) OVER {w} AS prev_y,
         last_value(CASE WHEN driver IS NOT NULL THEN y END IGNORE NULLS) OVER {w} AS pair_y,
-        last_value(CASE WHEN y IS NOT NULL THEN driver END IGNORE NULLS) OVER {w} AS pair_g FROM frame_{x}""",
+        last_value(CASE WHEN y IS NOT NULL THEN driver END IGNORE NULLS) OVER {w} AS pair_g,
+        last_value(y) OVER {w.replace("7 PRECEDING", "1 PRECEDING")} IS NOT NULL AS lag_seen FROM frame_{x}""",
     )
     part(
         f"whole_{x}",
@@ -175,7 +179,7 @@ def _backtest(x: str, season: int, per_day: int, first: int, folds: int, k: int,
     part(
         f"rand_{x}",
         f"""SELECT *, NOT test AND n_obs > 0 AS cand FROM (SELECT *, f = least(pos // greatest(n // {k}, 1), {k - 1}) AS test FROM (SELECT *,
-        row_number() OVER (PARTITION BY series_id ORDER BY md5('0|' || CAST(day AS VARCHAR)), day) - 1 AS pos,
+        row_number() OVER (PARTITION BY series_id ORDER BY md5({seed} || '|' || CAST(day AS VARCHAR)), day) - 1 AS pos,
         count(*) OVER (PARTITION BY series_id) AS n FROM days_{x}), (SELECT unnest(range(0, {k})) AS f))
         WHERE test OR n_obs > 0""",
     )
@@ -188,7 +192,7 @@ def _backtest(x: str, season: int, per_day: int, first: int, folds: int, k: int,
         UNION ALL SELECT series_id, 'random_day', 'K' || (f + 1), day,
         CASE WHEN test THEN 'test' WHEN rk <= greatest(7, CAST(floor(nc * 0.1) AS INT)) THEN 'val' ELSE 'train' END
         FROM (SELECT *, count(*) OVER (PARTITION BY series_id, f, cand) AS nc,
-        row_number() OVER (PARTITION BY series_id, f, cand ORDER BY md5(f || '|' || CAST(day AS VARCHAR)), day) AS rk FROM rand_{x})""",
+        row_number() OVER (PARTITION BY series_id, f, cand ORDER BY md5(({seed} + f) || '|' || CAST(day AS VARCHAR)), day) AS rk FROM rand_{x})""",
     )
     part(
         f"train_{x}",
@@ -222,10 +226,10 @@ def _backtest(x: str, season: int, per_day: int, first: int, folds: int, k: int,
     part(
         f"fc_{x}",
         f"""SELECT {fold}, role, slot, ts, day, y, active, is_missing, driver, capacity, capacity_fold,
-        greatest(coalesce(prev_y, clim, 0), 0) AS Persistence, clim AS Climatology,
+        lag_seen, prev_y IS NOT NULL AS back_seen, cell_seen, slot_seen, greatest(coalesce(prev_y, clim, 0), 0) AS Persistence, clim AS Climatology,
         greatest(coalesce(CASE WHEN pair_y IS NOT NULL THEN least(greatest(pair_y / greatest(capacity_fold*pair_g/1000.0, 1.0), 0.0), 1.5) END, rs, ra, 0)
           * greatest(capacity_fold*coalesce(driver, 0)/1000.0, 0), 0) AS SmartPersistence, scaled AS Scaled, coalesce(ols, scaled) AS OLS2 FROM (
-        SELECT w.*, sp.protocol, sp.fold, sp.role, fc.capacity_fold, greatest(coalesce(cc.v, cs.v, ca.v), 0) AS clim, rs.v AS rs, ra.v AS ra,
+        SELECT w.*, sp.protocol, sp.fold, sp.role, fc.capacity_fold, cc.v IS NOT NULL AS cell_seen, cs.v IS NOT NULL AS slot_seen, greatest(coalesce(cc.v, cs.v, ca.v), 0) AS clim, rs.v AS rs, ra.v AS ra,
         coalesce(greatest(ft.slope*w.{x1}, CASE WHEN ft.slope IS NULL THEN NULL ELSE 0 END), 0) AS scaled,
         CASE WHEN ft.b0 IS NOT NULL THEN greatest(ft.b0 + ft.b1*w.{x1} + ft.b2*w.{x2}, 0) END AS ols
         FROM whole_{x} w JOIN splits_{x} sp ON sp.series_id = w.series_id AND sp.day = w.day AND sp.role <> 'train'
@@ -243,6 +247,28 @@ def _backtest(x: str, season: int, per_day: int, first: int, folds: int, k: int,
     part(f"pred_{x}", f"SELECT * EXCLUDE ({values}), unnest([{names}]) AS model, unnest([{values}]) AS yhat FROM test_{x}")
     part(f"obs_{x}", f"SELECT * FROM pred_{x} WHERE NOT is_missing")
     part(f"sub_{x}", f"SELECT *, unnest(CASE WHEN active THEN ['ALL', 'active'] ELSE ['ALL'] END) AS subset FROM obs_{x}")
+    part(
+        f"gram_{x}",
+        f"""SELECT series_id, protocol, fold, count(*) AS n, sum(y) AS sy, sum(Scaled) AS s1, sum(OLS2) AS s2, sum(Scaled*Scaled) AS g11,
+        sum(Scaled*OLS2) AS g12, sum(OLS2*OLS2) AS g22, sum(Scaled*y) AS h1, sum(OLS2*y) AS h2,
+        sqrt(avg((y-Scaled)**2)) AS e1, sqrt(avg((y-OLS2)**2)) AS e2 FROM fc_{x} WHERE role = 'val' AND active AND NOT is_missing GROUP BY ALL""",
+    )
+    part(
+        f"weights_{x}",
+        f"""SELECT *, (h1*g22 - h2*g12)/(g11*g22 - g12*g12) AS u1, (h2*g11 - h1*g12)/(g11*g22 - g12*g12) AS u2,
+        CASE WHEN u1 >= 0 AND u2 >= 0 THEN u1 WHEN -h1*h1/g11 <= -h2*h2/g22 THEN h1/g11 ELSE 0 END AS n1,
+        CASE WHEN u1 >= 0 AND u2 >= 0 THEN u2 WHEN -h1*h1/g11 <= -h2*h2/g22 THEN 0 ELSE h2/g22 END AS n2,
+        least(greatest((h1 - h2 - g12 + g22)/(g11 - 2*g12 + g22), 0), 1) AS c1,
+        (1/e1)/(1/e1 + 1/e2) AS v1, g11 - s1*s1/n + 1 AS r11, g12 - s1*s2/n AS r12, g22 - s2*s2/n + 1 AS r22, h1 - s1*sy/n AS q1, h2 - s2*sy/n AS q2,
+        (q1*r22 - q2*r12)/(r11*r22 - r12*r12) AS k1, (q2*r11 - q1*r12)/(r11*r22 - r12*r12) AS k2, (sy - k1*s1 - k2*s2)/n AS k0 FROM gram_{x}""",
+    )
+    part(
+        f"fused_{x}",
+        f"""SELECT t.*, (Scaled + OLS2)/2 AS Mean, v1*Scaled + (1-v1)*OLS2 AS InvRMSE, greatest(k0 + k1*Scaled + k2*OLS2, 0) AS RidgeStack,
+        greatest(n1*Scaled + n2*OLS2, 0) AS NNLSStack, greatest((n1*Scaled + n2*OLS2)/(n1+n2), 0) AS NNLSRenormalised,
+        greatest(c1*Scaled + (1-c1)*OLS2, 0) AS NNLSConvex, CASE WHEN e1 <= e2 THEN Scaled ELSE OLS2 END AS BestSingleByVal
+        FROM test_{x} t JOIN weights_{x} w ON w.series_id = t.series_id AND w.protocol = t.protocol AND w.fold = t.fold""",
+    )
     part(f"pair_{x}", f"SELECT *, unnest(CASE WHEN active THEN ['ALL', 'active'] ELSE ['ALL'] END) AS subset FROM test_{x} WHERE NOT is_missing")
 
 
@@ -251,3 +277,28 @@ _backtest("d", 7, 1, 730, 4, 5, 200, "n_orders", "mean_price")
 # the daily panel with a short head, so that early folds meet unseen months
 part("frame_e", "SELECT * FROM frame_d")
 _backtest("e", 7, 1, 150, 6, 5, 100, "n_orders", "mean_price")
+
+# experiment grids: settings are prefixes of the series id
+part("late_h", "SELECT slot + 24 AS slot, n_events, mean_value, mean_k FROM exog_h")
+part("frame_p", hourly_frame("panel_h", "exog_h", prefix="now/") + " UNION ALL " + hourly_frame("panel_h", "late_h", prefix="late/"))
+_backtest("p", 24, 24, 12, 3, 5, 50, "n_events", "mean_value")
+for _k in (-1, -2):
+    part(f"moved{-_k}", f"SELECT series_id, slot - {-_k} AS slot, ts - INTERVAL {-_k} HOUR AS ts, y, y_filled, is_missing FROM panel_h")
+part("sun_w", f"SELECT slot, ts, {sun_items('50.91', '-1.40')} FROM (SELECT DISTINCT slot, ts FROM panel_h UNION SELECT slot, ts FROM moved1 UNION SELECT slot, ts FROM moved2)")
+part(
+    "frame_w",
+    " UNION ALL ".join(
+        hourly_frame(p, "exog_h", "sun_w", f"{k}/") for p, k in (("panel_h", 0), ("moved1", -1), ("moved2", -2))
+    ),
+)
+_backtest("w", 24, 24, 12, 3, 5, 50, "n_events", "mean_value")
+part("frame_r", "SELECT k || '/' || series_id AS series_id, slot, ts, y, y_filled, is_missing, n_events, mean_value, mean_k, active, driver, capacity FROM frame_h, (SELECT unnest([0, 1, 2]) AS k)")
+_backtest("r", 24, 24, 12, 3, 5, 50, "n_events", "mean_value", "CAST(split_part(series_id, '/', 1) AS INT)")
+
+
+def ridge2(src: str, x1: str, x2: str, keys: str, alpha: float = 1.0) -> str:
+    """Two-feature ridge on standardised features, in closed form."""
+    return f"""SELECT {keys}, count(*) AS n_train, stddev_pop({x1}) AS sd1, stddev_pop({x2}) AS sd2, n_train * corr({x1}, {x2}) AS g_, n_train + {alpha} AS d_,
+    n_train * covar_pop({x1}, y) / sd1 AS q1_, n_train * covar_pop({x2}, y) / sd2 AS q2_,
+    (q1_*d_ - q2_*g_)/(d_*d_ - g_*g_)/sd1 AS w1, (q2_*d_ - q1_*g_)/(d_*d_ - g_*g_)/sd2 AS w2, avg(y) - w1*avg({x1}) - w2*avg({x2}) AS w0
+    FROM {src} GROUP BY {keys}"""
