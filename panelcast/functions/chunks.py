@@ -58,41 +58,40 @@ def at_offset(w: WindowSpec, col: Column | str, offset: int) -> Column:
     )
 
 
-def fill_both_ways(
-    df: DataFrame, keys: Sequence[str], cols: Sequence[str], width: int = WIDTH
+def carry(
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], forward: bool = True, width: int = WIDTH
 ) -> DataFrame:
-    """Forward fill, then backward fill of the head, per key."""
+    """Last non-NULL value so far by slot (or the next one, with ``forward=False``)."""
     keys, cols = list(keys), list(cols)
     cut = df.withColumn("_chunk", _chunk(width))
-    edges = cut.groupBy(*keys, "_chunk").agg(
-        *[
-            f(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("slot"))).alias(f"_{n}_{c}")
-            for c in cols
-            for n, f in (("last", F.max_by), ("first", F.min_by))
-        ]
-    )
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
-    past = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_chunk.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    carry = edges.select(
-        *keys,
-        "_chunk",
-        *[F.last(f"_last_{c}", True).over(past).alias(f"_in_{c}") for c in cols],
-        *[F.first(f"_first_{c}", True).over(rest).alias(f"_next_{c}") for c in cols],
-    )
-    local = Window.partitionBy(*keys, "_chunk").orderBy("slot").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("slot"))
+    pick = F.max_by if forward else F.min_by
+    edges = cut.groupBy(*keys, "_chunk").agg(*[pick(F.col(c), at(c)).alias(f"_e_{c}") for c in cols])
+    order = lambda c: F.col(c).asc() if forward else F.col(c).desc()
+    # one row per chunk from here to the join
+    past = Window.partitionBy(*keys).orderBy(order("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    inflow = edges.select(*keys, "_chunk", *[F.last(f"_e_{c}", True).over(past).alias(f"_in_{c}") for c in cols])
+    local = (
+        Window.partitionBy(*keys, "_chunk")
+        .orderBy(order("slot"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    filled = cut.withColumns({f"_ff_{c}": F.last(c, True).over(local) for c in cols})
-    out = filled.join(carry, [*keys, "_chunk"], "left")
-    return out.select(
+    filled = cut.withColumns({f"_loc_{c}": F.last(c, True).over(local) for c in cols})
+    return filled.join(inflow, [*keys, "_chunk"], "left").select(
         *[
-            F.coalesce(f"_ff_{c}", f"_in_{c}", f"_next_{c}").alias(c) if c in cols else F.col(c)
+            F.coalesce(f"_loc_{c}", f"_in_{c}").alias(c) if c in cols else F.col(c)
             for c in df.columns
         ]
     )
 
 
+def fill_both_ways(
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], width: int = WIDTH
+) -> DataFrame:
+    """Forward fill, then backward fill of the head, per key."""
+    return carry(carry(df, keys, cols, True, width), keys, cols, False, width)
+
+
 def runs(
     df: DataFrame,
     keys: Sequence[str],

@@ -26,7 +26,11 @@ def slot_spans(readings: DataFrame) -> DataFrame:
 
 
 def regular_grid(
-    values: DataFrame, grid: Grid, spans: DataFrame | None = None, width: int = WIDTH
+    values: DataFrame,
+    grid: Grid,
+    spans: DataFrame | None = None,
+    width: int = WIDTH,
+    bounds: bool = False,
 ) -> DataFrame:
     """Every slot between a series' first and last reading, exactly once.
 
@@ -34,35 +38,46 @@ def regular_grid(
     itself and the empty slots up to the next one, inside chunks of ``width``
     slots, so one shuffle of the readings is enough and a long series or a long
     gap is spread over tasks. ``spans`` (``series_id, lo, hi``) may be given
-    when it is cheaper to get from the raw readings.
+    when it is cheaper to get from the raw readings. ``bounds=True`` also returns
+    each series' ``first_slot`` and ``last_slot``, which the chunk marks carry along.
     """
     if spans is None:
         spans = slot_spans(values)
     chunk = F.floor(F.col("slot") / F.lit(width)).cast("bigint")
     c = F.col("_chunk")
-    bounds = spans.withColumn(
+    chunks = spans.withColumn(
         "_chunk",
         F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)).cast("array<bigint>")),
     )
     # per chunk: where it starts inside the span, and one past where it ends
-    marks = bounds.select(
+    ends = ["lo", "hi"] if bounds else []
+    marks = chunks.select(
         "series_id",
         "_chunk",
+        *ends,
         F.explode(
             F.array(
                 F.struct(F.greatest(c * width, F.col("lo")).alias("slot"), F.lit(0).alias("_kind")),
                 F.struct(F.least((c + 1) * width, F.col("hi") + 1).alias("slot"), F.lit(2).alias("_kind")),
             )
         ).alias("m"),
-    ).select("series_id", "_chunk", "m.slot", F.lit(None).cast("double").alias("y"), "m._kind")
+    ).select("series_id", "_chunk", *ends, "m.slot", F.lit(None).cast("double").alias("y"), "m._kind")
     rows = values.select("series_id", chunk.alias("_chunk"), "slot", "y", F.lit(1).alias("_kind"))
     w = Window.partitionBy("series_id", "_chunk").orderBy("slot", "_kind")
+    kept = {"lo": "first_slot", "hi": "last_slot"} if bounds else {}
     return (
-        rows.unionByName(marks)
-        .withColumn("_next", F.lead("slot").over(w))
+        rows.unionByName(marks, allowMissingColumns=True)
+        .withColumns(
+            {
+                "_next": F.lead("slot").over(w),
+                # every chunk starts with a mark that knows the span
+                **{n: F.first(c).over(w) for c, n in kept.items()},
+            }
+        )
         .where((F.col("_kind") < 2) & (F.col("_next") > F.col("slot")))
         .select(
             "series_id",
+            *kept.values(),
             "y",
             "_kind",
             F.posexplode(F.sequence("slot", F.col("_next") - 1)).alias("_pos", "slot"),
@@ -75,6 +90,7 @@ def regular_grid(
             "y",
             F.coalesce(F.greatest("y", F.lit(0.0)), F.lit(0.0)).alias("y_filled"),
             F.col("y").isNull().alias("is_missing"),
+            *kept.values(),
         )
     )
 
@@ -91,6 +107,12 @@ def day_facts(panel: DataFrame) -> DataFrame:
     )
 
 
+def usable_days(days: DataFrame, slots_per_day: int, drop_gaps: bool = False) -> DataFrame:
+    """Day facts of complete days; optionally only of days without a missing slot."""
+    out = days.where(F.col("n_slots") == slots_per_day)
+    return out.where(F.col("n_obs") == slots_per_day) if drop_gaps else out
+
+
 def complete_days(panel: DataFrame, slots_per_day: int = 24) -> DataFrame:
     """Keep days that have all their slots. A day is at most ``slots_per_day`` rows."""
     w = Window.partitionBy("series_id", "_day")

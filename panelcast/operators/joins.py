@@ -7,18 +7,63 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chunks import carry
 from ..functions.time import Grid, season_no, season_slot
 from .grid import fill_drivers
 
 
-def with_drivers(panel: DataFrame, exog: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("slot",), fill: bool = True) -> DataFrame:
-    """Panel left-joined to drivers on the exact slot, gaps filled per series.
+def with_drivers(panel: DataFrame, exog: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), fill: bool = True) -> DataFrame:
+    """Panel left-joined to drivers on the exact slot (and ``keys``, such as a site),
+    then filled forward and backward inside each series.
 
-    A one-site driver table has one row per slot; the planner broadcasts it when
-    its size allows, else both sides shuffle on the slot.
+    A driver table has one row per key and slot; the planner broadcasts it when its
+    size allows, else both sides shuffle on the slot. When the panel knows its
+    spans (``first_slot, last_slot``) the fill costs the panel nothing, see
+    :func:`fillable`; the driver table is then read several times and should be a
+    stored one.
     """
-    joined = panel.join(exog.select(*keys, *cols), list(keys), "left")
-    return fill_drivers(joined, cols) if fill else joined
+    on = [*keys, "slot"]
+    if not fill:
+        return panel.join(exog.select(*on, *cols), on, "left")
+    if "first_slot" not in panel.columns:
+        return fill_drivers(panel.join(exog.select(*on, *cols), on, "left"), cols)
+    lo, hi = F.min("slot").alias("_lo"), F.max("slot").alias("_hi")
+    if keys:
+        near = panel.join(exog.groupBy(*keys).agg(lo, hi), list(keys), "left")
+    else:
+        near = panel.withColumns({"_lo": exog.agg(lo).scalar(), "_hi": exog.agg(hi).scalar()})
+    # a slot beyond the driver table's span looks at the nearest end
+    near = near.withColumn("_at", F.least(F.greatest("slot", "_lo"), "_hi"))
+    table = fillable(exog, cols, keys).withColumnRenamed("slot", "_at")
+
+    def inside(entry: str) -> Column:
+        return F.col(f"{entry}.slot").between(F.col("first_slot"), F.col("last_slot"))
+
+    picked = {
+        c: F.when(inside(f"_ff_{c}"), F.col(f"_ff_{c}.v")).when(inside(f"_bf_{c}"), F.col(f"_bf_{c}.v"))
+        for c in cols
+    }
+    return near.join(table, [*keys, "_at"], "left").select(
+        *[F.col(c) for c in panel.columns], *[v.alias(c) for c, v in picked.items()]
+    )
+
+
+def fillable(exog: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Every slot of the driver table's span with the nearest earlier and later value.
+
+    ``_ff_<c>`` and ``_bf_<c>`` are structs of the value and the slot it comes from,
+    so a series can refuse values from outside its own span. The work is done on
+    the driver table, which has one row per key and slot, not on the panel.
+    """
+    keys = list(keys)
+    spans = exog.groupBy(*keys).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
+    slots = spans.select(*keys, F.explode(F.sequence("lo", "hi")).alias("slot"))
+    full = slots.join(exog.select(*keys, "slot", *cols), [*keys, "slot"], "left")
+    for c in cols:
+        entry = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), "slot"))
+        full = full.withColumns({f"_ff_{c}": entry, f"_bf_{c}": entry})
+    forward = carry(full.drop(*cols), keys, [f"_ff_{c}" for c in cols])
+    return carry(forward, keys, [f"_bf_{c}" for c in cols], forward=False)
 
 
 def pair_on(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

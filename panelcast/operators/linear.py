@@ -117,6 +117,34 @@ def ridge(
     )
 
 
+def fit_together(assigned: DataFrame, features: Sequence[str], pair: tuple[str, str], with_ridge: bool = True) -> DataFrame:
+    """Through-origin slope, two-driver OLS and ridge per fold from one pass over the rows.
+
+    ``pair`` must be among ``features``; the slope belongs to its first column.
+    """
+    features = list(features)
+    i, j = features.index(pair[0]), features.index(pair[1])
+    keys = ["series_id", "protocol", "fold"]
+    m = pack_moments(
+        fold_sums(assigned.where(complete_case([*features, "y"])), moment_sums(features)), len(features), keys
+    )
+    k = len(features)
+    sx = lambda a: F.get("sx", F.lit(a))
+    c = lambda a, b: F.get("sxx", F.lit(a * k + b)) - sx(a) * sx(b) / F.col("n")
+    cy = lambda a: F.get("sxy", F.lit(a)) - sx(a) * F.col("sy") / F.col("n")
+    det = c(i, i) * c(j, j) - c(i, j) * c(i, j)
+    ok = det > 1e-9 * c(i, i) * c(j, j)
+    xx = F.get("sxx", F.lit(i * k + i))
+    out = (
+        m.withColumn("slope", F.when(xx > 0, F.get("sxy", F.lit(i)) / xx))
+        .withColumn("b1", F.when(ok, (cy(i) * c(j, j) - cy(j) * c(i, j)) / det))
+        .withColumn("b2", F.when(ok, (cy(j) * c(i, i) - cy(i) * c(i, j)) / det))
+        .withColumn("b0", (F.col("sy") - F.col("b1") * sx(i) - F.col("b2") * sx(j)) / F.col("n"))
+    )
+    coef = [ridge_solver(1.0, True)("n", "sx", "sxx", "sy", "sxy").alias("coef")] if with_ridge else []
+    return out.select(*keys, "slope", "b0", "b1", "b2", *coef)
+
+
 def linear_value(features: Sequence[str], coef: str = "coef") -> Column:
     """Prediction from a coefficient array, floored at 0."""
     out = F.get(coef, F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.stage import stage
 from ..functions.time import Grid, season_slot
 from ..operators import fusion, linear, reference, splits
-from ..operators.grid import attach, capacity, complete_days, day_facts, days_without_missing
+from ..operators.grid import attach, capacity, day_facts, usable_days
 from ..operators.metrics import add_skill, metric_columns, observed, to_long, with_subsets
 
 FOLD = reference.FOLD
@@ -41,34 +41,30 @@ class Setup:
 
 
 def scored_frame(frame: DataFrame, setup: Setup) -> tuple[DataFrame, DataFrame]:
-    """Rows of complete days with lookback values and fold memberships, and the splits.
+    """Rows of usable days with lookback values and fold memberships, and the splits.
 
-    Lookback runs on the full grid before days are trimmed.
+    The frame is read three times (capacity, days, rows): pass a stored one. Days are
+    trimmed by the join with the fold table, which holds usable days only; lookback
+    runs on the full grid before that.
     """
     full = attach(frame, capacity(frame), ["series_id"])
     full = reference.with_lookback(full, setup.grid, "driver", setup.seasons, setup.missing)
-    rows = complete_days(full, setup.slots_per_day)
-    if setup.drop_gap_days:
-        rows = days_without_missing(rows)
-    folds = splits.both_protocols(day_facts(rows), setup.rolling, setup.random)
-    return splits.assign(rows, folds), folds
+    days = usable_days(day_facts(frame), setup.slots_per_day, setup.drop_gap_days)
+    folds = splits.both_protocols(days, setup.rolling, setup.random)
+    return splits.assign(full, folds), folds
 
 
 def learn(assigned: DataFrame, setup: Setup, ridge: bool = True) -> DataFrame:
     """One row per (series, protocol, fold) with everything learnt from its training rows."""
     overall = assigned.groupBy("series_id").agg(F.max("capacity").alias("capacity"))
     caps = splits.fold_capacity(assigned, overall)
-    out = (
+    features = setup.features if ridge else setup.pair
+    return (
         caps.withColumnRenamed("capacity", "capacity_fold")
         .join(reference.climatology_profile(assigned, setup.grid), list(FOLD), "left")
         .join(reference.ratio_profile(assigned, caps, setup.grid, "driver", setup.bound, setup.carry), list(FOLD), "left")
-        .join(linear.through_origin(assigned, setup.pair[0]), list(FOLD), "left")
-        .join(linear.two_driver_ols(assigned, *setup.pair), list(FOLD), "left")
+        .join(linear.fit_together(assigned, features, setup.pair, ridge), list(FOLD), "left")
     )
-    if ridge:
-        fitted = linear.ridge(assigned, setup.features).select(*FOLD, "coef")
-        out = out.join(fitted, list(FOLD), "left")
-    return out
 
 
 def base_columns(setup: Setup, ridge: bool = True) -> dict[str, Column]:
@@ -101,9 +97,9 @@ def forecast(assigned: DataFrame, learnt: DataFrame, setup: Setup, ridge: bool =
 
 
 def forecasts(frame: DataFrame, setup: Setup, ridge: bool = True, staged: bool = True) -> DataFrame:
-    """Frame to wide forecasts. The assigned rows are written once, since capacity,
-    profiles, fits and forecasts all read them."""
-    assigned, _ = scored_frame(frame, setup)
+    """Frame to wide forecasts. The frame and the assigned rows are written once each,
+    since capacity, days, profiles, fits and forecasts all read them."""
+    assigned, _ = scored_frame(stage(frame, "frame") if staged else frame, setup)
     if staged:
         assigned = stage(assigned, "assigned")
     return forecast(assigned, learn(assigned, setup, ridge), setup, ridge)

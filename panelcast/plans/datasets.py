@@ -28,18 +28,31 @@ class Dataset:
     frame: Callable[[SparkSession, str], DataFrame]
 
 
+_stored: dict[tuple, DataFrame] = {}
+
+
+def stored_drivers(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Driver table of a panel, written once per application: one row per slot."""
+    key = (spark.sparkContext.applicationId, sf_dir, "drivers", name)
+    if key not in _stored:
+        build = tables.exog_h if name == "h" else tables.exog_d
+        _stored[key] = stage(build(spark, sf_dir), f"drivers-{name}")
+    tables.ensure_utc(spark)
+    return _stored[key]
+
+
 def hourly_frame(panel: DataFrame, exog: DataFrame) -> DataFrame:
     """Hourly panel with filled drivers, the elevation mask and the envelope driver."""
     drivers = ["n_events", "mean_value", "mean_k"]
-    joined = with_drivers(panel, exog, drivers)
+    joined = with_drivers(panel, exog, drivers).drop("first_slot", "last_slot")
     return active_by_elevation(joined, LAT, LON).withColumn("driver", F.col("mean_value") * 10.0)
 
 
 def _frame_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     drivers = ["n_orders", "mean_price"]
-    panel = tables.panel_d(spark, sf_dir)
-    joined = with_drivers(panel, tables.exog_d(spark, sf_dir), drivers)
-    return active_by_label(joined, capacity(panel), DAILY, 0.4).withColumn(
+    panel = tables.panel_d(spark, sf_dir, bounds=True)
+    joined = with_drivers(panel, stored_drivers(spark, sf_dir, "d"), drivers).drop("first_slot", "last_slot")
+    return active_by_label(joined, capacity(joined), DAILY, 0.4).withColumn(
         "driver", F.col("mean_price") * 0.002
     )
 
@@ -55,7 +68,7 @@ H = Dataset(
         random={"n_folds": 5, "seed": 0},
     ),
     tables.panel_h,
-    lambda spark, sf: hourly_frame(tables.panel_h(spark, sf), tables.exog_h(spark, sf)),
+    lambda spark, sf: hourly_frame(tables.panel_h(spark, sf, bounds=True), stored_drivers(spark, sf, "h")),
 )
 D = Dataset(
     "d",
@@ -78,8 +91,6 @@ E = replace(
     setup=replace(D.setup, rolling={"n_folds": 6, "first_test_days": 150, "min_train_rows": 100}),
 )
 
-_stored: dict[tuple, DataFrame] = {}
-
 
 def stored_forecasts(spark: SparkSession, sf_dir: str, ds: Dataset) -> DataFrame:
     """The forecast table of a dataset, written once per application and then read.
@@ -106,6 +117,6 @@ def stored_rows(spark: SparkSession, sf_dir: str, ds: Dataset) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, ds.name, "rows")
     if key not in _stored:
         frame = add_cyclic(temporal_context(ds.frame(spark, sf_dir), ["n_events", "mean_value"]))
-        _stored[key] = stage(scored_frame(frame, ds.setup)[0], f"rows-{ds.name}")
+        _stored[key] = stage(scored_frame(stage(frame, "frame"), ds.setup)[0], f"rows-{ds.name}")
     tables.ensure_utc(spark)
     return _stored[key]

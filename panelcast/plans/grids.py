@@ -21,7 +21,7 @@ from ..functions.solve import ridge_from_moments
 from ..functions.stage import stage
 from ..functions.time import Grid, ts_of
 from ..operators import linear, reference, splits
-from ..operators.grid import complete_days, day_facts, relabel
+from ..operators.grid import day_facts, relabel, usable_days
 from ..operators.inference import diebold_mariano
 from ..operators.metrics import (
     add_skill,
@@ -147,8 +147,7 @@ def price_pairs(pred: DataFrame, pairs: Sequence[tuple[str, str, str]], model: s
 
 def bound_sweep(frame: DataFrame, setup: Setup, bounds: Sequence[float], reference_bound: float) -> DataFrame:
     """Smart persistence under several ratio bounds (infinite allowed) with spread and change."""
-    assigned, _ = scored_frame(frame, setup)
-    assigned = stage(assigned, "bounds")
+    assigned = stage(scored_frame(stage(frame, "frame"), setup)[0], "bounds")
     caps = splits.fold_capacity(assigned, assigned.groupBy("series_id").agg(F.max("capacity").alias("capacity")))
     spread = F.explode(F.array(*[F.lit(float(b)) for b in bounds]))
     keyed = assigned.withColumn("bound", spread).withColumn("_id", F.col("series_id")).withColumn(
@@ -175,19 +174,23 @@ def bound_sweep(frame: DataFrame, setup: Setup, bounds: Sequence[float], referen
 
 def shifted_frames(panel: DataFrame, grid: Grid, shifts: Sequence[int]) -> dict[str, DataFrame]:
     """The panel relabelled by each shift."""
-    return {str(s): relabel(panel, s).withColumn("ts", ts_of(F.col("slot"), grid)) for s in shifts}
+    ends = [c for c in ("first_slot", "last_slot") if c in panel.columns]
+    return {
+        str(s): relabel(panel, s)
+        .withColumns({c: F.col(c) + s for c in ends})
+        .withColumn("ts", ts_of(F.col("slot"), grid))
+        for s in shifts
+    }
 
 
 def seed_repetition(frame: DataFrame, setup: Setup, seeds: Sequence[int], models: Sequence[str]) -> DataFrame:
     """Mean and spread of scores over seeded random day folds, with skill on mean RMSE."""
-    rows = complete_days(
-        reference.with_lookback(frame, setup.grid, "driver", setup.seasons, setup.missing), setup.slots_per_day
-    )
-    keyed = repeat(rows, [str(s) for s in seeds], "seed")
+    names = [str(s) for s in seeds]
+    rows = stage(reference.with_lookback(frame, setup.grid, "driver", setup.seasons, setup.missing), "frame")
     options = {k: v for k, v in setup.random.items() if k != "seed"}
-    days = day_facts(keyed).withColumn("seed", F.split("series_id", SEP, 2).getItem(0).cast("int"))
-    folds = splits.random_days(days, seed=F.col("seed"), **options)
-    assigned = stage(splits.assign(keyed, folds), "seeds")
+    days = repeat(usable_days(day_facts(rows), setup.slots_per_day), names, "seed")
+    folds = splits.random_days(days, seed=F.col("seed").cast("int"), **options)
+    assigned = stage(splits.assign(repeat(rows, names, "seed"), folds), "seeds")
     plain = replace(setup, features=list(setup.pair))
     wide = forecast(assigned, learn(assigned, plain, ridge=False), plain, ridge=False).where(F.col("role") == "test")
     scores = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.stage import stage
 from ..functions.time import DAILY, HOURLY, season_slot
 from ..operators import grid, joins, reference, splits
 from ..operators.grid import complete_days, day_facts
@@ -56,10 +57,10 @@ def _test(spark, sf, ds):
 
 @query(
     "j05_fallback_lookup",
-    sql(f"SELECT protocol, fold, series_id, ts, {r('Climatology')} AS clim FROM test_e"),
+    sql(f"SELECT protocol, fold, series_id, ts, {r('Climatology', 4)} AS clim FROM test_e"),
 )
 def j05_fallback_lookup(spark, sf):
-    return tidy(_test(spark, sf, E).select("protocol", "fold", "series_id", "ts", F.col("Climatology").alias("clim")))
+    return tidy(_test(spark, sf, E).select("protocol", "fold", "series_id", "ts", F.col("Climatology").alias("clim")), 4)
 
 
 @query(
@@ -82,7 +83,7 @@ _SEEN = "SELECT DISTINCT series_id, protocol, fold, month(ts) AS m, slot % 7 AS
     ),
 )
 def j07_unseen_cells(spark, sf):
-    assigned, _ = scored_frame(E.frame(spark, sf), E.setup)
+    assigned, _ = scored_frame(stage(E.frame(spark, sf), "frame"), E.setup)
     cell = {"m": F.month("ts"), "s": season_slot(F.col("slot"), DAILY)}
     seen = splits.fold_sums(assigned, {"n": F.lit(1)}, cell)
     scored = observed(splits.eval_rows(assigned)).where(F.col("role") == "test").withColumns(cell)
@@ -230,14 +231,15 @@ def b03_smart_persistence(spark, sf):
 
 @query(
     "b04_all_references",
-    sql(f"SELECT protocol, fold, role, series_id, ts, {r('Persistence')} AS persistence, {r('Climatology')} AS climatology, {r('SmartPersistence')} AS smart FROM fc_d"),
+    sql(f"SELECT protocol, fold, role, series_id, ts, {r('Persistence', 4)} AS persistence, {r('Climatology', 4)} AS climatology, {r('SmartPersistence', 4)} AS smart FROM fc_d"),
 )
 def b04_all_references(spark, sf):
     return tidy(
         stored_forecasts(spark, sf, D).select(
             "protocol", "fold", "role", "series_id", "ts",
             F.col("Persistence").alias("persistence"), F.col("Climatology").alias("climatology"), F.col("SmartPersistence").alias("smart"),
-        )
+        ),
+        4,
     )
 
 

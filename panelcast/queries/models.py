@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.stage import stage
 from ..functions.time import HOURLY
 from ..operators import boosting, fusion, grid, linear, metrics as M, splits
 from ..operators.features import temporal_context
 from ..plans import backtest, grids
-from ..plans.datasets import H, hourly_frame, stored_fused, stored_rows
+from ..plans.datasets import H, hourly_frame, stored_drivers, stored_fused, stored_rows
 from ..sources import tables
 from .registry import query, tidy
 from .scores import MODELS
@@ -153,8 +154,8 @@ _PRICE = f"""SELECT 'late_penalty' AS comparison, v.series_id, v.protocol, count
 
 
 def _products(spark, sf):
-    exog = tables.exog_h(spark, sf)
-    panel = tables.panel_h(spark, sf)
+    exog = stored_drivers(spark, sf, "h")
+    panel = tables.panel_h(spark, sf, bounds=True)
     frames = {"now": hourly_frame(panel, exog), "late": hourly_frame(panel, grid.relabel(exog, 24))}
     return grids.compare_products(frames, H.setup, MODELS)
 
@@ -194,8 +195,8 @@ def g03_bound_sweep(spark, sf):
     ),
 )
 def g04_shift_sensitivity(spark, sf):
-    panels = grids.shifted_frames(tables.panel_h(spark, sf), HOURLY, [0, -1, -2])
-    exog = tables.exog_h(spark, sf)
+    panels = grids.shifted_frames(stage(tables.panel_h(spark, sf, bounds=True), "panel"), HOURLY, [0, -1, -2])
+    exog = stored_drivers(spark, sf, "h")
     frames = {k: hourly_frame(p, exog) for k, p in panels.items()}
     pred = grids.compare_products(frames, H.setup, MODELS).withColumnRenamed("config", "shift")
     keys = ["shift", "series_id", "protocol", "model", "subset"]
@@ -221,10 +222,11 @@ def g05_seed_repetition(spark, sf):
 @query("g06_alignment_by_context")
 def g06_alignment_by_context(spark, sf):
     """Does alignment matter more with or without temporal context?"""
-    panels = grids.shifted_frames(tables.panel_h(spark, sf), HOURLY, [0, -1])
-    exog = tables.exog_h(spark, sf)
+    panels = grids.shifted_frames(stage(tables.panel_h(spark, sf, bounds=True), "panel"), HOURLY, [0, -1])
+    exog = stored_drivers(spark, sf, "h")
     frame = grids.stack_frames({k: hourly_frame(p, exog) for k, p in panels.items()})
-    rows = backtest.scored_frame(temporal_context(frame, ["n_events"]), H.setup)[0]
+    frame = stage(temporal_context(frame, ["n_events"]), "frame")
+    rows = stage(backtest.scored_frame(frame, H.setup)[0], "rows")
     variants = {"context": ["n_events", "n_events_lag1", "n_events_lead1", "n_events_roll3"], "plain": ["n_events", "mean_value"]}
     scores = grids.split_key(grids.feature_ablation(rows, variants).withColumnRenamed("config", "features"), "shift")
     flags = scores.withColumns({"aligned": F.col("shift") == "0", "context": F.col("features") == "context"})

@@ -31,14 +31,14 @@ def readings_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _panel(raw: DataFrame, grid: Grid) -> DataFrame:
+def _panel(raw: DataFrame, grid: Grid, bounds: bool = False) -> DataFrame:
     values = raw.groupBy("series_id", "slot").agg(F.sum("v").cast("double").alias("y"))
-    return regular_grid(values, grid, spans=slot_spans(raw))
+    return regular_grid(values, grid, spans=slot_spans(raw), bounds=bounds)
 
 
-def panel_h(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel_h(spark: SparkSession, sf_dir: str, bounds: bool = False) -> DataFrame:
     """Hourly value per event type."""
-    return _panel(readings_h(spark, sf_dir), HOURLY)
+    return _panel(readings_h(spark, sf_dir), HOURLY, bounds)
 
 
 def panel_u(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +46,9 @@ def panel_u(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _panel(readings_h(spark, sf_dir, "user_id"), HOURLY)
 
 
-def panel_d(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel_d(spark: SparkSession, sf_dir: str, bounds: bool = False) -> DataFrame:
     """Daily net revenue per return flag."""
-    return _panel(readings_d(spark, sf_dir), DAILY)
+    return _panel(readings_d(spark, sf_dir), DAILY, bounds)
 
 
 def exog_h(spark: SparkSession, sf_dir: str) -> DataFrame:
