@@ -145,10 +145,11 @@ def permutation_importance(
     scored = predict(model, reduce(DataFrame.unionByName, parts), "_yhat")
     e = F.col(label) - F.col("_yhat")
     rmse = scored.groupBy("feature", "repeat").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
-    plain = rmse.where(F.col("feature") == "-").select(F.col("rmse").alias("_base"))
+    # a handful of rows: features x repeats
+    base_rmse = F.max(F.when(F.col("feature") == "-", F.col("rmse"))).over(Window.partitionBy(F.lit(0)))
     return (
-        rmse.where(F.col("feature") != "-")
-        .join(plain, F.lit(True))  # one row
+        rmse.withColumn("_base", base_rmse)
+        .where(F.col("feature") != "-")
         .groupBy("feature")
         .agg(F.avg(F.col("rmse") - F.col("_base")).alias("importance"))
     )

@@ -43,11 +43,11 @@ class Setup:
 def scored_frame(frame: DataFrame, setup: Setup) -> tuple[DataFrame, DataFrame]:
     """Rows of usable days with lookback values and fold memberships, and the splits.
 
-    The frame is read three times (capacity, days, rows): pass a stored one. Days are
+    The frame is read up to three times (capacity, days, rows): pass a stored one. Days are
     trimmed by the join with the fold table, which holds usable days only; lookback
     runs on the full grid before that.
     """
-    full = attach(frame, capacity(frame), ["series_id"])
+    full = frame if "capacity" in frame.columns else attach(frame, capacity(frame), ["series_id"])
     full = reference.with_lookback(full, setup.grid, "driver", setup.seasons, setup.missing)
     days = usable_days(day_facts(frame), setup.slots_per_day, setup.drop_gap_days)
     folds = splits.both_protocols(days, setup.rolling, setup.random)
@@ -96,12 +96,10 @@ def forecast(assigned: DataFrame, learnt: DataFrame, setup: Setup, ridge: bool =
     )
 
 
-def forecasts(frame: DataFrame, setup: Setup, ridge: bool = True, staged: bool = True) -> DataFrame:
-    """Frame to wide forecasts. The frame and the assigned rows are written once each,
-    since capacity, days, profiles, fits and forecasts all read them."""
-    assigned, _ = scored_frame(stage(frame, "frame") if staged else frame, setup)
-    if staged:
-        assigned = stage(assigned, "assigned")
+def forecasts(frame: DataFrame, setup: Setup, ridge: bool = True, stored: bool = False) -> DataFrame:
+    """Frame to wide forecasts. The frame (unless ``stored``) and the assigned rows are
+    written once each, since capacity, days, profiles, fits and forecasts read them."""
+    assigned = stage(scored_frame(frame if stored else stage(frame, "frame"), setup)[0], "assigned")
     return forecast(assigned, learn(assigned, setup, ridge), setup, ridge)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.stage import stage
 from ..functions.time import DAILY, HOURLY
 from ..operators.features import active_by_elevation, active_by_label, add_cyclic, temporal_context
-from ..operators.grid import capacity
+from ..operators.grid import attach, capacity
 from ..operators.joins import with_drivers
 from ..sources import tables
 from .backtest import Setup, forecasts, fuse, scored_frame
@@ -92,6 +92,16 @@ E = replace(
 )
 
 
+def stored_frame(spark: SparkSession, sf_dir: str, ds: Dataset) -> DataFrame:
+    """Panel with drivers, activity and capacity, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, ds.frame, "frame")
+    if key not in _stored:
+        frame = stage(ds.frame(spark, sf_dir), f"frame-{ds.name}")
+        _stored[key] = attach(frame, capacity(frame), ["series_id"])
+    tables.ensure_utc(spark)
+    return _stored[key]
+
+
 def stored_forecasts(spark: SparkSession, sf_dir: str, ds: Dataset) -> DataFrame:
     """The forecast table of a dataset, written once per application and then read.
 
@@ -99,7 +109,9 @@ def stored_forecasts(spark: SparkSession, sf_dir: str, ds: Dataset) -> DataFrame
     """
     key = (spark.sparkContext.applicationId, sf_dir, ds.name)
     if key not in _stored:
-        _stored[key] = stage(forecasts(ds.frame(spark, sf_dir), ds.setup), f"forecasts-{ds.name}")
+        _stored[key] = stage(
+            forecasts(stored_frame(spark, sf_dir, ds), ds.setup, stored=True), f"forecasts-{ds.name}"
+        )
     tables.ensure_utc(spark)
     return _stored[key]
 
@@ -116,7 +128,7 @@ def stored_rows(spark: SparkSession, sf_dir: str, ds: Dataset) -> DataFrame:
     """Assigned rows of a dataset (features, lookback, fold memberships), written once."""
     key = (spark.sparkContext.applicationId, sf_dir, ds.name, "rows")
     if key not in _stored:
-        frame = add_cyclic(temporal_context(ds.frame(spark, sf_dir), ["n_events", "mean_value"]))
-        _stored[key] = stage(scored_frame(stage(frame, "frame"), ds.setup)[0], f"rows-{ds.name}")
+        frame = add_cyclic(temporal_context(stored_frame(spark, sf_dir, ds), ["n_events", "mean_value"]))
+        _stored[key] = stage(scored_frame(stage(frame, "context"), ds.setup)[0], f"rows-{ds.name}")
     tables.ensure_utc(spark)
     return _stored[key]

@@ -146,8 +146,11 @@ def price_pairs(pred: DataFrame, pairs: Sequence[tuple[str, str, str]], model: s
 
 
 def bound_sweep(frame: DataFrame, setup: Setup, bounds: Sequence[float], reference_bound: float) -> DataFrame:
-    """Smart persistence under several ratio bounds (infinite allowed) with spread and change."""
-    assigned = stage(scored_frame(stage(frame, "frame"), setup)[0], "bounds")
+    """Smart persistence under several ratio bounds (infinite allowed) with spread and change.
+
+    ``frame`` should be a stored table: capacity, days and rows read it.
+    """
+    assigned = stage(scored_frame(frame, setup)[0], "bounds")
     caps = splits.fold_capacity(assigned, assigned.groupBy("series_id").agg(F.max("capacity").alias("capacity")))
     spread = F.explode(F.array(*[F.lit(float(b)) for b in bounds]))
     keyed = assigned.withColumn("bound", spread).withColumn("_id", F.col("series_id")).withColumn(

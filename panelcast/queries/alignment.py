@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.time import local_offset_hours
-from ..operators import align, grid, joins, splits
+from ..operators import align, joins, splits
 from ..operators.grid import complete_days, day_facts
-from ..plans.datasets import D, H
+from ..plans.datasets import D, H, stored_frame
 from .registry import query, tidy
 from .sql import metric_sql, r, sql
 
 
 def _frame(spark, sf, ds=H):
-    return grid.attach(ds.frame(spark, sf), grid.capacity(ds.panel(spark, sf)), ["series_id"])
+    return stored_frame(spark, sf, ds)
 
 
 _PAIRS = """SELECT t.series_id, t.slot, t.ts, shift, s.y, s.y_filled, t.driver, t.active, t.capacity FROM frame_h t, (SELECT unnest(range(-3, 4)) AS shift) k
@@ -22,7 +22,7 @@ _PAIRS = """SELECT t.series_id, t.slot, t.ts, shift, s.y, s.y_filled, t.driver,
 
 @query("j09_constant_shift", sql(f"SELECT series_id, slot, shift, y, {r('driver')} AS driver FROM ({_PAIRS}) WHERE y IS NOT NULL"))
 def j09_constant_shift(spark, sf):
-    frame = H.frame(spark, sf)
+    frame = stored_frame(spark, sf, H)
     out = joins.shifted(frame.where("y is not null").select("series_id", "slot", "y"), frame.select("series_id", "slot", "driver"), align.SHIFTS)
     return tidy(out.select("series_id", "slot", "shift", "y", "driver"))
 
@@ -80,7 +80,7 @@ def a04_offset_scan(spark, sf):
 
 @query("j10_row_offset", sql(f"SELECT series_id, extra, count(*) AS n, {r('sum(y)', 2)} AS total, {r('sum(driver)', 2)} AS driver FROM ({_MOVED}) GROUP BY ALL"))
 def j10_row_offset(spark, sf):
-    frame = D.frame(spark, sf).withColumn("off", local_offset_hours(F.col("ts"), "Europe/London"))
+    frame = stored_frame(spark, sf, D).withColumn("off", local_offset_hours(F.col("ts"), "Europe/London"))
     out = joins.moved_by_row(
         frame.where("y is not null").select("series_id", "slot", "y"),
         frame.where("active").select("series_id", "slot", "driver", "off"),

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.time import DAILY, HOURLY, local_offset_hours, ts_of
+from ..functions.time import DAILY, HOURLY, local_offset_hours, slot_of, ts_of
 from ..operators import features, grid, joins, solar, splits
 from ..operators.grid import day_facts
-from ..plans.datasets import H
+from ..plans.datasets import H, stored_frame
 from ..sources import tables
 from .registry import query, tidy
 from .sql import r, sql, sun_items
@@ -52,7 +52,7 @@ _N = "OVER (PARTITION BY series_id ORDER BY slot ROWS BETWEEN 1 PRECEDING AND 1
 )
 def f03_temporal_context(spark, sf):
     cols = ["n_events", "mean_value", "absent_column"]
-    out = features.temporal_context(H.frame(spark, sf), cols)
+    out = features.temporal_context(stored_frame(spark, sf, H), cols)
     return tidy(out.select("series_id", "slot", *[f"{c}_{s}" for c in cols[:2] for s in features.CONTEXT_SUFFIXES]))
 
 
@@ -65,12 +65,13 @@ def f04_target_lags(spark, sf):
 
 
 _SITES = f"""SELECT *, {sun_items('lat', 'lon')} FROM (SELECT n_nationkey AS site_id, -60.0 + 5.0 * n_nationkey AS lat, -170.0 + 14.0 * n_nationkey AS lon,
-    10.0 + n_nationkey AS tilt, 90.0 + 7.0 * n_nationkey AS azimuth, s.slot, make_timestamp(s.slot * 3600000000) AS ts, mean_value * 10.0 AS ghi, mean_k * 8.0 AS dni
-    FROM nation, exog_h s)"""
+    10.0 + n_nationkey AS tilt, 90.0 + 7.0 * n_nationkey AS azimuth, s.slot, make_timestamp(s.slot * 3600000000) AS ts, ghi, dni
+    FROM nation JOIN (SELECT c_nationkey, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) * 10.0 AS ghi,
+    CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS DOUBLE) / count(*) * 8.0 AS dni FROM events JOIN customer ON c_custkey = user_id GROUP BY 1, 2) s ON s.c_nationkey = n_nationkey)"""
 
 
 def _sites(spark, sf):
-    """A site table has one row per site; the planner broadcasts it by its size."""
+    """Hourly readings per site: events placed at their customer's nation."""
     k = F.col("n_nationkey").cast("double")
     sites = tables.load(spark, sf, "nation").select(
         F.col("n_nationkey").alias("site_id"),
@@ -79,11 +80,16 @@ def _sites(spark, sf):
         (k + 10.0).alias("tilt"),
         (k * 7.0 + 90.0).alias("azimuth"),
     )
-    hours = tables.exog_h(spark, sf).select(
-        "slot", ts_of(F.col("slot"), HOURLY).alias("ts"), (F.col("mean_value") * 10.0).alias("ghi"), (F.col("mean_k") * 8.0).alias("dni")
+    events = tables.load(spark, sf, "events")
+    home = tables.load(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("site_id"))
+    total = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
+    dose = F.sum(F.get_json_object("props", "$.k").cast("bigint")).cast("double")
+    hours = (
+        events.join(home, "user_id")
+        .groupBy("site_id", slot_of(F.col("ts"), HOURLY).alias("slot"))
+        .agg((total / F.count("*") * 10.0).alias("ghi"), (dose / F.count("*") * 8.0).alias("dni"))
     )
-    # every site needs every hour: this product is the operator's output
-    return hours.join(sites, F.lit(True))
+    return hours.withColumn("ts", ts_of(F.col("slot"), HOURLY)).join(sites, "site_id")
 
 
 @query(
@@ -157,7 +163,7 @@ def f12_active_by_label(spark, sf):
     ),
 )
 def f13_ratio(spark, sf):
-    frame = grid.attach(H.frame(spark, sf), grid.capacity(tables.panel_h(spark, sf)), ["series_id"])
+    frame = stored_frame(spark, sf, H)
     args = F.col("y"), F.col("capacity"), F.col("driver")
     return tidy(
         frame.select(
@@ -195,7 +201,7 @@ _F15 = """SELECT d.series_id, d.day, p.day AS pday, p.hidden FROM (SELECT *, row
     ),
 )
 def f15_supervised_windows(spark, sf):
-    frame = grid.attach(H.frame(spark, sf), grid.capacity(tables.panel_h(spark, sf)), ["series_id"])
+    frame = stored_frame(spark, sf, H)
     hidden = F.weekday("ts") == 6
     out = features.supervised_windows(grid.complete_days(frame), F.col("capacity"), ["driver"], hidden=hidden)
     total = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x)
@@ -225,7 +231,7 @@ def f15_supervised_windows(spark, sf):
     ),
 )
 def f16_standardise(spark, sf):
-    frame = grid.complete_days(H.frame(spark, sf))
+    frame = grid.complete_days(stored_frame(spark, sf, H))
     folds = splits.both_protocols(day_facts(frame), H.setup.rolling, H.setup.random)
     stats = features.training_statistics(splits.assign(frame, folds), ["n_events"])
     out = features.standardise(frame.select("series_id", "slot", "n_events"), stats, ["n_events"], ["series_id"])
@@ -254,7 +260,7 @@ def f17_upper_envelope(spark, sf):
     sql(f"SELECT series_id, slot, {r('n_events')} AS n_events, {r('sin(2*pi()*hour(ts)/24)')} AS hour_sin, {r('cos(2*pi()*hour(ts)/24)')} AS hour_cos FROM frame_h"),
 )
 def f18_ablation(spark, sf):
-    frame = features.temporal_context(H.frame(spark, sf), ["n_events"]).withColumn("sun_elev", F.lit(0.0))
+    frame = features.temporal_context(stored_frame(spark, sf, H), ["n_events"]).withColumn("sun_elev", F.lit(0.0))
     names = ["n_events", "n_events_lag1", "n_events_lead1", "n_events_roll3", "sun_elev", "n_events"]
     out, kept = features.ablate(frame, names, physics=False, context=False)
     return tidy(out.select("series_id", "slot", *kept))

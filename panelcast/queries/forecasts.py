@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.stage import stage
 from ..functions.time import DAILY, HOURLY, season_slot
 from ..operators import grid, joins, reference, splits
 from ..operators.grid import complete_days, day_facts
 from ..operators.metrics import metric_columns, observed
 from ..plans.backtest import scored_frame
-from ..plans.datasets import D, E, H, stored_forecasts
+from ..plans.datasets import D, E, H, stored_forecasts, stored_frame
 from ..sources import tables
 from .features import ENVELOPE_SQL
 from .registry import query, tidy
@@ -83,7 +82,7 @@ _SEEN = "SELECT DISTINCT series_id, protocol, fold, month(ts) AS m, slot % 7 AS
     ),
 )
 def j07_unseen_cells(spark, sf):
-    assigned, _ = scored_frame(stage(E.frame(spark, sf), "frame"), E.setup)
+    assigned, _ = scored_frame(stored_frame(spark, sf, E), E.setup)
     cell = {"m": F.month("ts"), "s": season_slot(F.col("slot"), DAILY)}
     seen = splits.fold_sums(assigned, {"n": F.lit(1)}, cell)
     scored = observed(splits.eval_rows(assigned)).where(F.col("role") == "test").withColumns(cell)
@@ -291,7 +290,7 @@ def b08_envelope_persistence(spark, sf):
 
 @query("b09_physics_proxy", sql(f"SELECT series_id, slot, {r('capacity * driver / 1000.0')} AS yhat FROM frame_h"))
 def b09_physics_proxy(spark, sf):
-    frame = grid.attach(H.frame(spark, sf), grid.capacity(tables.panel_h(spark, sf)), ["series_id"])
+    frame = stored_frame(spark, sf, H)
     return tidy(frame.select("series_id", "slot", reference.physics_proxy(F.col("capacity"), F.col("driver")).alias("yhat")))
 
 

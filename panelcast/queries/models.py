@@ -9,7 +9,7 @@ from ..functions.time import HOURLY
 from ..operators import boosting, fusion, grid, linear, metrics as M, splits
 from ..operators.features import temporal_context
 from ..plans import backtest, grids
-from ..plans.datasets import H, hourly_frame, stored_drivers, stored_fused, stored_rows
+from ..plans.datasets import H, hourly_frame, stored_drivers, stored_frame, stored_fused, stored_rows
 from ..sources import tables
 from .registry import query, tidy
 from .scores import MODELS
@@ -183,7 +183,7 @@ _BOUNDED = f"""SELECT t.series_id, t.protocol, t.fold, t.active, t.y, t.capacity
     ),
 )
 def g03_bound_sweep(spark, sf):
-    out = grids.bound_sweep(H.frame(spark, sf), H.setup, [0.25, 0.5, 1.0, 1.5, float("inf")], 1.5)
+    out = grids.bound_sweep(stored_frame(spark, sf, H), H.setup, [0.25, 0.5, 1.0, 1.5, float("inf")], 1.5)
     label = F.when(F.col("bound") == float("inf"), "inf").otherwise(F.col("bound").cast("string"))
     return tidy(out.withColumn("bound", label))
 
@@ -215,7 +215,7 @@ _SEEDS = "SELECT split_part(series_id, '/', 1) AS seed, split_part(series_id, '/
     ),
 )
 def g05_seed_repetition(spark, sf):
-    frame = grid.attach(H.frame(spark, sf), grid.capacity(tables.panel_h(spark, sf)), ["series_id"])
+    frame = stored_frame(spark, sf, H)
     return tidy(grids.seed_repetition(frame, H.setup, [0, 1, 2], MODELS), 5)
 
 

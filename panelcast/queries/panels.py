@@ -11,7 +11,7 @@ from ..functions.stage import shared_folder
 from ..functions.time import DAILY, HOURLY, season_slot, ts_of
 from ..operators import grid, joins, quality
 from ..operators.metrics import to_long
-from ..plans.datasets import D, H, stored_forecasts
+from ..plans.datasets import D, H, stored_forecasts, stored_frame
 from ..sources import exogenous, measurements, results, tables
 from .registry import query, rnd, tidy
 from .sql import fill, r, sql
@@ -307,7 +307,7 @@ def q14_typical_profile(spark, sf):
     ),
 )
 def q15_suspicious_zeros(spark, sf):
-    return tidy(quality.suspicious_zeros(D.frame(spark, sf), F.col("active"), tiny=50000.0))
+    return tidy(quality.suspicious_zeros(stored_frame(spark, sf, D), F.col("active"), tiny=50000.0))
 
 
 @query(
@@ -319,7 +319,7 @@ def q15_suspicious_zeros(spark, sf):
     ),
 )
 def q16_ratio_distribution(spark, sf):
-    frame = grid.attach(H.frame(spark, sf), grid.capacity(tables.panel_h(spark, sf)), ["series_id"])
+    frame = stored_frame(spark, sf, H)
     return tidy(quality.ratio_distribution(frame, "driver", F.col("active")))
 
 
@@ -336,7 +336,7 @@ _Q17 = """SELECT series_id, unnest(['kappa', 'share']) AS quantity, unnest([y /
     ),
 )
 def q17_clip_audit(spark, sf):
-    frame = grid.attach(H.frame(spark, sf), grid.capacity(tables.panel_h(spark, sf)), ["series_id"])
+    frame = stored_frame(spark, sf, H)
     quantities = {
         "kappa": C.ratio(F.col("y"), F.col("capacity"), F.col("driver"), None),
         "share": F.col("y") / F.col("capacity"),
@@ -353,7 +353,7 @@ def q17_clip_audit(spark, sf):
     ),
 )
 def q17_floor_share(spark, sf):
-    frame = grid.attach(H.frame(spark, sf), grid.capacity(tables.panel_h(spark, sf)), ["series_id"])
+    frame = stored_frame(spark, sf, H)
     return tidy(quality.floor_share(frame.where("active and not is_missing"), "driver", 1.0, 150.0))
 
 

@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.time import HOURLY
 from ..operators import grid, metrics as M
-from ..operators.joins import observed_before, pair_on
-from ..operators.reference import in_sample_climatology, physics_proxy
-from ..operators.joins import lookback
-from ..plans.datasets import D, H, stored_forecasts
+from ..operators.joins import lookback, pair_on
+from ..operators.reference import in_sample_climatology
+from ..plans.datasets import D, H, stored_forecasts, stored_frame
 from ..sources import tables
-from .registry import query, rnd, tidy
+from .registry import query, tidy
 from .sql import metric_sql, r, sql
 
 MODELS = ["Persistence", "Climatology", "SmartPersistence", "Scaled", "OLS2"]
-CAP = F.col("capacity")
 
 
 def test_rows(spark, sf, ds=H):
@@ -32,12 +30,12 @@ _KEY = "series_id, protocol, model"
 
 @query("x01_metric_set", sql(f"SELECT {_KEY}, {metric_sql(cap='capacity')} FROM obs_h GROUP BY ALL"))
 def x01_metric_set(spark, sf):
-    return tidy(M.score(pred(spark, sf), ["series_id", "protocol", "model"], CAP))
+    return tidy(M.score(pred(spark, sf), ["series_id", "protocol", "model"], F.col("capacity")))
 
 
 @query("x02_pooled_metrics", sql(f"SELECT {_KEY}, subset, {metric_sql(cap='capacity')} FROM sub_h GROUP BY ALL"))
 def x02_pooled_metrics(spark, sf):
-    return tidy(M.score(M.with_subsets(pred(spark, sf)), ["series_id", "protocol", "model", "subset"], CAP))
+    return tidy(M.score(M.with_subsets(pred(spark, sf)), ["series_id", "protocol", "model", "subset"], F.col("capacity")))
 
 
 @query(
@@ -45,7 +43,7 @@ def x02_pooled_metrics(spark, sf):
     sql(f"SELECT {_KEY}, fold, subset, {metric_sql(cap='capacity')} FROM sub_h GROUP BY ALL UNION ALL SELECT {_KEY}, 'ALL', subset, {metric_sql(cap='capacity')} FROM sub_h GROUP BY ALL"),
 )
 def x03_fold_metrics(spark, sf):
-    return tidy(M.score_pooled_and_by_fold(pred(spark, sf), CAP))
+    return tidy(M.score_pooled_and_by_fold(pred(spark, sf), F.col("capacity")))
 
 
 _ONCE = "SELECT *, unnest(CASE WHEN active THEN ['ALL', 'active'] ELSE ['ALL'] END) AS subset FROM (SELECT * FROM obs_d QUALIFY row_number() OVER (PARTITION BY series_id, protocol, model, ts ORDER BY fold) = 1)"
@@ -56,14 +54,14 @@ _ONCE = "SELECT *, unnest(CASE WHEN active THEN ['ALL', 'active'] ELSE ['ALL'] E
     sql(f"SELECT * FROM (SELECT {_KEY}, strftime(ts, '%Y-%m') AS month, subset, {metric_sql(cap='capacity', digits=4)} FROM ({_ONCE}) GROUP BY ALL) WHERE n >= 5"),
 )
 def x04_month_metrics(spark, sf):
-    return tidy(M.score_by_month(pred(spark, sf, D), CAP), 4)
+    return tidy(M.score_by_month(pred(spark, sf, D), F.col("capacity")), 4)
 
 
 _X02 = f"SELECT {_KEY}, subset, count(*) AS n, sqrt(avg((y - yhat)**2)) AS rmse, avg(abs(y - yhat)) AS mae FROM sub_h GROUP BY ALL"
 
 
 def _scores(spark, sf, ds=H):
-    return M.score(M.with_subsets(pred(spark, sf, ds)), ["series_id", "protocol", "model", "subset"], CAP)
+    return M.score(M.with_subsets(pred(spark, sf, ds)), ["series_id", "protocol", "model", "subset"], F.col("capacity"))
 
 
 @query(
@@ -168,9 +166,9 @@ _COND = "CASE WHEN k > 0 AND k <= 0.2 THEN 'low' WHEN k > 0.2 AND k <= 0.6 THEN
     ),
 )
 def x23_residual_table(spark, sf):
-    k = F.col("y") / F.greatest(CAP * F.col("driver") / 1000.0, F.lit(1e-3))
+    k = F.col("y") / F.greatest(F.col("capacity") * F.col("driver") / 1000.0, F.lit(1e-3))
     cond = C.labelled_bins(k, [0.0, 0.2, 0.6, 5.0], ["low", "mid", "high"])
-    return tidy(M.residual_table(pred(spark, sf), cond, CAP, ["series_id", "protocol", "model"]))
+    return tidy(M.residual_table(pred(spark, sf), cond, F.col("capacity"), ["series_id", "protocol", "model"]))
 
 
 _WEEK = f"""SELECT {_KEY}, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n, sqrt(avg((y - yhat)**2) FILTER (WHERE active)) AS rmse FROM obs_h
@@ -237,14 +235,14 @@ def x27_period_power(spark, sf):
     ),
 )
 def x28_convention_gap(spark, sf):
-    frame = grid.attach(H.frame(spark, sf), grid.capacity(tables.panel_h(spark, sf)), ["series_id"])
+    frame = stored_frame(spark, sf, H)
     back = lookback(frame, {"persistence": F.col("y")}, HOURLY, seasons=1)
     wide = in_sample_climatology(back, HOURLY).select(
         "series_id", "y", "active", "is_missing", "capacity",
         F.coalesce("persistence", F.lit(0.0)).alias("persistence"), F.col("clim_cell").alias("climatology"),
     )
     rows = M.with_subsets(M.observed(M.to_long(wide, ["persistence", "climatology"])))
-    scored = rows.groupBy("series_id", "model", "subset").agg(*M.metric_columns(capacity=CAP))
+    scored = rows.groupBy("series_id", "model", "subset").agg(*M.metric_columns(capacity=F.col("capacity")))
     return tidy(M.convention_gap(scored, ["series_id", "model"]))
 
 
@@ -305,7 +303,7 @@ def x32_subset_pivot(spark, sf):
 )
 def x33_density(spark, sf):
     rows = pred(spark, sf).where(F.col("model").isin("Persistence", "Climatology"))
-    return M.density(rows, ["series_id", "protocol", "model"], CAP / 40.0)
+    return M.density(rows, ["series_id", "protocol", "model"], F.col("capacity") / 40.0)
 
 
 @query(
@@ -313,8 +311,8 @@ def x33_density(spark, sf):
     sql("SELECT series_id, least(floor(k / 0.025), 79)::BIGINT AS bin, count(*) AS n FROM (SELECT series_id, y / greatest(capacity * driver / 1000.0, 1.0) AS k FROM frame_h WHERE y IS NOT NULL) WHERE k BETWEEN 0 AND 2 GROUP BY ALL"),
 )
 def x34_histogram(spark, sf):
-    frame = grid.attach(H.frame(spark, sf), grid.capacity(tables.panel_h(spark, sf)), ["series_id"])
-    k = C.ratio(F.col("y"), CAP, F.col("driver"), None)
+    frame = stored_frame(spark, sf, H)
+    k = C.ratio(F.col("y"), F.col("capacity"), F.col("driver"), None)
     return M.histogram(frame.where("y is not null"), k, ["series_id"]).withColumn("bin", F.col("bin").cast("bigint"))
 
 
@@ -335,4 +333,4 @@ def j02_pair_configurations(spark, sf):
 def j08_merge_results(spark, sf):
     s = _scores(spark, sf).where(F.col("subset") == "ALL").select("series_id", "protocol", "model", "rmse")
     merged = grid.attach(s, grid.capacity(tables.panel_h(spark, sf)), ["series_id"])
-    return tidy(merged.withColumn("nrmse_pct", 100.0 * F.col("rmse") / CAP))
+    return tidy(merged.withColumn("nrmse_pct", 100.0 * F.col("rmse") / F.col("capacity")))

@@ -66,13 +66,14 @@ def load_product(
     raw = (
         spark.read.parquet(entry["path"])
         if entry["path"].endswith(".parquet")
-        else spark.read.csv(entry["path"], header=True, inferSchema=True)
+        else spark.read.csv(entry["path"], header=True)
+    )
+    raw = strip_suffix(raw, entry.get("suffix", "")).withColumnsRenamed({"time": "ts"})
+    kept = project_variables(raw, variable_set)
+    return kept.select(
+        F.col("ts").cast("timestamp").cast("timestamp_ntz").alias("ts"),
+        *[F.col(c).cast("string").try_cast("double").alias(c) for c in kept.columns if c != "ts"],
     )
-    raw = strip_suffix(raw, entry.get("suffix", ""))
-    if "time" in raw.columns:
-        raw = raw.withColumnRenamed("time", "ts")
-    raw = raw.withColumn("ts", F.col("ts").cast("timestamp").cast("timestamp_ntz"))
-    return project_variables(raw, variable_set)
 
 
 def provenance(
@@ -93,10 +94,12 @@ def provenance(
         F.count("*").alias("_records"), F.max("n_rows").alias("_recorded_rows")
     )
     covers = (F.col("first_ts") <= F.col("start")) & (F.col("last_ts") >= F.col("end"))
-    # three one-row tables
+    # three one-row tables, joined on a constant key
+    one = lambda df: df.withColumn("_one", F.lit(1))
     return (
-        facts.join(recorded, F.lit(True))
-        .join(span.select("start", "end"), F.lit(True))
+        one(facts)
+        .join(one(recorded), "_one")
+        .join(one(span.select("start", "end")), "_one")
         .select(
             F.lit(source).alias("source"),
             "first_ts",

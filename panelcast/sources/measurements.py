@@ -31,8 +31,8 @@ def read_long_csv(spark: SparkSession, path: str, field: str, series: str | None
         ignoreLeadingWhiteSpace=True,
         ignoreTrailingWhiteSpace=True,
     )
-    raw = raw.toDF(*[c.strip() for c in raw.columns])
-    key = F.col(series) if series else F.element_at(F.split(F.input_file_name(), "/"), -1)
+    raw = raw.withColumnsRenamed({c: c.strip() for c in raw.columns})
+    key = F.col(series) if series else F.col("_metadata.file_name")
     return keep_field(raw, field, key)
 
 
