@@ -88,8 +88,37 @@ def carry(
 def fill_both_ways(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], width: int = WIDTH
 ) -> DataFrame:
-    """Forward fill, then backward fill of the head, per key."""
-    return carry(carry(df, keys, cols, True, width), keys, cols, False, width)
+    """Forward fill, then backward fill of the head, per key. Reads ``df`` twice."""
+    keys, cols = list(keys), list(cols)
+    cut = df.withColumn("_chunk", _chunk(width))
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("slot"))
+    edges = cut.groupBy(*keys, "_chunk").agg(
+        *[F.max_by(F.col(c), at(c)).alias(f"_last_{c}") for c in cols],
+        *[F.min_by(F.col(c), at(c)).alias(f"_first_{c}") for c in cols],
+    )
+    # one row per chunk from here to the join
+    by_key = Window.partitionBy(*keys).orderBy("_chunk")
+    past = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    rest = by_key.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    flow = edges.select(
+        *keys,
+        "_chunk",
+        *[F.last(f"_last_{c}", True).over(past).alias(f"_in_{c}") for c in cols],
+        *[F.first(f"_first_{c}", True).over(rest).alias(f"_next_{c}") for c in cols],
+    )
+    local = (
+        Window.partitionBy(*keys, "_chunk")
+        .orderBy("slot")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    filled = cut.withColumns({f"_loc_{c}": F.last(c, True).over(local) for c in cols})
+    # a head without an earlier value takes the first one at or after its chunk
+    return filled.join(flow, [*keys, "_chunk"], "left").select(
+        *[
+            F.coalesce(f"_loc_{c}", f"_in_{c}", f"_next_{c}").alias(c) if c in cols else F.col(c)
+            for c in df.columns
+        ]
+    )
 
 
 def runs(

@@ -160,18 +160,30 @@ def _products(spark, sf):
     return grids.compare_products(frames, H.setup, MODELS)
 
 
-@query("g02_product_comparison", sql(_PRICE.replace("v.series_id, v.protocol, count", "v.sid AS series_id, v.protocol, count")))
-def g02_product_comparison(spark, sf):
+@query(
+    "g02_product_scores",
+    sql(f"SELECT split_part(series_id, '/', 1) AS config, split_part(series_id, '/', 2) AS series_id, protocol, model, subset, {metric_sql(cap='capacity', digits=5)} FROM sub_p GROUP BY ALL"),
+)
+def g02_product_scores(spark, sf):
+    keys = ["config", "series_id", "protocol", "model", "subset"]
+    return tidy(M.score(M.with_subsets(_products(spark, sf)), keys, F.col("capacity")), 5)
+
+
+@query("x20_priced_pairs", sql(_PRICE.replace("v.series_id, v.protocol, count", "v.sid AS series_id, v.protocol, count")))
+def x20_priced_pairs(spark, sf):
     out = grids.price_pairs(_products(spark, sf), [("late_penalty", "now", "late")], "OLS2")
     return tidy(out.drop("p_value", "better"), 4)
 
 
 _BOUNDED = f"""SELECT t.series_id, t.protocol, t.fold, t.active, t.y, t.capacity, b.bound,
-    greatest(coalesce(CASE WHEN w.pair_y IS NOT NULL THEN least(greatest(w.pair_y / greatest(t.capacity_fold*w.pair_g/1000.0, 1.0), 0.0), b.bound) END, rs.v, 0) * greatest(t.capacity_fold*coalesce(w.driver, 0)/1000.0, 0), 0) AS yhat
+    greatest(coalesce(CASE WHEN w.pair_y IS NOT NULL THEN least(greatest(w.pair_y / greatest(t.capacity_fold*w.pair_g/1000.0, 1.0), 0.0), b.bound) END, rs.v, ra.v, 0) * greatest(t.capacity_fold*coalesce(w.driver, 0)/1000.0, 0), 0) AS yhat
     FROM test_h t JOIN whole_h w ON w.series_id = t.series_id AND w.slot = t.slot, (SELECT unnest([0.25, 0.5, 1.0, 1.5, 'Infinity'::DOUBLE]) AS bound) b
     LEFT JOIN (SELECT series_id, protocol, fold, s, bound, avg(least(greatest(y / greatest(capacity_fold*driver/1000.0, 1.0), 0.0), bound)) AS v
       FROM (SELECT *, slot % 24 AS s FROM train_h JOIN fcap_h USING (series_id, protocol, fold)), (SELECT unnest([0.25, 0.5, 1.0, 1.5, 'Infinity'::DOUBLE]) AS bound) GROUP BY ALL) rs
-    ON rs.series_id = t.series_id AND rs.protocol = t.protocol AND rs.fold = t.fold AND rs.s = t.slot % 24 AND rs.bound = b.bound WHERE NOT t.is_missing"""
+    ON rs.series_id = t.series_id AND rs.protocol = t.protocol AND rs.fold = t.fold AND rs.s = t.slot % 24 AND rs.bound = b.bound
+    LEFT JOIN (SELECT series_id, protocol, fold, bound, avg(least(greatest(y / greatest(capacity_fold*driver/1000.0, 1.0), 0.0), bound)) AS v
+      FROM (SELECT * FROM train_h JOIN fcap_h USING (series_id, protocol, fold)), (SELECT unnest([0.25, 0.5, 1.0, 1.5, 'Infinity'::DOUBLE]) AS bound) GROUP BY ALL) ra
+    ON ra.series_id = t.series_id AND ra.protocol = t.protocol AND ra.fold = t.fold AND ra.bound = b.bound WHERE NOT t.is_missing"""
 
 
 @query(

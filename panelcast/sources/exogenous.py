@@ -94,12 +94,16 @@ def provenance(
         F.count("*").alias("_records"), F.max("n_rows").alias("_recorded_rows")
     )
     covers = (F.col("first_ts") <= F.col("start")) & (F.col("last_ts") >= F.col("end"))
-    # three one-row tables, joined on a constant key
-    one = lambda df: df.withColumn("_one", F.lit(1))
+    # the record and the span are one row each: scalar subqueries, no join
     return (
-        one(facts)
-        .join(one(recorded), "_one")
-        .join(one(span.select("start", "end")), "_one")
+        facts.withColumns(
+            {
+                "_records": recorded.select("_records").scalar(),
+                "_recorded_rows": recorded.select("_recorded_rows").scalar(),
+                "start": span.select("start").scalar(),
+                "end": span.select("end").scalar(),
+            }
+        )
         .select(
             F.lit(source).alias("source"),
             "first_ts",
