@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import moved_by_row, shifted
+from .joins import at_shifts, moved_by_row
 from .metrics import metric_columns
 from .reference import physics_proxy
 from .splits import train_rows
@@ -17,8 +17,8 @@ SHIFTS = tuple(range(-3, 4))
 
 def shift_pairs(frame: DataFrame, shifts: Sequence[int] = SHIFTS, carry: Sequence[str] = ()) -> DataFrame:
     """``y`` moved by each shift against the driver, active flag and ``carry`` columns at the new slot."""
-    target = frame.select("series_id", "slot", "driver", "active", *carry)
-    return shifted(frame.select("series_id", "slot", "y", "y_filled"), target, shifts)
+    rows = frame.select("series_id", "slot", "driver", "active", *carry, "y")
+    return at_shifts(rows, ["y"], shifts).drop("y").withColumnRenamed("src_y", "y")
 
 
 def shift_scan(frame: DataFrame, shifts: Sequence[int] = SHIFTS) -> DataFrame:
@@ -39,11 +39,10 @@ def peak_lag(frame: DataFrame, lags: Sequence[int] = SHIFTS, min_pairs: int = 10
 
     The mask is that of the y side only; the first maximum wins.
     """
-    y_side = frame.where("active and not is_missing").select("series_id", "slot", "y_filled")
-    driver = frame.select("series_id", "slot", "driver")
-    pairs = shifted(y_side, driver, [-lag for lag in lags]).withColumn("lag", -F.col("shift"))
+    rows = frame.select("series_id", "slot", "y_filled", "driver", (F.col("active") & ~F.col("is_missing")).alias("_ok"))
+    pairs = at_shifts(rows, ["driver"], lags).where("_ok").withColumnRenamed("shift", "lag")
     scored = pairs.groupBy("series_id", "lag").agg(
-        F.count("*").alias("n"), F.round(F.corr("y_filled", "driver"), 9).alias("r")
+        F.count("*").alias("n"), F.round(F.corr("y_filled", "src_driver"), 9).alias("r")
     )
     ok = scored.where((F.col("n") >= min_pairs) & F.col("r").isNotNull())
     return ok.groupBy("series_id").agg(

@@ -51,23 +51,23 @@ def _matrix(g, k: int) -> np.ndarray:
     return np.asarray(g, float).reshape(k, k)
 
 
-def nnls_weights(normalise: bool = False):
-    """Equal weights where the solution vanishes; optionally scaled to sum to 1."""
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def nnls_weights(g: pd.Series, h: pd.Series) -> pd.Series:
+    """Equal weights where the solution vanishes."""
+    out = []
+    for gi, hi in zip(g, h):
+        hi = np.asarray(hi, float)
+        w = nnls_from_gram(_matrix(gi, len(hi)), hi)
+        out.append((w if w.sum() > 1e-6 else np.full(len(hi), 1.0 / len(hi))).tolist())
+    return pd.Series(out)
+
+
+def total(weights: Column) -> Column:
+    return F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def solve(g: pd.Series, h: pd.Series) -> pd.Series:
-        out = []
-        for gi, hi in zip(g, h):
-            hi = np.asarray(hi, float)
-            w = nnls_from_gram(_matrix(gi, len(hi)), hi)
-            if w.sum() <= 1e-6:
-                w = np.full(len(hi), 1.0 / len(hi))
-            elif normalise:
-                w = w / w.sum()
-            out.append(w.tolist())
-        return pd.Series(out)
 
-    return solve
+def sum_to_one(weights: Column) -> Column:
+    return F.transform(weights, lambda x: x / total(weights))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -90,9 +90,7 @@ def ridge_stack(n: pd.Series, s: pd.Series, g: pd.Series, sy: pd.Series, h: pd.S
 
 def inverse_rmse(sse: Column, n: Column) -> Column:
     """Normalised inverse RMSE per member; perfect members share all the weight."""
-    inv = F.transform(sse, lambda e: 1.0 / F.greatest(F.sqrt(e / n), F.lit(1e-12)))
-    total = F.aggregate(inv, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(inv, lambda x: x / total)
+    return sum_to_one(F.transform(sse, lambda e: 1.0 / F.greatest(F.sqrt(e / n), F.lit(1e-12))))
 
 
 def lowest(sse: Column) -> Column:
@@ -103,14 +101,20 @@ def lowest(sse: Column) -> Column:
 def fit(wide: DataFrame, members: Sequence[str], keys: Sequence[str] = FOLD) -> DataFrame:
     """One row per key with the weights of every variant."""
     m = gram(validation_rows(wide), members, keys)
-    return m.select(
+    solved = m.select(
+        "*",
+        ridge_stack("n", "s", "g", "sy", "h").alias("w_ridge"),
+        nnls_weights("g", "h").alias("w_nnls"),
+        simplex_weights("g", "h").alias("w_simplex"),
+    )
+    return solved.select(
         *keys,
         F.col("n").alias("n_val"),
         inverse_rmse(F.col("sse"), F.col("n")).alias("w_inv"),
-        ridge_stack("n", "s", "g", "sy", "h").alias("w_ridge"),
-        nnls_weights()("g", "h").alias("w_nnls"),
-        nnls_weights(True)("g", "h").alias("w_nnls_sum1"),
-        simplex_weights("g", "h").alias("w_simplex"),
+        "w_ridge",
+        "w_nnls",
+        sum_to_one(F.col("w_nnls")).alias("w_nnls_sum1"),
+        "w_simplex",
         lowest(F.col("sse")).alias("best_member"),
     )
 
@@ -156,8 +160,8 @@ def per_hour_stack(wide: DataFrame, members: Sequence[str], min_rows: int = 8) -
     keys = [*FOLD, "_h"]
     rows = validation_rows(wide).withColumn("_h", F.hour("ts"))
     equal = F.array_repeat(F.lit(1.0 / k), k)
-    w = gram(rows, members, keys).select(
-        *keys, F.when(F.col("n") >= min_rows, nnls_weights(True)("g", "h")).otherwise(equal).alias("_w")
+    w = gram(rows, members, keys).select("*", nnls_weights("g", "h").alias("_nnls")).select(
+        *keys, F.when(F.col("n") >= min_rows, sum_to_one(F.col("_nnls"))).otherwise(equal).alias("_w")
     )
     test = wide.where(F.col("role") == "test").withColumn("_h", F.hour("ts"))
     fused = F.when(F.col("_w").isNull(), mean_of(members)).otherwise(_dot("_w", members))
@@ -170,9 +174,8 @@ def per_hour_stack(wide: DataFrame, members: Sequence[str], min_rows: int = 8) -
 
 def weight_shares(weights: DataFrame, members: Sequence[str], col: str = "w_nnls", keys: Sequence[str] = ("series_id", "protocol")) -> DataFrame:
     """Mean and sd over folds of each member's share, and the mean raw sum."""
-    total = F.aggregate(F.col(col), F.lit(0.0), lambda a, x: a + x)
     names = F.array(*[F.lit(m) for m in members])
-    rows = weights.withColumn("_total", total).select(
+    rows = weights.withColumn("_total", total(F.col(col))).select(
         *keys, "_total", F.inline(F.arrays_zip(names.alias("member"), F.col(col).alias("w")))
     )
     share = F.col("w") / F.col("_total")
@@ -226,13 +229,13 @@ def leave_member_out(wide: DataFrame, members: Sequence[str], keys: Sequence[str
         .withColumn("_sse", _leave_out_sse("_go", "_ho", "g", "h", "syy"))
     )
     names = F.array(*[F.lit(m) for m in ("ALL", *members)])
-    total = (
+    scored = (
         sse.select(*keys, "n", F.posexplode("_sse").alias("_i", "_e"))
         .groupBy(*keys, "_i")
         .agg(F.sqrt(F.sum("_e") / F.sum("n")).alias("rmse_without"))
     )
     full = F.max(F.when(F.col("_i") == 0, F.col("rmse_without"))).over(Window.partitionBy(*keys))
-    return total.select(
+    return scored.select(
         *keys,
         F.get(names, F.col("_i")).alias("model"),
         "rmse_without",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chunks import carry
+from ..functions.chunks import at_offset, bounded_window, carry
 from ..functions.time import Grid, season_no, season_slot
 from .grid import fill_drivers
 
@@ -127,6 +127,26 @@ def shifted(values: DataFrame, against: DataFrame, shifts: Sequence[int], keys:
     return moved.join(against, [*keys, "slot"])
 
 
+def at_shifts(frame: DataFrame, source: Sequence[str], shifts: Sequence[int], keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """:func:`shifted` of a frame against itself, without a join: every row meets the
+    ``source`` columns of ``shift`` slots earlier, as ``src_<c>``. One shuffle of the
+    rows instead of one per shift."""
+    entry = F.struct(*[F.col(c).alias(f"src_{c}") for c in source])
+    wide = bounded_window(
+        frame,
+        keys,
+        lambda w: {f"_at{i}": at_offset(w, entry, -s) for i, s in enumerate(shifts)},
+        before=max(*shifts, 0),
+        after=max(*[-s for s in shifts], 0),
+    )
+    met = F.array(*[F.struct(F.lit(s).alias("shift"), F.col(f"_at{i}").alias("_src")) for i, s in enumerate(shifts)])
+    return (
+        wide.select(*frame.columns, F.inline(met))
+        .where(F.col("_src").isNotNull())
+        .select(*frame.columns, "shift", "_src.*")
+    )
+
+
 def moved_by_row(values: DataFrame, against: DataFrame, target_offset: Column, extras: Sequence[int], keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """For each target row and extra, the value ``extra - target_offset`` slots earlier:
     a record written ``target_offset`` slots ahead is moved back by it, plus ``extra``.
