@@ -231,7 +231,26 @@ def g05_seed_repetition(spark, sf):
     return tidy(grids.seed_repetition(frame, H.setup, [0, 1, 2], MODELS), 5)
 
 
-@query("g06_alignment_by_context")
+def _ctx_fit(x1: str, x2: str) -> str:
+    return ridge2("(SELECT t.*, c.roll3 FROM train_w t JOIN ctx_w c ON c.series_id = t.series_id AND c.slot = t.slot)", x1, x2, _FOLD)
+
+
+_CTX = f"""SELECT t.series_id, t.protocol, sqrt(avg((t.y - greatest(a.w0 + a.w1*t.n_events + a.w2*t.roll3, 0))**2)) AS ctx,
+    sqrt(avg((t.y - greatest(b.w0 + b.w1*t.n_events + b.w2*t.mean_value, 0))**2)) AS plain
+    FROM (SELECT w.*, s.protocol, s.fold, c.roll3 FROM whole_w w JOIN splits_w s ON s.series_id = w.series_id AND s.day = w.day AND s.role = 'test'
+      JOIN ctx_w c ON c.series_id = w.series_id AND c.slot = w.slot WHERE active AND NOT is_missing) t
+    JOIN ({_ctx_fit('n_events', 'roll3')}) a ON a.series_id = t.series_id AND a.protocol = t.protocol AND a.fold = t.fold
+    JOIN ({_ctx_fit('n_events', 'mean_value')}) b ON b.series_id = t.series_id AND b.protocol = t.protocol AND b.fold = t.fold GROUP BY ALL"""
+
+
+@query(
+    "g06_alignment_by_context",
+    sql(
+        f"""SELECT split_part(x.series_id, '/', 2) AS series_id, x.protocol, {r('x.ctx - y.ctx', 5)} AS effect_with, {r('x.plain - y.plain', 5)} AS effect_without,
+        {r('x.ctx - y.ctx - x.plain + y.plain', 5)} AS interaction FROM ({_CTX}) x JOIN ({_CTX}) y ON split_part(y.series_id, '/', 2) = split_part(x.series_id, '/', 2) AND y.protocol = x.protocol
+        WHERE split_part(x.series_id, '/', 1) = '0' AND split_part(y.series_id, '/', 1) = '-1'"""
+    ),
+)
 def g06_alignment_by_context(spark, sf):
     """Does alignment matter more with or without temporal context?"""
     panels = grids.shifted_frames(stage(tables.panel_h(spark, sf, bounds=True), "panel"), HOURLY, [0, -1])
@@ -239,15 +258,37 @@ def g06_alignment_by_context(spark, sf):
     frame = grids.stack_frames({k: hourly_frame(p, exog) for k, p in panels.items()})
     frame = stage(temporal_context(frame, ["n_events"]), "frame")
     rows = stage(backtest.scored_frame(frame, H.setup)[0], "rows")
-    variants = {"context": ["n_events", "n_events_lag1", "n_events_lead1", "n_events_roll3"], "plain": ["n_events", "mean_value"]}
+    variants = {"context": ["n_events", "n_events_roll3"], "plain": ["n_events", "mean_value"]}
     scores = grids.split_key(grids.feature_ablation(rows, variants).withColumnRenamed("config", "features"), "shift")
     flags = scores.withColumns({"aligned": F.col("shift") == "0", "context": F.col("features") == "context"})
-    return tidy(M.two_by_two(flags.where(F.col("subset") == "active"), ["series_id", "protocol"], "aligned", "context", "rmse"))
+    return tidy(M.two_by_two(flags.where(F.col("subset") == "active"), ["series_id", "protocol"], "aligned", "context", "rmse"), 5)
+
+
+_ARMS = {
+    "left_out": "train_h",
+    "as_zero": "(SELECT w.* EXCLUDE (y), w.y_filled AS y, s.protocol, s.fold FROM whole_h w JOIN splits_h s ON s.series_id = w.series_id AND s.day = w.day AND s.role = 'train')",
+    "weighted": "(SELECT *, unnest(CASE WHEN active THEN [1, 2, 3, 4] ELSE [1] END) FROM train_h)",
+}
+_ARM_ROWS = "SELECT t.series_id, t.protocol, t.y, " + ", ".join(
+    f"greatest({a}.w0 + {a}.w1*t.n_events + {a}.w2*t.mean_value, 0) AS {a}" for a in _ARMS
+) + " FROM (SELECT w.*, s.protocol, s.fold FROM whole_h w JOIN splits_h s ON s.series_id = w.series_id AND s.day = w.day AND s.role = 'test' WHERE active AND NOT is_missing) t " + " ".join(
+    f"JOIN ({ridge2(src, 'n_events', 'mean_value', _FOLD)}) {a} ON {a}.series_id = t.series_id AND {a}.protocol = t.protocol AND {a}.fold = t.fold" for a, src in _ARMS.items()
+)
 
 
-@query("g07_missing_arms")
+@query(
+    "g07_missing_arms",
+    sql(
+        " UNION ALL ".join(
+            f"""SELECT series_id, protocol, '{a}' AS arm, count(*) AS n, {r(f'sqrt(avg((y - {a})**2))', 4)} AS rmse, {r(f'avg((y - {a})**2 - (y - as_zero)**2)', 3)} AS mean_diff,
+            {r(f'avg((y - {a})**2 - (y - as_zero)**2) / sqrt(var_samp((y - {a})**2 - (y - as_zero)**2) / count(*))', 4)} AS statistic FROM ({_ARM_ROWS}) GROUP BY series_id, protocol"""
+            for a in ("left_out", "weighted")
+        )
+    ),
+)
 def g07_missing_arms(spark, sf):
-    return tidy(grids.missing_arms(stored_rows(spark, sf, H), ["n_events", "mean_value"]))
+    out = grids.missing_arms(stored_rows(spark, sf, H), ["n_events", "mean_value"])
+    return tidy(out.select("series_id", "protocol", "arm", "n", "rmse", "mean_diff", "statistic"), 4, mean_diff=3)
 
 
 _ALL = [*MODELS, *fusion.VARIANTS]
