@@ -58,30 +58,39 @@ def at_offset(w: WindowSpec, col: Column | str, offset: int) -> Column:
     )
 
 
-def carry(
-    df: DataFrame, keys: Sequence[str], cols: Sequence[str], forward: bool = True, width: int = WIDTH
-) -> DataFrame:
-    """Last non-NULL value so far by slot (or the next one, with ``forward=False``)."""
+def nearest(df: DataFrame, keys: Sequence[str], cols: Sequence[str], width: int = WIDTH) -> DataFrame:
+    """Nearest non-NULL value at or before (``_ff_<c>``) and at or after (``_bf_<c>``) each
+    slot, as structs of the value ``v`` and the ``slot`` it comes from. Reads ``df`` twice."""
     keys, cols = list(keys), list(cols)
-    cut = df.withColumn("_chunk", _chunk(width))
+    cut = df.withColumn("_chunk", _chunk(width)).withColumns(
+        {f"_e_{c}": F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), "slot")) for c in cols}
+    )
     at = lambda c: F.when(F.col(c).isNotNull(), F.col("slot"))
-    pick = F.max_by if forward else F.min_by
-    edges = cut.groupBy(*keys, "_chunk").agg(*[pick(F.col(c), at(c)).alias(f"_e_{c}") for c in cols])
-    order = lambda c: F.col(c).asc() if forward else F.col(c).desc()
+    edges = cut.groupBy(*keys, "_chunk").agg(
+        *[F.max_by(F.col(f"_e_{c}"), at(c)).alias(f"_last_{c}") for c in cols],
+        *[F.min_by(F.col(f"_e_{c}"), at(c)).alias(f"_first_{c}") for c in cols],
+    )
     # one row per chunk from here to the join
-    past = Window.partitionBy(*keys).orderBy(order("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    inflow = edges.select(*keys, "_chunk", *[F.last(f"_e_{c}", True).over(past).alias(f"_in_{c}") for c in cols])
-    local = (
-        Window.partitionBy(*keys, "_chunk")
-        .orderBy(order("slot"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_key = Window.partitionBy(*keys).orderBy("_chunk")
+    past = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = by_key.rowsBetween(1, Window.unboundedFollowing)
+    flow = edges.select(
+        *keys,
+        "_chunk",
+        *[F.last(f"_last_{c}", True).over(past).alias(f"_in_{c}") for c in cols],
+        *[F.first(f"_first_{c}", True).over(ahead).alias(f"_next_{c}") for c in cols],
     )
-    filled = cut.withColumns({f"_loc_{c}": F.last(c, True).over(local) for c in cols})
-    return filled.join(inflow, [*keys, "_chunk"], "left").select(
-        *[
-            F.coalesce(f"_loc_{c}", f"_in_{c}").alias(c) if c in cols else F.col(c)
-            for c in df.columns
-        ]
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("slot")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    to_come = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    local = cut.withColumns(
+        {f"_l_{c}": F.last(f"_e_{c}", True).over(so_far) for c in cols}
+        | {f"_f_{c}": F.first(f"_e_{c}", True).over(to_come) for c in cols}
+    )
+    return local.join(flow, [*keys, "_chunk"], "left").select(
+        *df.columns,
+        *[F.coalesce(f"_l_{c}", f"_in_{c}").alias(f"_ff_{c}") for c in cols],
+        *[F.coalesce(f"_f_{c}", f"_next_{c}").alias(f"_bf_{c}") for c in cols],
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chunks import at_offset, bounded_window, carry
+from ..functions.chunks import at_offset, bounded_window, nearest
 from ..functions.time import Grid, season_no, season_slot
 from .grid import fill_drivers
 
@@ -19,8 +19,8 @@ def with_drivers(panel: DataFrame, exog: DataFrame, cols: Sequence[str], keys: S
     A driver table has one row per key and slot; the planner broadcasts it when its
     size allows, else both sides shuffle on the slot. When the panel knows its
     spans (``first_slot, last_slot``) the fill costs the panel nothing, see
-    :func:`fillable`; the driver table is then read several times and should be a
-    stored one.
+    :func:`fillable`; ``exog`` may be its stored result. A plain driver table is read
+    several times and should be a stored one.
     """
     on = [*keys, "slot"]
     if not fill:
@@ -34,7 +34,10 @@ def with_drivers(panel: DataFrame, exog: DataFrame, cols: Sequence[str], keys: S
         near = panel.withColumns({"_lo": exog.agg(lo).scalar(), "_hi": exog.agg(hi).scalar()})
     # a slot beyond the driver table's span looks at the nearest end
     near = near.withColumn("_at", F.least(F.greatest("slot", "_lo"), "_hi"))
-    table = fillable(exog, cols, keys).withColumnRenamed("slot", "_at")
+    ready = all(f"_ff_{c}" in exog.columns for c in cols)
+    table = exog if ready else fillable(exog, cols, keys)
+    wanted = [f"_{d}_{c}" for c in cols for d in ("ff", "bf")]
+    table = table.select(*keys, F.col("slot").alias("_at"), *wanted)
 
     def inside(entry: str) -> Column:
         return F.col(f"{entry}.slot").between(F.col("first_slot"), F.col("last_slot"))
@@ -59,11 +62,7 @@ def fillable(exog: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) ->
     spans = exog.groupBy(*keys).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
     slots = spans.select(*keys, F.explode(F.sequence("lo", "hi")).alias("slot"))
     full = slots.join(exog.select(*keys, "slot", *cols), [*keys, "slot"], "left")
-    for c in cols:
-        entry = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), "slot"))
-        full = full.withColumns({f"_ff_{c}": entry, f"_bf_{c}": entry})
-    forward = carry(full.drop(*cols), keys, [f"_ff_{c}" for c in cols])
-    return carry(forward, keys, [f"_bf_{c}" for c in cols], forward=False)
+    return nearest(full, keys, cols).drop(*cols)
 
 
 def pair_on(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

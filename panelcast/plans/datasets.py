@@ -12,7 +12,7 @@ from ..functions.stage import stage
 from ..functions.time import DAILY, HOURLY
 from ..operators.features import active_by_elevation, active_by_label, add_cyclic, temporal_context
 from ..operators.grid import attach, capacity
-from ..operators.joins import with_drivers
+from ..operators.joins import fillable, with_drivers
 from ..sources import tables
 from .backtest import Setup, forecasts, fuse, scored_frame
 
@@ -41,6 +41,15 @@ def stored_drivers(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _stored[key]
 
 
+def stored_nearest(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The driver table with the nearest values of every slot, ready to join."""
+    key = (spark.sparkContext.applicationId, sf_dir, "nearest", name)
+    if key not in _stored:
+        exog = stored_drivers(spark, sf_dir, name)
+        _stored[key] = stage(fillable(exog, [c for c in exog.columns if c != "slot"]), f"nearest-{name}")
+    return _stored[key]
+
+
 def hourly_frame(panel: DataFrame, exog: DataFrame) -> DataFrame:
     """Hourly panel with filled drivers, the elevation mask and the envelope driver."""
     drivers = ["n_events", "mean_value", "mean_k"]
@@ -51,7 +60,7 @@ def hourly_frame(panel: DataFrame, exog: DataFrame) -> DataFrame:
 def _frame_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     drivers = ["n_orders", "mean_price"]
     panel = tables.panel_d(spark, sf_dir, bounds=True)
-    joined = with_drivers(panel, stored_drivers(spark, sf_dir, "d"), drivers).drop("first_slot", "last_slot")
+    joined = with_drivers(panel, stored_nearest(spark, sf_dir, "d"), drivers).drop("first_slot", "last_slot")
     return active_by_label(joined, capacity(joined), DAILY, 0.4).withColumn(
         "driver", F.col("mean_price") * 0.002
     )
@@ -68,7 +77,7 @@ H = Dataset(
         random={"n_folds": 5, "seed": 0},
     ),
     tables.panel_h,
-    lambda spark, sf: hourly_frame(tables.panel_h(spark, sf, bounds=True), stored_drivers(spark, sf, "h")),
+    lambda spark, sf: hourly_frame(tables.panel_h(spark, sf, bounds=True), stored_nearest(spark, sf, "h")),
 )
 D = Dataset(
     "d",

@@ -6,7 +6,7 @@ import pytest
 from conftest import START, START_SLOT, hourly_panel, rows
 from pyspark.sql import functions as F
 
-from panelcast.functions.chunks import carry, fill_both_ways, row_ranks, runs
+from panelcast.functions.chunks import fill_both_ways, nearest, row_ranks, runs
 from panelcast.functions.quantiles import exact_quantiles
 from panelcast.functions.time import HOURLY
 from panelcast.operators import grid, joins, quality
@@ -51,8 +51,12 @@ def test_fill_and_carry_do_not_depend_on_width(spark, width):
     panel = hourly_panel(spark, {"a": ys, "b": [None, 9.0] + [None] * 11})
     out = rows(fill_both_ways(panel, ["series_id"], ["y"], width).select("series_id", "slot", "y"), "series_id", "slot")
     assert [r[2] for r in out] == [1.0] * 3 + [1.0] * 4 + [2.0] * 4 + [3.0] * 2 + [9.0] * 13
-    back = rows(carry(panel, ["series_id"], ["y"], False, width).select("series_id", "slot", "y"), "series_id", "slot")
-    assert [r[2] for r in back][:13] == [1.0] * 3 + [2.0] * 5 + [3.0] * 4 + [None]
+    near = nearest(panel, ["series_id"], ["y"], width).select("series_id", "slot", "_ff_y", "_bf_y")
+    got = rows(near, "series_id", "slot")[:13]
+    assert [r[3] and r[3]["v"] for r in got] == [1.0] * 3 + [2.0] * 5 + [3.0] * 4 + [None]
+    assert [r[3] and r[3]["slot"] - START_SLOT for r in got] == [2] * 3 + [7] * 5 + [11] * 4 + [None]
+    assert [r[2] and r[2]["v"] for r in got] == [None] * 2 + [1.0] * 5 + [2.0] * 4 + [3.0] * 2
+    assert [r[2] and r[2]["slot"] - START_SLOT for r in got] == [None] * 2 + [2] * 5 + [7] * 4 + [11] * 2
 
 
 @pytest.mark.parametrize("width", [3, 8, 8192])
