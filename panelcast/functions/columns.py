@@ -61,23 +61,29 @@ def _series(coef: Sequence[float], angle: Column) -> Column:
     return out
 
 
-def sun_angles(ts: Column, lat: Column, lon: Column) -> dict[str, Column]:
-    """Zenith, elevation and azimuth in degrees for UTC ``ts`` (about 0.3 degrees)."""
-    seconds = F.pmod(epoch_seconds(ts), F.lit(86400)).cast("double")
-    gamma = F.lit(2.0 * math.pi / 365.0) * (
-        F.dayofyear(ts) - 1 + (seconds / 3600.0 - 12.0) / 24.0
-    )
-    decl = _series(DECLINATION, gamma)
-    minutes = seconds / 60.0 + F.lit(229.18) * _series(TIME_EQUATION, gamma) + lon * 4.0
-    ha = F.radians(minutes / 4.0 - 180.0)
-    phi = F.radians(lat)
-    cosz = F.sin(phi) * F.sin(decl) + F.cos(phi) * F.cos(decl) * F.cos(ha)
-    cosz = F.greatest(F.least(cosz, F.lit(1.0)), F.lit(-1.0))
-    zenith = F.degrees(F.acos(cosz))
-    azimuth = F.degrees(
-        F.atan2(F.sin(ha), F.cos(ha) * F.sin(phi) - F.tan(decl) * F.cos(phi))
-    ) + 180.0
-    return {"sun_zenith": zenith, "sun_elev": 90.0 - zenith, "sun_az": azimuth, "cos_zenith": cosz}
+def year_angle(ts: Column) -> Column:
+    """Fraction of the year as an angle, in radians."""
+    hours = F.pmod(epoch_seconds(ts), F.lit(86400)) / 3600.0
+    return F.lit(2.0 * math.pi / 365.0) * (F.dayofyear(ts) - 1 + (hours - 12.0) / 24.0)
+
+
+def declination(gamma: Column) -> Column:
+    return _series(DECLINATION, gamma)
+
+
+def hour_angle(ts: Column, gamma: Column, lon: Column) -> Column:
+    minutes = F.pmod(epoch_seconds(ts), F.lit(86400)) / 60.0
+    true_time = minutes + F.lit(229.18) * _series(TIME_EQUATION, gamma) + lon * 4.0
+    return F.radians(true_time / 4.0 - 180.0)
+
+
+def cos_zenith(phi: Column, decl: Column, ha: Column) -> Column:
+    raw = F.sin(phi) * F.sin(decl) + F.cos(phi) * F.cos(decl) * F.cos(ha)
+    return F.greatest(F.least(raw, F.lit(1.0)), F.lit(-1.0))
+
+
+def sun_azimuth(phi: Column, decl: Column, ha: Column) -> Column:
+    return F.degrees(F.atan2(F.sin(ha), F.cos(ha) * F.sin(phi) - F.tan(decl) * F.cos(phi))) + 180.0
 
 
 def airmass(zenith: Column) -> Column:

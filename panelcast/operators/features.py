@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.chunks import at_offset, bounded_window
 from ..functions.time import Grid, day_of, season_slot
+from .solar import sun_position
 from .splits import fold_sums
 
 CONTEXT_SUFFIXES = ("lag1", "lead1", "roll3")
@@ -122,12 +123,9 @@ def active_by_label(panel: DataFrame, capacity: DataFrame, grid: Grid, pct: floa
 
 def active_by_elevation(df: DataFrame, lat: float, lon: float, degrees: float = 5.0) -> DataFrame:
     """Mark slots with the sun above ``degrees``; ``sun_elev`` is reused when present."""
-    elev = (
-        F.col("sun_elev")
-        if "sun_elev" in df.columns
-        else C.sun_angles(F.col("ts"), F.lit(lat), F.lit(lon))["sun_elev"]
-    )
-    return df.withColumn("active", elev > degrees)
+    known = "sun_elev" in df.columns
+    placed = df if known else sun_position(df, F.lit(lat), F.lit(lon))
+    return placed.select(*df.columns, (F.col("sun_elev") > degrees).alias("active"))
 
 
 def day_arrays(df: DataFrame, cols: dict[str, Column], keys: Sequence[str] = ("series_id",), slots: int = 24) -> DataFrame:

@@ -227,16 +227,18 @@ def floor_share(frame: DataFrame, driver: str, bound: float, floor: float = 1.0)
     )
 
 
-def source_agreement(a: DataFrame, b: DataFrame, variables: Sequence[str], keys: Sequence[str], active: Column | None = None) -> DataFrame:
+def source_agreement(a: DataFrame, b: DataFrame, variables: Sequence[str], keys: Sequence[str], active: str | None = None) -> DataFrame:
     """Per variable and subset: means, MAE, RMSE and correlation over common keys.
 
-    Both sides are aggregated per key upstream, and the subset tags are exploded once.
+    Both sides have one row per key; ``active`` names a boolean column of ``a``. The
+    subset tags are exploded once.
     """
-    left = a.select(*keys, *[F.col(v).alias(f"a_{v}") for v in variables])
+    flag = [active] if active else []
+    left = a.select(*keys, *flag, *[F.col(v).alias(f"a_{v}") for v in variables])
     right = b.select(*keys, *[F.col(v).alias(f"b_{v}") for v in variables])
     both = left.join(right, list(keys))
     tags = F.array(F.lit("ALL")) if active is None else F.array_compact(
-        F.array(F.lit("ALL"), F.when(active, F.lit("active")))
+        F.array(F.lit("ALL"), F.when(F.col(active), F.lit("active")))
     )
     stacked = both.select(
         F.explode(tags).alias("subset"),

@@ -9,10 +9,21 @@ from ..functions import columns as C
 
 
 def sun_position(df: DataFrame, lat: Column | str = "lat", lon: Column | str = "lon") -> DataFrame:
-    """Adds zenith, elevation, azimuth, cosine of the zenith and relative airmass."""
+    """Adds zenith, elevation and azimuth in degrees (about 0.3 degrees accurate), the
+    cosine of the zenith and relative airmass.
+
+    Shared terms are columns of their own, so the planner evaluates each once.
+    """
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    return df.withColumns(C.sun_angles(F.col("ts"), col(lat), col(lon))).withColumn(
-        "airmass", C.airmass(F.col("sun_zenith"))
+    ts, gamma, decl, ha, phi = (F.col(c) for c in ("ts", "_gamma", "_decl", "_ha", "_phi"))
+    return (
+        df.withColumns({"_gamma": C.year_angle(ts), "_phi": F.radians(col(lat))})
+        .withColumns({"_decl": C.declination(gamma), "_ha": C.hour_angle(ts, gamma, col(lon))})
+        .withColumn("cos_zenith", C.cos_zenith(phi, decl, ha))
+        .withColumn("sun_zenith", F.degrees(F.acos("cos_zenith")))
+        .withColumns({"sun_elev": 90.0 - F.col("sun_zenith"), "sun_az": C.sun_azimuth(phi, decl, ha)})
+        .withColumn("airmass", C.airmass(F.col("sun_zenith")))
+        .drop("_gamma", "_decl", "_ha", "_phi")
     )
 
 

@@ -10,6 +10,7 @@ from ..functions import columns as C
 from ..functions.stage import shared_folder
 from ..functions.time import DAILY, HOURLY, season_slot, ts_of
 from ..operators import grid, joins, quality
+from ..operators.features import active_by_elevation
 from ..operators.metrics import to_long
 from ..plans.datasets import D, H, stored_forecasts, stored_frame
 from ..sources import exogenous, measurements, results, tables
@@ -374,8 +375,8 @@ def q18_source_agreement(spark, sf):
     by_slot = lambda s: raw.where(F.col("series_id") == s).groupBy("slot").agg(
         F.sum("v").cast("double").alias("total"), F.count("*").cast("double").alias("n")
     )
-    active = C.sun_angles(ts_of(F.col("slot"), HOURLY), F.lit(50.91), F.lit(-1.40))["sun_elev"] > 5.0
-    return tidy(quality.source_agreement(by_slot("click"), by_slot("view"), ["total", "n"], ["slot"], active))
+    left = active_by_elevation(by_slot("click").withColumn("ts", ts_of(F.col("slot"), HOURLY)), 50.91, -1.40)
+    return tidy(quality.source_agreement(left, by_slot("view"), ["total", "n"], ["slot"], "active"))
 
 
 @query(
