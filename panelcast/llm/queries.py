@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, packing, tokenfiles, wordpiece
+from . import exactdedup, minhash, packing, tokenfiles, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,26 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+SHINGLES = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+    e AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    l AS (SELECT a, b FROM p WHERE 100 * i >= 75 * (na + nb - i)),
+    both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l)"""
+
+
+@query(
+    "op1_minhash_near_dedup",
+    f"""WITH RECURSIVE {SHINGLES},
+    reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reach.d, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a)
+    SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+    FROM s JOIN (SELECT d, min(r) AS component_id FROM reach GROUP BY d) c ON c.d = s.doc_id""",
+)
+def op1_minhash_near_dedup(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op4_token_files")
 def op4_token_files(spark, sf):
     return tokenfiles.read_documents(tokenfiles.write_tokens(table(spark, sf, "documents")))
