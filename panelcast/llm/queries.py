@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, minhash, packing, tokenfiles, wordpiece
+from . import exactdedup, minhash, packing, tokenfiles, urlfilter, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,24 @@ def op1_minhash_near_dedup(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents"))
 
 
+def _url_sql() -> str:
+    site = ", ".join(f"('{r}', '{r.partition('/')[0]}', '{'/' + r.partition('/')[2]}', '{v}')" for r, v in urlfilter.SITE_RULES)
+    end = r"([^A-Za-z0-9_.%-]|$)"
+    likes = {"/search?*q=": r"/search\?.*q=", ".exe|": r"\.exe$"}
+    pattern = ", ".join(f"('{r}', '{likes.get(r, r.replace('^', end))}', '{v}')" for r, v in urlfilter.PATTERN_RULES)
+    return rf"""WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    site(rule, h, p, v) AS (VALUES {site}), pat(rule, re, v) AS (VALUES {pattern}),
+    s AS (SELECT u.*, (SELECT max({{'l': length(rule), 'v': v, 'r': rule}}) FROM site WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS s,
+        (SELECT max({{'l': length(rule), 'v': v, 'r': rule}}) FROM pat WHERE regexp_matches(url, re)) AS p FROM u)
+    SELECT page_id, host, path, s.r AS rule, coalesce(s.v, p.v, 'allow') AS verdict, CASE WHEN s IS NULL THEN p.r END AS pattern FROM s"""
+
+
+@query("op3_url_filter", _url_sql())
+def op3_url_filter(spark, sf):
+    return urlfilter.judge(table(spark, sf, "pages"), urlfilter.rule_table(spark))
+
+
 @query("op4_token_files")
 def op4_token_files(spark, sf):
     return tokenfiles.read_documents(tokenfiles.write_tokens(table(spark, sf, "documents")))
