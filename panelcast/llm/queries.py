@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, minhash, packing, tokenfiles, urlfilter, wordpiece
+from . import decontam, exactdedup, minhash, packing, tokenfiles, urlfilter, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +81,11 @@ def op5_exact_dedup(spark, sf):
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+@query("op7_benchmark_leaks")
+def op7_benchmark_leaks(spark, sf):
+    return decontam.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op8_token_counts")
 def op8_token_counts(spark, sf):
     return wordpiece.token_counts(table(spark, sf, "documents"))
