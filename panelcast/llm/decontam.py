@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE, UPPER, LOWER, lower_ascii, per_process, text_batches, words
+from ..functions.stage import stage
+from .text import per_process, text_batches
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which it is retrieved.
@@ -35,6 +36,12 @@ WIDTH = 5
 BLOCK_BYTES = 8 << 20
 POSTINGS_A_BLOCK = 32
 _SENTENCE = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+")
+_WORD = re.compile(r"[^\W_]+")
+
+
+def terms_of(text: str | None) -> list[str]:
+    """Runs of letters and digits in lower case: marks around a passage don't hide it."""
+    return _WORD.findall(text.lower()) if text else []
 
 
 @dataclass
@@ -63,14 +70,14 @@ class ItemIndex:
         essential: list[tuple[str, int, float]] = []
         self.longest = 1
         for item, text in items:
-            ws = words(lower_ascii(text or ""))
+            ws = terms_of(text)
             if not ws:
                 continue
             k = len(self.ids)
             self.ids.append(item)
             self.longest = max(self.longest, len(ws))
             self.shingles.append(_shingles(ws, width))
-            self.answers.append(set(words(lower_ascii(_SENTENCE.split(text.strip())[-1]))) or set(ws))
+            self.answers.append(set(terms_of(_SENTENCE.split(text.strip())[-1])) or set(ws))
             own = {}
             for w, tf in Counter(ws).items():
                 idf = math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5))
@@ -169,7 +176,7 @@ class ItemIndex:
     def leaks(self, texts: list[str | None], overlap: float, width: int) -> list[list[tuple[int, float, float, float]]]:
         """For each text: verified (item, score, question overlap, answer overlap)."""
         stride = self.longest
-        lists = [words(lower_ascii(t)) if t else [] for t in texts]
+        lists = [terms_of(t) for t in texts]
         # windows begin every ``stride`` words and are twice as long
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         n_windows = np.maximum(-(-counts // stride) - 1, 1)
@@ -196,11 +203,13 @@ class ItemIndex:
             terms = sorted({t for w in ws if (t := get(w)) is not None})
             here = _shingles(ws, width)
             for item, score in self.search(terms):
-                question = len(self.shingles[item] & here) / len(self.shingles[item]) if len(ws) >= width or len(self.shingles[item]) == 1 else 0.0
-                if len(self.shingles[item]) == 1 and not question:
-                    # an item of fewer words than a shingle: as a run of words
-                    (run,) = self.shingles[item]
+                want = self.shingles[item]
+                if len(want) == 1:
+                    # items of at most one shingle: as a run of words
+                    (run,) = want
                     question = float(any(tuple(ws[i : i + len(run)]) == run for i in range(len(ws) - len(run) + 1)))
+                else:
+                    question = len(want & here) / len(want)
                 answer = len(self.answers[item].intersection(ws)) / len(self.answers[item])
                 if question >= overlap and answer >= overlap:
                     found[d][item] = max(found[d].get(item, (0.0, 0.0, 0.0)), (score, question, answer))
@@ -220,7 +229,12 @@ def find_leaks(
     spark = docs.sparkSession
     text_batches(spark)
     own = items.select(F.col("item_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    own = own.withColumn("w", F.filter(F.split(F.translate("text", UPPER, LOWER), f"{SPACE}+"), lambda x: x != "")).where("size(w) > 0")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(item_id=batch["item_id"].astype("Int64"), w=[terms_of(t) for t in batch["text"]])
+
+    own = stage(own.mapInPandas(split, "item_id bigint, text string, w array<string>").where("size(w) > 0"), "items")
     size, n_items, mean = own.agg(F.sum(F.octet_length("text")), F.count("*"), F.avg(F.size("w"))).first()
     kind = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
     if not n_items:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exactdedup, minhash, packing, tokenfiles, urlfilter, wordpiece
+from .text import fold
+from . import decontam, exactdedup, minhash, packing, tokenfiles, toxicity, urlfilter, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +82,14 @@ def op5_exact_dedup(spark, sf):
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.learn(docs, labels.where(fold("doc_id", 5) != 0))
+    held = fold("doc_id", 5) == 0
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses")
+
+
 @query("op7_benchmark_leaks")
 def op7_benchmark_leaks(spark, sf):
     return decontam.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
