@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 from ..functions.stage import shared_folder, stage
 from .text import SPACE
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; no space set aside beforehand and small change logs, so that many small partitions stay small.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: Bytes of input files in one micro-batch.
 MAX_BYTES = 1 << 28
 FIRST = -(2**63)
@@ -65,14 +70,15 @@ def digest_state(spark: SparkSession, path: str, digest=sha256, max_bytes: int =
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/groups/batch={batch_id}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = groups.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     kind = "digest string, keep struct<points: bigint, not_id: bigint, not_row: bigint, file: string, doc_id: bigint>, n bigint, batch bigint"
     if query.lastProgress is None and not query.recentProgress:
         return spark.createDataFrame([], kind).drop("batch")
