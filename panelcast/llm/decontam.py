@@ -216,18 +216,10 @@ class ItemIndex:
         return [[(self.ids[i], *v) for i, v in f.items()] for f in found]
 
 
-def find_leaks(
-    docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, overlap: float = OVERLAP, width: int = WIDTH, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """One row per document id and test item it holds: doc_id, item_id, score,
-    question_overlap, answer_overlap (the best passage's).
-
-    Items without words match nothing; repeated items are found as one; null ids of
-    documents or items stay null. Null and empty texts hold nothing. Empty tables give
-    no rows.
-    """
-    spark = docs.sparkSession
-    text_batches(spark)
+def item_blocks(items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> list[Finder]:
+    """Searchers of the items, one for each block of about ``block_bytes`` of text; counts
+    of terms are of all items. Items without words are left out."""
+    text_batches(items.sparkSession)
     own = items.select(F.col("item_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,37 +228,79 @@ def find_leaks(
 
     own = stage(own.mapInPandas(split, "item_id bigint, text string, w array<string>").where("size(w) > 0"), "items")
     size, n_items, mean = own.agg(F.sum(F.octet_length("text")), F.count("*"), F.avg(F.size("w"))).first()
-    kind = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
     if not n_items:
-        return spark.createDataFrame([], kind)
+        return []
     n_blocks = -(-size // block_bytes)
     blocked = own.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
     term = blocked.select("block", F.explode(F.array_distinct("w")).alias("w"))
     df = term.groupBy("w").agg(F.count("*").alias("df"))
-    asked = docs.select(F.col("doc_id").cast("bigint"), "text")
-    found = None
+    out = []
     for block in range(n_blocks):
         # bounded by the block size: its items, and the counts of its terms
-        part = sorted(tuple(r) for r in blocked.where(F.col("block") == block).select("item_id", "text").collect())
-        if not part:
-            continue
-        counts = dict(tuple(r) for r in term.where(F.col("block") == block).select("w").distinct().join(df, "w").collect())
-        key = hashlib.sha256(repr((part, n_items, mean, threshold, width)).encode()).hexdigest()
-
-        def run(batches: Iterator[pd.DataFrame], part=part, counts=counts, key=key) -> Iterator[pd.DataFrame]:
-            index = per_process(f"items:{key}", lambda: ItemIndex(part, counts, n_items, mean, threshold, width))
+        part = [tuple(r) for r in blocked.where(F.col("block") == block).select("item_id", "text").collect()]
+        if part:
+            counts = dict(tuple(r) for r in term.where(F.col("block") == block).select("w").distinct().join(df, "w").collect())
+            part.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            out.append(Finder(part, counts, n_items, mean, threshold, width))
+    return out
+
+
+@dataclass
+class Finder:
+    """One block of items; its index is built once in each executor's process."""
+
+    items: list[tuple[int | None, str]]
+    df: dict[str, int]
+    n_items: int
+    mean_length: float
+    threshold: float
+    width: int
+
+    def __post_init__(self):
+        told = repr((self.items, sorted(self.df.items()), self.n_items, self.mean_length, self.threshold, self.width))
+        self.key = "items:" + hashlib.sha256(told.encode()).hexdigest()
+
+    def __call__(self, texts: pd.Series, overlap: float) -> list[list[tuple[int, float, float, float]]]:
+        index = per_process(self.key, lambda: ItemIndex(self.items, self.df, self.n_items, self.mean_length, self.threshold, self.width))
+        return index.leaks(texts.tolist(), overlap, self.width)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, *, overlap: float = OVERLAP, **options) -> DataFrame:
+    """One row per document id and test item it holds: doc_id, item_id, score,
+    question_overlap, answer_overlap (the best passage's).
+
+    Items without words match nothing; repeated items are found as one; null ids of
+    documents or items stay null. Null and empty texts hold nothing. Empty tables give
+    no rows.
+    """
+    spark = docs.sparkSession
+    text_batches(spark)
+    kind = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
+    asked = docs.select(F.col("doc_id").cast("bigint"), "text")
+    found = spark.createDataFrame([], kind)
+    for finder in item_blocks(items, **options):
+
+        def run(batches: Iterator[pd.DataFrame], finder=finder) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                hits = index.leaks(batch["text"].tolist(), overlap, width)
-                rows = [(d, *h) for d, hs in zip(batch["doc_id"], hits) for h in hs]
+                rows = [(d, *h) for d, hs in zip(batch["doc_id"], finder(batch["text"], overlap)) for h in hs]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-        hits = asked.mapInPandas(run, kind)
-        found = hits if found is None else found.union(hits)
+        found = found.union(asked.mapInPandas(run, kind))
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.*")
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Documents that hold no test item, all columns."""
-    gone = find_leaks(docs, items, **options).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__gone")), "left_anti")
+def drop_leaks(docs: DataFrame, items: DataFrame, *, overlap: float = OVERLAP, **options) -> DataFrame:
+    """Documents that hold no test item, all columns; one pass a block, without a shuffle."""
+    text_batches(docs.sparkSession)
+    for finder in item_blocks(items, **options):
+        docs = docs.where(_clean(finder, overlap)(F.col("text")))
+    return docs
+
+
+def _clean(finder: Finder, overlap: float):
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        return pd.Series([not hits for hits in finder(text, overlap)], dtype=bool)
+
+    return clean

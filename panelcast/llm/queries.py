@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import fold
-from . import decontam, exactdedup, minhash, packing, tokenfiles, toxicity, urlfilter, wordpiece
+from . import decontam, exactdedup, langid, minhash, packing, tokenfiles, toxicity, urlfilter, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,13 @@ def op1_minhash_near_dedup(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@query("op2_language_id")
+def op2_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = langid.learn(docs.where(fold("doc_id", 5) != 0))
+    return langid.label(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def _url_sql() -> str:
     site = ", ".join(f"('{r}', '{r.partition('/')[0]}', '{'/' + r.partition('/')[2]}', '{v}')" for r, v in urlfilter.SITE_RULES)
     end = r"([^A-Za-z0-9_.%-]|$)"
