@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import fold
-from . import decontam, exactdedup, langid, minhash, packing, tokenfiles, toxicity, urlfilter, wordpiece
+from . import causal_lm, decontam, exactdedup, langid, minhash, packing, tokenfiles, toxicity, urlfilter, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,6 +107,13 @@ def op8_token_counts(spark, sf):
     return wordpiece.token_counts(table(spark, sf, "documents"))
 
 
+@query("op9_language_model")
+def op9_language_model(spark, sf):
+    out = causal_lm.score(table(spark, sf, "documents"), fold("doc_id", 7) != 2)
+    held = fold("doc_id", 7) == 2
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"))
