@@ -26,7 +26,7 @@ from .subwords import encoder, tokenizer_path
 from .text import lower_ascii, per_process, text_batches, words
 
 WINDOW, STRIDE = 32, 16
-WIDTH, CLASSES = 16, 64
+WIDTH, CLASSES = 16, 48
 #: Ids with an embedding of their own; the others have their class's.
 EMBEDDED = 2048
 #: Bigrams kept, the most frequent ones; the mass of the others backs off to single ids.
@@ -36,8 +36,8 @@ DENSE = 1024
 #: Training documents the attention layer is trained on, at most, and its steps.
 SAMPLE_DOCS, STEPS, BATCH = 1500, 600, 256
 DISCOUNT = 0.75
-#: Words with a counter of their own in every task; the others are counted by a shuffle.
-FREQUENT_WORDS = 1 << 17
+#: Words with a counter of their own in every task (numbered by 16 bits); the others are counted by a shuffle.
+FREQUENT_WORDS = 1 << 16
 END = "\0end"
 
 
@@ -257,8 +257,8 @@ def fit(counts: Counts, sample: list[np.ndarray], classes: int = CLASSES, steps:
 
 # ---- counting and scoring ----------------------------------------------------------
 
-COUNTED = "kind int, a bigint, b bigint, n bigint, word string"
-BIGRAM, FREQUENT, TAIL = 0, 1, 2
+COUNTED = "kind int, a bigint, b bigint, n bigint, word string, ids binary, hot binary"
+BIGRAM, FREQUENT, TAIL, DOCUMENT = range(4)
 
 
 def _sample(docs: DataFrame, train: Column, size: int) -> list[str]:
@@ -276,6 +276,10 @@ def _frequent(texts: list[str]) -> list[str]:
     return [END, *sorted(sorted(seen, key=lambda w: (-seen[w], w))[: FREQUENT_WORDS - 1])]
 
 
+def _id_kind(size: int):
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
 class _Places(dict):
     def __missing__(self, word: str) -> int:
         return -1
@@ -289,25 +293,25 @@ def _words(batch, places: dict[str, int]) -> tuple[list[list[str]], np.ndarray,
 
 
 def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: int) -> DataFrame:
-    """One pass over all documents (doc_id, text, train, row_key): bigrams of ids and counts
-    of frequent words by task, of training documents; every other word as a row with the key of its
-    document; a row without a word for each document."""
+    """One pass over all documents (doc_id, text, train, row_key), in rows of four kinds:
+    BIGRAM and FREQUENT, what a task has counted in training documents (ids a, b; word number a);
+    TAIL, every other word with its document's key, and a row without a word for each document;
+    DOCUMENT, a document's ids and the numbers of its frequent words, for scoring."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("word", pa.string())])
+        kinds = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "word": pa.string(), "ids": pa.binary(), "hot": pa.binary()}
+        schema = pa.schema(list(kinds.items()))
         code = encoder(path)
         size = max(code.tokenizer.get_vocab_size(), end_id + 1)
         places = per_process(f"frequent:{key}", lambda: _Places((w, i) for i, w in enumerate(frequent)))
         hot = np.zeros(len(frequent), np.int64)
         pairs, held = [], 0
 
-        def batch_of(kind, a, b, n, word=None):
-            m = len(a)
-            return pa.record_batch(
-                [pa.array(np.full(m, kind, np.int32)), pa.array(a), pa.array(b), pa.array(n), pa.array(word, pa.string()) if word is not None else pa.nulls(m, pa.string())], schema=schema
-            )
+        def rows_of(kind, m, **columns):
+            columns["kind"] = np.full(m, kind, np.int32)
+            return pa.record_batch([pa.array(columns[c], t, from_pandas=True) if c in columns else pa.nulls(m, t) for c, t in kinds.items()], schema=schema)
 
         def merged():
             keys = np.concatenate([k for k, _ in pairs])
@@ -325,31 +329,38 @@ def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: in
             tail = np.flatnonzero(at < 0)
             if len(tail):
                 flat = list(chain.from_iterable(lists))
-                yield batch_of(TAIL, rows[doc[tail]], taught[doc[tail]].astype(np.int64), np.ones(len(tail), np.int64), [flat[i] for i in tail.tolist()])
-            yield batch_of(TAIL, rows, taught.astype(np.int64), np.ones(len(rows), np.int64))
-            ids, cut = code.encode([t for t, ok in zip(texts, taught) if ok])
-            if len(cut) > 1:
-                ends = cut[1:]
-                ids = np.insert(ids.astype(np.int64), ends, end_id)
-                first = cut[:-1] + np.arange(len(cut) - 1)
-                prev = np.empty_like(ids)
-                prev[1:] = ids[:-1]
-                prev[first] = end_id
-                pairs.append(np.unique(prev * size + ids, return_counts=True))
-                held += len(pairs[-1][0])
-                if held > 2_000_000:
-                    pairs = [merged()]
-                    held = len(pairs[0][0])
-                    if held > 1_000_000:
-                        yield batch_of(BIGRAM, pairs[0][0] // size, pairs[0][0] % size, pairs[0][1])
-                        pairs, held = [], 0
+                yield rows_of(TAIL, len(tail), a=rows[doc[tail]], b=taught[doc[tail]].astype(np.int64), word=[flat[i] for i in tail.tolist()])
+            yield rows_of(TAIL, len(rows), a=rows, b=taught.astype(np.int64))
+            ids, cut = code.encode(texts)
+            ids = np.insert(ids, cut[1:], end_id)
+            cut = cut + np.arange(len(cut))
+            hits = np.concatenate([[0], np.cumsum(at >= 0)])
+            numbers, ends = at[at >= 0].astype(np.uint16), np.cumsum(n)
+            slim = ids.astype(_id_kind(size))
+            yield rows_of(
+                DOCUMENT, len(rows), a=rows, b=batch.column("doc_id"), n=n,
+                ids=[slim[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])],
+                hot=[numbers[x:y].tobytes() for x, y in zip(hits[ends - n], hits[ends])],
+            )
+            prev = np.empty(len(ids), np.int64)
+            prev[1:] = ids[:-1]
+            prev[cut[:-1]] = end_id
+            of = np.repeat(taught, np.diff(cut))
+            pairs.append(np.unique((prev * size + ids)[of], return_counts=True))
+            held += len(pairs[-1][0])
+            if held > 2_000_000:
+                pairs = [merged()]
+                held = len(pairs[0][0])
+                if held > 1_000_000:
+                    yield rows_of(BIGRAM, held, a=pairs[0][0] // size, b=pairs[0][0] % size, n=pairs[0][1])
+                    pairs, held = [], 0
         if pairs:
             k, m = merged()
-            yield batch_of(BIGRAM, k // size, k % size, m)
+            yield rows_of(BIGRAM, len(k), a=k // size, b=k % size, n=m)
         some = np.flatnonzero(hot)
-        yield batch_of(FREQUENT, some, np.zeros(len(some), np.int64), hot[some])
+        yield rows_of(FREQUENT, len(some), a=some, n=hot[some])
 
-    return docs.select("text", "train", "row_key").mapInArrow(run, COUNTED)
+    return docs.select("doc_id", "text", "train", "row_key").mapInArrow(run, COUNTED)
 
 
 def _bigram_model(counted: DataFrame, size: int, keep: int) -> Counts:
@@ -394,6 +405,7 @@ def score(docs: DataFrame, train: Column, *, path: str | None = None, end_id: in
     tokenizer = Tokenizer.from_file(path)
     size = tokenizer.get_vocab_size()
     end_id = size - 1 if end_id is None else end_id
+    size = max(size, end_id + 1)
     text_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.coalesce(train, F.lit(False)).alias("train"))
     own = own.withColumn("row_key", F.xxhash64("doc_id", "text"))
@@ -422,23 +434,22 @@ def score(docs: DataFrame, train: Column, *, path: str | None = None, end_id: in
     logs, model_key = np.log10(hot + 1.0), f"lm:{key}:{hashlib.sha256(model.out.tobytes() + model.counts.counts.tobytes()).hexdigest()}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = encoder(path)
-        places = per_process(f"frequent:{key}", lambda: _Places((w, i) for i, w in enumerate(frequent)))
         lm = per_process(model_key, lambda: model)
         for batch in batches:
-            _, n_words, at = _words(batch["text"], places)
-            doc = np.repeat(np.arange(len(batch)), n_words)
-            hit = at >= 0
-            hot_logs = np.bincount(doc[hit], logs[at[hit]], len(batch)) + logs[0]
-            hot_known = np.bincount(doc[hit], hot[at[hit]] > 0, len(batch)).astype(np.int64) + int(hot[0] > 0)
-            ids, cut = code.encode(batch["text"].tolist())
-            ids = np.insert(ids.astype(np.int64), cut[1:], end_id)
-            scores = lm.log10(ids, cut + np.arange(len(cut))) if len(batch) else np.zeros(0)
+            numbers = [np.frombuffer(x, np.uint16) for x in batch["hot"]]
+            own = np.concatenate(numbers) if numbers else np.zeros(0, np.uint16)
+            doc = np.repeat(np.arange(len(batch)), [len(x) for x in numbers])
+            hot_logs = np.bincount(doc, logs[own], len(batch)) + logs[0]
+            hot_known = np.bincount(doc, hot[own] > 0, len(batch)).astype(np.int64) + int(hot[0] > 0)
+            lists = [np.frombuffer(x, _id_kind(size)) for x in batch["ids"]]
+            cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+            scores = lm.log10(np.concatenate(lists), cut) if lists else np.zeros(0)
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"].astype("Int64"), "row_key": batch["row_key"], "n_tokens": n_words + 1, "hot_logs": hot_logs, "hot_known": hot_known, "score": scores}
+                {"doc_id": batch["b"].astype("Int64"), "row_key": batch["a"], "n_tokens": batch["n"] + 1, "hot_logs": hot_logs, "hot_known": hot_known, "score": scores}
             )
 
-    scored = own.select("doc_id", "row_key", "text").mapInPandas(run, "doc_id bigint, row_key bigint, n_tokens bigint, hot_logs double, hot_known bigint, score double")
+    kept = counted.where(F.col("kind") == DOCUMENT).select("a", "b", "n", "ids", "hot")
+    scored = kept.mapInPandas(run, "doc_id bigint, row_key bigint, n_tokens bigint, hot_logs double, hot_known bigint, score double")
     out = scored.join(met, "row_key", "left")
     base = F.col("hot_logs") + F.col("logs") / F.col("copies") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1.0)))
     return out.select(

@@ -13,7 +13,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_LOWER_ASCII = {ord(a): ord(b) for a, b in zip(UPPER, LOWER)}
 
 #: Documents per Arrow batch: long texts must not add up to more than a task can hold.
 BATCH_ROWS = 500
@@ -39,7 +38,8 @@ def _controls(text: str) -> bool:
 
 
 def lower_ascii(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_LOWER_ASCII)
+    # bytes.lower changes A-Z only, which UTF-8 uses for nothing else
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def fold(doc_id: str | Column, n: int) -> Column:
