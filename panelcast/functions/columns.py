@@ -21,6 +21,14 @@ def calendar(ts: Column, slot: Column, grid: Grid) -> dict[str, Column]:
     }
 
 
+def finite(*values: Column) -> Column:
+    """True where all are numbers: neither NULL nor NaN nor infinite (NaN is above infinity here)."""
+    out = F.lit(True)
+    for v in values:
+        out = out & F.coalesce(F.abs(v) < F.lit(float("inf")), F.lit(False))
+    return out
+
+
 def cyclic(value: Column, period: float, name: str) -> dict[str, Column]:
     angle = value * F.lit(2.0 * math.pi / period)
     return {f"{name}_sin": F.sin(angle), f"{name}_cos": F.cos(angle)}

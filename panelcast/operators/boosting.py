@@ -10,13 +10,14 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.draws import draw_int, draw_key
+from ..functions.stage import stage
 
 
 def held_out(share: float, *parts) -> Column:
@@ -35,7 +36,11 @@ def fit_boosting(
     validation: str | None = None,
     seed: int = 0,
 ) -> PipelineModel:
-    """Gradient-boosted trees; ``validation`` names a boolean early-stopping column."""
+    """Gradient-boosted trees; ``validation`` names a boolean early-stopping column.
+
+    A missing feature takes its mean over the training rows, and a column of its own
+    says so; no row is left out of the fit or of a forecast.
+    """
     gbt = GBTRegressor(
         featuresCol="_features",
         labelCol=label,
@@ -48,14 +53,19 @@ def fit_boosting(
     )
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
-    return Pipeline(stages=[assembler, gbt]).fit(train)
+    means = train.agg(*[F.coalesce(F.avg(F.when(C.finite(F.col(f).cast("double")), F.col(f))), F.lit(0.0)).alias(f) for f in features]).first()
+    known = {f: f"abs(CAST(`{f}` AS DOUBLE)) < CAST('Infinity' AS DOUBLE)" for f in features}
+    full = [f"CASE WHEN {known[f]} THEN CAST(`{f}` AS DOUBLE) ELSE CAST('{means[f]!r}' AS DOUBLE) END AS `_full_{f}`" for f in features]
+    gaps = [f"CASE WHEN {known[f]} THEN 0.0D ELSE 1.0D END AS `_gap_{f}`" for f in features]
+    fill = SQLTransformer(statement=f"SELECT *, {', '.join(full + gaps)} FROM __THIS__")
+    assembler = VectorAssembler(inputCols=[f"_{k}_{f}" for k in ("full", "gap") for f in features], outputCol="_features", handleInvalid="error")
+    return Pipeline(stages=[fill, assembler, gbt]).fit(train)
 
 
 def predict(model: PipelineModel, rows: DataFrame, name: str, post: Column | None = None) -> DataFrame:
     """Forecast column, floored at 0."""
     value = F.greatest(F.col("_pred") if post is None else post, F.lit(0.0))
-    return model.transform(rows).withColumn(name, value).drop("_features", "_pred")
+    return model.transform(rows).select(*[F.col(c) for c in rows.columns], value.alias(name))
 
 
 def boosted(train: DataFrame, rows: DataFrame, features: Sequence[str], name: str = "GBM", **options) -> DataFrame:
@@ -117,26 +127,23 @@ def permutation_importance(
     label: str = "y",
     repeats: int = 3,
     seed: int = 0,
-    sample: int | None = 800,
-    buckets: int = 4096,
+    rows_a_bucket: int = 4096,
 ) -> DataFrame:
     """Mean RMSE increase when a feature's values are dealt to other rows.
 
-    ``sample`` rows are taken by hash order, as the method is defined on a sample;
-    with ``None`` all rows are used. The deal pairs rows by rank of two hashes, and
-    ranks are taken inside hash buckets, so no task sees all rows.
+    All rows are used. The deal pairs rows by rank of two hashes, and ranks are taken
+    inside hash buckets of about ``rows_a_bucket`` rows, so no task sees all rows.
     """
     key = [F.col(k) for k in keys]
-    base = rows.select(*keys, label, *features)
-    if sample is not None:
-        base = base.orderBy(draw_key("sample", str(seed), *key)).limit(sample)
+    base = stage(rows.select(*keys, label, *features), "permuted")
+    buckets = max(1, base.count() // rows_a_bucket)
     bucket = draw_int(F.lit(buckets), "bucket", str(seed), *key)
     parts = [base.withColumns({"feature": F.lit("-"), "repeat": F.lit(0)})]
     for f in features:
         for r in range(repeats):
             put = Window.partitionBy("_b").orderBy(draw_key("put", str(seed), f, str(r), *key))
             take = Window.partitionBy("_b").orderBy(draw_key("take", str(seed), f, str(r), *key))
-            b = base.withColumn("_b", bucket if sample is None else F.lit(0))
+            b = base.withColumn("_b", bucket)
             left = b.withColumn("_i", F.row_number().over(put)).drop(f)
             right = b.select("_b", f, F.row_number().over(take).alias("_i"))
             parts.append(

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions.draws import draw_int
+from ..functions.stage import stage
 from ..functions.special import student_t_two_sided
 from ..functions.time import day_of
 from .metrics import best_per_group, gain, observed, to_long, with_subsets
@@ -15,10 +17,11 @@ from .metrics import best_per_group, gain, observed, to_long, with_subsets
 
 def loss_difference(a: str, b: str, loss: str) -> Column:
     ea, eb = F.col("y") - F.col(a), F.col("y") - F.col(b)
+    ok = C.finite(ea, eb)
     if loss == "squared":
-        return ea * ea - eb * eb
+        return F.when(ok, ea * ea - eb * eb)
     if loss == "absolute":
-        return F.abs(ea) - F.abs(eb)
+        return F.when(ok, F.abs(ea) - F.abs(eb))
     raise ValueError("loss must be 'squared' or 'absolute'")
 
 
@@ -54,7 +57,7 @@ def diebold_mariano(rows: DataFrame, keys: Sequence[str], a: str, b: str, loss:
 
 def day_losses(rows: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     ea, eb = F.col("y") - F.col(a), F.col("y") - F.col(b)
-    ok = ea.isNotNull() & eb.isNotNull()
+    ok = C.finite(ea, eb)
     return (
         rows.where(ok)
         .groupBy(*keys, day_of(F.col("ts")).alias("day"))
@@ -100,7 +103,8 @@ def block_bootstrap(
     its row, so no (replicate x block) table is ever shuffled.
     """
     keys = [*keys, "block_days"]
-    packed = block_arrays(days, keys[:-1], widths).where(F.col("n_days") >= 8)
+    arrays = stage(block_arrays(days, keys[:-1], widths), "blocks")
+    packed = arrays.where(F.col("n_days") >= 8)
     size = -(-n_boot // lanes)
     partitions = max(lanes, int(days.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = packed.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).repartition(
@@ -132,7 +136,7 @@ def block_bootstrap(
             F.least(F.greatest(2.0 * tail, F.lit(1.0 / n_boot)), F.lit(1.0)).alias("p_value"),
         )
     )
-    seen = block_arrays(days, keys[:-1], widths).select(
+    seen = arrays.select(
         *keys,
         F.when(
             F.col("n_days") >= 8,

@@ -12,6 +12,10 @@ from ..functions.time import Grid, season_no, season_slot
 from .grid import fill_drivers
 
 
+#: Slots of a driver span made in one array.
+SPAN = 8192
+
+
 def with_drivers(panel: DataFrame, exog: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), fill: bool = True) -> DataFrame:
     """Panel left-joined to drivers on the exact slot (and ``keys``, such as a site),
     then filled forward and backward inside each series.
@@ -60,7 +64,11 @@ def fillable(exog: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) ->
     """
     keys = list(keys)
     spans = exog.groupBy(*keys).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
-    slots = spans.select(*keys, F.explode(F.sequence("lo", "hi")).alias("slot"))
+    # a span is dealt out in chunks; no array is longer than one
+    chunk = F.expr(f"explode(sequence(lo div {SPAN}, hi div {SPAN}))").alias("_c")
+    chunks = spans.select(*keys, "lo", "hi", chunk).repartition(*keys, "_c")
+    first, last = F.greatest("lo", F.col("_c") * SPAN), F.least("hi", (F.col("_c") + 1) * SPAN - 1)
+    slots = chunks.select(*keys, F.explode(F.sequence(first, last)).alias("slot"))
     full = slots.join(exog.select(*keys, "slot", *cols), [*keys, "slot"], "left")
     return nearest(full, keys, cols).drop(*cols)
 

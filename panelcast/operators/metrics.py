@@ -38,7 +38,7 @@ def metric_columns(y: str = "y", yhat: str = "yhat", capacity: Column | None = N
     Only finite pairs count; with fewer than 5 or a constant target all are NULL.
     """
     a, b = F.col(y), F.col(yhat)
-    finite = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
+    finite = C.finite(a, b)
     t = F.when(finite, a)
     e = F.when(finite, a - b)
     n = F.count(t)

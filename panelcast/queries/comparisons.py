@@ -55,11 +55,11 @@ def _boot(src: str, keys: str, a: str, b: str, widths: str, n_boot: int) -> str:
         n_days, x.n, {r('y.lo')} AS ci_low_pct, {r('y.hi')} AS ci_high_pct, {r('y.p')} AS p_value FROM ({tot}) x LEFT JOIN ({boot}) y ON {on}"""
 
 
-@query("x09_day_bootstrap", sql(_boot("pair_h", _G, "OLS2", "Persistence", "1", 200)))
+@query("x09_day_bootstrap", sql(_boot("pair_h", _G, "OLS2", "Persistence", "1", 10000)))
 def x09_day_bootstrap(spark, sf):
     rows = M.with_subsets(M.observed(test_rows(spark, sf)))
     days = inference.day_losses(rows, _K, "OLS2", "Persistence")
-    return tidy(inference.block_bootstrap(days, _K, n_boot=200))
+    return tidy(inference.block_bootstrap(days, _K))
 
 
 _ENS = ["Mean", "InvRMSE", "RidgeStack", "NNLSStack", "BestSingleByVal"]
@@ -80,7 +80,7 @@ _FPAIR = "(SELECT *, unnest(CASE WHEN active THEN ['ALL', 'active'] ELSE ['ALL']
     sql(
         f"""SELECT b.* EXCLUDE (block_days), {r('g.gain', 4)} AS abs_rmse_gain, {r('d.statistic', 4)} AS dm_statistic_hourly,
         lowest_base, {r('lowest_base_rmse', 4)} AS lowest_base_rmse, lowest_ensemble, {r('lowest_ensemble_rmse', 4)} AS lowest_ensemble_rmse
-        FROM ({_boot(_FPAIR, _G, 'NNLSStack', 'BestSingleByVal', '1', 200)}) b
+        FROM ({_boot(_FPAIR, _G, 'NNLSStack', 'BestSingleByVal', '1', 10000)}) b
         JOIN (SELECT {_G}, sqrt(avg((y - BestSingleByVal)**2)) - sqrt(avg((y - NNLSStack)**2)) AS gain FROM {_FPAIR} GROUP BY ALL) g USING ({_G})
         JOIN ({_dm('NNLSStack', 'BestSingleByVal', _FPAIR)}) d USING ({_G})
         JOIN {_lowest(_BASE, 'base').replace('fpair', _FPAIR)} USING ({_G}) JOIN {_lowest(_ENS, 'ensemble').replace('fpair', _FPAIR)} USING ({_G})"""
@@ -88,7 +88,7 @@ _FPAIR = "(SELECT *, unnest(CASE WHEN active THEN ['ALL', 'active'] ELSE ['ALL']
 )
 def x11_significance(spark, sf):
     out = inference.significance_table(
-        stored_fused(spark, sf, H), "NNLSStack", "BestSingleByVal", _BASE, _ENS, n_boot=200
+        stored_fused(spark, sf, H), "NNLSStack", "BestSingleByVal", _BASE, _ENS
     )
     return tidy(out, 6, abs_rmse_gain=4, dm_statistic_hourly=4, lowest_base_rmse=4, lowest_ensemble_rmse=4)
 
@@ -96,8 +96,8 @@ def x11_significance(spark, sf):
 @query(
     "x12_block_widths",
     sql(
-        f"""SELECT 'Climatology' AS comparator, * FROM ({_boot("(SELECT * FROM pair_h WHERE subset = 'active')", 'series_id, protocol', 'OLS2', 'Climatology', '1, 3, 7', 100)})
-        UNION ALL SELECT 'Persistence', * FROM ({_boot("(SELECT * FROM pair_h WHERE subset = 'active')", 'series_id, protocol', 'OLS2', 'Persistence', '1, 3, 7', 100)})"""
+        f"""SELECT 'Climatology' AS comparator, * FROM ({_boot("(SELECT * FROM pair_h WHERE subset = 'active')", 'series_id, protocol', 'OLS2', 'Climatology', '1, 3, 7', 10000)})
+        UNION ALL SELECT 'Persistence', * FROM ({_boot("(SELECT * FROM pair_h WHERE subset = 'active')", 'series_id, protocol', 'OLS2', 'Persistence', '1, 3, 7', 10000)})"""
     ),
 )
 def x12_block_widths(spark, sf):
@@ -105,7 +105,7 @@ def x12_block_widths(spark, sf):
     keys = ["comparator", "series_id", "protocol"]
     both = M.to_long(rows.select("series_id", "protocol", "ts", "y", "OLS2", "Climatology", "Persistence"), ["Climatology", "Persistence"])
     days = inference.day_losses(both.withColumnRenamed("model", "comparator"), keys, "OLS2", "yhat")
-    return tidy(inference.block_bootstrap(days, keys, n_boot=100, widths=(1, 3, 7)))
+    return tidy(inference.block_bootstrap(days, keys, widths=(1, 3, 7)))
 
 
 _AUDIT = {"lag_missing": "lag_seen", "lookback_exhausted": "back_seen", "unseen_cell": "cell_seen", "unseen_slot": "slot_seen"}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stage import stage
@@ -78,38 +81,53 @@ _SMALL = {"rounds": 5, "depth": 3, "rate": 0.3}
 _NAMES = ["n_events", "mean_value", "mean_k", "hour_sin", "hour_cos"]
 
 
-def _fold_sets(spark, sf, fold="K1"):
-    rows = stored_rows(spark, sf, H).drop("prev_pair")
-    train = splits.train_rows(rows).where(F.col("fold") == fold)
-    test = splits.eval_rows(rows).where((F.col("fold") == fold) & (F.col("role") == "test"))
-    return train, test
+def _fold_sets(spark, sf):
+    """(protocol, fold, training rows, test rows) of every fold, with the capacity known
+    from the fold's training rows; as many fits as folds, whatever the data."""
+    rows = stage(stored_rows(spark, sf, H).drop("prev_pair"), "fold-rows")
+    caps = splits.fold_capacity(rows, rows.groupBy("series_id").agg(F.max("capacity").alias("capacity")))
+    caps = stage(caps.select(*_F, F.col("capacity").alias("fold_cap")), "fold-capacity")
+    train = splits.train_rows(rows).join(caps, _F)
+    test = splits.eval_rows(rows).where(F.col("role") == "test").join(caps, _F)
+    for p, f in sorted(tuple(r) for r in caps.select("protocol", "fold").distinct().collect()):
+        here = (F.col("protocol") == p) & (F.col("fold") == f)
+        yield p, f, train.where(here), test.where(here)
+
+
+def _all_folds(parts):
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _score(rows, name):
     out = M.with_subsets(M.observed(rows.withColumn("yhat", F.col(name))))
-    return tidy(out.groupBy("series_id", "subset").agg(*M.metric_columns(capacity=F.col("capacity"))))
+    return tidy(out.groupBy("series_id", "protocol", "fold", "subset").agg(*M.metric_columns(capacity=F.col("capacity"))))
 
 
 @query("m04_boosting")
 def m04_boosting(spark, sf):
-    train, test = _fold_sets(spark, sf)
-    flagged = train.withColumn("hold", boosting.held_out(0.12, "stop", F.col("series_id"), F.col("slot")))
-    return _score(boosting.boosted(flagged, test, _NAMES, validation="hold", **_SMALL), "GBM")
+    hold = boosting.held_out(0.12, "stop", F.col("series_id"), F.col("slot"))
+    out = [boosting.boosted(train.withColumn("hold", hold), test, _NAMES, validation="hold", **_SMALL) for _, _, train, test in _fold_sets(spark, sf)]
+    return _score(_all_folds(out), "GBM")
 
 
 @query("m05_ratio_boosting")
 def m05_ratio_boosting(spark, sf):
-    train, test = _fold_sets(spark, sf)
-    out = boosting.boosted_ratio(train, test, _NAMES, "driver", F.col("capacity"), **_SMALL)
-    return _score(out, "GBM_kt")
+    hold = boosting.held_out(0.12, "stop", F.col("series_id"), F.col("slot"))
+    out = [
+        boosting.boosted_ratio(train.withColumn("hold", hold), test, _NAMES, "driver", F.col("fold_cap"), validation="hold", **_SMALL)
+        for _, _, train, test in _fold_sets(spark, sf)
+    ]
+    return _score(_all_folds(out), "GBM_kt")
 
 
 @query("m07_permutation_importance")
 def m07_permutation_importance(spark, sf):
-    train, test = _fold_sets(spark, sf)
-    model = boosting.fit_boosting(train, _NAMES, **_SMALL)
-    scored = M.observed(test).where("active")
-    return tidy(boosting.permutation_importance(model, scored, _NAMES, ["series_id", "slot"], repeats=2))
+    out = []
+    for p, f, train, test in _fold_sets(spark, sf):
+        model = boosting.fit_boosting(train, _NAMES, **_SMALL)
+        found = boosting.permutation_importance(model, M.observed(test).where("active"), _NAMES, ["series_id", "slot"])
+        out.append(found.withColumns({"protocol": F.lit(p), "fold": F.lit(f)}))
+    return tidy(_all_folds(out))
 
 
 def _variant_scores(variants: dict[str, tuple[str, str]], train: str = "train_h", whole: str = "whole_h", splits_: str = "splits_h") -> str:

@@ -202,12 +202,12 @@ def x25_day_extremes(spark, sf):
     "x26_autocorrelation",
     sql(
         f"""SELECT a.series_id, lag, count(*) AS n, {r('CASE WHEN count(*) > 100 AND max(v) > 0 THEN avg((a.y - m) * (b.y - m)) / max(v) ELSE 0 END')} AS acf
-        FROM panel_h a JOIN (SELECT series_id, avg(y) AS m, var_pop(y) AS v FROM panel_h GROUP BY 1) s ON s.series_id = a.series_id, (SELECT unnest(range(0, 49)) AS lag) l
+        FROM panel_h a JOIN (SELECT series_id, avg(y) AS m, var_pop(y) AS v FROM panel_h GROUP BY 1) s ON s.series_id = a.series_id, (SELECT unnest(range(0, 201)) AS lag) l
         JOIN panel_h b ON b.series_id = a.series_id AND b.slot = a.slot - lag WHERE a.y IS NOT NULL AND b.y IS NOT NULL GROUP BY ALL"""
     ),
 )
 def x26_autocorrelation(spark, sf):
-    return tidy(M.autocorrelation(tables.panel_h(spark, sf), 48))
+    return tidy(M.autocorrelation(tables.panel_h(spark, sf), 200))
 
 
 @query(
@@ -299,11 +299,10 @@ def x32_subset_pivot(spark, sf):
 
 @query(
     "x33_density",
-    sql(f"SELECT {_KEY}, floor(y / (capacity / 40))::BIGINT AS x_cell, floor(yhat / (capacity / 40))::BIGINT AS y_cell, count(*) AS n FROM obs_h WHERE model IN ('Persistence', 'Climatology') GROUP BY ALL"),
+    sql(f"SELECT {_KEY}, floor(y / (capacity / 40))::BIGINT AS x_cell, floor(yhat / (capacity / 40))::BIGINT AS y_cell, count(*) AS n FROM obs_h GROUP BY ALL"),
 )
 def x33_density(spark, sf):
-    rows = pred(spark, sf).where(F.col("model").isin("Persistence", "Climatology"))
-    return M.density(rows, ["series_id", "protocol", "model"], F.col("capacity") / 40.0)
+    return M.density(pred(spark, sf), ["series_id", "protocol", "model"], F.col("capacity") / 40.0)
 
 
 @query(

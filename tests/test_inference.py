@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelcast.functions.special import t_two_sided
 from panelcast.operators import inference, value
@@ -114,3 +115,12 @@ def test_commitment_cost_and_tuning(spark):
     tuned = {(r["series_id"], r["ratio"]): r for r in value.tuned_cost(df, ["series_id"]).collect()}
     assert tuned["s", 2.0]["mean_scale"] == pytest.approx(0.5) and tuned["s", 2.0]["tuned_cost"] == pytest.approx(0.0, abs=1e-12)
     assert tuned["neg", 2.0]["mean_scale"] == pytest.approx(0.2)
+
+
+def test_unfinished_pairs_are_left_out(spark):
+    rows = [("a", datetime(2025, 6, 1 + i), 10.0 * i, 10.0 * i + 1, 10.0 * i + 2) for i in range(10)]
+    rows += [("a", datetime(2025, 6, 1), 5.0, x, 1.0) for x in (float("inf"), float("nan"))]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, y double, p double, q double")
+    r = inference.dm_statistic(df.withColumn("q", F.col("q") + F.col("y") / 100), ["series_id"], "p", "q").first()
+    assert r["n"] == 10 and r["mean_diff"] < 0
+    assert inference.day_losses(df, ["series_id"], "p", "q").agg(F.sum("n"), F.sum("la")).first() == (10, 10.0)

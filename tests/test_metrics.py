@@ -21,7 +21,9 @@ def test_perfect_forecast(spark):
 
 def test_too_few_constant_or_unfinished_pairs(spark):
     data = [("few", 1.0 * i, 0.0) for i in range(4)] + [("flat", 3.0, 1.0)] * 9 + [("gaps", 1.0 * i, None if i < 4 else 1.0 * i) for i in range(9)]
+    data += [("wild", 1.0 * i, 1.0 * i) for i in range(5)] + [("wild", 1.0, x) for x in (float("inf"), float("-inf"), float("nan"))]
     got = {r["series_id"]: r for r in pairs(spark, data).groupBy("series_id").agg(*M.metric_columns()).collect()}
+    assert (got["wild"]["n"], got["wild"]["r2"], got["wild"]["rmse"]) == (5, 1.0, 0.0)
     assert got["few"]["r2"] is None and got["few"]["n"] == 4
     assert got["flat"]["rmse"] is None
     assert got["gaps"]["n"] == 5 and got["gaps"]["rmse"] == 0.0

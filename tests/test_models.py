@@ -162,6 +162,10 @@ def test_boosting_learns(spark, assigned):
     assert hours.where("GBM_per_hour <> 0").count() == 0
     one = boosting.boosted_per_hour(train, test, ["x1"], hours=(12,), min_rows=30, rounds=1, depth=2)
     assert one.where("GBM_per_hour > 0").count() == one.count() > 0
+    holes = lambda df: df.withColumn("x1", F.when(F.col("slot") % 5 != 0, F.col("x1"))).withColumn("x2", F.when(F.col("slot") % 7 != 0, F.col("x2")).otherwise(F.lit(float("nan"))))
+    gaps = boosting.boosted(holes(train), holes(test), ["x1", "x2"], **opts)
+    assert gaps.count() == test.count() and gaps.where("GBM is null").count() == 0  # every row gets a forecast
+    assert gaps.columns == [*test.columns, "GBM"]
     model = boosting.fit_boosting(train, ["x1", "x2"], **opts)
     noise = test.withColumn("x2", F.col("x2"))
     imp = {r["feature"]: r["importance"] for r in boosting.permutation_importance(model, noise, ["x1", "x2"], ["series_id", "slot"], repeats=1).collect()}
