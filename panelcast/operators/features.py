@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ SOLAR_COLUMNS = (
     "cos_aoi",
     "poa_global",
 )
+CYCLE_COLUMNS = ("doy_sin", "doy_cos")
 
 
 def add_calendar(df: DataFrame, grid: Grid) -> DataFrame:
@@ -81,30 +83,32 @@ def target_lags(df: DataFrame, lags: Sequence[int] = (24, 48, 168), col: str = "
     )
 
 
+def groups_of(name: str) -> frozenset[str]:
+    """Groups a feature belongs to: ``driver``, ``solar``, ``context``, ``cycle``. Context
+    of a solar column is both."""
+    base, _, end = name.rpartition("_")
+    lagged = end in CONTEXT_SUFFIXES
+    tags = {
+        "context": lagged,
+        "solar": (base if lagged else name) in SOLAR_COLUMNS,
+        "cycle": name in CYCLE_COLUMNS,
+    }
+    return frozenset(g for g, holds in tags.items() if holds) or frozenset({"driver"})
+
+
 def feature_names(columns: Sequence[str], drivers: Sequence[str], context: Sequence[str] = CONTEXT_COLUMNS) -> list[str]:
-    """Ordered feature list: drivers, solar, context, yearly cycle; only what exists."""
-    wanted = [
-        *drivers,
-        *SOLAR_COLUMNS,
-        *[f"{c}_{s}" for c in context for s in CONTEXT_SUFFIXES],
-        "doy_sin",
-        "doy_cos",
-    ]
-    have = set(columns)
-    return [c for c in wanted if c in have]
-
-
-def ablate(df: DataFrame, features: Sequence[str], physics: bool = True, context: bool = True) -> tuple[DataFrame, list[str]]:
-    """Drop feature groups. Without physics an hour-of-day encoding takes their place."""
-    out = list(features)
-    if not physics:
-        derived = ("clearness_kt", "poa_global")
-        out = [f for f in out if f not in SOLAR_COLUMNS and not f.startswith(derived)]
-        df = add_cyclic(df, year=False)
-        out += ["hour_sin", "hour_cos"]
-    if not context:
-        out = [f for f in out if not f.endswith(tuple(f"_{s}" for s in CONTEXT_SUFFIXES))]
-    return df, list(dict.fromkeys(out))
+    """The columns that are features, in the order drivers, solar, context, yearly cycle."""
+    around = (f"{c}_{s}" for c in context for s in CONTEXT_SUFFIXES)
+    place = {c: i for i, c in enumerate(chain(drivers, SOLAR_COLUMNS, around, CYCLE_COLUMNS))}
+    return sorted(place.keys() & set(columns), key=place.__getitem__)
+
+
+def ablate(df: DataFrame, features: Sequence[str], drop: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Leave out feature groups. An hour-of-day encoding stands in for the solar group."""
+    kept = [f for f in dict.fromkeys(features) if groups_of(f).isdisjoint(drop)]
+    if "solar" not in drop:
+        return df, kept
+    return add_cyclic(df, year=False), [*kept, *(f for f in ("hour_sin", "hour_cos") if f not in kept)]
 
 
 def active_by_label(panel: DataFrame, capacity: DataFrame, grid: Grid, pct: float = 0.05) -> DataFrame:

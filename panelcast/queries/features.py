@@ -267,7 +267,7 @@ def f17_upper_envelope(spark, sf):
 def f18_ablation(spark, sf):
     frame = features.temporal_context(stored_frame(spark, sf, H), ["n_events"]).withColumn("sun_elev", F.lit(0.0))
     names = ["n_events", "n_events_lag1", "n_events_lead1", "n_events_roll3", "sun_elev", "n_events"]
-    out, kept = features.ablate(frame, names, physics=False, context=False)
+    out, kept = features.ablate(frame, names, ["solar", "context"])
     return tidy(out.select("series_id", "slot", *kept))
 
 

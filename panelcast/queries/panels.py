@@ -63,19 +63,21 @@ def s03_strip_suffix(spark, sf):
 @query(
     "s04_provenance",
     sql(
-        """SELECT 'orders_daily' AS source, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows,
-        count(*) FILTER (WHERE n_orders IS NULL) + count(*) FILTER (WHERE mean_price IS NULL) AS n_null,
-        true AS source_ok, min(ts) <= (SELECT min(ts) FROM panel_d) AND max(ts) >= (SELECT max(ts) FROM panel_d) AS span_ok,
-        min(ts) <= (SELECT min(ts) FROM panel_d) AND max(ts) >= (SELECT max(ts) FROM panel_d) AS usable
-        FROM (SELECT make_timestamp(slot * 86400000000) AS ts, * FROM exog_d)"""
+        """SELECT source, first_ts, last_ts, n_rows, n_null, n IS NOT NULL AS source_ok, span_ok, coalesce(n = n_rows, false) AS rows_ok, n IS NOT NULL AND span_ok AS usable
+        FROM (SELECT min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows,
+            count(*) FILTER (WHERE n_orders IS NULL) + count(*) FILTER (WHERE mean_price IS NULL) AS n_null,
+            min(ts) <= (SELECT min(ts) FROM panel_d) AND max(ts) >= (SELECT max(ts) FROM panel_d) AS span_ok
+            FROM (SELECT make_timestamp(slot * 86400000000) AS ts, * FROM exog_d)) t,
+        (SELECT 'orders_daily' AS source, count(DISTINCT o_orderdate) AS n FROM orders UNION ALL SELECT 'shipments_daily', count(DISTINCT l_shipdate) FROM lineitem UNION ALL SELECT 'returns_daily', NULL) m"""
     ),
 )
 def s04_provenance(spark, sf):
     exog = tables.exog_d(spark, sf).withColumn("ts", ts_of(F.col("slot"), DAILY))
-    manifest = exog.agg(F.count("*").alias("n_rows")).withColumn("source", F.lit("orders_daily"))
+    days = lambda t, c, s: tables.load(spark, sf, t).agg(F.count_distinct(c).alias("n_rows")).withColumn("source", F.lit(s))
+    manifest = days("orders", "o_orderdate", "orders_daily").unionByName(days("lineitem", "l_shipdate", "shipments_daily"))
     span = tables.load(spark, sf, "lineitem").agg(F.min("l_shipdate").alias("start"), F.max("l_shipdate").alias("end"))
-    verdict = exogenous.provenance(exog, manifest, "orders_daily", span, ["n_orders", "mean_price"])
-    return verdict.select("source", "first_ts", "last_ts", "n_rows", "n_null", "source_ok", "span_ok", "usable")
+    one = lambda s: exogenous.provenance(exog, manifest, s, span, ["n_orders", "mean_price"])
+    return one("orders_daily").unionByName(one("shipments_daily")).unionByName(one("returns_daily"))
 
 
 _FACTS = f"""SELECT protocol, fold, series_id, ts, model, {r("y")} AS y, {r("yhat")} AS yhat, active, is_missing FROM pred_h"""

@@ -10,7 +10,7 @@ from ..functions.stage import shared_folder
 from ..operators.metrics import to_long
 from ..plans.datasets import H, stored_forecasts
 from ..sources import tables
-from ..streaming.jobs import error_monitor, hourly_values, run_once
+from ..streaming.jobs import error_monitor, hourly_values, run_latest
 from .registry import query, tidy
 from .sql import r, sql
 
@@ -27,27 +27,26 @@ def _events(spark, sf):
 
 @query(
     "st1_hourly_stream",
-    sql("SELECT series_id, make_timestamp(slot * 3600000000) AS ts, CAST(sum(v) AS DOUBLE) AS y, count(*) AS n FROM raw_h WHERE make_timestamp((slot + 1) * 3600000000) <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY series_id, slot"),
+    sql("SELECT series_id, make_timestamp(slot * 3600000000) AS ts, CAST(sum(v) AS DOUBLE) AS y, count(*) AS n FROM raw_h GROUP BY series_id, slot"),
 )
 def st1_hourly_stream(spark, sf):
-    """Windows closed by the watermark; the last two hours stay open."""
+    """Every window with what has arrived, the open ones too."""
     out = _folder(spark)
-    run_once(hourly_values(_events(spark, sf)), f"{out}/data", f"{out}/state")
-    return spark.read.parquet(f"{out}/data")
+    return run_latest(hourly_values(_events(spark, sf)), ["series_id", "ts"], f"{out}/data", f"{out}/state")
 
 
 @query(
     "st2_error_monitor",
     sql(
-        f"""SELECT series_id, model, CAST(day AS VARCHAR) AS day, count(*) AS n, {r('sqrt(avg((y - yhat)**2))')} AS rmse, {r('avg(abs(y - yhat))')} AS mae
-        FROM obs_h WHERE protocol = 'rolling_origin' AND day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM panel_h WHERE y IS NOT NULL) GROUP BY series_id, model, day"""
+        f"""SELECT series_id, protocol, model, CAST(day AS VARCHAR) AS day, count(*) AS n, {r('sqrt(avg((y - yhat)**2))')} AS rmse, {r('avg(abs(y - yhat))')} AS mae
+        FROM obs_h GROUP BY series_id, protocol, model, day"""
     ),
 )
 def st2_error_monitor(spark, sf):
     out = _folder(spark)
     tables.panel_h(spark, sf).where("y is not null").select("series_id", "ts", "y").write.parquet(f"{out}/values")
-    wide = stored_forecasts(spark, sf, H).where("role = 'test' and protocol = 'rolling_origin'")
+    wide = stored_forecasts(spark, sf, H).where("role = 'test'")
     stored = to_long(wide, ["Persistence", "Climatology", "SmartPersistence", "Scaled", "OLS2"])
     values = spark.readStream.schema("series_id string, ts timestamp_ntz, y double").parquet(f"{out}/values")
-    run_once(error_monitor(values, stored), f"{out}/data", f"{out}/state")
-    return tidy(spark.read.parquet(f"{out}/data"))
+    monitor = error_monitor(values, stored, by=["protocol"])
+    return tidy(run_latest(monitor, ["series_id", "protocol", "model", "day"], f"{out}/data", f"{out}/state"))

@@ -32,9 +32,9 @@ def test_label_free_mask_ignores_labels(spark):
 def test_ablation_rules(spark):
     df = hourly_panel(spark, {"a": [1.0]})
     names = ["temperature_2m", "sun_zenith", "clearness_kt_lag1", "poa_global", "cloud_cover_roll3", "temperature_2m"]
-    out, kept = features.ablate(df, names, physics=False)
+    out, kept = features.ablate(df, names, ["solar"])
     assert kept == ["temperature_2m", "cloud_cover_roll3", "hour_sin", "hour_cos"] and "hour_sin" in out.columns
-    assert features.ablate(df, names, context=False)[1] == ["temperature_2m", "sun_zenith", "poa_global"]
+    assert features.ablate(df, names, ["context"])[1] == ["temperature_2m", "sun_zenith", "poa_global"]
     assert features.feature_names(["doy_sin", "sun_elev", "t", "t_lag1"], ["t", "u"], ["t"]) == ["t", "sun_elev", "t_lag1", "doy_sin"]
 
 
