@@ -3,9 +3,9 @@
 Two permutations of the 32-bit universe are enough for a signature: the first places
 a shingle, the second, shifted circularly by k, gives coordinate k. Coordinates are
 grouped into bands; documents that share a band are candidates, and a link is
-confirmed on the two full sets. No bucket is ever turned into all its pairs at once:
-first every member meets the bucket's most central member, then only members of
-different components of what those links give meet each other.
+confirmed on the two full sets. No bucket is turned into all its pairs: first every
+member meets the bucket's most central member; what that leaves apart meets only where
+the sets' rarest shingles allow the similarity asked for.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ PERCENT = 75
 #: A pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6.
 ROWS, BANDS = 4, 32
 CACHE_WORDS = 700_000
-#: Further leader rounds are held while so many pairs a document would be left.
-PAIRS_A_NODE = 10
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,6 +153,32 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select(F.col("a").alias("hi"), F.col("b").alias("lo"))
 
 
+def _prefix_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different parts that share a bucket and may be similar enough.
+
+    Shingles are put in one order for all sets, widespread ones last. If two sets are as
+    similar as asked, the first shingle that they share comes so early in both that what
+    follows it can still make up the overlap; pairs are met at such shingles only. Edits
+    of one text are told apart by what each has of its own, however many they are. Nothing
+    is lost: the order decides the cost, not the result.
+    """
+    flat = left.select("node", F.explode("items").alias("item"))
+    spread = flat.groupBy("item").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    # a shingle of one set alone can't be shared, but it takes its place in the order
+    placed = flat.join(spread, "item", "left").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("order")
+    )
+    early = left.select("node", "part", "keys", F.size("items").alias("n")).join(placed, "node")
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    early = early.select("node", "part", "n", "keys", F.posexplode(F.slice("order", F.lit(1), reach.cast("int"))).alias("pos", "o")).where("o.df > 1")
+    x = early.select(F.col("o.item").alias("item"), F.col("node").alias("u"), F.col("part").alias("p"), F.col("n").alias("nu"), F.col("pos").alias("iu"), F.col("keys").alias("ku"))
+    y = early.select(F.col("o.item").alias("item"), F.col("node").alias("v"), F.col("part").alias("q"), F.col("n").alias("nv"), F.col("pos").alias("iv"), F.col("keys").alias("kv"))
+    # overlap still possible from this shingle on, against the overlap needed
+    reachable = F.least(F.col("nu") - F.col("iu"), F.col("nv") - F.col("iv")) * (100 + percent) >= percent * (F.col("nu") + F.col("nv"))
+    near = (F.col("u") < F.col("v")) & (F.col("p") != F.col("q")) & reachable & _near_size("nu", "nv", percent) & F.arrays_overlap("ku", "kv")
+    return x.join(y, (x["item"] == y["item"]) & near).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+
+
 def _paired(one: str, other: str):
     return F.least(one, other).alias("a"), F.greatest(one, other).alias("b")
 
@@ -181,51 +205,33 @@ def near_duplicates(
     nodes = told.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("keys").alias("keys")
     )
-    keyed = nodes.select("node", "n", "row_key", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = stage(keyed.join(shared, "key"), "buckets")
     central = shared.groupBy("node").agg(F.sum("members").alias("weight"))
-    sets = stage(_sets(docs, shared.select("row_key").distinct(), width), "sets")
+    central = stage(central.join(nodes.select("node", "n", "row_key"), "node"), "central")
+    sets = stage(_sets(docs, central.select("row_key"), width), "sets")
 
     # Leaders: each member meets its bucket's most central one.
-    weighed = shared.join(central, "node").select("key", "node", "n", "weight")
+    weighed = shared.select("key", "node").join(central.select("node", "n", "weight"), "node")
     leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("top"))
-    met = shared.join(leaders, "key").where("node != top.node").where(_near_size("n", "top.n", percent))
+    led = stage(weighed.join(leaders, "key").where("node != top.node").select("key", "node", "n", "top"), "led")
+    met = led.where(_near_size("n", "top.n", percent))
     tried = stage(met.select(*_paired("node", "top.node")).distinct(), "pairs")
     links = stage(_confirm(tried, sets, percent), "links")
-    forest = stars(links)
-
-    turn = 0
-    while True:
-        # Buckets in which several components are left.
-        labelled = shared.select("key", "node", "n").join(forest.withColumnRenamed("hi", "node"), "node", "left")
-        labelled = labelled.select("key", "node", "n", F.coalesce("lo", "node").alias("part"))
-        parts = stage(labelled.groupBy("key", "part").agg(F.count("*").alias("m")), "parts")
-        mixed = parts.groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("k")).where("k > 1")
-        n_pairs, n_members = mixed.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-        if not n_pairs:
-            break
-        left = stage(labelled.join(mixed.select("key"), "key"), "mixed")
-        if n_pairs > PAIRS_A_NODE * n_members and turn < 3:
-            # Too many to test one by one: other leaders first, one a bucket, drawn anew.
-            turn += 1
-            drawn = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("draw"), "node", "n", "part")).alias("top"))
-            pairs = left.join(drawn, "key").where("part != top.part").where(_near_size("n", "top.n", percent)).select(*_paired("node", "top.node"))
-            last = False
-        else:
-            # Every pair of different components that shares a bucket.
-            one = parts.join(mixed.select("key"), "key").select("key", F.col("part").alias("p"))
-            crossing = one.join(one.withColumnRenamed("p", "q"), "key").where("p < q")
-            x = left.select("key", F.col("part").alias("p"), F.col("node").alias("u"), F.col("n").alias("nu"))
-            y = left.select("key", F.col("part").alias("q"), F.col("node").alias("v"), F.col("n").alias("nv"))
-            pairs = crossing.join(x, ["key", "p"]).where("nu is not null").join(y, ["key", "q"]).where(_near_size("nu", "nv", percent)).select(*_paired("u", "v"))
-            last = True
-        fresh = stage(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(stage(_confirm(fresh, sets, percent), "links"))
-        tried = tried.union(fresh)
-        forest = stars(links)
-        if last:
-            break
+
+    # What is linked to the same hub is one part. Buckets that hold several parts beside
+    # their leader, which has met all, are looked through.
+    ends = links.select(F.col("hi").alias("node"), F.col("lo").alias("other")).union(links.select("lo", "hi"))
+    hubs = ends.join(central.select(F.col("node").alias("other"), "weight"), "other").groupBy("node").agg(F.max(F.struct("weight", "other")).alias("hub"))
+    part = F.when(F.struct("hub.weight", "hub.other") > F.struct("weight", "node"), F.col("hub.other")).otherwise(F.col("node"))
+    parts = stage(central.join(hubs, "node", "left").select("node", part.alias("part")), "parts")
+    labelled = led.select("key", "node").join(parts, "node")
+    mixed = labelled.groupBy("key").agg(F.min("part").alias("one"), F.max("part").alias("other")).where("one != other")
+    left = labelled.join(mixed.select("key"), "key").groupBy("node", "part").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    left = stage(left.join(sets, "node"), "left")
+    fresh = stage(_prefix_pairs(left, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    forest = stars(links.union(_confirm(fresh, sets, percent)))
 
     parts = nodes.select("node", "doc_id").join(forest.withColumnRenamed("hi", "node"), "node", "left").select("node", "doc_id", F.coalesce("lo", "node").alias("part"))
     least = parts.groupBy("part").agg(F.min("doc_id").alias("component_id"))
