@@ -236,24 +236,31 @@ def source_agreement(a: DataFrame, b: DataFrame, variables: Sequence[str], keys:
     flag = [active] if active else []
     left = a.select(*keys, *flag, *[F.col(v).alias(f"a_{v}") for v in variables])
     right = b.select(*keys, *[F.col(v).alias(f"b_{v}") for v in variables])
-    both = left.join(right, list(keys))
+    return agreement(left.join(right, list(keys)), variables, active=active)
+
+
+def agreement(both: DataFrame, variables: Sequence[str], by: Sequence[str] = (), active: str | None = None) -> DataFrame:
+    """The measures of :func:`source_agreement` on joined rows with ``a_<v>`` and ``b_<v>``,
+    for each value of ``by``."""
     tags = F.array(F.lit("ALL")) if active is None else F.array_compact(
         F.array(F.lit("ALL"), F.when(F.col(active), F.lit("active")))
     )
     stacked = both.select(
+        *by,
         F.explode(tags).alias("subset"),
         F.array(
             *[F.struct(F.lit(v).alias("variable"), F.col(f"a_{v}").alias("a"), F.col(f"b_{v}").alias("b")) for v in variables]
         ).alias("vs"),
-    ).select("subset", F.inline("vs"))
+    ).select(*by, "subset", F.inline("vs"))
     d = F.col("a") - F.col("b")
-    return stacked.groupBy("variable", "subset").agg(
+    return stacked.groupBy(*by, "variable", "subset").agg(
         F.count("*").alias("n"),
         F.avg("a").alias("mean_a"),
         F.avg("b").alias("mean_b"),
         F.avg(F.abs(d)).alias("mae"),
         F.sqrt(F.avg(d * d)).alias("rmse"),
-        F.corr("a", "b").alias("correlation"),
+        # NULL where one side is constant, as with a single pair
+        F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("correlation"),
     )
 
 

@@ -246,7 +246,7 @@ _SEEDS = "SELECT split_part(series_id, '/', 1) AS seed, split_part(series_id, '/
 )
 def g05_seed_repetition(spark, sf):
     frame = stored_frame(spark, sf, H)
-    return tidy(grids.seed_repetition(frame, H.setup, [0, 1, 2], MODELS), 5)
+    return tidy(grids.seed_repetition(frame, H.setup, [0, 1, 2, 3, 4], MODELS), 5)
 
 
 def _ctx_fit(x1: str, x2: str) -> str:

@@ -363,22 +363,24 @@ def q17_floor_share(spark, sf):
 @query(
     "q18_source_agreement",
     sql(
-        f"""SELECT variable, subset, count(*) AS n, {r('avg(a)')} AS mean_a, {r('avg(b)')} AS mean_b, {r('avg(abs(a - b))')} AS mae,
+        f"""SELECT source, other, variable, subset, count(*) AS n, {r('avg(a)')} AS mean_a, {r('avg(b)')} AS mean_b, {r('avg(abs(a - b))')} AS mae,
         {r('sqrt(avg((a - b) * (a - b)))')} AS rmse, {r('corr(a, b)')} AS correlation FROM (
-        SELECT unnest(CASE WHEN sun_elev > 5 THEN ['ALL', 'active'] ELSE ['ALL'] END) AS subset, variable, a, b FROM (
-        SELECT s.sun_elev, unnest(['total', 'n']) AS variable, unnest([x.total, x.n]) AS a, unnest([y.total, y.n]) AS b
-        FROM (SELECT slot, sum(v)::DOUBLE AS total, count(*)::DOUBLE AS n FROM raw_h WHERE series_id = 'click' GROUP BY 1) x
-        JOIN (SELECT slot, sum(v)::DOUBLE AS total, count(*)::DOUBLE AS n FROM raw_h WHERE series_id = 'view' GROUP BY 1) y ON y.slot = x.slot
+        SELECT source, other, unnest(CASE WHEN sun_elev > 5 THEN ['ALL', 'active'] ELSE ['ALL'] END) AS subset, variable, a, b FROM (
+        SELECT x.series_id AS source, y.series_id AS other, s.sun_elev, unnest(['total', 'n']) AS variable, unnest([x.total, x.n]) AS a, unnest([y.total, y.n]) AS b
+        FROM (SELECT series_id, slot, sum(v)::DOUBLE AS total, count(*)::DOUBLE AS n FROM raw_h GROUP BY ALL) x
+        JOIN (SELECT series_id, slot, sum(v)::DOUBLE AS total, count(*)::DOUBLE AS n FROM raw_h GROUP BY ALL) y ON y.slot = x.slot AND y.series_id > x.series_id
         JOIN sun_h s ON s.slot = x.slot)) GROUP BY ALL"""
     ),
 )
 def q18_source_agreement(spark, sf):
-    raw = tables.readings_h(spark, sf)
-    by_slot = lambda s: raw.where(F.col("series_id") == s).groupBy("slot").agg(
+    """All pairs of sources, each pair once."""
+    by_slot = tables.readings_h(spark, sf).groupBy("series_id", "slot").agg(
         F.sum("v").cast("double").alias("total"), F.count("*").cast("double").alias("n")
     )
-    left = active_by_elevation(by_slot("click").withColumn("ts", ts_of(F.col("slot"), HOURLY)), 50.91, -1.40)
-    return tidy(quality.source_agreement(left, by_slot("view"), ["total", "n"], ["slot"], "active"))
+    one = lambda name, tag: by_slot.select("slot", F.col("series_id").alias(name), F.col("total").alias(f"{tag}_total"), F.col("n").alias(f"{tag}_n"))
+    left = active_by_elevation(one("source", "a").withColumn("ts", ts_of(F.col("slot"), HOURLY)), 50.91, -1.40)
+    both = left.join(one("other", "b"), "slot").where("source < other")
+    return tidy(quality.agreement(both, ["total", "n"], ["source", "other"], "active"))
 
 
 @query(

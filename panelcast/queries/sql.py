@@ -293,7 +293,7 @@ part(
 )
 _backtest("w", 24, 24, 12, 3, 5, 50, "n_events", "mean_value")
 part("ctx_w", "SELECT series_id, slot, avg(n_events) OVER (PARTITION BY series_id ORDER BY slot ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS roll3 FROM frame_w")
-part("frame_r", "SELECT k || '/' || series_id AS series_id, slot, ts, y, y_filled, is_missing, n_events, mean_value, mean_k, active, driver, capacity FROM frame_h, (SELECT unnest([0, 1, 2]) AS k)")
+part("frame_r", "SELECT k || '/' || series_id AS series_id, slot, ts, y, y_filled, is_missing, n_events, mean_value, mean_k, active, driver, capacity FROM frame_h, (SELECT unnest([0, 1, 2, 3, 4]) AS k)")
 _backtest("r", 24, 24, 12, 3, 5, 50, "n_events", "mean_value", "CAST(split_part(series_id, '/', 1) AS INT)")
 
 
