@@ -26,7 +26,7 @@ from .subwords import encoder, tokenizer_path
 from .text import lower_ascii, per_process, text_batches, words
 
 WINDOW, STRIDE = 32, 16
-WIDTH, CLASSES = 16, 48
+WIDTH, CLASSES = 8, 32
 #: Ids with an embedding of their own; the others have their class's.
 EMBEDDED = 2048
 #: Bigrams kept, the most frequent ones; the mass of the others backs off to single ids.
@@ -73,14 +73,19 @@ def cluster(counts: Counts, classes: int, seed: int = 5) -> np.ndarray:
     n = len(counts.single)
     m = min(DENSE, n)
     prev, nxt = np.divmod(counts.keys, n)
-    near = np.zeros((n, 2 * m), np.float32)
-    a = nxt < m
-    near[prev[a], nxt[a]] = np.sqrt(counts.counts[a])
-    b = prev < m
-    near[nxt[b], m + prev[b]] = np.sqrt(counts.counts[b])
-    near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)
+    root = np.sqrt(counts.counts).astype(np.float32)
+
+    def neighbours(lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((hi - lo, 2 * m), np.float32)
+        a = (nxt < m) & (prev >= lo) & (prev < hi)
+        out[prev[a] - lo, nxt[a]] = root[a]
+        b = (prev < m) & (nxt >= lo) & (nxt < hi)
+        out[nxt[b] - lo, m + prev[b]] = root[b]
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        return out
+
     rng = np.random.default_rng(seed)
-    top = near[:m]
+    top = neighbours(0, m)
     centre = top[rng.choice(m, min(classes, m), replace=False)]
     for _ in range(12):
         of = (top @ centre.T).argmax(axis=1)
@@ -88,7 +93,8 @@ def cluster(counts: Counts, classes: int, seed: int = 5) -> np.ndarray:
             if (of == k).any():
                 v = top[of == k].sum(axis=0)
                 centre[k] = v / max(np.linalg.norm(v), 1e-9)
-    return np.concatenate([(part @ centre.T).argmax(axis=1) for part in np.array_split(near, max(1, n // 4096))])
+    # the others in parts, to bound memory
+    return np.concatenate([(neighbours(lo, min(lo + 2048, n)) @ centre.T).argmax(axis=1) for lo in range(0, n, 2048)])
 
 
 @dataclass
@@ -214,7 +220,7 @@ def fit(counts: Counts, sample: list[np.ndarray], classes: int = CLASSES, steps:
     model = lambda: Model(counts.rank, n, of_class, log_class, dense.astype(np.float32), counts, back, row, x @ wq / np.float32(WIDTH**0.5), x @ wk, x @ wv, bias, out)
     if not windows:
         return model()
-    windows, targets = np.array(windows), np.array(targets)
+    windows, targets = np.array(windows, np.int32), np.array(targets, np.int32)
     causal, scale = _causal(WINDOW), np.float32(WIDTH**-0.5)
     distance = np.maximum(np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
     for step in range(1, steps + 1):
@@ -280,16 +286,20 @@ def _id_kind(size: int):
     return np.uint16 if size <= 1 << 16 else np.uint32
 
 
-class _Places(dict):
-    def __missing__(self, word: str) -> int:
-        return -1
+class _Places:
+    """Number among the frequent words, or -1, of each chunk an encoder has numbered."""
 
+    def __init__(self, frequent: list[str]):
+        self.number = {w: i for i, w in enumerate(frequent)}
+        self.generation, self.of = -1, np.zeros(0, np.int32)
 
-def _words(batch, places: dict[str, int]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-    """Word lists, their lengths, and each word's number among the frequent ones or -1."""
-    lists = [words(lower_ascii(t)) if t else [] for t in batch]
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    return lists, n, np.fromiter(map(places.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
+    def __call__(self, code, slots: np.ndarray) -> np.ndarray:
+        if code.generation != self.generation:
+            self.generation, self.of = code.generation, np.zeros(0, np.int32)
+        new = code.names[len(self.of) :]
+        if new:
+            self.of = np.concatenate([self.of, np.fromiter((self.number.get(w, -1) for w in new), np.int32, len(new))])
+        return self.of[slots]
 
 
 def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: int) -> DataFrame:
@@ -305,7 +315,7 @@ def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: in
         schema = pa.schema(list(kinds.items()))
         code = encoder(path)
         size = max(code.tokenizer.get_vocab_size(), end_id + 1)
-        places = per_process(f"frequent:{key}", lambda: _Places((w, i) for i, w in enumerate(frequent)))
+        places = per_process("encoder", f"frequent:{key}", lambda: _Places(frequent))
         hot = np.zeros(len(frequent), np.int64)
         pairs, held = [], 0
 
@@ -321,7 +331,10 @@ def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: in
         for batch in batches:
             texts, rows = batch.column("text").to_pylist(), batch.column("row_key").to_numpy()
             taught = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            lists, n, at = _words(texts, places)
+            # the tokenizer lower-cases by itself, so words in lower case have the ids of the text
+            lists = [words(lower_ascii(t)) if t else [] for t in texts]
+            ids, cut, slots = code.encode_chunks(lists)
+            n, at = np.fromiter(map(len, lists), np.int64, len(lists)), places(code, slots)
             doc = np.repeat(np.arange(len(texts)), n)
             mine = at[taught[doc]]
             hot += np.bincount(mine[mine >= 0], minlength=len(hot))
@@ -331,7 +344,6 @@ def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: in
                 flat = list(chain.from_iterable(lists))
                 yield rows_of(TAIL, len(tail), a=rows[doc[tail]], b=taught[doc[tail]].astype(np.int64), word=[flat[i] for i in tail.tolist()])
             yield rows_of(TAIL, len(rows), a=rows, b=taught.astype(np.int64))
-            ids, cut = code.encode(texts)
             ids = np.insert(ids, cut[1:], end_id)
             cut = cut + np.arange(len(cut))
             hits = np.concatenate([[0], np.cumsum(at >= 0)])
@@ -348,10 +360,10 @@ def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: in
             of = np.repeat(taught, np.diff(cut))
             pairs.append(np.unique((prev * size + ids)[of], return_counts=True))
             held += len(pairs[-1][0])
-            if held > 2_000_000:
+            if held > 1_000_000:
                 pairs = [merged()]
                 held = len(pairs[0][0])
-                if held > 1_000_000:
+                if held > 500_000:
                     yield rows_of(BIGRAM, held, a=pairs[0][0] // size, b=pairs[0][0] % size, n=pairs[0][1])
                     pairs, held = [], 0
         if pairs:
@@ -434,7 +446,7 @@ def score(docs: DataFrame, train: Column, *, path: str | None = None, end_id: in
     logs, model_key = np.log10(hot + 1.0), f"lm:{key}:{hashlib.sha256(model.out.tobytes() + model.counts.counts.tobytes()).hexdigest()}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lm = per_process(model_key, lambda: model)
+        lm = per_process("lm", model_key, lambda: model)
         for batch in batches:
             numbers = [np.frombuffer(x, np.uint16) for x in batch["hot"]]
             own = np.concatenate(numbers) if numbers else np.zeros(0, np.uint16)

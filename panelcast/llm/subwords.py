@@ -15,7 +15,7 @@ import numpy as np
 
 from .text import per_process, words
 
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 500_000
 #: Letters of ASCII and Latin-1, then perhaps end punctuation: these chunks are split without the library's regular expressions.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 
@@ -67,6 +67,8 @@ class ChunkEncoder:
         self.start = np.empty(1 << 14, np.int64)
         self.length = np.empty(1 << 14, np.int64)
         self.learned = self.used = 0
+        self.names: list[str] = []
+        self.generation = getattr(self, "generation", -1) + 1
 
     def _library(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
@@ -118,14 +120,14 @@ class ChunkEncoder:
         self.start[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
         self.used += total
         self.learned += len(new)
+        self.names += new
         new.clear()
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids, and for each text where it begins (one more entry than texts).
-        Missing texts have no ids."""
+    def encode_chunks(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For lists of chunks: flat ids, where each list begins, and each chunk's number
+        in ``names`` (numbers start anew with each ``generation``)."""
         if len(self.slot) > self.cache_chunks:
             self._reset()
-        lists = [words(t) for t in texts]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         slots = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
         if self.slot.new:
@@ -135,8 +137,14 @@ class ChunkEncoder:
         total = int(ends[-1]) if len(ends) else 0
         # position of each id: its chunk's start plus its place in the chunk
         at = np.repeat(self.start[slots] - (ends - length), length) + np.arange(total)
-        return self.flat[at], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return self.flat[at], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])], slots
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids, and for each text where it begins (one more entry than texts).
+        Missing texts have no ids."""
+        ids, at, _ = self.encode_chunks([words(t) for t in texts])
+        return ids, at
 
 
 def encoder(path: str) -> ChunkEncoder:
-    return per_process(f"encoder:{path}", lambda: ChunkEncoder(path))
+    return per_process("encoder", path, lambda: ChunkEncoder(path))
