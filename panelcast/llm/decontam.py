@@ -261,7 +261,7 @@ class Finder:
         self.key = "items:" + hashlib.sha256(told.encode()).hexdigest()
 
     def __call__(self, texts: pd.Series, overlap: float) -> list[list[tuple[int, float, float, float]]]:
-        index = per_process(self.key, lambda: ItemIndex(self.items, self.df, self.n_items, self.mean_length, self.threshold, self.width))
+        index = per_process("items", self.key, lambda: ItemIndex(self.items, self.df, self.n_items, self.mean_length, self.threshold, self.width))
         return index.leaks(texts.tolist(), overlap, self.width)
 
 

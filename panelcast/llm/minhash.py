@@ -28,7 +28,7 @@ WIDTH = 5
 PERCENT = 75
 #: A pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6.
 ROWS, BANDS = 4, 32
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,7 +49,7 @@ class _WordHashes(dict):
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles of ``width`` words; of the
     whole sequence where there are fewer words; none without words."""
-    known = per_process("shingle-words", _WordHashes)
+    known = per_process("shingles", "words", _WordHashes)
     if len(known) > CACHE_WORDS:
         known.clear()
     lists = [words(lower_ascii(t)) if t else [] for t in texts]

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import types
 
+import pyarrow
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 #: Documents per Arrow batch: long texts must not add up to more than a task can hold.
 BATCH_ROWS = 500
@@ -48,10 +50,16 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def per_process(key: str, make):
+def per_process(owner: str, key: str, make):
     """What ``make`` builds, once per Python process and key. Functions travel to the
-    executors by value, so a module's own globals would be new in every task."""
+    executors by value, so a module's own globals would be new in every task. Processes
+    live on, so one operator's objects go when another (``owner``) comes."""
     store = sys.modules.setdefault("_panelcast_llm_store", types.ModuleType("_panelcast_llm_store")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if store.get("owner") != owner:
+        store["owner"], store["held"] = owner, {}
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+    held = store["held"]
+    if key not in held:
+        held[key] = make()
+    return held[key]

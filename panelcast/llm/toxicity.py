@@ -30,6 +30,7 @@ LEXICON_TERMS, LEAST_DOCS = 2000, 5
 #: Least log odds of a learned term; 3 is twenty to one.
 LEAST_ODDS = 3.0
 PREFIXES = (4, 5, 6)
+CACHE_WORDS = 300_000
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Seed words in four languages.
@@ -216,10 +217,10 @@ PRIOR = (np.array([1.5, 2.0, 0.3, 0.3, 0.5, 0.5, 0.5]), -2.5)
 
 def _features(docs: DataFrame, learned: dict[str, float], key: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = per_process(f"toxic:{key}", lambda: Lexicon(learned))
-        machine = per_process("toxic-grammar", grammar)
+        lexicon = per_process("toxicity", key, lambda: Lexicon(learned))
+        machine = per_process("toxicity", "grammar", grammar)
         for batch in batches:
-            if len(lexicon) > 500_000:
+            if len(lexicon) > CACHE_WORDS:
                 lexicon.clear()
             yield pd.DataFrame({"toxic": batch["toxic"], "x": [clause_features(t, lexicon, machine).tolist() for t in batch["text"]]})
 
@@ -257,10 +258,10 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray, float]) ->
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = per_process(f"toxic:{key}", lambda: Lexicon(learned))
-        machine = per_process("toxic-grammar", grammar)
+        lexicon = per_process("toxicity", key, lambda: Lexicon(learned))
+        machine = per_process("toxicity", "grammar", grammar)
         for batch in batches:
-            if len(lexicon) > 500_000:
+            if len(lexicon) > CACHE_WORDS:
                 lexicon.clear()
             x = np.array([clause_features(t, lexicon, machine) for t in batch["text"]]).reshape(len(batch), len(FEATURES))
             p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))

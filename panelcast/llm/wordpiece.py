@@ -22,7 +22,7 @@ from .text import lower_ascii, per_process, text_batches, words
 
 #: Marks the first piece of a word in the vocabulary.
 START = "▁"
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 
 class LongestMatch:
@@ -109,8 +109,8 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = per_process(f"automaton:{path}", lambda: LongestMatch(vocabulary(path)))
-        known = per_process(f"automaton-words:{path}", lambda: _Counts(automaton))
+        automaton = per_process("wordpiece", path, lambda: LongestMatch(vocabulary(path)))
+        known = per_process("wordpiece", f"words:{path}", lambda: _Counts(automaton))
         for batch in batches:
             if len(known) > CACHE_WORDS:
                 known.clear()
