@@ -30,7 +30,7 @@ SAMPLE_PER_LANG = 300
 SEQUENCES, LENGTH, SPANS = 3000, 64, (8, 40)
 BUCKETS = 1 << 15
 SEGMENT = 64
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 UNKNOWN = "und"
 #: Documents on whose words the chain is less sure than this have no language of their own.
 LEAST_SCORE = 0.4
@@ -253,10 +253,10 @@ def learn(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     counts = [tuple(r) for r in known.groupBy("lang").count().collect()]
     if not counts:
         return Model([], np.zeros((BUCKETS + 1, 0)), np.ones((0, 0)))
-    spark = labelled.sparkSession
-    share = spark.createDataFrame([(x, min(1.0, sample_per_lang / n)) for x, n in counts], "lang string, share double")
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    rows = known.join(share, "lang").where(drawn).select("text", "lang").limit(2 * sample_per_lang * len(counts)).collect()
+    # as a constant of the plan, one entry a language: no text is shuffled
+    share = F.create_map(*[F.lit(v) for x, n in counts for v in (x, min(1.0, sample_per_lang / n))])
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
+    rows = known.where(drawn).select("text", "lang").limit(2 * sample_per_lang * len(counts)).collect()
     return train([tuple(r) for r in rows])
 
 
@@ -315,7 +315,7 @@ class Predictor:
         if not model.langs:
             out = pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0}, index=range(len(texts)))
             return out.assign(spans=[[] for _ in range(len(out))]) if spans else out
-        known = per_process(self.key, lambda: _Words(model))
+        known = per_process("langid", self.key, lambda: _Words(model))
         if len(known) > CACHE_WORDS:
             known.clear()
             known.n = 1
