@@ -88,6 +88,7 @@ class ShardReader:
         self.source = pa.memory_map(path) if isinstance(where, fs.LocalFileSystem) else where.open_input_file(path)
         self.file = pa.ipc.open_file(self.source)
         self.length = self.file.schema.field("ids").type.list_size
+        self.at, self.flat = -1, None
         self.step = self.file.get_batch(0).num_rows * self.length if self.file.num_record_batches else 0
 
     def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +108,9 @@ class ShardReader:
         out = []
         while n > 0:
             k, at = divmod(start, self.step)
-            flat = self.file.get_batch(k).column("ids").flatten().to_numpy(zero_copy_only=True)
-            out.append(flat[at : at + n])
+            if k != self.at:
+                self.at, self.flat = k, self.file.get_batch(k).column("ids").flatten().to_numpy(zero_copy_only=True)
+            out.append(self.flat[at : at + n])
             start, n = start + len(out[-1]), n - len(out[-1])
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint32)
 
