@@ -29,7 +29,7 @@ WINDOW, STRIDE = 32, 16
 WIDTH, CLASSES = 8, 32
 #: Ids with an embedding of their own; the others have their class's.
 EMBEDDED = 2048
-#: Bigrams kept, the most frequent ones; the mass of the others backs off to single ids.
+#: Bigrams with a place in every task, the most frequent ones; the others are looked up by a join.
 BIGRAMS = 1_000_000
 #: Ids that the class clustering and the dense bigram table work on.
 DENSE = 1024
@@ -53,8 +53,11 @@ class Counts:
     context: np.ndarray  # how often each rank has a successor
     keys: np.ndarray
     counts: np.ndarray
+    back: np.ndarray | None = None  # back-off mass of each rank, where ``keys`` are not all bigrams
 
     def backoff(self) -> np.ndarray:
+        if self.back is not None:
+            return self.back
         n = len(self.single)
         kept = np.bincount(self.keys // n, np.maximum(self.counts - DISCOUNT, 0), n)
         return 1 - kept / np.maximum(self.context, 1)
@@ -68,8 +71,21 @@ class Counts:
         return seen / np.maximum(self.context[prev], 1) + backoff[prev] * self.single[nxt]
 
 
+def centres(top: np.ndarray, classes: int, seed: int = 5) -> np.ndarray:
+    """Spherical k-means of the rows of ``top``."""
+    rng = np.random.default_rng(seed)
+    centre = top[rng.choice(len(top), min(classes, len(top)), replace=False)]
+    for _ in range(12):
+        of = (top @ centre.T).argmax(axis=1)
+        for k in range(len(centre)):
+            if (of == k).any():
+                v = top[of == k].sum(axis=0)
+                centre[k] = v / max(np.linalg.norm(v), 1e-9)
+    return centre
+
+
 def cluster(counts: Counts, classes: int, seed: int = 5) -> np.ndarray:
-    """Class of each rank: spherical k-means of what stands beside it."""
+    """Class of each rank, from what stands beside it."""
     n = len(counts.single)
     m = min(DENSE, n)
     prev, nxt = np.divmod(counts.keys, n)
@@ -84,15 +100,7 @@ def cluster(counts: Counts, classes: int, seed: int = 5) -> np.ndarray:
         out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
         return out
 
-    rng = np.random.default_rng(seed)
-    top = neighbours(0, m)
-    centre = top[rng.choice(m, min(classes, m), replace=False)]
-    for _ in range(12):
-        of = (top @ centre.T).argmax(axis=1)
-        for k in range(len(centre)):
-            if (of == k).any():
-                v = top[of == k].sum(axis=0)
-                centre[k] = v / max(np.linalg.norm(v), 1e-9)
+    centre = centres(neighbours(0, m), classes, seed)
     # the others in parts, to bound memory
     return np.concatenate([(neighbours(lo, min(lo + 2048, n)) @ centre.T).argmax(axis=1) for lo in range(0, n, 2048)])
 
@@ -187,18 +195,36 @@ def _distances(bias: np.ndarray, w: int) -> np.ndarray:
     return bias[np.maximum(i - j, 0)]
 
 
-def fit(counts: Counts, sample: list[np.ndarray], classes: int = CLASSES, steps: int = STEPS, seed: int = 11) -> Model:
-    """Train the attention layer on id sequences (each ends with the end id) by Adam."""
+@dataclass
+class Tables:
+    """What the model takes from all bigrams together; bounded by the vocabulary."""
+
+    of_class: np.ndarray
+    by_class: np.ndarray  # (prev rank, class): discounted counts
+    first: Counts  # all bigrams among the first ranks
+
+
+def tables(counts: Counts, classes: int) -> Tables:
+    """From counts that hold all bigrams."""
     n = len(counts.single)
-    back = counts.backoff()
     of_class = cluster(counts, classes)
     prev, nxt = np.divmod(counts.keys, n)
-    by_class = np.bincount(prev * classes + of_class[nxt], np.maximum(counts.counts - DISCOUNT, 0), n * classes).reshape(n, classes)
+    by_class = np.bincount(prev * classes + of_class[nxt], np.maximum(counts.counts - DISCOUNT, 0), n * classes)
+    return Tables(of_class, by_class.reshape(n, classes), counts)
+
+
+def fit(counts: Counts, sample: list[np.ndarray], classes: int = CLASSES, steps: int = STEPS, seed: int = 11, known: Tables | None = None) -> Model:
+    """Train the attention layer on id sequences (each ends with the end id) by Adam.
+    ``known`` has to be given if ``counts`` do not hold all bigrams."""
+    n = len(counts.single)
+    back = counts.backoff()
+    known = known or tables(counts, classes)
+    of_class = known.of_class
     rest = np.bincount(of_class, counts.single, classes)
-    log_class = np.log(by_class / np.maximum(counts.context, 1)[:, None] + back[:, None] * rest + 1e-30).astype(np.float32)
+    log_class = np.log(known.by_class / np.maximum(counts.context, 1)[:, None] + back[:, None] * rest + 1e-30).astype(np.float32)
     m = min(DENSE, n)
     pairs = (np.arange(m)[:, None] * n + np.arange(m)[None, :]).ravel()
-    dense = np.log(counts.share(pairs, back) + 1e-30).reshape(m, m) - log_class[:m][:, of_class[:m]]
+    dense = np.log(known.first.share(pairs, back) + 1e-30).reshape(m, m) - log_class[:m][:, of_class[:m]]
     own = min(EMBEDDED, n)
     row = np.where(np.arange(n) < own, np.arange(n), own + of_class)
     rng = np.random.default_rng(seed)
@@ -375,30 +401,159 @@ def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: in
     return docs.select("doc_id", "text", "train", "row_key").mapInArrow(run, COUNTED)
 
 
-def _bigram_model(counted: DataFrame, size: int, keep: int) -> Counts:
-    """Counts of ids and of their ``keep`` most frequent bigrams; sums over all are bounded
-    by the vocabulary."""
+def _bigram_model(counted: DataFrame, size: int, keep: int, classes: int) -> tuple[Counts, Tables | None, DataFrame | None]:
+    """Counts of ids, of their ``keep`` most frequent bigrams and the back-off mass over all;
+    and if there are more bigrams, what ``fit`` needs of all and the others (a, b, n)."""
     pairs = stage(counted.where(F.col("kind") == BIGRAM).groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
-    by_next, by_prev = np.zeros(size), np.zeros(size)
+    by_next, by_prev, kinds = np.zeros(size), np.zeros(size), np.zeros(size)
     for col, into in (("b", by_next), ("a", by_prev)):
-        t = pairs.groupBy(col).agg(F.sum("n").alias("n")).toArrow()
+        t = pairs.groupBy(col).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
         into[t.column(col).to_numpy()] = t.column("n").to_numpy()
+    kinds[t.column("a").to_numpy()] = t.column("kinds").to_numpy()
     # a count below which no more than ``keep`` bigrams are left, from counts by size
     level = F.floor(F.log2("n") * 16).cast("int")
     levels = sorted((tuple(r) for r in pairs.groupBy(level.alias("l")).count().collect()), reverse=True)
-    total, least = 0, None
+    total, least = 0, 1 << 30
     for lv, n in levels:
-        if total + n > keep and least is not None:
+        if total + n > keep:
             break
         total, least = total + n, lv
-    kept = pairs.where(level >= (least or 0)).toArrow()
     order = np.argsort(-by_next, kind="stable")
     rank = np.empty(size, np.int64)
     rank[order] = np.arange(size)
     single = (by_next[order] + 0.1) / (by_next.sum() + 0.1 * size)
-    keys = rank[kept.column("a").to_numpy()] * size + rank[kept.column("b").to_numpy()]
-    by_key = np.argsort(keys)
-    return Counts(rank, single, by_prev[order], keys[by_key], kept.column("n").to_numpy()[by_key].astype(float))
+    context = by_prev[order]
+    back = 1 - (context - DISCOUNT * kinds[order]) / np.maximum(context, 1)
+
+    def counts_of(prev, nxt, n) -> Counts:
+        keys = prev * size + nxt
+        by_key = np.argsort(keys)
+        return Counts(rank, single, context, keys[by_key], n[by_key].astype(float), back)
+
+    kept = pairs.where(level >= least).toArrow()
+    counts = counts_of(*(rank[kept.column(c).to_numpy()] for c in "ab"), kept.column("n").to_numpy())
+    if total == sum(n for _, n in levels):
+        return counts, None, None
+    ranked = _ranked(pairs, rank)
+    m = min(DENSE, size)
+    among = ranked.where((F.col("prev") < m) & (F.col("next") < m)).toArrow()
+    first = counts_of(*(among.column(c).to_numpy() for c in ("prev", "next", "n")))
+    of_class = _classes(ranked, first, classes)
+    return counts, Tables(of_class, _by_class(ranked, of_class, classes), first), pairs.where(level < least)
+
+
+def _ranked(pairs: DataFrame, rank: np.ndarray) -> DataFrame:
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = [rank[batch.column(0).to_numpy()], rank[batch.column(1).to_numpy()], batch.column(2)]
+            yield pa.record_batch([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["prev", "next", "n"])
+
+    return pairs.select("a", "b", "n").mapInArrow(run, "prev bigint, next bigint, n bigint")
+
+
+def _classes(ranked: DataFrame, first: Counts, classes: int) -> np.ndarray:
+    """``cluster`` over bigrams in Spark: the first ranks give the centres, and every other
+    rank comes to the one nearest to its at most 2 * DENSE neighbours among them."""
+    n = len(first.single)
+    m = min(DENSE, n)
+    prev, nxt = np.divmod(first.keys, n)
+    top = np.zeros((m, 2 * m), np.float32)
+    top[prev, nxt] = np.sqrt(first.counts)
+    top[nxt, m + prev] = np.sqrt(first.counts)
+    top /= np.maximum(np.linalg.norm(top, axis=1, keepdims=True), 1e-9)
+    centre = centres(top, classes)
+    near = centre.T.copy()
+    of_class = np.zeros(n, np.int64)
+    of_class[:m] = (top @ near).argmax(axis=1)
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            rank, other, count = (batch.column(i).to_numpy() for i in range(3))
+            order = np.argsort(rank, kind="stable")
+            at, start = np.unique(rank[order], return_index=True)
+            part = np.add.reduceat(near[other[order]] * np.sqrt(count[order])[:, None], start, axis=0) if len(at) else []
+            for r, v in zip(at.tolist(), part):
+                sums[r] = sums[r] + v if r in sums else v
+        ranks = list(sums)
+        yield pa.record_batch([pa.array(ranks, pa.int64()), pa.array([int(sums[r].argmax()) for r in ranks], pa.int64())], names=["rank", "class"])
+
+    before = ranked.where((F.col("prev") >= m) & (F.col("next") < m)).select(F.col("prev").alias("rank"), F.col("next").alias("other"), "n")
+    after = ranked.where((F.col("next") >= m) & (F.col("prev") < m)).select(F.col("next").alias("rank"), (F.col("prev") + m).alias("other"), "n")
+    t = before.unionByName(after).repartition("rank").mapInArrow(run, "rank bigint, class bigint").toArrow()
+    of_class[t.column("rank").to_numpy()] = t.column("class").to_numpy()
+    return of_class
+
+
+def _by_class(ranked: DataFrame, of_class: np.ndarray, classes: int) -> np.ndarray:
+    """(prev rank, class of next): discounted counts, summed in tasks and then by Spark."""
+    n = len(of_class)
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        sums = np.zeros(n * classes)
+        for batch in batches:
+            prev, nxt, count = (batch.column(i).to_numpy() for i in range(3))
+            np.add.at(sums, prev * classes + of_class[nxt], count - DISCOUNT)
+        some = np.flatnonzero(sums)
+        for a in range(0, len(some), 100_000):
+            part = some[a : a + 100_000]
+            yield pa.record_batch([pa.array(part), pa.array(sums[part])], names=["at", "c"])
+
+    t = ranked.mapInArrow(run, "at bigint, c double").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(n * classes)
+    out[t.column("at").to_numpy()] = t.column("c").to_numpy()
+    return out.reshape(n, classes)
+
+
+def _rare_gains(documents: DataFrame, rare: DataFrame, counts: Counts) -> DataFrame:
+    """row_key, gain: what each document's bigrams without a place in the tasks add to the
+    natural log of back-off alone. A bigram that no training document has adds nothing."""
+    size, rank, back = len(counts.single), counts.rank, counts.backoff()
+    single, context, held = counts.single, counts.context, counts.keys
+    id_kind, m = _id_kind(size), min(DENSE, size)
+
+    def gains(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            prev, nxt = (rank[batch.column(i).to_numpy()] for i in range(2))
+            alone = back[prev] * single[nxt]
+            gain = np.log1p((batch.column(2).to_numpy() - DISCOUNT) / np.maximum(context[prev], 1) / alone)
+            yield pa.record_batch([pa.array(prev * size + nxt), pa.array(gain)], names=["pair", "gain"])
+
+    def wanted(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows, lists = batch.column(0).to_numpy(), [np.frombuffer(x, id_kind) for x in batch.column(1).to_pylist()]
+            if not lists:
+                continue
+            cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+            x = rank[np.concatenate(lists)]
+            prev = np.empty(len(x), np.int64)
+            prev[1:] = x[:-1]
+            prev[cut[:-1]] = x[cut[1:] - 1]
+            doc = np.repeat(np.arange(len(lists)), np.diff(cut))
+            far = (prev >= m) | (x >= m)  # the dense table has the others
+            pair, doc = (prev * size + x)[far], doc[far]
+            if len(held):
+                out = held[np.minimum(np.searchsorted(held, pair), len(held) - 1)] != pair
+                pair, doc = pair[out], doc[out]
+            order = np.lexsort((pair, doc))
+            pair, doc = pair[order], doc[order]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(pair) != 0) | (np.diff(doc) != 0)])) if len(pair) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(pair)))
+            yield pa.record_batch([pa.array(rows[doc[new]]), pa.array(pair[new]), pa.array(times.astype(np.int64))], names=["row_key", "pair", "times"])
+
+    known = rare.select("a", "b", "n").mapInArrow(gains, "pair bigint, gain double")
+    asked = documents.select("a", "ids").mapInArrow(wanted, "row_key bigint, pair bigint, times bigint")
+    return asked.join(known, "pair").select("row_key", (F.col("gain") * F.col("times")).alias("gain"))
 
 
 def score(docs: DataFrame, train: Column, *, path: str | None = None, end_id: int | None = None, bigrams: int = BIGRAMS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -429,7 +584,8 @@ def score(docs: DataFrame, train: Column, *, path: str | None = None, end_id: in
     code = encoder(path)
     ids, at = code.encode(texts[::2])
     sample = [np.append(ids[a:b].astype(np.int64), end_id) for a, b in zip(at, at[1:])]
-    model = fit(_bigram_model(counted, size, bigrams), sample)
+    counts, known, rare = _bigram_model(counted, size, bigrams, CLASSES)
+    model = fit(counts, sample, CLASSES, known=known)
 
     hot = np.zeros(len(frequent), np.int64)
     for r in counted.where(F.col("kind") == FREQUENT).groupBy("a").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -439,10 +595,15 @@ def score(docs: DataFrame, train: Column, *, path: str | None = None, end_id: in
     tail_v, tail_n = by_word.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n, v = int(hot.sum()) + tail_n, int((hot > 0).sum()) + tail_v
     # the key of equal rows is one: their words come together and are shared out again
-    met = tail.join(by_word, "word", "left").groupBy(F.col("a").alias("row_key")).agg(
-        F.sum(F.when(F.col("word").isNotNull(), F.log10(F.coalesce("c", F.lit(0)) + 1)).otherwise(0.0)).alias("logs"),
-        F.count("c").alias("known"), F.sum(F.col("word").isNull().cast("int")).alias("copies"),
+    met = tail.join(by_word, "word", "left").select(
+        F.col("a").alias("row_key"), F.when(F.col("word").isNotNull(), F.log10(F.coalesce("c", F.lit(0)) + 1)).otherwise(0.0).alias("logs"),
+        F.col("c").isNotNull().cast("int").alias("known"), F.col("word").isNull().cast("int").alias("copies"), F.lit(0.0).alias("gain"),
     )
+    kept = counted.where(F.col("kind") == DOCUMENT).select("a", "b", "n", "ids", "hot")
+    if rare is not None:
+        gains = _rare_gains(kept, rare, counts)
+        met = met.unionByName(gains.select("row_key", F.lit(0.0).alias("logs"), F.lit(0).alias("known"), F.lit(0).alias("copies"), "gain"))
+    met = met.groupBy("row_key").agg(*[F.sum(c).alias(c) for c in ("logs", "known", "copies", "gain")])
     logs, model_key = np.log10(hot + 1.0), f"lm:{key}:{hashlib.sha256(model.out.tobytes() + model.counts.counts.tobytes()).hexdigest()}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -460,11 +621,10 @@ def score(docs: DataFrame, train: Column, *, path: str | None = None, end_id: in
                 {"doc_id": batch["b"].astype("Int64"), "row_key": batch["a"], "n_tokens": batch["n"] + 1, "hot_logs": hot_logs, "hot_known": hot_known, "score": scores}
             )
 
-    kept = counted.where(F.col("kind") == DOCUMENT).select("a", "b", "n", "ids", "hot")
     scored = kept.mapInPandas(run, "doc_id bigint, row_key bigint, n_tokens bigint, hot_logs double, hot_known bigint, score double")
     out = scored.join(met, "row_key", "left")
     base = F.col("hot_logs") + F.col("logs") / F.col("copies") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1.0)))
     return out.select(
         "doc_id", "n_tokens", (F.col("hot_known") + F.col("known") / F.col("copies")).cast("bigint").alias("n_known"),
-        F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.col("gain") / F.col("copies") / float(np.log(10))).alias("score"),
     )

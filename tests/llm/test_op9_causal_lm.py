@@ -100,3 +100,15 @@ def test_messy_rows(spark):
     assert causal_lm.score(documents(spark, []), F.lit(True)).count() == 0
     nothing = causal_lm.score(documents(spark, MESSY[:3]), F.lit(False)).collect()
     compare(nothing, base(MESSY[:3], [False] * 3))
+
+
+def test_no_bigram_is_left_out(spark):
+    """Bigrams without a place in the tasks count as much as the others."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200).localCheckpoint()
+    docs = docs.unionAll(docs.limit(3))  # equal rows share what is looked up
+    train = fold("doc_id", 7) != 2
+    want = sorted((r["doc_id"], r["score"]) for r in causal_lm.score(docs, train).collect())
+    for few in (0, 300):
+        got = sorted((r["doc_id"], r["score"]) for r in causal_lm.score(docs, train, bigrams=few).collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-4)
