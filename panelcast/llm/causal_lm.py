@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -33,8 +33,9 @@ EMBEDDED = 2048
 BIGRAMS = 1_000_000
 #: Ids that the class clustering and the dense bigram table work on.
 DENSE = 1024
-#: Training documents the attention layer is trained on, at most, and its steps.
-SAMPLE_DOCS, STEPS, BATCH = 1500, 600, 256
+#: Training documents and steps that the attention layer starts with, before it goes over all
+#: training documents in so many rounds.
+SAMPLE_DOCS, STEPS, BATCH, ROUNDS = 1500, 600, 256, 4
 DISCOUNT = 0.75
 #: Words with a counter of their own in every task (numbered by 16 bits); the others are counted by a shuffle.
 FREQUENT_WORDS = 1 << 16
@@ -213,9 +214,9 @@ def tables(counts: Counts, classes: int) -> Tables:
     return Tables(of_class, by_class.reshape(n, classes), counts)
 
 
-def fit(counts: Counts, sample: list[np.ndarray], classes: int = CLASSES, steps: int = STEPS, seed: int = 11, known: Tables | None = None) -> Model:
-    """Train the attention layer on id sequences (each ends with the end id) by Adam.
-    ``known`` has to be given if ``counts`` do not hold all bigrams."""
+def fit(counts: Counts, sample: list[np.ndarray], classes: int = CLASSES, steps: int = STEPS, seed: int = 11, known: Tables | None = None, further: Callable[[Layer], object] | None = None) -> Model:
+    """Train the attention layer on id sequences (each ends with the end id) by Adam, and
+    then by ``further``. ``known`` has to be given if ``counts`` do not hold all bigrams."""
     n = len(counts.single)
     back = counts.backoff()
     known = known or tables(counts, classes)
@@ -231,39 +232,56 @@ def fit(counts: Counts, sample: list[np.ndarray], classes: int = CLASSES, steps:
     size = own + classes
     x = rng.normal(0, 0.3, (size, WIDTH)).astype(np.float32)
     wq, wk, wv = (rng.normal(0, 0.25, (WIDTH, WIDTH)).astype(np.float32) for _ in range(3))
-    out = np.zeros((WIDTH, classes), np.float32)
-    bias = np.linspace(0, -1, WINDOW).astype(np.float32)
-    params = [x, wq, wk, wv, out, bias]
-    first, second = ([np.zeros_like(p) for p in params] for _ in range(2))
-    # training windows: WINDOW looked at, STRIDE predicted
-    streams = [np.concatenate([[counts.rank[s[-1]]], counts.rank[s]]) for s in sample if len(s)]
-    windows, targets = [], []
+    params = [x, wq, wk, wv, np.zeros((WIDTH, classes), np.float32), np.linspace(0, -1, WINDOW).astype(np.float32)]
+    layer = Layer(row, of_class, log_class, params)
+    windows, targets = windows_of([np.concatenate([[counts.rank[s[-1]]], counts.rank[s]]) for s in sample if len(s)])
+    if len(windows):
+        for step in range(1, steps + 1):
+            pick = rng.integers(len(windows), size=BATCH)
+            layer.step(windows[pick], targets[pick], 0.02 * (1 - 0.9 * step / steps))
+    if further is not None:
+        further(layer)
+    x, wq, wk, wv, out, bias = layer.params
+    return Model(counts.rank, n, of_class, log_class, dense.astype(np.float32), counts, back, row, x @ wq / np.float32(WIDTH**0.5), x @ wk, x @ wv, bias, out)
+
+
+def windows_of(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of ranks (WINDOW looked at) and the STRIDE ranks to predict, of texts that
+    begin with their end id; -1 where a text has not begun or is over."""
+    windows = [np.zeros((0, WINDOW + 1), np.int32)]
     for s in streams:
-        padded = np.concatenate([np.full(WINDOW - STRIDE, -1), s, np.full(-(len(s) - 1) % STRIDE, -1)])
-        for a in range(0, len(padded) - WINDOW, STRIDE):
-            windows.append(padded[a : a + WINDOW])
-            targets.append(padded[a + WINDOW - STRIDE + 1 : a + WINDOW + 1])
-    model = lambda: Model(counts.rank, n, of_class, log_class, dense.astype(np.float32), counts, back, row, x @ wq / np.float32(WIDTH**0.5), x @ wk, x @ wv, bias, out)
-    if not windows:
-        return model()
-    windows, targets = np.array(windows, np.int32), np.array(targets, np.int32)
-    causal, scale = _causal(WINDOW), np.float32(WIDTH**-0.5)
-    distance = np.maximum(np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
-    for step in range(1, steps + 1):
-        pick = rng.integers(len(windows), size=BATCH)
-        w, t = windows[pick], targets[pick]
-        r = row[np.maximum(w, 0)]
+        padded = np.concatenate([np.full(WINDOW - STRIDE, -1), s, np.full(-(len(s) - 1) % STRIDE, -1)]).astype(np.int32)
+        windows.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[::STRIDE])
+    both = np.concatenate(windows)
+    return both[:, :WINDOW], both[:, WINDOW - STRIDE + 1 :]
+
+
+class Layer:
+    """The attention layer in training, with Adam's moments."""
+
+    def __init__(self, row: np.ndarray, of_class: np.ndarray, log_class: np.ndarray, params: list[np.ndarray]):
+        self.row, self.of_class, self.log_class, self.params = row, of_class, log_class, params
+        self.first, self.second = ([np.zeros_like(p) for p in params] for _ in range(2))
+        self.steps = 0
+
+    def gradients(self, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the mean loss over the ids to predict."""
+        x, wq, wk, wv, out, bias = self.params
+        causal, scale = _causal(WINDOW), np.float32(WIDTH**-0.5)
+        distance = np.maximum(np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
+        r = self.row[np.maximum(w, 0)]
         e = x[r]
         q, k, v = e[:, WINDOW - STRIDE :] @ wq, e @ wk, e @ wv
         s = np.exp(np.clip(q @ k.transpose(0, 2, 1) * scale + bias[distance], -30, 30)) * causal * (w >= 0)[:, None, :]
-        s /= s.sum(axis=2, keepdims=True) + 1e-9
+        s /= s.sum(axis=2, keepdims=True) + np.float32(1e-9)
         h = s @ v
         last = np.maximum(w[:, WINDOW - STRIDE :], 0)
-        logits = (h.reshape(-1, WIDTH) @ out) + log_class[last.ravel()]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p = (h.reshape(-1, WIDTH) @ out) + self.log_class[last.ravel()]
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         ok = ((t >= 0) & (w[:, WINDOW - STRIDE :] >= 0)).ravel()
-        p[np.arange(len(p)), of_class[np.maximum(t, 0)].ravel()] -= 1
+        p[np.arange(len(p)), self.of_class[np.maximum(t, 0)].ravel()] -= 1
         p *= (ok / max(ok.sum(), 1))[:, None].astype(np.float32)
         g_out = h.reshape(-1, WIDTH).T @ p
         g_h = (p @ out.T).reshape(h.shape)
@@ -278,19 +296,91 @@ def fit(counts: Counts, sample: list[np.ndarray], classes: int = CLASSES, steps:
         g_wq = e[:, WINDOW - STRIDE :].reshape(-1, WIDTH).T @ g_q.reshape(-1, WIDTH)
         g_wk, g_wv = flat_e.T @ g_k.reshape(-1, WIDTH), flat_e.T @ g_v.reshape(-1, WIDTH)
         g_x = np.zeros_like(x)
-        np.add.at(g_x, r.ravel(), g_e.reshape(-1, WIDTH))
-        rate = 0.02 * (1 - 0.9 * step / steps)
-        for p_, g, a, b in zip(params, (g_x, g_wq, g_wk, g_wv, g_out, g_bias), first, second):
+        order = np.argsort(r.ravel(), kind="stable")
+        rows, start = np.unique(r.ravel()[order], return_index=True)
+        g_x[rows] = np.add.reduceat(g_e.reshape(-1, WIDTH)[order], start, axis=0)
+        return g_x, g_wq, g_wk, g_wv, g_out, g_bias
+
+    def step(self, w: np.ndarray, t: np.ndarray, rate: float) -> None:
+        self.steps += 1
+        for p, g, a, b in zip(self.params, self.gradients(w, t), self.first, self.second):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
-            p_ -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return model()
+            p -= (rate * (a / (1 - 0.9**self.steps)) / (np.sqrt(b / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
+
+    def flat(self) -> np.ndarray:
+        """Parameters and moments in one."""
+        return np.concatenate([p.ravel() for p in (*self.params, *self.first, *self.second)])
+
+    def put(self, flat: np.ndarray) -> None:
+        at = 0
+        for p in (*self.params, *self.first, *self.second):
+            p[...] = flat[at : at + p.size].reshape(p.shape)
+            at += p.size
+
+
+def learn(layer: Layer, documents: DataFrame, rank: np.ndarray, rounds: int = ROUNDS) -> int:
+    """One pass over every window of ``documents`` (a, ids); how many there were.
+
+    A round takes a share of the documents by hash. Its tasks start from one layer, step
+    through all windows they have, and Spark averages what they end with by windows. The
+    result depends a little on which task has which rows.
+    """
+    id_kind, slots, total = _id_kind(len(rank)), 16, 0
+
+    def run(batches, rate: float) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        rng = np.random.default_rng(task)
+        flat = layer.flat()
+        mine = Layer(layer.row, layer.of_class, layer.log_class, [p.copy() for p in layer.params])
+        mine.put(flat)
+        mine.steps = max(layer.steps, 1)
+        n, rest = 0, windows_of([])
+        for batch in batches:
+            texts = (np.frombuffer(x, id_kind) for x in batch.column(0).to_pylist())
+            w, t = windows_of([rank[np.concatenate([x[-1:], x])] for x in texts])
+            n += len(w)
+            w, t = np.concatenate([rest[0], w]), np.concatenate([rest[1], t])
+            mixed = rng.permutation(len(w))
+            whole = len(w) // BATCH * BATCH
+            for a in range(0, whole, BATCH):
+                mine.step(w[mixed[a : a + BATCH]], t[mixed[a : a + BATCH]], rate)
+            rest = w[mixed[whole:]], t[mixed[whole:]]
+        if len(rest[0]):
+            # a step as small as its windows are few
+            mine.step(*rest, rate * len(rest[0]) / BATCH)
+        if n:
+            yield pa.record_batch([pa.array([task % slots]), pa.array([n]), pa.array([(mine.flat().astype(float) * n).tobytes()])], names=["slot", "n", "layer"])
+
+    def add(batches) -> Iterator:
+        import pyarrow as pa
+
+        n, sums = 0, 0.0
+        for batch in batches:
+            for m, layer_ in zip(batch.column(0).to_pylist(), batch.column(1)):
+                n, sums = n + m, sums + np.frombuffer(layer_.as_py())
+        if n:
+            yield pa.record_batch([pa.array([n]), pa.array([sums.tobytes()])], names=["n", "layer"])
+
+    for k in range(rounds):
+        rate = 0.002 * (1 - 0.9 * k / rounds)
+        part = documents.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == k).select("ids")
+        ends = part.mapInArrow(lambda batches, rate=rate: run(batches, rate), "slot bigint, n bigint, layer binary")
+        met = ends.repartition(slots, "slot").select("n", "layer").mapInArrow(add, "n bigint, layer binary").collect()
+        n = sum(r["n"] for r in met)
+        if n:
+            layer.put(sum(np.frombuffer(r["layer"]) for r in met) / n)
+            total += n
+    return total
 
 
 # ---- counting and scoring ----------------------------------------------------------
 
 COUNTED = "kind int, a bigint, b bigint, n bigint, word string, ids binary, hot binary"
-BIGRAM, FREQUENT, TAIL, DOCUMENT = range(4)
+BIGRAM, FREQUENT, TAIL, DOCUMENT, TAUGHT = range(5)
 
 
 def _sample(docs: DataFrame, train: Column, size: int) -> list[str]:
@@ -329,10 +419,11 @@ class _Places:
 
 
 def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: int) -> DataFrame:
-    """One pass over all documents (doc_id, text, train, row_key), in rows of four kinds:
+    """One pass over all documents (doc_id, text, train, row_key), in rows of five kinds:
     BIGRAM and FREQUENT, what a task has counted in training documents (ids a, b; word number a);
     TAIL, every other word with its document's key, and a row without a word for each document;
-    DOCUMENT, a document's ids and the numbers of its frequent words, for scoring."""
+    DOCUMENT, a document's ids and the numbers of its frequent words, for scoring;
+    TAUGHT, the same of a training document."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -346,7 +437,7 @@ def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: in
         pairs, held = [], 0
 
         def rows_of(kind, m, **columns):
-            columns["kind"] = np.full(m, kind, np.int32)
+            columns["kind"] = np.broadcast_to(np.int32(kind), m) if np.isscalar(kind) else kind
             return pa.record_batch([pa.array(columns[c], t, from_pandas=True) if c in columns else pa.nulls(m, t) for c, t in kinds.items()], schema=schema)
 
         def merged():
@@ -376,7 +467,7 @@ def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: in
             numbers, ends = at[at >= 0].astype(np.uint16), np.cumsum(n)
             slim = ids.astype(_id_kind(size))
             yield rows_of(
-                DOCUMENT, len(rows), a=rows, b=batch.column("doc_id"), n=n,
+                np.where(taught, TAUGHT, DOCUMENT).astype(np.int32), len(rows), a=rows, b=batch.column("doc_id"), n=n,
                 ids=[slim[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])],
                 hot=[numbers[x:y].tobytes() for x, y in zip(hits[ends - n], hits[ends])],
             )
@@ -585,7 +676,8 @@ def score(docs: DataFrame, train: Column, *, path: str | None = None, end_id: in
     ids, at = code.encode(texts[::2])
     sample = [np.append(ids[a:b].astype(np.int64), end_id) for a, b in zip(at, at[1:])]
     counts, known, rare = _bigram_model(counted, size, bigrams, CLASSES)
-    model = fit(counts, sample, CLASSES, known=known)
+    taught = counted.where(F.col("kind") == TAUGHT).select("a", "ids")
+    model = fit(counts, sample, CLASSES, known=known, further=lambda layer: learn(layer, taught, counts.rank))
 
     hot = np.zeros(len(frequent), np.int64)
     for r in counted.where(F.col("kind") == FREQUENT).groupBy("a").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -599,7 +691,7 @@ def score(docs: DataFrame, train: Column, *, path: str | None = None, end_id: in
         F.col("a").alias("row_key"), F.when(F.col("word").isNotNull(), F.log10(F.coalesce("c", F.lit(0)) + 1)).otherwise(0.0).alias("logs"),
         F.col("c").isNotNull().cast("int").alias("known"), F.col("word").isNull().cast("int").alias("copies"), F.lit(0.0).alias("gain"),
     )
-    kept = counted.where(F.col("kind") == DOCUMENT).select("a", "b", "n", "ids", "hot")
+    kept = counted.where(F.col("kind").isin(DOCUMENT, TAUGHT)).select("a", "b", "n", "ids", "hot")
     if rare is not None:
         gains = _rare_gains(kept, rare, counts)
         met = met.unionByName(gains.select("row_key", F.lit(0.0).alias("logs"), F.lit(0).alias("known"), F.lit(0).alias("copies"), "gain"))

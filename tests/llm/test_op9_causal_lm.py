@@ -112,3 +112,53 @@ def test_no_bigram_is_left_out(spark):
         got = sorted((r["doc_id"], r["score"]) for r in causal_lm.score(docs, train, bigrams=few).collect())
         assert [g[0] for g in got] == [w[0] for w in want]
         assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-4)
+
+
+def test_all_training_documents_teach_the_layer(spark, monkeypatch):
+    """Every window of every training document, and of no other, is stepped through."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120).localCheckpoint()
+    train = fold("doc_id", 7) != 2
+    seen, learn = [], causal_lm.learn
+
+    def watched(layer, documents, rank):
+        before = [p.copy() for p in layer.params]
+        lengths = [len(r["ids"]) // np.dtype(causal_lm._id_kind(len(rank))).itemsize for r in documents.collect()]
+        seen.append((learn(layer, documents, rank), sum(-(-n // causal_lm.STRIDE) for n in lengths), len(lengths)))
+        assert all(np.isfinite(p).all() for p in layer.params) and any((a != b).any() for a, b in zip(before, layer.params))
+
+    monkeypatch.setattr(causal_lm, "learn", watched)
+    causal_lm.score(docs, train, sample_docs=5).count()
+    assert len(seen) == 1 and seen[0][0] == seen[0][1] and seen[0][2] == docs.where(train).count()
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(1)
+    n, classes = 12, 4
+    log_class = np.log(rng.dirichlet(np.ones(classes), n))
+    params = [rng.normal(0, 0.5, s) for s in ((n, causal_lm.WIDTH), *[(causal_lm.WIDTH,) * 2] * 3, (causal_lm.WIDTH, classes), (causal_lm.WINDOW,))]
+    layer = causal_lm.Layer(np.arange(n), np.arange(n) % classes, log_class, params)
+    w, t = causal_lm.windows_of([rng.integers(0, n, 41), rng.integers(0, n, 7)])
+
+    def loss():
+        x, wq, wk, wv, out, bias = layer.params
+        total, count = 0.0, 0
+        for a, b in zip(w, t):
+            for i, nxt in enumerate(b):
+                at = causal_lm.WINDOW - causal_lm.STRIDE + i
+                if nxt < 0 or a[at] < 0:
+                    continue
+                js = [j for j in range(at + 1) if a[j] >= 0]
+                z = np.array([x[a[at]] @ wq @ (x[a[j]] @ wk) / causal_lm.WIDTH**0.5 + bias[at - j] for j in js])
+                z = np.exp(z) / np.exp(z).sum()
+                row = sum(p * (x[a[j]] @ wv) for p, j in zip(z, js)) @ out + log_class[a[at]]
+                total, count = total + np.log(np.exp(row).sum()) - row[nxt % classes], count + 1
+        return total / count
+
+    for p, g in zip(layer.params, layer.gradients(w, t)):
+        for at in (0, p.size // 2, p.size - 1):
+            kept = p.flat[at]
+            p.flat[at] = kept + 1e-5
+            up = loss()
+            p.flat[at] = kept - 1e-5
+            assert g.flat[at] == pytest.approx((up - loss()) / 2e-5, rel=1e-3, abs=1e-6)
+            p.flat[at] = kept
