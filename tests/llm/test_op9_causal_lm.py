@@ -162,3 +162,7 @@ def test_gradients_are_those_of_the_loss():
             p.flat[at] = kept - 1e-5
             assert g.flat[at] == pytest.approx((up - loss()) / 2e-5, rel=1e-3, abs=1e-6)
             p.flat[at] = kept
+
+
+def test_size_of_the_layer():
+    assert (causal_lm.WIDTH, causal_lm.CLASSES) == (16, 64)
