@@ -109,7 +109,7 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _describe(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
+def _describe(own: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     """doc_id, row_key, node (names the shingle set; null if it is empty), n, keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,11 +127,10 @@ def _describe(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
                 }
             )
 
-    own = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("row_key"))
     return own.mapInPandas(run, "doc_id bigint, row_key bigint, node binary, n bigint, keys array<bigint>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def _sets(own: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """node, n and full set of the documents whose row key is wanted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +138,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = [s for s in shingle_sets(batch["text"].tolist(), width) if len(s)]
             yield pd.DataFrame({"node": [set_key(s) for s in sets], "items": [s.view(np.int64) for s in sets]})
 
-    own = docs.select(F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("row_key"), "text")
     found = own.join(wanted, "row_key", "left_semi").select("text").mapInPandas(run, "node binary, items array<bigint>")
     return found.groupBy("node").agg(F.first("items").alias("items"))
 
@@ -200,7 +198,9 @@ def near_duplicates(
     no rows.
     """
     text_batches(docs.sparkSession)
-    told = stage(_describe(docs, bands, rows, width), "minhash")
+    # one frame for both readers, as the key of a row depends on the types
+    own = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    told = stage(_describe(own, bands, rows, width), "minhash")
     # equal sets are one node from here on
     nodes = told.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("keys").alias("keys")
@@ -210,7 +210,7 @@ def near_duplicates(
     shared = stage(keyed.join(shared, "key"), "buckets")
     central = shared.groupBy("node").agg(F.sum("members").alias("weight"))
     central = stage(central.join(nodes.select("node", "n", "row_key"), "node"), "central")
-    sets = stage(_sets(docs, central.select("row_key"), width), "sets")
+    sets = stage(_sets(own, central.select("row_key"), width), "sets")
 
     # Leaders: each member meets its bucket's most central one.
     weighed = shared.select("key", "node").join(central.select("node", "n", "weight"), "node")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_frames import MESSY, documents
 from panelcast.llm import minhash
@@ -87,3 +88,11 @@ def test_signature_estimates_similarity():
     sig = minhash.signatures([a, b], 2048)
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert np.mean(sig[0] == sig[1]) == pytest.approx(true, abs=0.04)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_ids_of_other_types(spark, kind):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text), (2, text + " and more"), (3, "something else entirely in six words")]
+    got = result(minhash.near_duplicates(documents(spark, rows).withColumn("doc_id", F.col("doc_id").cast(kind))))
+    assert got == sorted(brute(rows), key=key)
