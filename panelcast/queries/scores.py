@@ -139,7 +139,9 @@ _SERIES = ["click", "error", "purchase", "signup", "view"]
 )
 def x19_degradation_pivot(spark, sf):
     s = _scores(spark, sf).where((F.col("subset") == "active") & F.col("model").isin(MODELS[:3]))
-    return tidy(M.pivot_scores(s, ["protocol", "model"], "series_id", "nrmse_pct", _SERIES), 3)
+    # the usual columns, and one for every further series that is there
+    found = {x[0] for x in s.select("series_id").distinct().collect()} - {None}
+    return tidy(M.pivot_scores(s, ["protocol", "model"], "series_id", "nrmse_pct", sorted(found.union(_SERIES))), 3)
 
 
 @query("x21_error_by_hour", sql(f"SELECT {_KEY}, hour(ts) AS hour, count(*) AS n, {r('avg(abs(y - yhat))')} AS mae FROM obs_h GROUP BY ALL"))

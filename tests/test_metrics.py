@@ -126,3 +126,13 @@ def test_two_by_two(spark):
     df = spark.createDataFrame([("k", True, True, 1.0), ("k", True, False, 3.0), ("k", False, True, 4.0), ("k", False, False, 5.0)], "k string, a boolean, b boolean, v double")
     r = M.two_by_two(df, ["k"], "a", "b", "v").first()
     assert (r["effect_with"], r["effect_without"], r["interaction"]) == (-3.0, -2.0, -1.0)
+
+
+def test_pivot_has_every_series(spark, monkeypatch):
+    from panelcast.queries import scores
+
+    data = [("fold", "Persistence", "active", s, v) for s, v in (("click", 1.0), ("view", 2.0), ("refund", 3.0))]
+    df = spark.createDataFrame(data, "protocol string, model string, subset string, series_id string, nrmse_pct double")
+    monkeypatch.setattr(scores, "_scores", lambda *a: df)
+    got = scores.x19_degradation_pivot(spark, None).first().asDict()
+    assert (got["click"], got["view"], got["refund"], got["error"]) == (1.0, 2.0, 3.0, None)
