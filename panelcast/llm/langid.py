@@ -313,7 +313,7 @@ class Predictor:
     def __call__(self, texts: pd.Series, spans: bool = False) -> pd.DataFrame:
         model = self.model
         if not model.langs:
-            out = pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0}, index=range(len(texts)))
+            out = pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0, "sure": 0.0}, index=range(len(texts)))
             return out.assign(spans=[[] for _ in range(len(out))]) if spans else out
         known = per_process("langid", self.key, lambda: _Words(model))
         if len(known) > CACHE_WORDS:
@@ -326,7 +326,10 @@ class Predictor:
         best = mean.argmax(axis=1)
         langs = np.array([*model.langs, UNKNOWN], object)
         score = np.where(n > 0, mean[np.arange(len(n)), best], 0.0).clip(0, 1)
-        out = pd.DataFrame({"lang_pred": langs[np.where(n > 0, best, -1)], "score": score})
+        # how surely the words are labelled, in whatever languages
+        tops = np.concatenate([[0.0], np.cumsum(post.max(axis=1))])
+        sure = ((tops[ends] - tops[ends - n]) / np.maximum(n, 1)).clip(0, 1)
+        out = pd.DataFrame({"lang_pred": langs[np.where(n > 0, best, -1)], "score": score, "sure": sure})
         if spans:
             tops = np.split(post.argmax(axis=1), ends[:-1]) if len(n) else []
             out["spans"] = [_runs(t, w, model.langs) for t, w in zip(tops, which)]
@@ -348,7 +351,7 @@ def label(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = predict(batch["text"], spans)
+            out = predict(batch["text"], spans).drop(columns="sure")
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
             yield out
 
@@ -356,15 +359,15 @@ def label(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
-    """Rows whose language is known, all columns: not ``und``, and on average at least
-    ``least_score`` sure over the words. One pass without a shuffle."""
+    """Rows whose language is known, all columns: not ``und``, and each word's likeliest
+    language has on average a posterior of at least ``least_score``. One pass without a shuffle."""
     text_batches(docs.sparkSession)
     predict = Predictor(model)
 
     @F.pandas_udf("boolean")
     def known(text: pd.Series) -> pd.Series:
         out = predict(text)
-        return (out["lang_pred"] != UNKNOWN) & (out["score"] >= least_score)
+        return (out["lang_pred"] != UNKNOWN) & (out["sure"] >= least_score)
 
     return docs.where(known(F.col("text")))
 

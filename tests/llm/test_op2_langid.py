@@ -71,3 +71,13 @@ def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([(1, "text", None)], "doc_id bigint, text string, lang string")
     (r,) = langid.label(documents(spark, [(1, "some text")]), langid.learn(empty)).collect()
     assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+
+
+def test_mixed_text_is_kept(spark, model):
+    """Many languages in like shares: each word is sure, none of them leads."""
+    docs = {r["lang"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 400").orderBy("doc_id").collect()}
+    mixed = " ".join(" ".join(docs[lang].split()[:25]) for lang in sorted(docs)[:4])
+    rows = documents(spark, [(1, mixed), (2, None), (3, "12 34"), (4, " ".join(docs["de"].split()[:25]))])
+    (row,) = langid.label(rows.where("doc_id = 1"), model).collect()
+    assert row["score"] < langid.LEAST_SCORE
+    assert sorted(r["doc_id"] for r in langid.keep_known(rows, model).collect()) == [1, 4]
