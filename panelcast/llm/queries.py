@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import fold
-from . import causal_lm, decontam, exactdedup, langid, minhash, packing, tokenfiles, toxicity, urlfilter, wordpiece
+from . import causal_lm, centroids, decontam, divergence, exactdedup, langid, minhash, packing, sharding, tokenfiles, toxicity, urlfilter, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,58 @@ def op9_language_model(spark, sf):
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"))
+
+
+def _cluster_sql(k: int = centroids.CENTROIDS, rounds: int = centroids.ROUNDS) -> str:
+    """Plain rounds: every vector measures every centroid."""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = {centroids.COMPONENTS} AND len(list_filter(embedding, lambda x: coalesce(isfinite(CAST(x AS DOUBLE)), false))) = len(embedding))""",
+        "e AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v)",
+        f"""f AS (SELECT v, row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id)) - 1 AS c FROM v QUALIFY c < {k})""",
+        "c0 AS MATERIALIZED (SELECT c, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM f)",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"d{n} AS (SELECT r, c, sum((x - y) * (x - y)) AS d FROM e JOIN c{n} USING (i) GROUP BY r, c)")
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, min({{'d': d, 'c': c}}) AS m FROM d{n} GROUP BY r)")
+        if n < rounds:
+            parts.append(f"m{n} AS (SELECT m.c AS c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{n} JOIN e USING (r) GROUP BY ALL)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c, i, CASE WHEN m.n IS NULL THEN y ELSE (s - ((s % n) + n) % n) // n END AS y FROM c{n} LEFT JOIN m{n} m USING (c, i))")
+    parts.append(f"h AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)")
+    return "WITH " + ",\n    ".join(parts) + f"""
+    SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+        CAST(sum(m.d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN h ON h.c = m.c"""
+
+
+@query("op11_centroid_clusters", _cluster_sql())
+def op11_centroid_clusters(spark, sf):
+    return centroids.cluster(table(spark, sf, "embeddings")).drop("second")
+
+
+@query("op12_minimax_shards")
+def op12_minimax_shards(spark, sf):
+    return sharding.assign(table(spark, sf, "documents"))
+
+
+DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    o AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+    k AS MATERIALIZED (SELECT lang, term, sum(n) AS total FROM o GROUP BY ALL HAVING sum(docs) >= 3),
+    l AS (SELECT lang, count(*) AS V, sum(total) AS M FROM k GROUP BY lang),
+    x AS (SELECT lang, source, term, total, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) JOIN k USING (lang) LEFT JOIN o USING (lang, source, term)),
+    s AS (SELECT lang, source, sum(n) AS own FROM x GROUP BY ALL),
+    p AS MATERIALIZED (SELECT lang, source, term, n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 1)) // (own + V) AS BIGINT) AS p,
+        CAST(1 + (CAST(1000000000 AS HUGEINT) * (total + 1)) // (M + V) AS BIGINT) AS q FROM x JOIN s USING (lang, source) JOIN l USING (lang)),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q)
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 200"""
+
+
+@query("op13_source_divergence", DIVERGENCE)
+def op13_source_divergence(spark, sf):
+    return divergence.audit(table(spark, sf, "documents"))
