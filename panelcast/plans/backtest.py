@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions.stage import stage
 from ..functions.time import Grid, season_slot
-from ..operators import fusion, linear, reference, splits
+from ..operators import fold_models, fusion, linear, reference, splits
+from ..operators.features import add_cyclic
 from ..operators.grid import attach, capacity, day_facts, usable_days
 from ..operators.metrics import add_skill, metric_columns, observed, to_long, with_subsets
 
 FOLD = reference.FOLD
 REFERENCES = ("Persistence", "Climatology", "SmartPersistence")
 BASES = ("Scaled", "OLS2", "Ridge")
+BOOSTED = fold_models.MEMBERS
+CYCLES = ("doy_sin", "doy_cos", "hour_sin", "hour_cos")
 
 
 @dataclass(frozen=True)
@@ -96,11 +99,26 @@ def forecast(assigned: DataFrame, learnt: DataFrame, setup: Setup, ridge: bool =
     )
 
 
-def forecasts(frame: DataFrame, setup: Setup, ridge: bool = True, stored: bool = False) -> DataFrame:
+def boosted(assigned: DataFrame, setup: Setup, members: Sequence[str] = BOOSTED, rules: fold_models.Rules | None = None) -> DataFrame:
+    """Boosted forecasts of validation and test rows, keyed by fold, role and slot, from the
+    setup's features and the cycles of day and year."""
+    caps = splits.fold_capacity(assigned, assigned.groupBy("series_id").agg(F.max("capacity").alias("capacity")))
+    rules = rules or fold_models.Rules(bound=setup.bound if isinstance(setup.bound, (int, float)) else float("inf"))
+    return fold_models.forecasts(add_cyclic(assigned), caps, [*setup.features, *CYCLES], "driver", rules, members)
+
+
+def forecasts(frame: DataFrame, setup: Setup, ridge: bool = True, stored: bool = False, trees: Sequence[str] = ()) -> DataFrame:
     """Frame to wide forecasts. The frame (unless ``stored``) and the assigned rows are
-    written once each, since capacity, days, profiles, fits and forecasts read them."""
+    written once each, since capacity, days, profiles, fits and forecasts read them.
+    ``trees`` names the boosted members wanted; their table has the same rows and is joined."""
     assigned = stage(scored_frame(frame if stored else stage(frame, "frame"), setup)[0], "assigned")
-    return forecast(assigned, learn(assigned, setup, ridge), setup, ridge)
+    wide = forecast(assigned, learn(assigned, setup, ridge), setup, ridge)
+    return with_boosted(wide, boosted(assigned, setup, trees)) if trees else wide
+
+
+def with_boosted(wide: DataFrame, trees: DataFrame) -> DataFrame:
+    """Boosted members beside the others: one row for each row of ``wide``."""
+    return wide.join(trees, [*FOLD, "role", "slot"], "left")
 
 
 def fuse(wide: DataFrame, members: Sequence[str]) -> DataFrame:
@@ -114,8 +132,9 @@ def score_all(fused: DataFrame, models: Sequence[str], keys: Sequence[str] = ("s
     return add_skill(scored, "SmartPersistence", [*keys, "subset"])
 
 
-def headline(frame: DataFrame, setup: Setup, members: Sequence[str] = BASES) -> DataFrame:
-    """Panel frame to the metric table of references, bases and fusions."""
-    ridge = "Ridge" in members
-    fused = fuse(forecasts(frame, setup, ridge), members)
+def headline(frame: DataFrame, setup: Setup, members: Sequence[str] = (*BASES, *BOOSTED)) -> DataFrame:
+    """Panel frame to the metric table of references, members and fusions. The forecasts are
+    written once, since weights and fusions read them."""
+    wide = forecasts(frame, setup, "Ridge" in members, trees=[m for m in members if m in BOOSTED])
+    fused = fuse(stage(wide, "forecasts"), members)
     return score_all(fused, [*REFERENCES, *members, *fusion.VARIANTS])

@@ -14,7 +14,7 @@ from ..operators.features import active_by_elevation, active_by_label, add_cycli
 from ..operators.grid import attach, capacity
 from ..operators.joins import fillable, with_drivers
 from ..sources import tables
-from .backtest import Setup, forecasts, fuse, scored_frame
+from .backtest import BASES, BOOSTED, Setup, boosted, forecasts, fuse, scored_frame, with_boosted
 
 # The default site.
 LAT, LON, TILT, FACING = 50.91, -1.40, 30.0, 180.0
@@ -141,3 +141,20 @@ def stored_rows(spark: SparkSession, sf_dir: str, ds: Dataset) -> DataFrame:
         _stored[key] = stage(scored_frame(stage(frame, "context"), ds.setup)[0], f"rows-{ds.name}")
     tables.ensure_utc(spark)
     return _stored[key]
+
+
+def stored_boosted(spark: SparkSession, sf_dir: str, ds: Dataset) -> DataFrame:
+    """Boosted forecasts of every fold of a dataset, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, ds.name, "boosted")
+    if key not in _stored:
+        _stored[key] = stage(boosted(stored_rows(spark, sf_dir, ds), ds.setup), f"boosted-{ds.name}")
+    return _stored[key]
+
+
+def stored_all_fused(spark: SparkSession, sf_dir: str, ds: Dataset) -> DataFrame:
+    """Test rows with the fusions of all six members, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, ds.name, "all-fused")
+    if key not in _stored:
+        wide = stage(with_boosted(stored_forecasts(spark, sf_dir, ds), stored_boosted(spark, sf_dir, ds)), f"six-{ds.name}")
+        _stored[key] = stage(fuse(wide, [*BASES, *BOOSTED]), f"all-fused-{ds.name}")
+    return _stored[key]

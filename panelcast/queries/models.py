@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stage import stage
 from ..functions.time import HOURLY
-from ..operators import boosting, fusion, grid, linear, metrics as M, splits
-from ..operators.features import temporal_context
+from ..operators import fold_models, fusion, grid, linear, metrics as M, splits
+from ..operators.features import add_cyclic, temporal_context
 from ..plans import backtest, grids
-from ..plans.datasets import H, hourly_frame, stored_drivers, stored_frame, stored_fused, stored_rows
+from ..plans.datasets import H, hourly_frame, stored_all_fused, stored_boosted, stored_drivers, stored_forecasts, stored_frame, stored_fused, stored_rows
 from ..sources import tables
 from .registry import query, tidy
 from .scores import MODELS
@@ -77,57 +74,70 @@ def m06_per_hour_ridge(spark, sf):
     return tidy(out.select("protocol", "fold", "series_id", "slot", "yhat"), 4)
 
 
-_SMALL = {"rounds": 5, "depth": 3, "rate": 0.3}
-_NAMES = ["n_events", "mean_value", "mean_k", "hour_sin", "hour_cos"]
-
-
-def _fold_sets(spark, sf):
-    """(protocol, fold, training rows, test rows) of every fold, with the capacity known
-    from the fold's training rows; as many fits as folds, whatever the data."""
-    rows = stage(stored_rows(spark, sf, H).drop("prev_pair"), "fold-rows")
-    caps = splits.fold_capacity(rows, rows.groupBy("series_id").agg(F.max("capacity").alias("capacity")))
-    caps = stage(caps.select(*_F, F.col("capacity").alias("fold_cap")), "fold-capacity")
-    train = splits.train_rows(rows).join(caps, _F)
-    test = splits.eval_rows(rows).where(F.col("role") == "test").join(caps, _F)
-    for p, f in sorted(tuple(r) for r in caps.select("protocol", "fold").distinct().collect()):
-        here = (F.col("protocol") == p) & (F.col("fold") == f)
-        yield p, f, train.where(here), test.where(here)
-
-
-def _all_folds(parts):
-    return reduce(DataFrame.unionByName, parts)
+_BOOST_NAMES = [*H.setup.features, *backtest.CYCLES]
 
 
-def _score(rows, name):
-    out = M.with_subsets(M.observed(rows.withColumn("yhat", F.col(name))))
-    return tidy(out.groupBy("series_id", "protocol", "fold", "subset").agg(*M.metric_columns(capacity=F.col("capacity"))))
+def _boosted_scores(spark, sf, member):
+    fc = stored_boosted(spark, sf, H).where("role = 'test'").select(*_F, "slot", F.col(member).alias("yhat"))
+    rows = stored_forecasts(spark, sf, H).where("role = 'test'").select(*_F, "slot", "y", "active", "is_missing", "capacity").join(fc, [*_F, "slot"])
+    return tidy(M.with_subsets(M.observed(rows)).groupBy("series_id", "protocol", "fold", "subset").agg(*M.metric_columns(capacity=F.col("capacity"))))
 
 
 @query("m04_boosting")
 def m04_boosting(spark, sf):
-    hold = boosting.held_out(0.12, "stop", F.col("series_id"), F.col("slot"))
-    out = [boosting.boosted(train.withColumn("hold", hold), test, _NAMES, validation="hold", **_SMALL) for _, _, train, test in _fold_sets(spark, sf)]
-    return _score(_all_folds(out), "GBM")
+    """Boosted trees of each series and fold, up to 800 rounds of depth 8, stopped early."""
+    return _boosted_scores(spark, sf, "GBM")
 
 
 @query("m05_ratio_boosting")
 def m05_ratio_boosting(spark, sf):
-    hold = boosting.held_out(0.12, "stop", F.col("series_id"), F.col("slot"))
-    out = [
-        boosting.boosted_ratio(train.withColumn("hold", hold), test, _NAMES, "driver", F.col("fold_cap"), validation="hold", **_SMALL)
-        for _, _, train, test in _fold_sets(spark, sf)
-    ]
-    return _score(_all_folds(out), "GBM_kt")
+    """The same on the bounded ratio to the clear-sky envelope, scaled back."""
+    return _boosted_scores(spark, sf, "GBM_kt")
+
+
+@query("m06_per_hour_boosting")
+def m06_per_hour_boosting(spark, sf):
+    """A model for each hour with at least 30 training rows; 0 in the other hours."""
+    return _boosted_scores(spark, sf, "GBM_per_hour")
+
+
+_HOURS = "SELECT series_id, protocol, fold, hour(ts) AS h, count(*) AS n FROM train_h GROUP BY ALL"
+
+
+@query(
+    "m04_boosted_rows",
+    sql(
+        f"""SELECT e.series_id, e.protocol, e.fold, e.role, count(*) AS n_rows, count(*) AS n_forecast, count(*) FILTER (WHERE e.driver < 50) AS n_low_driver,
+        count(*) FILTER (WHERE e.driver < 50 AND u.n > 200) AS n_low_zero,
+        count(*) FILTER (WHERE coalesce(t.n, 0) < 30) AS n_thin_hour, count(*) FILTER (WHERE coalesce(t.n, 0) < 30) AS n_thin_zero
+        FROM fc_h e LEFT JOIN (SELECT series_id, protocol, fold, count(*) FILTER (WHERE driver > 50) AS n FROM train_h GROUP BY ALL) u
+        ON u.series_id = e.series_id AND u.protocol = e.protocol AND u.fold = e.fold
+        LEFT JOIN ({_HOURS}) t ON t.series_id = e.series_id AND t.protocol = e.protocol AND t.fold = e.fold AND t.h = hour(e.ts) GROUP BY ALL"""
+    ),
+)
+def m04_boosted_rows(spark, sf):
+    """Rows in and out of each fold's boosted models, and the rows that their rules set to 0."""
+    rows = stored_forecasts(spark, sf, H).select(*_F, "role", "slot", "ts", "driver")
+    train = splits.train_rows(stored_rows(spark, sf, H).drop("prev_pair"))
+    usable = train.groupBy(*_F).agg(F.count_if(F.col("driver") > 50).alias("n_usable"))
+    hours = train.groupBy(*_F, F.hour("ts").alias("h")).agg(F.count("*").alias("n_hour"))
+    out = rows.join(stored_boosted(spark, sf, H), [*_F, "role", "slot"], "left").join(usable, _F, "left")
+    out = out.withColumn("h", F.hour("ts")).join(hours, [*_F, "h"], "left")
+    low, thin = F.col("driver") < 50, F.coalesce("n_hour", F.lit(0)) < 30
+    known = F.col("GBM").isNotNull() & F.col("GBM_kt").isNotNull() & F.col("GBM_per_hour").isNotNull()
+    return out.groupBy(*_F, "role").agg(
+        F.count("*").alias("n_rows"), F.count_if(known).alias("n_forecast"), F.count_if(low).alias("n_low_driver"),
+        F.count_if(low & (F.col("n_usable") > 200) & (F.col("GBM_kt") == 0)).alias("n_low_zero"),
+        F.count_if(thin).alias("n_thin_hour"), F.count_if(thin & (F.col("GBM_per_hour") == 0)).alias("n_thin_zero"),
+    )
 
 
 @query("m07_permutation_importance")
 def m07_permutation_importance(spark, sf):
-    out = []
-    for p, f, train, test in _fold_sets(spark, sf):
-        model = boosting.fit_boosting(train, _NAMES, **_SMALL)
-        found = boosting.permutation_importance(model, M.observed(test).where("active"), _NAMES, ["series_id", "slot"])
-        out.append(found.withColumns({"protocol": F.lit(p), "fold": F.lit(f)}))
-    return tidy(_all_folds(out))
+    """Three deals of each feature over the active test rows of every series and fold."""
+    rows = add_cyclic(stored_rows(spark, sf, H))
+    caps = splits.fold_capacity(rows, rows.groupBy("series_id").agg(F.max("capacity").alias("capacity")))
+    return tidy(fold_models.importance(rows, caps, _BOOST_NAMES))
 
 
 def _variant_scores(variants: dict[str, tuple[str, str]], train: str = "train_h", whole: str = "whole_h", splits_: str = "splits_h") -> str:
@@ -325,7 +335,13 @@ def g08_headline(spark, sf):
     return tidy(backtest.score_all(stored_fused(spark, sf, H), _ALL), 4, skill=6)
 
 
+@query("g08_headline_six_members")
+def g08_headline_six_members(spark, sf):
+    """References, linear and boosted members and their fusions."""
+    return tidy(backtest.score_all(stored_all_fused(spark, sf, H), [*backtest.REFERENCES, *backtest.BASES, *backtest.BOOSTED, *fusion.VARIANTS]), 4, skill=6)
+
+
 @query("g08_headline_from_log")
 def g08_headline_from_log(spark, sf):
-    """The same job from the event log onwards, ridge included, nothing stored before."""
+    """The same job from the event log onwards, with all members, nothing stored before."""
     return tidy(backtest.headline(H.frame(spark, sf), H.setup))
