@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,12 +93,13 @@ class Ends:
 
     def split(self, stretches: list[tuple[int, int, int]]) -> None:
         """Learn (low, high, width): the ends from low to high in bins of ``width``."""
-        end, bins = F.col("end"), None
-        for k, (low, high, width) in enumerate(stretches):
-            mine = F.when(end.between(low, high), F.struct(F.lit(k).alias("k"), ((end - low) % width - end).alias("bin")))
-            bins = mine if bins is None else F.coalesce(bins, mine)
-        wanted = self.table.where(end.between(min(s[0] for s in stretches), max(s[1] for s in stretches)))
-        found = wanted.select("end", bins.alias("bin")).where("bin is not null").groupBy("bin").agg(F.min("end").alias("a"), F.max("end").alias("z"), F.count("*").alias("n")).collect()
+        end = F.col("end")
+        inside = [end.between(low, high) for low, high, _ in stretches]
+        start = F.when(F.lit(False), F.lit(0).cast("bigint"))
+        for here, (low, _, width) in zip(inside, stretches):  # one flat CASE
+            start = start.when(here, end - (end - low) % width)
+        wanted = self.table.where(reduce(Column.__or__, inside)).select("end", start.alias("start"))
+        found = wanted.groupBy("start").agg(F.min("end").alias("a"), F.max("end").alias("z"), F.count("*").alias("n")).collect()
         news = [(r["a"], r["z"], r["n"] > 2) for r in found]
         olds = [b for b in zip(self.first, self.last, self.open) if not any(low <= b[0] and b[1] <= high for low, high, _ in stretches)]
         rows = sorted(olds + news)
@@ -153,13 +155,12 @@ def _width(low: int, high: int, bins: int) -> int:
     return max(1, -(-(high - low + 1) // bins))
 
 
-def minimax_cuts(table: DataFrame, shards: int = SHARDS, first_bins: int = FIRST_BINS, bins: int = BINS) -> tuple[int, list[int], int]:
+def minimax_cuts(ends: Ends, total: int, shards: int = SHARDS, first_bins: int = FIRST_BINS, bins: int = BINS) -> tuple[int, list[int], int]:
     """Smallest capacity, the ends of all runs but the last, and the number of passes
-    over ``table`` (a column ``end``: running sums of the groups' sizes)."""
-    total = table.agg(F.max("end")).first()[0] or 0
+    over the table of ends, of which ``total`` is the last."""
     if not total:
         return 0, [0] * (shards - 1), 0
-    ends, passes = Ends(table), 1
+    passes = 1
     ends.split([(1, total, _width(1, total, first_bins))])
     low, high = -(-total // shards), total  # capacities: below low none will do, high does
     while True:
@@ -200,7 +201,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
     """
     items = stage(_items(docs), "shard-items")
     ends = _ends(items)
-    _, cuts, _ = minimax_cuts(ends, shards, **options)
+    total = ends.agg(F.max("end")).first()[0] or 0
+    _, cuts, _ = minimax_cuts(Ends(ends), total, shards, **options)
     shard = sum((F.when(F.col("end") > c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     placed = ends.select("digest", shard.alias("shard"), (F.col("end_row") - F.col("n")).alias("row"), "n")
     heads = placed.groupBy("shard").agg(F.min("row").alias("head")).collect()  # a row a shard
