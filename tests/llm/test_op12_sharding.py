@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -75,7 +76,7 @@ def check(rows, out, shards):
         own = groups[t or ""]
         own[0] = i if own[0] is None else own[0] if i is None else min(i, own[0])
         own[1] += size(t)
-    order = sorted(groups.items(), key=lambda g: (g[1][0] is None, g[1][0] or 0))
+    order = sorted(groups.items(), key=lambda g: (g[1][0] is None, g[1][0] or 0, hashlib.sha256(g[0].encode()).hexdigest()))
     sizes = [n for _, (_, n) in order]
     assert max(held.values()) == smallest(sizes, shards) if len(sizes) < 400 else True
     # shards are runs of the groups in their order
