@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stage import shared_folder, stage
-from .text import SPACE
+from .text import SPACE, RowStore
 
 #: State on disk; no space set aside beforehand and small change logs, so that many small partitions stay small.
 STATE = {
@@ -112,12 +112,9 @@ def dedup(spark: SparkSession, path: str, digest=sha256, max_bytes: int = MAX_BY
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. The rows are written to the
-    shared folder first, so that the stream and the locators have files to point to."""
-    spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/panelcast/corpus-{uuid.uuid4().hex}"
-    docs.write.parquet(folder)
-    kept = dedup(spark, folder, **options).where("kept").select(F.col("at.file").alias("__file"), F.col("at.row").alias("__row"))
-    stored = spark.read.schema(docs.schema).parquet(folder)
-    located = stored.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return located.join(kept, ["__file", "__row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called. The
+    rows are written to the shared folder first, so that the stream and the locators have
+    files to point to. Other cases are as in :func:`dedup`."""
+    store = RowStore(docs, "corpus")
+    kept = dedup(docs.sparkSession, store.path, **options).where("kept")
+    return store.keep(kept.select("at.file", "at.row"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stage import stage
 from .components import stars
-from .text import lower_ascii, per_process, text_batches, words
+from .text import RowStore, lower_ascii, per_process, text_batches, words
 
 WIDTH = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -110,7 +110,9 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def _describe(own: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
-    """doc_id, row_key, node (names the shingle set; null if it is empty), n, keys."""
+    """doc_id, row_key, node (names the shingle set; null if it is empty), n, keys, and where
+    the row stands, if ``own`` tells."""
+    at = [c for c in ("file", "row") if c in own.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -124,10 +126,12 @@ def _describe(own: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
                     "node": [set_key(s) if len(s) else None for s in sets],
                     "n": [len(s) for s in sets],
                     "keys": [next(keys) if len(s) else None for s in sets],
+                    **{c: batch[c] for c in at},
                 }
             )
 
-    return own.mapInPandas(run, "doc_id bigint, row_key bigint, node binary, n bigint, keys array<bigint>")
+    kind = "doc_id bigint, row_key bigint, node binary, n bigint, keys array<bigint>"
+    return own.mapInPandas(run, kind + "".join(f", {c} {own.schema[c].dataType.simpleString()}" for c in at))
 
 
 def _sets(own: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -186,20 +190,10 @@ def _near_size(one: str, other: str, percent: int):
     return 100 * F.least(one, other) >= percent * F.greatest(one, other)
 
 
-def near_duplicates(
-    docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
-
-    Documents without words (null, empty or white text) have an empty set and are
-    linked with nothing. Null ids are never a component's smallest id; a component of
-    null ids alone has a null component_id and keeps its rows. Repeated rows are linked
-    like any copies; rows that share the smallest id are all kept. An empty table gives
-    no rows.
-    """
-    text_batches(docs.sparkSession)
-    # one frame for both readers, as the key of a row depends on the types
-    own = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+def _components(own: DataFrame, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """What is told of each row (:func:`_describe`), and the part (component) of each node
+    with the smallest id that the node's rows have. ``own`` has doc_id, text and row_key."""
+    text_batches(own.sparkSession)
     told = stage(_describe(own, bands, rows, width), "minhash")
     # equal sets are one node from here on
     nodes = told.where("node is not null").groupBy("node").agg(
@@ -233,7 +227,29 @@ def near_duplicates(
     fresh = stage(_prefix_pairs(left, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     forest = stars(links.union(_confirm(fresh, sets, percent)))
 
-    parts = nodes.select("node", "doc_id").join(forest.withColumnRenamed("hi", "node"), "node", "left").select("node", "doc_id", F.coalesce("lo", "node").alias("part"))
+    parts = nodes.select("node", "doc_id").join(forest.withColumnRenamed("hi", "node"), "node", "left")
+    return told, parts.select("node", "doc_id", F.coalesce("lo", "node").alias("part"))
+
+
+def _own(docs: DataFrame, *more: str) -> DataFrame:
+    # one frame for both readers, as the key of a row depends on the types
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return own.withColumn("row_key", F.xxhash64("doc_id", "text"))
+
+
+def near_duplicates(
+    docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Documents without words (null, empty or white text) have an empty set and are
+    linked with nothing. Very long texts are compared whole. Null ids are never a
+    component's smallest id; a component of null ids alone has a null component_id and
+    keeps its rows. Repeated rows are linked like any copies; rows that share the smallest
+    id are all kept. An empty table gives no rows. Other columns are not read, so their
+    names do not matter.
+    """
+    told, parts = _components(_own(docs), width, percent, bands, rows)
     least = parts.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     of = parts.join(least, "part").select("node", "component_id")
     out = told.select("doc_id", "node", F.col("n").alias("n_shingles")).join(of, "node", "left")
@@ -243,7 +259,22 @@ def near_duplicates(
     )
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, all columns."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__gone")), "left_anti")
+def drop_near_copies(
+    docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: one row of each component, and every row
+    without words.
+
+    Of a component the row with the smallest id stays (null ids last, then the first place
+    in the stored rows). Rows are told apart by where they are stored, not by id: another
+    text under the same id, or under a null id, is judged by itself. Columns may have any
+    names. An empty table gives no rows.
+    """
+    store = RowStore(docs, "near")
+    told, parts = _components(_own(store.rows(), "file", "row"), width, percent, bands, rows)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
+    # rows of one node, then nodes of one part, so that no join meets a large group
+    best = told.where("node is not null").groupBy("node").agg(F.min(place).alias("best"))
+    best = best.join(parts.select("node", "part"), "node").groupBy("part").agg(F.min("best").alias("best"))
+    wordless = told.where("node is null").select("file", "row")
+    return store.keep(wordless.union(best.select("best.file", "best.row")))

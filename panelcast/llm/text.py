@@ -6,11 +6,14 @@ import gc
 import re
 import sys
 import types
+import uuid
 
 import pyarrow
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stage import shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,3 +66,29 @@ def per_process(owner: str, key: str, make):
     if key not in held:
         held[key] = make()
     return held[key]
+
+
+class RowStore:
+    """Rows written once to the shared folder, so that each is known by its file and place
+    whatever its values. Columns but doc_id and text are stored under numbers, so any names will do."""
+
+    def __init__(self, docs: DataFrame, name: str):
+        self.spark, self.path = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/panelcast/{name}-{uuid.uuid4().hex}"
+        self.names = {c if c in ("doc_id", "text") else f"other{i}": c for i, c in enumerate(docs.columns)}
+        stored = docs.select(*[F.col(_quoted(c)).alias(n) for n, c in self.names.items()])
+        self.schema = stored.schema
+        stored.write.parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        """The stored columns, ``file`` and ``row``."""
+        rows = self.spark.read.schema(self.schema).parquet(self.path)
+        return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+    def keep(self, places: DataFrame) -> DataFrame:
+        """The rows at ``places`` (file and row), under their own names."""
+        kept = self.rows().join(places.select("file", "row"), ["file", "row"], "left_semi")
+        return kept.select(*[F.col(n).alias(c) for n, c in self.names.items()])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -77,6 +77,23 @@ def test_messy_rows(spark):
     assert ids == [1, 3, 4, 5, 6, 7, 9]  # equal texts of 1, 2, 2 and of 7, 8 are one document each
 
 
+def test_rows_are_dropped_not_ids(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(1, a), (2, a + " two words"), (2, b), (None, a), (None, c), (3, None), (3, ""), (3, c + " end"), (4, "few words"), (None, "few words")]
+    odd = documents(spark, rows).withColumnsRenamed({"file": "_metadata", "node": "__gone", "word": "other 1.`x", "at": "row"})
+    kept = minhash.drop_near_copies(odd.repartition(4))
+    assert kept.columns == odd.columns
+    want = [(1, a), (2, b), (3, ""), (3, c + " end"), (3, None), (4, "few words")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_one_of_equal_rows_stays(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text)] * 3 + [(9, text + " x")] * 4
+    assert [r["doc_id"] for r in minhash.drop_near_copies(documents(spark, rows)).collect()] == [9]
+    assert minhash.drop_near_copies(documents(spark, [])).count() == 0
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
 

@@ -61,3 +61,10 @@ def test_rows_stay_whole(spark):
     df = documents(spark, ROWS)
     out = exactdedup.drop_copies(df)
     assert out.columns == df.columns and out.count() == len({norm(t) for _, t in ROWS})
+
+
+def test_columns_of_any_name(spark):
+    docs = documents(spark, MESSY).withColumnsRenamed({"file": "_metadata", "at": "__file", "word": "__row", "n": "a.`b"})
+    kept = exactdedup.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == len({norm(t) for _, t in MESSY})

@@ -24,7 +24,9 @@ def test_stages(spark, tmp_path):
     ids = [{d for d, _ in r} for r in rows]
 
     model = langid.learn(docs.where(fold("doc_id", 5) != 0))
-    sure = {r["doc_id"] for r in langid.label(docs, model).collect() if r["lang_pred"] != "und" and r["score"] >= langid.LEAST_SCORE}
+    told = langid.Predictor(model)(docs.select("text").toPandas()["text"])
+    known = (told["lang_pred"] != langid.UNKNOWN) & (told["sure"] >= langid.LEAST_SCORE)
+    sure = {r["doc_id"] for r, k in zip(docs.select("doc_id").collect(), known) if k}
     assert ids[1] == sure and len(sure) > 0.95 * len(ids[0])
 
     best = {}
@@ -42,6 +44,13 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == ids[4]
 
 
+def test_repeated_and_null_ids_keep_their_own_texts(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(1, a), (2, a + " two words"), (2, b), (None, a), (None, c)]
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, documents(spark, rows), SF)
+    assert sorted(r["text"] for r in out.collect()) == [a, b, c]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and "sequence_id" in out.columns
