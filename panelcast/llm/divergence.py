@@ -20,7 +20,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,10 +28,10 @@ from ..functions.stage import stage
 from .text import text_batches
 
 LEAST_DOCS, TOP, UNIT = 3, 200, 1_000_000_000
-#: Parts of a group in which first skybands are taken, and parts in which these are merged.
-PARTS, MERGED = 32, 4
+#: Terms in a part of a group (about), and how many parts' skybands are merged into one.
+PART_TERMS, MERGED = 32_768, 16
 #: Terms a task counts before it passes its counts on.
-HELD_TERMS = 400_000
+HELD_TERMS = 800_000
 #: Pairs of groups a task sums before it passes its sums on, and terms it takes at a time.
 HELD_PAIRS, TERMS_AT_ONCE = 1_000_000, 2048
 #: Bytes below 0x80 that are no letters end a term; A-Z become a-z; the others stay.
@@ -93,13 +92,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents); also a row with a null term
-    for every group. Nulls of all three columns count as empty."""
+def kept_terms(docs: DataFrame, least_docs: int) -> DataFrame:
+    """lang, source, term, n (occurrences in the group) and total (in the lang) of the kept terms
+    of every lang; also a row with a null term for every group. Nulls of all three columns
+    count as empty. A term's rows are shuffled once, to where they are summed and judged."""
     text_batches(docs.sparkSession)
     own = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    parts = own.mapInArrow(_count, "lang string, source string, term string, n bigint, docs bigint")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    parts = own.mapInArrow(_count, "lang string, source string, term string, n bigint, docs bigint").repartition("lang", "term")
+    counts = parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    whole = Window.partitionBy("lang", "term")
+    counts = counts.withColumns({"total": F.sum("n").over(whole), "docs": F.sum("docs").over(whole)})
+    return counts.where(F.col("term").isNull() | (F.col("docs") >= least_docs)).drop("docs")
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -117,10 +120,15 @@ def distance(p: Column, q: Column) -> Column:
 # Skyband
 
 
-def skyband(n: np.ndarray, total: np.ndarray, k: int, kept_n: np.ndarray, kept_total: np.ndarray, at_once: int = 256) -> np.ndarray:
+Kept = tuple[np.ndarray, np.ndarray, np.ndarray]
+NONE: Kept = (np.zeros(0, np.int64),) * 3
+
+
+def skyband(n: np.ndarray, total: np.ndarray, k: int, kept: Kept = NONE, at_once: int = 256) -> tuple[np.ndarray, Kept]:
     """Which of the terms, given in UTF-8 order, fewer than ``k`` others dominate:
-    terms earlier in the order with ``n`` at least and ``total`` at most theirs. ``kept_n`` and
-    ``kept_total`` are retained terms that come before all of them.
+    terms earlier in the order with ``n`` at least and ``total`` at most theirs. ``kept`` holds
+    the retained terms that come before all of them, as distinct (n, total) and how many
+    have them; it is returned with what these terms add.
 
     Comparing with retained terms is enough: who dominates a dropped term dominates
     what that term dominates.
@@ -128,50 +136,64 @@ def skyband(n: np.ndarray, total: np.ndarray, k: int, kept_n: np.ndarray, kept_t
     keep = np.zeros(len(n), dtype=bool)
     for i in range(0, len(n), at_once):
         a, b = n[i : i + at_once], total[i : i + at_once]
-        before = ((kept_n[None, :] >= a[:, None]) & (kept_total[None, :] <= b[:, None])).sum(axis=1)
+        before = ((kept[0][None, :] >= a[:, None]) & (kept[1][None, :] <= b[:, None])) @ kept[2]
+        left = np.flatnonzero(before < k)
+        a, b, before = a[left], b[left], before[left]
         among = np.tril((a[None, :] >= a[:, None]) & (b[None, :] <= b[:, None]), -1)
-        own = np.zeros(len(a), dtype=bool)
-        for j in np.flatnonzero(before < k):
+        own = before + among.sum(axis=1) < k  # kept whoever in the block is
+        for j in np.flatnonzero(~own):
             own[j] = before[j] + (among[j] & own).sum() < k
-        keep[i : i + at_once] = own
-        kept_n, kept_total = np.concatenate([kept_n, a[own]]), np.concatenate([kept_total, b[own]])
-    return keep
+        keep[i + left[own]] = True
+        kept = _counted(*(np.concatenate(x) for x in zip(kept, (a[own], b[own], np.ones(own.sum(), np.int64)))))
+    return keep, kept
+
+
+def _counted(n: np.ndarray, total: np.ndarray, times: np.ndarray) -> Kept:
+    order = np.lexsort((total, n))
+    n, total, times = n[order], total[order], times[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(n) != 0) | (np.diff(total) != 0)][: len(n)])
+    return n[first], total[first], np.add.reduceat(times, first) if len(first) else times
 
 
 def _skybands(k: int):
     """Skybands of the parts in a task's rows, which come part by part and in UTF-8 order."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, kept_n, kept_total = None, None, None
-        for rows in batches:
-            rows = rows.reset_index(drop=True)
-            for key, own in rows.groupby(["lang", "source", "part"], sort=False):
-                if key != part:
-                    part, kept_n, kept_total = key, np.zeros(0, np.int64), np.zeros(0, np.int64)
-                n, total = own["n"].to_numpy(), own["total"].to_numpy()
-                keep = skyband(n, total, k, kept_n, kept_total)
-                kept_n, kept_total = np.concatenate([kept_n, n[keep]]), np.concatenate([kept_total, total[keep]])
-                if keep.any():
-                    yield own[keep]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, kept = None, NONE
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, total = batch.column("n").to_numpy(), batch.column("total").to_numpy()
+            keys = [batch.column(c).to_pylist() for c in ("lang", "source", "part")]
+            keys = list(zip(*keys))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            mask = np.zeros(len(keys), dtype=bool)
+            for a, b in zip(cuts, cuts[1:]):
+                if keys[a] != part:
+                    part, kept = keys[a], NONE
+                mask[a:b], kept = skyband(n[a:b], total[a:b], k, kept)
+            yield batch.filter(pa.array(mask))
 
     return run
 
 
-def _retained(terms: DataFrame, parts: int, k: int) -> DataFrame:
+def _retained(terms: DataFrame, parts: Column, k: int) -> DataFrame:
     """Skybands of ``parts`` parts of each group."""
-    dealt = terms.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    dealt = terms.withColumn("part", F.pmod(F.xxhash64("term"), parts))
     dealt = dealt.repartition("lang", "source", "part").sortWithinPartitions("lang", "source", "part", "term")
-    return dealt.mapInPandas(_skybands(k), dealt.schema).drop("part")
+    return dealt.mapInArrow(_skybands(k), dealt.schema).drop("part")
 
 
-def top_terms(terms: DataFrame, k: int = TOP, parts: int = PARTS, merged: int = MERGED) -> DataFrame:
+def top_terms(terms: DataFrame, k: int = TOP, part_terms: int = PART_TERMS, merged: int = MERGED) -> DataFrame:
     """The first ``k`` terms of each group: lang, source, term, value, rank. ``terms`` has
-    lang, source, term, n, total (occurrences in the group and in its language), p, q."""
-    own = terms.where("n > 0 and p > q")
-    band = _retained(_retained(own, parts, k), merged, k).withColumn("value", distance(F.col("p"), F.col("q")))
+    lang, source, term, n, total (occurrences in the group and in its language), p, q, and
+    n_terms (terms of the group)."""
+    parts = F.ceil(F.col("n_terms") / part_terms)
+    fewer = F.ceil(parts / merged)
+    band = _retained(_retained(terms.where("n > 0 and p > q"), parts, k), fewer, k).withColumn("value", distance(F.col("p"), F.col("q")))
     order = [F.col("value").desc(), F.col("term")]
     # Ranked in parts first, so that no task ranks a whole group.
-    part = F.pmod(F.xxhash64("term"), F.lit(merged))
+    part = F.pmod(F.xxhash64("term"), fewer)
     first = band.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", part).orderBy(*order))).where(F.col("rank") <= k)
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))
     return first.select("lang", "source", "term", "value", rank.alias("rank")).where(F.col("rank") <= k)
@@ -276,10 +298,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, k: int = TOP) -> DataFr
     Equal values rank by item in UTF-8 order. Repeated rows are documents of their own.
     An empty table gives no rows. Other columns are not read, so their names do not matter.
     """
-    counts = stage(term_counts(docs), "term-counts")
-    terms = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
-    terms = terms.where(F.col("docs") >= least_docs).drop("docs")
-    kept = stage(counts.where("term is not null").select("lang", "source", "term", "n").join(terms, ["lang", "term"]), "kept-terms")
+    counts = stage(kept_terms(docs, least_docs), "kept-terms")
+    kept = counts.where("term is not null")
     langs = kept.groupBy("lang", "term").agg(F.max("total").alias("total")).groupBy("lang").agg(F.count("*").alias("lang_terms"), F.sum("total").alias("lang_total"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_total"), F.count("*").alias("n_terms"))
     groups = counts.where("term is null").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
@@ -287,7 +307,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, k: int = TOP) -> DataFr
     p0 = F.when(F.col("lang_terms") > 0, share(F.lit(0).cast("bigint"), F.col("group_total"), F.greatest(F.col("lang_terms"), F.lit(1))))
     groups = stage(groups.withColumn("p0", p0), "term-groups")
     shares = kept.join(groups, ["lang", "source"]).select(
-        "lang", "source", "term", "n", "total", "p0", share(F.col("n"), F.col("group_total"), F.col("lang_terms")).alias("p"),
+        "lang", "source", "term", "n", "total", "n_terms", "p0", share(F.col("n"), F.col("group_total"), F.col("lang_terms")).alias("p"),
         share(F.col("total"), F.col("lang_total"), F.col("lang_terms")).alias("q"),
     )
     by_pair = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")

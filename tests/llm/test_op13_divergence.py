@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 from llm_frames import LONG
 from panelcast.llm import divergence
 
@@ -65,6 +66,7 @@ def test_small_memory_gives_the_same(spark, monkeypatch):
     want = brute(rows, 10)
     for name, value in (("HELD_TERMS", 20), ("HELD_PAIRS", 3), ("TERMS_AT_ONCE", 1), ("_CHUNK", 7)):
         monkeypatch.setattr(divergence, name, value)
+    monkeypatch.setattr(divergence.top_terms, "__defaults__", (10, 3, 2))
     assert result(divergence.audit(frame(spark, rows).repartition(4), k=10)) == want
 
 
@@ -80,9 +82,9 @@ def test_skyband_keeps_what_fewer_than_k_dominate():
         n, total = rng.integers(1, 12, size), rng.integers(1, 30, size)
         over = (n[None] >= n[:, None]) & (total[None] <= total[:, None]) & (np.arange(size)[None] < np.arange(size)[:, None])
         cut = int(rng.integers(0, size))
-        none = np.zeros(0, np.int64)
-        first = divergence.skyband(n[:cut], total[:cut], k, none, none, at_once=7)
-        rest = divergence.skyband(n[cut:], total[cut:], k, n[:cut][first], total[:cut][first], at_once=5)
+        first, kept = divergence.skyband(n[:cut], total[:cut], k, at_once=7)
+        rest, kept = divergence.skyband(n[cut:], total[cut:], k, kept, at_once=5)
+        assert kept[2].sum() == first.sum() + rest.sum()
         assert (np.concatenate([first, rest]) == (over.sum(axis=1) < k)).all()
 
 
@@ -91,9 +93,9 @@ def test_the_skyband_is_what_is_ranked(spark):
     rng = random.Random(3)
     rows = [("en", "s", f"w{i:05d}", rng.randrange(1, 40), 0) for i in range(4000)]
     rows = [(g, s, t, n, n + rng.randrange(0, 60)) for g, s, t, n, _ in rows]
-    df = spark.createDataFrame(rows, "lang string, source string, term string, n bigint, total bigint").selectExpr("*", "n * 100 AS p", "total * 10 AS q")
+    df = spark.createDataFrame(rows, "lang string, source string, term string, n bigint, total bigint").selectExpr("*", "n * 100 AS p", "total * 10 AS q", "4000 AS n_terms")
     want = sorted(((p - q) ** 2 // q * -1, t) for _, _, t, n, total in rows for p, q in [(n * 100, total * 10)] if p > q)[:20]
-    got = [tuple(r) for r in divergence.top_terms(df, k=20).orderBy("rank").selectExpr("-value", "term").collect()]
+    got = [tuple(r) for r in divergence.top_terms(df, k=20, part_terms=500, merged=4).orderBy("rank").selectExpr("-value", "term").collect()]
     assert got == want
-    band = divergence._retained(divergence._retained(df.where("p > q"), 8, 20), 2, 20).count()
+    band = divergence._retained(divergence._retained(df.where("p > q"), F.lit(8), 20), F.lit(2), 20).count()
     assert 20 <= band < 1000
