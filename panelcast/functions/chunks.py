@@ -51,6 +51,15 @@ def bounded_window(
     )
 
 
+def with_neighbours(df: DataFrame, before: int, after: int = 0, width: int = WIDTH) -> DataFrame:
+    """Rows with ``_chunk``, those near an edge also for the chunks that look ``before`` or
+    ``after`` so far; ``_own`` marks a row in its own chunk. For functions of whole chunks."""
+    width = max(width, before + after, 1)
+    lo = F.floor((F.col("slot") - after) / F.lit(width)).cast("bigint")
+    hi = F.floor((F.col("slot") + before) / F.lit(width)).cast("bigint")
+    return df.withColumn("_chunk", F.explode(F.sequence(lo, hi))).withColumn("_own", F.col("_chunk") == _chunk(width))
+
+
 def at_offset(w: WindowSpec, col: Column | str, offset: int) -> Column:
     """Value ``offset`` slots away (negative = earlier); NULL where no such slot."""
     return F.first(F.col(col) if isinstance(col, str) else col).over(

@@ -1,10 +1,10 @@
-"""Exact quantiles of groups too large for one aggregation buffer.
+"""Exact quantiles without holding a group in one aggregation buffer.
 
-The built-in ``percentile`` keeps every distinct value of a group in one hash
-map. That is fine where a group is bounded (one series on a grid has at most one
-row per slot); for pooled groups the rank search below never holds a group in
-one task: count equal values, count value bins, find the bins that hold the
-wanted ranks, and rank only inside those bins.
+The built-in ``percentile`` keeps every distinct value of a group in one hash map. The
+rank search below never does: count equal values, count value bins, find the bins that
+hold the wanted ranks, and rank only inside those bins. Counts of bins add up, so where
+a row belongs to several overlapping groups (folds), it is counted once per set of groups
+and only counts are spread over them.
 """
 
 from __future__ import annotations
@@ -18,14 +18,23 @@ BINS_PER_OCTAVE = 256
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], spread: str | None = None
 ) -> DataFrame:
-    """``keys, prob, value``: linear-interpolation quantiles of non-NULL values."""
-    keys = list(keys)
+    """``keys, prob, value, n``: linear-interpolation quantiles of non-NULL values.
+
+    ``spread`` names an array of structs, the further groups that a row is in; their
+    fields become keys. Rows are not copied for them. Reads ``df`` twice.
+    """
+    once = [*keys, spread] if spread else list(keys)
+    keys = list(keys) + ([f.name for f in df.schema[spread].dataType.elementType.fields] if spread else [])
+
+    def over_groups(counts: DataFrame) -> DataFrame:
+        return counts.select("*", F.inline(spread)).drop(spread) if spread else counts
+
     v = F.col("_v")
     counts = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+        .groupBy(*once, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_c"))
         .withColumn(
             "_bin",
@@ -34,7 +43,8 @@ def exact_quantiles(
     )
     order = Window.partitionBy(*keys).orderBy("_bin")
     bins = (
-        counts.groupBy(*keys, "_bin")
+        over_groups(counts.groupBy(*once, "_bin").agg(F.sum("_c").alias("_c")))
+        .groupBy(*keys, "_bin")
         .agg(F.sum("_c").alias("_bc"))
         .withColumn("_upto", F.sum("_bc").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_n", F.sum("_bc").over(Window.partitionBy(*keys)))
@@ -49,8 +59,13 @@ def exact_quantiles(
     )
     hit_bins = wanted.select(*keys, "_bin", "_base").distinct()
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
+    near = counts
+    if spread:  # values in wanted bins only, before they are spread
+        shared = [k for k in once if k != spread]
+        near = over_groups(counts.join(hit_bins.select(*shared, "_bin").distinct(), [*shared, "_bin"], "left_semi"))
+        near = near.groupBy(*keys, "_bin", "_v").agg(F.sum("_c").alias("_c"))
     ranked = (
-        counts.join(hit_bins, [*keys, "_bin"])
+        near.join(hit_bins, [*keys, "_bin"])
         .withColumn(
             "_hi",
             F.col("_base") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
@@ -64,5 +79,5 @@ def exact_quantiles(
     frac = F.col("prob") * (F.max("_n") - 1)
     low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
     return picked.groupBy(*keys, "prob").agg(
-        (low + (high - low) * (frac - F.floor(frac))).alias("value")
+        (low + (high - low) * (frac - F.floor(frac))).alias("value"), F.max("_n").alias("n")
     )

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from .joins import at_shifts, moved_by_row
 from .metrics import metric_columns
 from .reference import physics_proxy
-from .splits import train_rows
+from .splits import fold_sums
 
 SHIFTS = tuple(range(-3, 4))
 
@@ -100,19 +101,15 @@ def shift_scan_by_fold(frame: DataFrame, splits: DataFrame, shifts: Sequence[int
     days = splits.where(F.col("role") != "test").groupBy("series_id", "day").agg(
         F.collect_list(F.struct("protocol", "fold")).alias("train_of")
     )
-    rows = train_rows(
-        pairs.join(days, ["series_id", "day"]).withColumns({"is_missing": F.lit(False), "eval_of": F.lit(None)})
-    )
+    rows = pairs.join(days, ["series_id", "day"]).withColumn("is_missing", F.lit(False))
     g, y = F.col("driver") / 1000.0, F.col("y")
     a = lambda c: F.when(F.col("active"), c)
-    out = rows.groupBy("series_id", "protocol", "fold", "shift").agg(
-        F.percentile("y", q).alias("capacity"),
-        F.count(a(y)).alias("n"),
-        F.sum(a(y * y)).alias("_yy"),
-        F.sum(a(y * g)).alias("_yg"),
-        F.sum(a(g * g)).alias("_gg"),
-        (F.var_pop(a(y)) * F.count(a(y))).alias("_sst"),
-    )
+    sums = {"n": a(F.lit(1)), "_y": a(y), "_yy": a(y * y), "_yg": a(y * g), "_gg": a(g * g)}
+    # both once per set of folds; no row is copied per fold
+    keys = ["series_id", "protocol", "fold", "shift"]
+    caps = exact_quantiles(rows, ["series_id", "shift"], "y", [q], spread="train_of").select(*keys, F.col("value").alias("capacity"))
+    out = fold_sums(rows, sums, {"shift": F.col("shift")}).join(caps, keys)
+    out = out.withColumns({"n": F.coalesce("n", F.lit(0)), "_sst": F.col("_yy") - F.col("_y") * F.col("_y") / F.col("n")})
     c = F.col("capacity")
     sse = F.col("_yy") - 2.0 * c * F.col("_yg") + c * c * F.col("_gg")
     return out.select(

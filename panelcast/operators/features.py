@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.chunks import at_offset, bounded_window
+from ..functions.sliding import circular_quantiles
 from ..functions.time import Grid, day_of, season_slot
 from .solar import sun_position
 from .splits import fold_sums
@@ -285,17 +287,23 @@ def year_cells(panel: DataFrame, grid: Grid, aggs: Sequence[Column], keys: Seque
 
 def upper_envelope(panel: DataFrame, grid: Grid, half: int = 14, q: float = 0.95, smooth: int = 7) -> DataFrame:
     """``series_id, season_slot, doy, envelope``: high quantile of ``y_filled`` in a
-    circular day-of-year window, smoothed by a circular mean, at least 1."""
-    cells = year_cells(panel, grid, [F.collect_list("y_filled").alias("_vals")])
-    pooled = circular_window(
-        cells, F.col("_vals"), half, F.collect_list, "_lists"
-    ).withColumn("_s", F.array_sort(F.flatten("_lists")))
-    pos = F.lit(q) * (F.size("_s") - 1)
-    lo = F.get("_s", F.floor(pos).cast("int"))
-    hi = F.get("_s", F.ceil(pos).cast("int"))
-    raw = pooled.withColumn(
-        "_q", F.when(F.size("_s") > 0, lo + (hi - lo) * (pos - F.floor(pos)))
-    ).select("series_id", "season_slot", "doy", "_q")
+    circular day-of-year window, smoothed by a circular mean, at least 1.
+
+    A group is a season slot of a series, with one row a day; a sorted window goes round
+    the year once, so each value enters and leaves once."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        by_day: list[list[float]] = [[] for _ in range(366)]
+        for day, value in zip(rows["doy"], rows["y_filled"]):
+            by_day[day - 1].append(value)
+        found = circular_quantiles(by_day, half, q)
+        return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "season_slot": rows["season_slot"].iloc[0], "doy": range(1, 367), "_q": found})
+
+    cells = panel.where("y_filled is not null").select(
+        "series_id", season_slot(F.col("slot"), grid).cast("bigint").alias("season_slot"), F.dayofyear("ts").alias("doy"), F.col("y_filled").cast("double").alias("y_filled")
+    )
+    kind = f"series_id {panel.schema['series_id'].dataType.simpleString()}, season_slot bigint, doy int, _q double"
+    raw = cells.groupBy("series_id", "season_slot").applyInPandas(run, kind)
     return circular_window(raw, F.col("_q"), smooth, F.avg, "_sm").select(
         "series_id",
         "season_slot",

@@ -142,20 +142,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     ).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def capacity(panel: DataFrame, q: float = 0.999, observed_only: bool = False, ranked: bool = False) -> DataFrame:
-    """``series_id, capacity``: a high quantile of ``y`` with linear interpolation.
-
-    By default zero-filled missing slots count. A gridded series has at most one
-    row per slot, which bounds the buffer of ``percentile``; ``ranked=True`` uses
-    the rank search instead, for very fine grids.
-    """
+def capacity(panel: DataFrame, q: float = 0.999, observed_only: bool = False) -> DataFrame:
+    """``series_id, capacity``: a high quantile of ``y`` with linear interpolation, by rank
+    search, so that no task holds a series. By default zero-filled missing slots count."""
     if observed_only:
         panel = panel.where(~F.col("is_missing"))
-    if ranked:
-        return exact_quantiles(panel, ["series_id"], "y_filled", [q]).select(
-            "series_id", F.col("value").alias("capacity")
-        )
-    return panel.groupBy("series_id").agg(F.percentile("y_filled", q).alias("capacity"))
+    return exact_quantiles(panel, ["series_id"], "y_filled", [q]).select("series_id", F.col("value").alias("capacity"))
 
 
 def attach(df: DataFrame, constants: DataFrame, keys: Sequence[str]) -> DataFrame:

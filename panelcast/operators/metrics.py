@@ -6,11 +6,13 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.chunks import bounded_window
+from ..functions.chunks import WIDTH, with_neighbours
 from ..functions.time import day_of
 from .grid import first_per_key
 
@@ -327,32 +329,29 @@ def histogram(df: DataFrame, value: Column, keys: Sequence[str], lo: float = 0.0
     )
 
 
-def autocorrelation(panel: DataFrame, lags: int, min_pairs: int = 100) -> DataFrame:
+def autocorrelation(panel: DataFrame, lags: int, min_pairs: int = 100, width: int = WIDTH) -> DataFrame:
     """Autocorrelation of the observed series at lags 0..``lags``.
 
-    A bounded window gathers the last ``lags`` values of each row as a short map,
-    so the panel is shuffled once whatever the number of lags.
+    A chunk with the ``lags`` slots before it is an array; a lag is a product of two of its
+    slices. The panel is shuffled once, and a chunk gives one row a lag.
     """
     stats = observed(panel).groupBy("series_id").agg(F.avg("y").alias("_mean"), F.var_pop("y").alias("_var"))
     centred = observed(panel).join(stats, "series_id").withColumn("_d", F.col("y") - F.col("_mean"))
-    past = bounded_window(
-        centred.select("series_id", "slot", "_d", "_var"),
-        ["series_id"],
-        lambda w: {"_past": F.collect_list(F.struct("slot", "_d")).over(w.rangeBetween(-lags, 0))},
-        before=lags,
-        after=0,
-    )
-    pairs = past.select("series_id", "slot", "_d", "_var", F.explode("_past").alias("_p")).select(
-        "series_id",
-        (F.col("slot") - F.col("_p.slot")).alias("lag"),
-        (F.col("_d") * F.col("_p._d")).alias("_prod"),
-        "_var",
-    )
-    n = F.count("*")
-    return pairs.groupBy("series_id", "lag").agg(
-        n.alias("n"),
-        F.when((n > min_pairs) & (F.max("_var") > 0), F.avg("_prod") / F.max("_var")).otherwise(0.0).alias("acf"),
-    )
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        at = (rows["slot"] - rows["slot"].min()).to_numpy() + lags
+        d, seen, own = (np.zeros(at.max() + 1) for _ in range(3))
+        d[at], seen[at], own[at] = rows["_d"], 1.0, rows["_own"]
+        n = len(d) - lags
+        products = [(lag, own[lags:] @ seen[lags - lag :][:n], (d * own)[lags:] @ d[lags - lag :][:n]) for lag in range(lags + 1)]
+        out = pd.DataFrame(products, columns=["lag", "n", "s"]).astype({"n": "int64"})
+        return out[out["n"] > 0].assign(series_id=rows["series_id"].iloc[0], v=rows["_var"].iloc[0])[["series_id", "lag", "n", "s", "v"]]
+
+    rows = with_neighbours(centred.select("series_id", "slot", "_d", "_var"), before=lags, width=width)
+    kind = f"series_id {panel.schema['series_id'].dataType.simpleString()}, lag bigint, n bigint, s double, v double"
+    sums = rows.groupBy("series_id", "_chunk").applyInPandas(run, kind).groupBy("series_id", "lag").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("v").alias("v"))
+    acf = F.when((F.col("n") > min_pairs) & (F.col("v") > 0), F.col("s") / F.col("n") / F.col("v")).otherwise(0.0)
+    return sums.select("series_id", "lag", "n", acf.alias("acf"))
 
 
 def period_power(panel: DataFrame, periods: Sequence[int]) -> DataFrame:

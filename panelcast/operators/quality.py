@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chunks import bounded_window, runs
+from ..functions.chunks import WIDTH, runs, with_neighbours
+from ..functions.sliding import trailing_quantiles
 from ..functions.time import Grid, day_of, local_offset_hours, ts_of
 
 
@@ -135,15 +137,18 @@ def monthly_maxima(panel: DataFrame) -> DataFrame:
     return panel.groupBy("series_id", month).agg(F.max("y_filled").alias("month_max"))
 
 
-def rolling_quantile(panel: DataFrame, slots: int, q: float) -> DataFrame:
-    """Trailing quantile of ``y_filled`` over the last ``slots`` slots, this one included."""
-    return bounded_window(
-        panel,
-        ["series_id"],
-        lambda w: {"rolling_q": F.percentile("y_filled", q).over(w.rangeBetween(-(slots - 1), 0))},
-        before=slots - 1,
-        after=0,
-    )
+def rolling_quantile(panel: DataFrame, slots: int, q: float, width: int = WIDTH) -> DataFrame:
+    """``series_id, slot, rolling_q``: quantile of ``y_filled`` over the last ``slots`` slots, this
+    one included. Inside a chunk, a sorted window slides: each value enters and leaves once."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("slot")
+        found = trailing_quantiles(rows["slot"].tolist(), rows["y_filled"].tolist(), slots, q)
+        return rows.assign(rolling_q=found).loc[rows["_own"], ["series_id", "slot", "rolling_q"]]
+
+    rows = panel.where("y_filled is not null").select("series_id", "slot", F.col("y_filled").cast("double").alias("y_filled"))
+    kind = f"series_id {panel.schema['series_id'].dataType.simpleString()}, slot bigint, rolling_q double"
+    return with_neighbours(rows, before=slots - 1, width=width).groupBy("series_id", "_chunk").applyInPandas(run, kind)
 
 
 def cell_medians(panel: DataFrame, cell: Sequence[Column]) -> DataFrame:

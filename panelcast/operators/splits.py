@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunks import row_ranks
 from ..functions.draws import draw_key
+from ..functions.quantiles import exact_quantiles
 from ..functions.time import day_of
 
 ROLLING = "rolling_origin"
@@ -197,17 +198,17 @@ def hide_history(rows: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def fold_capacity(assigned: DataFrame, overall: DataFrame, q: float = 0.999, min_rows: int = 50) -> DataFrame:
-    """Capacity per fold from its training rows, or the series' when there are too few."""
-    per_fold = train_rows(assigned.select("series_id", "is_missing", "y_filled", "train_of", "eval_of")).groupBy(
-        "series_id", "protocol", "fold"
-    ).agg(F.percentile("y_filled", q).alias("_q"), F.count("*").alias("n_train"))
+    """Capacity per fold from its training rows, or the series' when there are too few.
+
+    Ranks are searched in counts per set of folds; rows are not copied per fold. Reads
+    ``assigned`` twice."""
+    rows = assigned.where(~F.col("is_missing") & (F.size("train_of") > 0)).select("series_id", "y_filled", "train_of")
+    per_fold = exact_quantiles(rows, ["series_id"], "y_filled", [q], spread="train_of")
+    enough = F.col("n") > min_rows
     return per_fold.join(overall, "series_id").select(
-        "series_id",
-        "protocol",
-        "fold",
-        "n_train",
-        F.when(F.col("n_train") > min_rows, F.col("_q")).otherwise(F.col("capacity")).alias("capacity"),
-    )
+        "series_id", "protocol", "fold", F.col("n").alias("n_train"),
+        F.when(enough, F.col("value")).otherwise(F.col("capacity")).alias("capacity"),
+    )
 
 
 def walk_forward(days: DataFrame, warmup: int = 120, step: int = 14, min_train_rows: int = 1000) -> DataFrame:

@@ -41,18 +41,24 @@ def tuned_cost(
 ) -> DataFrame:
     """Cost after scaling the forecast by a factor (in 1/100) chosen on the other folds.
 
-    One pass sums shortfall and surplus per (fold, factor); the factor for a fold
-    minimises total minus own. The smallest factor wins a tie.
+    A row falls short from the first factor on at which its scaled forecast exceeds ``y``, so
+    rows are summed by that factor, and running sums over the factors give shortfall and
+    surplus of each. The factor for a fold minimises total minus own; the smallest wins a tie.
     """
     keys = list(keys)
     f = F.col("_pct") / 100.0
-    short, surplus = _parts(F.col("yhat") * f)
-    sums = (
-        observed(pred)
-        .withColumn("_pct", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
-        .groupBy(*keys, "fold", "_pct")
-        .agg(F.sum(short).alias("_s"), F.sum(surplus).alias("_u"), F.sum("y").alias("_d"))
+    c, y = F.greatest(F.col("yhat"), F.lit(0.0)), F.col("y")
+    first = F.when(y < 0, lo).when(c > 0, F.floor(F.least(100.0 * y / c, F.lit(float(hi)))) + 1).otherwise(hi + 1)
+    broken = observed(pred).groupBy(*keys, "fold", F.greatest(first, F.lit(lo)).cast("int").alias("_pct")).agg(
+        F.sum(c).alias("_c"), F.sum(y).alias("_y")
     )
+    # from here on one row per fold and factor
+    whole = broken.groupBy(*keys, "fold").agg(F.sum("_c").alias("_all"), F.sum("_y").alias("_d"))
+    steps = whole.withColumn("_pct", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).join(broken, [*keys, "fold", "_pct"], "left")
+    upto = Window.partitionBy(*keys, "fold").orderBy("_pct").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = lambda n: F.coalesce(F.sum(n).over(upto), F.lit(0.0))
+    sums = steps.withColumn("_s", f * so_far("_c") - so_far("_y")).withColumn("_u", F.col("_d") - f * F.col("_all") + F.col("_s"))
+    sums = sums.select(*keys, "fold", "_pct", "_s", "_u", "_d")
     across = Window.partitionBy(*keys, "_pct")
     names = ("_s", "_u", "_d")
     other = sums.withColumns({f"_o{n}": F.sum(n).over(across) - F.col(n) for n in names}).withColumn(

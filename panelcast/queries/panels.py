@@ -256,7 +256,7 @@ def q12_capacity(spark, sf):
 
 @query("q12_capacity_ranked", sql(f"SELECT series_id, {r('quantile_cont(y, 0.999)')} AS capacity FROM panel_u WHERE NOT is_missing GROUP BY 1"))
 def q12_capacity_ranked(spark, sf):
-    return tidy(grid.capacity(tables.panel_u(spark, sf), observed_only=True, ranked=True))
+    return tidy(grid.capacity(tables.panel_u(spark, sf), observed_only=True))
 
 
 @query(
