@@ -3,7 +3,8 @@
 A text's ids are the ids of its white-space separated chunks, one after another,
 because the tokenizer drops white space before it splits. Chunks repeat, so each
 process keeps the ids of the chunks it has seen (a bounded number of them) and
-only new ones go through the library.
+only new ones go through the library. When the store is full, chunks met again since
+the last time stay and the others go. A word keeps its ids whatever punctuation follows.
 """
 
 from __future__ import annotations
@@ -62,12 +63,24 @@ class ChunkEncoder:
         self._reset()
 
     def _reset(self) -> None:
+        """Start a generation with the chunks that were met again in the last one."""
+        old = getattr(self, "names", [])
+        kept = np.flatnonzero(self.uses[: len(old)] > 1) if old else np.zeros(0, np.int64)
+        if len(kept) > self.cache_chunks // 2:  # the most used half
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: self.cache_chunks // 2]])
+        names = [old[i] for i in kept.tolist()]
+        start, length = (self.start[kept], self.length[kept]) if old else (kept, kept)
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(start - (ends - length), length) + np.arange(total)] if total else np.zeros(0, np.uint32)
         self.slot = _Slots()
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.start = np.empty(1 << 14, np.int64)
-        self.length = np.empty(1 << 14, np.int64)
-        self.learned = self.used = 0
-        self.names: list[str] = []
+        self.slot.update(zip(names, range(len(names))))
+        self.names, self.learned, self.used = names, len(names), total
+        self.flat = np.resize(ids, max(1 << 16, 2 * total)).astype(np.uint32) if total else np.empty(1 << 16, np.uint32)
+        size = max(1 << 14, 2 * len(names))
+        self.start, self.length, self.uses = (np.zeros(size, np.int64) for _ in range(3))
+        self.start[: len(names)], self.length[: len(names)] = ends - length, length
+        self.known: dict[str, list[int]] = {}
         self.generation = getattr(self, "generation", -1) + 1
 
     def _library(self, chunks: list[str]) -> list[list[int]]:
@@ -92,19 +105,23 @@ class ChunkEncoder:
 
     def _learn(self) -> None:
         """Ids of the chunks that got a slot since the last call."""
-        new, known, hard = self.slot.new, {}, []
+        new, known, hard = self.slot.new, self.known, []
         lists: list[list[int]] = []
+        add, plain, tokenize, letters = lists.append, _PLAIN.fullmatch, self.model.tokenize, self.letters
         for chunk in new:
-            ids: list[int] = []
-            if self.plain and (m := _PLAIN.fullmatch(chunk)):
-                for part, encode in ((m[1].lower(), self._word), (m[2], self._pieces)):
-                    if part:
-                        if part not in known:
-                            known[part] = encode(part)
-                        ids = ids + known[part] if ids else known[part]
+            if self.plain and (m := plain(chunk)):
+                word, end = m.groups()
+                word = word.lower()
+                if (ids := known.get(word)) is None:
+                    ids = known[word] = [t.id for t in tokenize(word if word.isascii() else word.translate(letters))]
+                if end:
+                    if end not in known:
+                        known[end] = self._pieces(end)
+                    ids = ids + known[end]
+                add(ids)
             else:
                 hard.append(len(lists))
-            lists.append(ids)
+                add([])
         for i in range(0, len(hard), 1024):
             part = hard[i : i + 1024]
             for k, ids in zip(part, self._library([new[k] for k in part])):
@@ -114,7 +131,7 @@ class ChunkEncoder:
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         while n + len(new) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+            self.start, self.length, self.uses = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.start, self.length, self.uses))
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
         self.length[n : n + len(new)] = lengths
         self.start[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
@@ -132,6 +149,9 @@ class ChunkEncoder:
         slots = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
         if self.slot.new:
             self._learn()
+        if len(slots):
+            met = np.bincount(slots)
+            self.uses[: len(met)] += met
         length = self.length[slots]
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0

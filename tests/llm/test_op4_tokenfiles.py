@@ -54,3 +54,14 @@ def test_chunks_encode_as_whole_texts():
     code.cache_chunks = 1
     ids, at = code.encode(texts[:1])
     assert ids.tolist() == ids_of(texts[:1], 0)[0][:-1]
+
+
+def test_chunks_met_again_survive_a_full_store():
+    code = ChunkEncoder(tokenizer_path(), cache_chunks=40)
+    for batch in range(12):
+        texts = [f"often, Often again. ÄRGER! it's 12 x{batch}y{i} word{chr(97 + batch)}{chr(97 + i)}; often," for i in range(9)] + [None, ""]
+        ids, at = code.encode(texts)
+        want = [e.ids for e in code.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    assert code.generation > 2 and "often," in code.slot and "x0y0" not in code.slot
+    assert len(code.names) == len(code.slot)
