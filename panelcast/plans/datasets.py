@@ -31,6 +31,15 @@ class Dataset:
 _stored: dict[tuple, DataFrame] = {}
 
 
+def stored_as(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table with several readers, written once per application under a name."""
+    key = (spark.sparkContext.applicationId, sf_dir, "named", name)
+    if key not in _stored:
+        _stored[key] = stage(make(), name)
+    tables.ensure_utc(spark)
+    return _stored[key]
+
+
 def stored_drivers(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Driver table of a panel, written once per application: one row per slot."""
     key = (spark.sparkContext.applicationId, sf_dir, "drivers", name)

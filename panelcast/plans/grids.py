@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,6 @@ from ..operators.grid import day_facts, relabel, usable_days
 from ..operators.inference import diebold_mariano
 from ..operators.metrics import (
     add_skill,
-    best_per_group,
     metric_columns,
     observed,
     summarise_runs,
@@ -59,39 +58,58 @@ def split_key(df: DataFrame, column: str = "config") -> DataFrame:
 def ridge_variants(assigned: DataFrame, variants: dict[str, Sequence[str]], alpha: float = 1.0) -> tuple[DataFrame, list[str]]:
     """Ridge for several feature lists from one pass over the rows.
 
-    The moments of the union of features are summed once; each variant solves its
-    own block. Returns a table with one coefficient array per variant (over the
-    union, zero for features it does not use) and the union.
+    The moments of the union of features are summed once per set of variants that a row
+    is complete for; a variant adds up the sets it is in and solves its own block. So a row
+    without one product's value still trains the others. Returns a table with one coefficient
+    array per variant (over the union, zero for features it does not use; null without rows)
+    and the union.
     """
     union = list(dict.fromkeys(f for fs in variants.values() for f in fs))
-    ok = assigned.where(linear.complete_case([*union, "y"]))
-    packed = linear.pack_moments(splits.fold_sums(ok, linear.moment_sums(union)), len(union), FOLD)
+    complete = [F.when(linear.complete_case(fs), 1 << i).otherwise(0) for i, fs in enumerate(variants.values())]
+    present = assigned.where(linear.complete_case(["y"])).withColumn("_set", reduce(Column.__add__, complete)).where("_set > 0")
+    filled = present.withColumns({f: F.when(linear.complete_case([f]), F.col(f)).otherwise(0.0) for f in union})
+    packed = linear.pack_moments(splits.fold_sums(filled, linear.moment_sums(union), {"_set": F.col("_set")}), len(union), [*FOLD, "_set"])
     blocks = {name: [union.index(f) for f in fs] for name, fs in variants.items()}
-    kind = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in blocks])
 
-    @F.pandas_udf(kind)
-    def solve(n: pd.Series, sx: pd.Series, sxx: pd.Series, sy: pd.Series, sxy: pd.Series) -> pd.DataFrame:
-        out = {name: [] for name in blocks}
-        for c, x, xx, t, xy in zip(n, sx, sxx, sy, sxy):
-            x, xy = np.asarray(x, float), np.asarray(xy, float)
-            xx = np.asarray(xx, float).reshape(len(x), len(x))
-            for name, idx in blocks.items():
-                icept, beta = ridge_from_moments(c, x[idx], xx[np.ix_(idx, idx)], t, xy[idx], alpha, True)
-                full = np.zeros(len(x))
-                full[idx] = beta
-                out[name].append([icept, *full])
-        return pd.DataFrame({k: pd.Series(v) for k, v in out.items()})
+    def solve(sets: pd.DataFrame) -> pd.DataFrame:
+        out = {f: sets[f].iloc[0] for f in FOLD}
+        for i, (name, idx) in enumerate(blocks.items()):
+            mine = sets[sets["_set"].to_numpy() >> i & 1 == 1]
+            if not len(mine):
+                out[name] = None
+                continue
+            x, xx, xy = (np.sum([np.asarray(v, float) for v in mine[c]], axis=0) for c in ("sx", "sxx", "sxy"))
+            xx = xx.reshape(len(union), len(union))
+            icept, beta = ridge_from_moments(mine["n"].sum(), x[idx], xx[np.ix_(idx, idx)], mine["sy"].sum(), xy[idx], alpha, True)
+            full = np.zeros(len(union))
+            full[idx] = beta
+            out[name] = [icept, *full]
+        return pd.DataFrame([out])
+
+    kind = T.StructType([packed.schema[f] for f in FOLD] + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in blocks])
+    return packed.groupBy(*FOLD).applyInPandas(solve, kind), union
+
+
+def variant_forecasts(assigned: DataFrame, variants: dict[str, Sequence[str]]) -> DataFrame:
+    """Test rows of every fold with a ridge forecast per feature list, a column each."""
+    coefs, _ = ridge_variants(assigned, variants)
+    union = list(dict.fromkeys(f for fs in variants.values() for f in fs))
+    at = {f: i for i, f in enumerate(union)}
+    rows = splits.eval_rows(assigned).where(F.col("role") == "test").join(coefs, list(FOLD))
+
+    def value(name: str, features: Sequence[str]) -> Column:
+        out = F.get(name, F.lit(0))
+        for f in features:
+            out = out + F.get(name, F.lit(at[f] + 1)) * F.col(f)
+        return F.when(out.isNotNull(), F.greatest(out, F.lit(0.0)))
 
-    return packed.select(*FOLD, solve("n", "sx", "sxx", "sy", "sxy").alias("_w")).select(*FOLD, "_w.*"), union
+    wide = rows.withColumns({f"_{n}": value(n, fs) for n, fs in variants.items()})
+    return wide.drop(*variants).withColumnsRenamed({f"_{n}": n for n in variants})
 
 
 def feature_ablation(assigned: DataFrame, variants: dict[str, Sequence[str]]) -> DataFrame:
     """Scores of ridge per feature list, test rows of every fold."""
-    coefs, union = ridge_variants(assigned, variants)
-    rows = splits.eval_rows(assigned).where(F.col("role") == "test").join(coefs, list(FOLD))
-    wide = rows.withColumns({f"_{n}": linear.linear_value(union, n) for n in variants})
-    wide = wide.drop(*variants).withColumnsRenamed({f"_{n}": n for n in variants})
-    long = to_long(wide, list(variants)).withColumnRenamed("model", "config")
+    long = to_long(variant_forecasts(assigned, variants), list(variants)).withColumnRenamed("model", "config")
     return (
         with_subsets(observed(long))
         .groupBy("series_id", "protocol", "config", "subset")
@@ -126,6 +144,18 @@ def price_pairs(pred: DataFrame, pairs: Sequence[tuple[str, str, str]], model: s
         )
         .where("reference is not null and variant is not null")
     )
+    return _priced(both)
+
+
+def price_columns(wide: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Each (name, reference, variant) pair of forecast columns on active observed rows that
+    have both: RMSE change and DM test. A row is read once for all pairs."""
+    listed = [F.struct(F.lit(n).alias("comparison"), F.col(a).alias("reference"), F.col(b).alias("variant")) for n, a, b in pairs]
+    rows = observed(wide).where("active").select("series_id", "protocol", "slot", "y", "capacity", F.inline(F.array(*listed)))
+    return _priced(rows.where("reference is not null and variant is not null"))
+
+
+def _priced(both: DataFrame) -> DataFrame:
     group = ["comparison", "series_id", "protocol"]
     rmse = lambda c: F.sqrt(F.avg((F.col("y") - F.col(c)) * (F.col("y") - F.col(c))))
     change = both.groupBy(*group).agg(
@@ -229,7 +259,3 @@ def missing_arms(assigned: DataFrame, features: Sequence[str]) -> DataFrame:
         out.append(test.join(rmse, ["series_id", "protocol"]).withColumn("arm", F.lit(arm)))
     return out[0].unionByName(out[1])
 
-
-def best_configuration(scores: DataFrame, keys: Sequence[str], config: str = "config") -> DataFrame:
-    return best_per_group(scores, keys, name=config)
-

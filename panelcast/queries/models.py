@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from ..functions.stage import stage
 from ..functions.time import HOURLY
 from ..operators import fold_models, fusion, grid, linear, metrics as M, splits
-from ..operators.features import add_cyclic, temporal_context
-from ..plans import backtest, grids
-from ..plans.datasets import H, hourly_frame, stored_all_fused, stored_boosted, stored_drivers, stored_forecasts, stored_frame, stored_fused, stored_rows
+from ..operators.features import ablate, add_cyclic, temporal_context
+from ..operators.solar import sun_position
+from ..plans import backtest, grids, masks
+from ..plans.datasets import H, LAT, LON, hourly_frame, stored_all_fused, stored_as, stored_boosted, stored_drivers, stored_forecasts, stored_frame, stored_fused, stored_rows
+from ..plans.products import Configuration, of_product, variants, with_products
 from ..sources import tables
 from .registry import query, tidy
 from .scores import MODELS
-from .sql import metric_sql, r, ridge2, sql
+from .sql import metric_sql, r, ridge1, ridge2, sql
 
 _FOLD = "series_id, protocol, fold"
 _F = ["series_id", "protocol", "fold"]
@@ -162,14 +164,95 @@ def m08_calendar_or_drivers(spark, sf):
     return tidy(grids.feature_ablation(stored_rows(spark, sf, H), variants))
 
 
+_CONFIGS = {
+    "analysis_full": Configuration("now", ("n_events", "mean_k")),
+    "analysis_matched": Configuration("now", ("n_events",)),
+    "day_ahead": Configuration("late", ("n_events",)),
+    "reanalysis_full": Configuration("other", ("n_events", "mean_k")),
+}
+_PAIRS = [
+    ("day_ahead_penalty", "analysis_matched", "day_ahead"),
+    ("product_sensitivity", "analysis_full", "reanalysis_full"),
+    ("dropped_variables", "analysis_full", "analysis_matched"),
+]
+
+
+def _product_rows(spark, sf, variables=("n_events", "mean_k")):
+    """Rows with the variables of three products: as they are, a day late, and an hour late."""
+    exog = stored_drivers(spark, sf, "h")
+    tables_ = {"now": exog, "late": grid.relabel(exog, 24), "other": grid.relabel(exog, 1)}
+    return with_products(stored_rows(spark, sf, H), tables.panel_h(spark, sf, bounds=True), tables_, variables)
+
+
+def _configurations(spark, sf):
+    rows = lambda: stage(_product_rows(spark, sf), "product-rows")
+    return stored_as(spark, sf, "configurations", lambda: grids.variant_forecasts(rows(), variants(_CONFIGS)).drop("prev_pair"))
+
+
+_NOW, _OTHER = ("n_events", "mean_k"), ("n_events_other", "mean_k_other")
+_CONFIG_FITS = {
+    "analysis_full": (ridge2("train_q", *_NOW, _FOLD), f"w0 + w1*{_NOW[0]} + w2*{_NOW[1]}"),
+    "analysis_matched": (ridge1("train_q", "n_events", _FOLD), "w0 + w1*n_events"),
+    "day_ahead": (ridge1("train_q", "n_events_late", _FOLD), "w0 + w1*n_events_late"),
+    "reanalysis_full": (ridge2("train_q", *_OTHER, _FOLD), f"w0 + w1*{_OTHER[0]} + w2*{_OTHER[1]}"),
+}
+_CONFIG_ROWS = " UNION ALL ".join(
+    f"""SELECT t.series_id, t.protocol, t.slot, t.y, t.capacity, t.active, '{name}' AS config, greatest({value}, 0) AS yhat
+    FROM test_q t JOIN prod_h p ON p.series_id = t.series_id AND p.slot = t.slot JOIN ({fit}) f ON f.series_id = t.series_id AND f.protocol = t.protocol AND f.fold = t.fold WHERE NOT t.is_missing"""
+    for name, (fit, value) in _CONFIG_FITS.items()
+)
+
+
+@query(
+    "g02_configurations",
+    sql(
+        f"""SELECT series_id, protocol, config, subset, {metric_sql(cap='capacity')} FROM (SELECT *, unnest(CASE WHEN active THEN ['ALL', 'active'] ELSE ['ALL'] END) AS subset FROM ({_CONFIG_ROWS}))
+        GROUP BY ALL"""
+    ),
+)
+def g02_configurations(spark, sf):
+    """Four configurations of three products and two variable sets, fitted in one pass."""
+    long = M.to_long(_configurations(spark, sf), list(_CONFIGS)).withColumnRenamed("model", "config")
+    rows = M.with_subsets(M.observed(long))
+    return tidy(rows.groupBy("series_id", "protocol", "config", "subset").agg(*M.metric_columns(capacity=F.col("capacity"))))
+
+
+@query(
+    "x20_priced_configurations",
+    sql(
+        f"""SELECT * FROM (WITH c AS MATERIALIZED ({_CONFIG_ROWS}) SELECT n.comparison, v.series_id, v.protocol, count(*) AS n_common, {r('sqrt(avg((v.y - b.yhat)**2))', 4)} AS reference_rmse, {r('sqrt(avg((v.y - v.yhat)**2))', 4)} AS variant_rmse,
+        {r('100 * (sqrt(avg((v.y - v.yhat)**2)) - sqrt(avg((v.y - b.yhat)**2))) / max(v.capacity)', 4)} AS nrmse_change_pp,
+        {r('100 * (sqrt(avg((v.y - v.yhat)**2)) / sqrt(avg((v.y - b.yhat)**2)) - 1)', 4)} AS relative_rmse_change_pct,
+        {r('avg((v.y - v.yhat)**2 - (v.y - b.yhat)**2) / sqrt(var_samp((v.y - v.yhat)**2 - (v.y - b.yhat)**2) / count(*))', 4)} AS statistic
+        FROM (VALUES {', '.join(str(x) for x in _PAIRS)}) n(comparison, a, z) JOIN c b ON b.config = n.a JOIN c v ON v.config = n.z AND v.series_id = b.series_id AND v.protocol = b.protocol AND v.slot = b.slot
+        WHERE v.active GROUP BY n.comparison, v.series_id, v.protocol)"""
+    ),
+)
+def x20_priced_configurations(spark, sf):
+    """What a day-ahead product, another product and fewer variables cost."""
+    return tidy(grids.price_columns(_configurations(spark, sf), _PAIRS).drop("p_value", "better"), 4)
+
+
+@query("x20_verdicts")
+def x20_verdicts(spark, sf):
+    """The same pairs with their p-values and verdicts."""
+    return tidy(grids.price_columns(_configurations(spark, sf), _PAIRS).select("comparison", "series_id", "protocol", "n_common", "statistic", "p_value", "better"))
+
+
 @query("g01_feature_ablation")
 def g01_feature_ablation(spark, sf):
-    """Ridge on all features, without temporal context, and on the calendar alone."""
-    rows = stored_rows(spark, sf, H)
-    drivers, cycles = ["n_events", "mean_value", "mean_k"], ["doy_sin", "doy_cos", "hour_sin", "hour_cos"]
-    context = _context(rows)
-    variants = {"full": [*drivers, *context, *cycles], "no_context": [*drivers, *cycles], "calendar": cycles}
-    return tidy(grids.feature_ablation(rows, variants))
+    """Ridge on all features, without alignment of the drivers, without the solar features, and
+    without temporal context: one moment matrix, a block for each."""
+    variables = ("n_events", "mean_value", "mean_k")
+    rows = _product_rows(spark, sf, variables).withColumns({"_lat": F.lit(LAT), "_lon": F.lit(LON)})
+    rows = sun_position(rows.drop("sun_elev"), "_lat", "_lon").drop("_lat", "_lon", "sun_az")
+    late = [of_product(v, "other") for v in variables]
+    rows = stage(temporal_context(rows, [late[0], late[1]]), "ablation")
+    solar, context, cycle = ["sun_elev", "cos_zenith"], _context(stored_rows(spark, sf, H)), ["doy_sin", "doy_cos"]
+    full = [*variables, *solar, *context, *cycle]
+    unaligned = [*late, *solar, *[c for c in _context(rows) if "__other" in c], *cycle]
+    without = {name: ablate(rows, full, [group])[1] for name, group in (("calendar_only", "solar"), ("no_temporal", "context"))}
+    return tidy(grids.feature_ablation(rows, {"full": full, "no_alignment": unaligned, **without}))
 
 
 _PRICE = f"""SELECT 'late_penalty' AS comparison, v.series_id, v.protocol, count(*) AS n_common, {r('sqrt(avg((v.y - b.OLS2)**2))', 4)} AS reference_rmse, {r('sqrt(avg((v.y - v.OLS2)**2))', 4)} AS variant_rmse,
@@ -184,8 +267,8 @@ _PRICE = f"""SELECT 'late_penalty' AS comparison, v.series_id, v.protocol, count
 def _products(spark, sf):
     exog = stored_drivers(spark, sf, "h")
     panel = tables.panel_h(spark, sf, bounds=True)
-    frames = {"now": hourly_frame(panel, exog), "late": hourly_frame(panel, grid.relabel(exog, 24))}
-    return grids.compare_products(frames, H.setup, MODELS)
+    frames = {"now": hourly_frame(panel, exog), "late": hourly_frame(panel, grid.relabel(exog, 24)), "other": hourly_frame(panel, grid.relabel(exog, 1))}
+    return stored_as(spark, sf, "product-forecasts", lambda: grids.compare_products(frames, H.setup, MODELS))
 
 
 @query(
@@ -197,6 +280,27 @@ def g02_product_scores(spark, sf):
     return tidy(M.score(M.with_subsets(_products(spark, sf)), keys, F.col("capacity")), 5)
 
 
+_PRODUCT_OF = {"analysis_full": "now", "analysis_matched": "now", "day_ahead": "late", "reanalysis_full": "other"}
+
+
+@query(
+    "x19_degradation_pivot",
+    sql(
+        "SELECT series_id, protocol, model, "
+        + ", ".join(f"{r(f'max(nrmse) FILTER (WHERE product = $${p}$$)', 3)} AS {c}" for c, p in _PRODUCT_OF.items())
+        + """ FROM (SELECT split_part(series_id, '/', 1) AS product, split_part(series_id, '/', 2) AS series_id, protocol, model, 100 * sqrt(avg((y - yhat)**2)) / max(capacity) AS nrmse
+        FROM sub_p WHERE subset = 'active' AND model IN ('Persistence', 'Climatology', 'SmartPersistence') GROUP BY ALL) GROUP BY ALL"""
+    ),
+)
+def x19_degradation_pivot(spark, sf):
+    """How much each reference forecast degrades with the driver product: a column a configuration."""
+    rows = M.with_subsets(_products(spark, sf)).where("subset = 'active'").where(F.col("model").isin(MODELS[:3]))
+    scores = M.score(rows, ["config", "series_id", "protocol", "model"], F.col("capacity"))
+    of = F.array(*[F.struct(F.lit(c).alias("configuration"), F.lit(p).alias("config")) for c, p in _PRODUCT_OF.items()])
+    named = scores.select("*", F.explode(of).alias("_c")).where("_c.config = config").withColumn("configuration", F.col("_c.configuration"))
+    return tidy(M.pivot_scores(named, ["series_id", "protocol", "model"], "configuration", "nrmse_pct", list(_PRODUCT_OF)), 3)
+
+
 @query("x20_priced_pairs", sql(_PRICE.replace("v.series_id, v.protocol, count", "v.sid AS series_id, v.protocol, count")))
 def x20_priced_pairs(spark, sf):
     out = grids.price_pairs(_products(spark, sf), [("late_penalty", "now", "late")], "OLS2")
@@ -205,12 +309,12 @@ def x20_priced_pairs(spark, sf):
 
 _BOUNDED = f"""SELECT t.series_id, t.protocol, t.fold, t.active, t.y, t.capacity, b.bound,
     greatest(coalesce(CASE WHEN w.pair_y IS NOT NULL THEN least(greatest(w.pair_y / greatest(t.capacity_fold*w.pair_g/1000.0, 1.0), 0.0), b.bound) END, rs.v, ra.v, 0) * greatest(t.capacity_fold*coalesce(w.driver, 0)/1000.0, 0), 0) AS yhat
-    FROM test_h t JOIN whole_h w ON w.series_id = t.series_id AND w.slot = t.slot, (SELECT unnest([0.25, 0.5, 1.0, 1.5, 'Infinity'::DOUBLE]) AS bound) b
+    FROM test_h t JOIN whole_h w ON w.series_id = t.series_id AND w.slot = t.slot, (SELECT unnest([1.0, 1.25, 1.5, 2.0, 3.0, 'Infinity'::DOUBLE]) AS bound) b
     LEFT JOIN (SELECT series_id, protocol, fold, s, bound, avg(least(greatest(y / greatest(capacity_fold*driver/1000.0, 1.0), 0.0), bound)) AS v
-      FROM (SELECT *, slot % 24 AS s FROM train_h JOIN fcap_h USING (series_id, protocol, fold)), (SELECT unnest([0.25, 0.5, 1.0, 1.5, 'Infinity'::DOUBLE]) AS bound) GROUP BY ALL) rs
+      FROM (SELECT *, slot % 24 AS s FROM train_h JOIN fcap_h USING (series_id, protocol, fold)), (SELECT unnest([1.0, 1.25, 1.5, 2.0, 3.0, 'Infinity'::DOUBLE]) AS bound) GROUP BY ALL) rs
     ON rs.series_id = t.series_id AND rs.protocol = t.protocol AND rs.fold = t.fold AND rs.s = t.slot % 24 AND rs.bound = b.bound
     LEFT JOIN (SELECT series_id, protocol, fold, bound, avg(least(greatest(y / greatest(capacity_fold*driver/1000.0, 1.0), 0.0), bound)) AS v
-      FROM (SELECT * FROM train_h JOIN fcap_h USING (series_id, protocol, fold)), (SELECT unnest([0.25, 0.5, 1.0, 1.5, 'Infinity'::DOUBLE]) AS bound) GROUP BY ALL) ra
+      FROM (SELECT * FROM train_h JOIN fcap_h USING (series_id, protocol, fold)), (SELECT unnest([1.0, 1.25, 1.5, 2.0, 3.0, 'Infinity'::DOUBLE]) AS bound) GROUP BY ALL) ra
     ON ra.series_id = t.series_id AND ra.protocol = t.protocol AND ra.fold = t.fold AND ra.bound = b.bound WHERE NOT t.is_missing"""
 
 
@@ -223,7 +327,7 @@ _BOUNDED = f"""SELECT t.series_id, t.protocol, t.fold, t.active, t.y, t.capacity
     ),
 )
 def g03_bound_sweep(spark, sf):
-    out = grids.bound_sweep(stored_frame(spark, sf, H), H.setup, [0.25, 0.5, 1.0, 1.5, float("inf")], 1.5)
+    out = grids.bound_sweep(stored_frame(spark, sf, H), H.setup, [1.0, 1.25, 1.5, 2.0, 3.0, float("inf")], 1.5)
     label = F.when(F.col("bound") == float("inf"), "inf").otherwise(F.col("bound").cast("string"))
     return tidy(out.withColumn("bound", label))
 
@@ -319,6 +423,16 @@ def g07_missing_arms(spark, sf):
     return tidy(out.select("series_id", "protocol", "arm", "n", "rmse", "mean_diff", "statistic"), 4, mean_diff=3)
 
 
+@query("g07_mask_arms")
+def g07_mask_arms(spark, sf):
+    """The mask as features, as loss weights, as both and as neither, on day windows of every fold."""
+    frame = stored_frame(spark, sf, H)
+    folds = backtest.scored_frame(frame, H.setup)[1]
+    rows, plain, seen = masks.hour_rows(grid.complete_days(frame), folds, ["driver"])
+    forecasts = masks.arm_forecasts(stage(rows, "windows"), plain, seen)
+    return tidy(masks.score_arms(stage(forecasts, "arms")), 5)
+
+
 _ALL = [*MODELS, *fusion.VARIANTS]
 
 

@@ -126,24 +126,6 @@ def x18_best_model(spark, sf):
     return tidy(best.select("series_id", "protocol", "subset", "model", "n", "rmse"))
 
 
-_SERIES = ["click", "error", "purchase", "signup", "view"]
-
-
-@query(
-    "x19_degradation_pivot",
-    sql(
-        "SELECT protocol, model, "
-        + ", ".join(f"{r(f'max(100 * rmse / capacity) FILTER (WHERE series_id = $${s}$$)', 3)} AS {s}" for s in _SERIES)
-        + f" FROM (SELECT x.*, capacity FROM ({_X02}) x JOIN cap_h c ON c.series_id = x.series_id) WHERE subset = 'active' AND model IN ('Persistence', 'Climatology', 'SmartPersistence') GROUP BY ALL"
-    ),
-)
-def x19_degradation_pivot(spark, sf):
-    s = _scores(spark, sf).where((F.col("subset") == "active") & F.col("model").isin(MODELS[:3]))
-    # the usual columns, and one for every further series that is there
-    found = {x[0] for x in s.select("series_id").distinct().collect()} - {None}
-    return tidy(M.pivot_scores(s, ["protocol", "model"], "series_id", "nrmse_pct", sorted(found.union(_SERIES))), 3)
-
-
 @query("x21_error_by_hour", sql(f"SELECT {_KEY}, hour(ts) AS hour, count(*) AS n, {r('avg(abs(y - yhat))')} AS mae FROM obs_h GROUP BY ALL"))
 def x21_error_by_hour(spark, sf):
     return tidy(M.error_by_hour(pred(spark, sf)))

@@ -280,7 +280,12 @@ _backtest("e", 7, 1, 150, 6, 5, 100, "n_orders", "mean_price")
 
 # experiment grids: settings are prefixes of the series id
 part("late_h", "SELECT slot + 24 AS slot, n_events, mean_value, mean_k FROM exog_h")
-part("frame_p", hourly_frame("panel_h", "exog_h", prefix="now/") + " UNION ALL " + hourly_frame("panel_h", "late_h", prefix="late/"))
+part("other_h", "SELECT slot + 1 AS slot, n_events, mean_value, mean_k FROM exog_h")
+part("frame_p", " UNION ALL ".join(hourly_frame("panel_h", f"{e}_h", prefix=f"{p}/") for p, e in (("now", "exog"), ("late", "late"), ("other", "other"))))
+_products = ", ".join(f"{filled(f'{p}.{v}')} AS {v}_{p}" for p in ("late", "other") for v in ("n_events", "mean_k"))
+part("prod_h", f"SELECT p.series_id, p.slot, {_products} FROM panel_h p LEFT JOIN late_h late ON late.slot = p.slot LEFT JOIN other_h other ON other.slot = p.slot")
+part("train_q", "SELECT * FROM train_h JOIN prod_h USING (series_id, slot)")
+part("test_q", "SELECT w.*, s.protocol, s.fold FROM whole_h w JOIN splits_h s ON s.series_id = w.series_id AND s.day = w.day AND s.role = 'test'")
 _backtest("p", 24, 24, 12, 3, 5, 50, "n_events", "mean_value")
 for _k in (-1, -2):
     part(f"moved{-_k}", f"SELECT series_id, slot - {-_k} AS slot, ts - INTERVAL {-_k} HOUR AS ts, y, y_filled, is_missing FROM panel_h")
@@ -297,6 +302,12 @@ part("frame_r", "SELECT k || '/' || series_id AS series_id, slot, ts, y, y_fille
 _backtest("r", 24, 24, 12, 3, 5, 50, "n_events", "mean_value", "CAST(split_part(series_id, '/', 1) AS INT)")
 
 
+def ridge1(src: str, x: str, keys: str, alpha: float = 1.0) -> str:
+    """One-feature ridge on the standardised feature, in closed form."""
+    return f"""SELECT {keys}, count(*) AS n_train, count(*) * covar_pop({x}, y) / stddev_pop({x}) / (count(*) + {alpha}) / stddev_pop({x}) AS w1,
+    avg(y) - w1*avg({x}) AS w0 FROM {src} GROUP BY {keys}"""
+
+
 def ridge2(src: str, x1: str, x2: str, keys: str, alpha: float = 1.0) -> str:
     """Two-feature ridge on standardised features, in closed form."""
     return f"""SELECT {keys}, count(*) AS n_train, stddev_pop({x1}) AS sd1, stddev_pop({x2}) AS sd2, n_train * corr({x1}, {x2}) AS g_, n_train + {alpha} AS d_,
