@@ -50,9 +50,17 @@ def season_no(slot: Column, grid: Grid) -> Column:
     return F.floor(slot / F.lit(grid.season)).cast("bigint")
 
 
-def local_offset_hours(ts: Column, zone: str) -> Column:
-    """Offset of ``zone`` from UTC at each UTC timestamp, in hours."""
+def local_offset_hours(ts: Column, zone: str | Column) -> Column:
+    """Offset of ``zone`` (a name, or a column of names) from UTC at each UTC timestamp, in hours."""
     utc = ts.cast("timestamp")
     return (
         F.unix_seconds(F.from_utc_timestamp(utc, zone)) - F.unix_seconds(utc)
     ) / F.lit(3600.0)
+
+
+def local_offset_slots(ts: Column, zone: str | Column, grid: Grid) -> Column:
+    """The same in whole slots of the grid, rounded down: what to add to a UTC slot for the slot
+    under which a logger on local time has filed it. Only grids of an hour or finer have one."""
+    if grid.step > 3600:
+        raise ValueError("a local clock offset has no slot on a grid coarser than an hour")
+    return F.floor(local_offset_hours(ts, zone) * F.lit(3600.0 / grid.step)).cast("bigint")

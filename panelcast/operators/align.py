@@ -78,7 +78,7 @@ def best_shift(scan: DataFrame, keys: Sequence[str], score: str = "r2") -> DataF
 
 
 def offset_scan(frame: DataFrame, offset: Column, extras: Sequence[int] = (-2, -1, 0, 1)) -> DataFrame:
-    """Score corrections that move each row by its own local offset plus a constant."""
+    """Score corrections that move each row by its own local offset (in slots) plus a constant."""
     target = frame.withColumn("_offset", offset).select("series_id", "slot", "driver", "active", "capacity", "_offset").where("active")
     source = frame.where("y is not null").select("series_id", "slot", "y")
     rows = moved_by_row(source, target, F.col("_offset"), extras)

@@ -117,6 +117,18 @@ def observed_before(df: DataFrame, offset: int, keys: Sequence[str] = ("series_i
     return df.join(seen, [*keys, "slot"], "left_semi")
 
 
+def training_cells(assigned: DataFrame, cell: dict[str, Column]) -> DataFrame:
+    """Distinct observed cells of every fold: ``in_train`` where its training rows have the
+    cell; a row at all means that training or validation rows have it. Cells are found once
+    per set of folds, and only those are spread."""
+    member = "struct<protocol:string,fold:string,in_train:boolean>"
+    trains = F.transform("train_of", lambda m: F.struct(m["protocol"].alias("protocol"), m["fold"].alias("fold"), F.lit(True).alias("in_train")).cast(member))
+    checks = F.transform(F.filter("eval_of", lambda m: m["role"] == "val"), lambda m: F.struct(m["protocol"].alias("protocol"), m["fold"].alias("fold"), F.lit(False).alias("in_train")).cast(member))
+    rows = assigned.where(~F.col("is_missing")).select("series_id", *[c.alias(n) for n, c in cell.items()], F.array_sort(F.concat(trains, checks)).alias("_of"))
+    spread = rows.where(F.size("_of") > 0).distinct().select("series_id", *cell, F.inline("_of"))
+    return spread.groupBy("series_id", "protocol", "fold", *cell).agg(F.max("in_train").alias("in_train"))
+
+
 def unseen_cells(scored: DataFrame, train: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Scored rows whose key never occurs in training (anti-join on distinct keys)."""
     return scored.join(train.select(*keys).distinct(), list(keys), "left_anti")
@@ -158,7 +170,9 @@ def moved_by_row(values: DataFrame, against: DataFrame, target_offset: Column, e
     """For each target row and extra, the value ``extra - target_offset`` slots earlier:
     a record written ``target_offset`` slots ahead is moved back by it, plus ``extra``.
 
-    ``target_offset`` is a column of ``against`` (such as the local clock offset).
+    ``target_offset`` is a column of ``against`` in slots (such as the local clock offset of
+    :func:`local_offset_slots`). When clocks go back, two UTC slots have one local slot and
+    both meet its record; the local slot that clocks skip is met by none.
     """
     wanted = (
         against.withColumn("extra", F.explode(F.array(*[F.lit(e) for e in extras])))

@@ -291,6 +291,21 @@ def fallback_audit(rows: DataFrame) -> DataFrame:
     )
 
 
+def membership_audit(scored: DataFrame, cells: DataFrame, cell: Sequence[str], slot: Sequence[str]) -> DataFrame:
+    """How many scored rows have a cell, or a slot of the season, that the fold has never
+    observed: ``*_train`` among the rows it trains on, ``*_both`` among those and its validation
+    rows. Per fold and pooled (``fold`` = 'ALL'). ``cells`` is :func:`training_cells`; ``slot``
+    are those of the cell's columns that name a season slot."""
+    fold = ["series_id", "protocol", "fold"]
+    slots = cells.groupBy(*fold, *slot).agg(F.max("in_train").alias("_slot"))
+    rows = scored.join(cells.withColumnRenamed("in_train", "_cell"), [*fold, *cell], "left").join(slots, [*fold, *slot], "left")
+    aggs = [F.count("*").alias("scored")]
+    for name in ("cell", "slot"):
+        gone = {"train": ~F.coalesce(f"_{name}", F.lit(False)), "both": F.col(f"_{name}").isNull()}
+        aggs += [F.count_if(c).alias(f"unseen_{name}_{of}") for of, c in gone.items()]
+    return rows.groupingSets([["protocol", "fold"], ["protocol"]], "protocol", "fold").agg(*aggs).withColumn("fold", F.coalesce("fold", F.lit("ALL")))
+
+
 def lag_observed_scores(pred: DataFrame, reference: str) -> DataFrame:
     """Active-slot RMSE and skill on all scored rows and on those whose lag was observed."""
     tags = F.array_compact(F.array(F.lit("all scored"), F.when(F.col("lag_seen"), F.lit("lag observed"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.time import local_offset_hours
+from ..functions.time import HOURLY, local_offset_hours, local_offset_slots
 from ..operators import align, joins, splits
 from ..operators.grid import complete_days, day_facts
 from ..plans.datasets import D, H, stored_frame
@@ -66,8 +66,16 @@ def a03_shift_scan_by_period(spark, sf):
     return tidy(align.shift_scan_by_period(_frame(spark, sf, D), periods), 4)
 
 
-_MOVED = f"""SELECT t.series_id, extra, s.y, t.driver, t.capacity FROM (SELECT *, {_OFF.format(ts='ts')} AS off FROM frame_d WHERE active) t, (SELECT unnest([-2, -1, 0, 1]) AS extra) k
-    JOIN frame_d s ON s.series_id = t.series_id AND s.slot = t.slot - (extra - CAST(off AS BIGINT)) WHERE s.y IS NOT NULL"""
+# series of two sites, each with a clock of its own
+_ZONES = ("Europe/London", "America/New_York")
+_ZONE = f"CASE WHEN series_id < 'e' THEN '{_ZONES[0]}' ELSE '{_ZONES[1]}' END"
+_MOVED = f"""SELECT t.series_id, extra, s.y, t.driver, t.capacity FROM (SELECT *, date_diff('minute', ts, timezone({_ZONE}, timezone('UTC', ts))) // 60 AS off FROM frame_h WHERE active) t,
+    (SELECT unnest([-2, -1, 0, 1]) AS extra) k JOIN frame_h s ON s.series_id = t.series_id AND s.slot = t.slot - (extra - off) WHERE s.y IS NOT NULL"""
+
+
+def _offset():
+    zone = F.when(F.col("series_id") < "e", _ZONES[0]).otherwise(_ZONES[1])
+    return local_offset_slots(F.col("ts"), zone, HOURLY)
 
 
 @query(
@@ -75,12 +83,12 @@ _MOVED = f"""SELECT t.series_id, extra, s.y, t.driver, t.capacity FROM (SELECT *
     sql(f"SELECT series_id, extra, {metric_sql(yhat='(capacity * driver / 1000.0)', cap='capacity', digits=4)} FROM ({_MOVED}) GROUP BY ALL"),
 )
 def a04_offset_scan(spark, sf):
-    return tidy(align.offset_scan(_frame(spark, sf, D), local_offset_hours(F.col("ts"), "Europe/London")), 4)
+    return tidy(align.offset_scan(_frame(spark, sf), _offset()), 4)
 
 
 @query("j10_row_offset", sql(f"SELECT series_id, extra, count(*) AS n, {r('sum(y)', 2)} AS total, {r('sum(driver)', 2)} AS driver FROM ({_MOVED}) GROUP BY ALL"))
 def j10_row_offset(spark, sf):
-    frame = stored_frame(spark, sf, D).withColumn("off", local_offset_hours(F.col("ts"), "Europe/London"))
+    frame = _frame(spark, sf).withColumn("off", _offset())
     out = joins.moved_by_row(
         frame.where("y is not null").select("series_id", "slot", "y"),
         frame.where("active").select("series_id", "slot", "driver", "off"),

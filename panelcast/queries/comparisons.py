@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from ..operators import inference, metrics as M, value
-from ..plans.datasets import D, E, H, stored_fused
+from pyspark.sql import functions as F
+
+from ..functions.time import DAILY, season_slot
+from ..operators import inference, joins, metrics as M, value
+from ..plans.backtest import scored_frame
+from ..plans.datasets import D, E, H, stored_frame, stored_fused
 from .registry import query, tidy
 from .scores import pred, test_rows
 from .sql import r, sql
@@ -123,6 +127,27 @@ def x13_fallback_audit(spark, sf):
     return tidy(M.fallback_audit(test_rows(spark, sf, E)))
 
 
+_KNOWN = "SELECT w.series_id, s.protocol, s.fold, month(ts) AS m, slot % 7 AS s, bool_or(s.role = 'train') AS t FROM whole_e w JOIN splits_e s ON s.series_id = w.series_id AND s.day = w.day AND s.role <> 'test' WHERE NOT is_missing GROUP BY ALL"
+
+
+@query(
+    "x13_membership_audit",
+    sql(
+        f"""SELECT e.protocol, coalesce(e.fold, 'ALL') AS fold, count(*) AS scored, count(*) FILTER (WHERE NOT coalesce(c.t, false)) AS unseen_cell_train, count(*) FILTER (WHERE c.t IS NULL) AS unseen_cell_both,
+        count(*) FILTER (WHERE NOT coalesce(k.t, false)) AS unseen_slot_train, count(*) FILTER (WHERE k.t IS NULL) AS unseen_slot_both FROM test_e e
+        LEFT JOIN ({_KNOWN}) c ON c.series_id = e.series_id AND c.protocol = e.protocol AND c.fold = e.fold AND c.m = month(e.ts) AND c.s = e.slot % 7
+        LEFT JOIN (SELECT series_id, protocol, fold, s, bool_or(t) AS t FROM ({_KNOWN}) GROUP BY ALL) k ON k.series_id = e.series_id AND k.protocol = e.protocol AND k.fold = e.fold AND k.s = e.slot % 7
+        WHERE active AND NOT is_missing GROUP BY GROUPING SETS ((e.protocol, e.fold), (e.protocol))"""
+    ),
+)
+def x13_membership_audit(spark, sf):
+    """What a fold has not observed among its training rows, and among those and its validation rows."""
+    assigned, _ = scored_frame(stored_frame(spark, sf, E), E.setup)
+    cell = {"m": F.month("ts"), "s": season_slot(F.col("slot"), DAILY)}
+    scored = M.observed(test_rows(spark, sf, E)).where("active").withColumns(cell)
+    return M.membership_audit(scored, joins.training_cells(assigned, cell), ["m", "s"], ["s"])
+
+
 @query(
     "x14_lag_observed",
     sql(

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.stage import shared_folder, stage
 from ..functions.time import HOURLY
 from ..operators import grid, metrics as M
 from ..operators.joins import lookback, pair_on
 from ..operators.reference import in_sample_climatology
 from ..plans.datasets import D, H, stored_forecasts, stored_frame
 from ..sources import tables
+from ..sources.results import read_run, write_run
 from .registry import query, tidy
 from .sql import metric_sql, r, sql
 
@@ -245,6 +249,35 @@ def x29_drift_check(spark, sf):
     return tidy(M.drift_check(one("rolling_origin", "OLS2"), one("random_day", "Scaled"), ["series_id", "model"], "rmse", 10.0))
 
 
+_RERUN = f"SELECT * FROM ({_X02}) WHERE subset = 'ALL' AND NOT (model = 'Climatology' AND series_id = 'view')"
+
+
+@query(
+    "x29_drift_by_run",
+    sql(
+        f"""SELECT coalesce(e.series_id, a.series_id) AS series_id, coalesce(e.protocol, a.protocol) AS protocol, coalesce(e.model, a.model) AS model, run,
+        {r('e.v')} AS expected, {r('a.v')} AS computed, CASE WHEN a.v IS NULL THEN 'not computed' WHEN e.v IS NULL THEN 'not expected' WHEN abs(e.v - a.v) <= 1e-6 THEN 'ok' ELSE 'mismatch' END AS verdict
+        FROM (SELECT series_id, protocol, model, rmse AS v, unnest(['changed', 'same']) AS run FROM ({_X02}) WHERE subset = 'ALL') e
+        LEFT JOIN (SELECT series_id, protocol, model, rmse AS v, 'same' AS run FROM ({_X02}) WHERE subset = 'ALL'
+          UNION ALL SELECT series_id, protocol, model, CASE WHEN model = 'Scaled' AND series_id = 'click' THEN rmse + 1 ELSE rmse END, 'changed' FROM ({_RERUN})) a USING (series_id, protocol, model, run)"""
+    ),
+)
+def x29_drift_by_run(spark, sf):
+    """Runs against the expectations that an earlier run stored: one that repeats it, and one with
+    a changed score and without another."""
+    path = f"{shared_folder(spark)}/panelcast/expectations-{uuid.uuid4().hex}"
+    keys = ["series_id", "protocol", "model"]
+    scores = stage(_scores(spark, sf).where("subset = 'ALL'").select(*keys, "rmse"), "scores")
+    off = (F.col("model") == "Scaled") & (F.col("series_id") == "click")
+    gone = (F.col("model") == "Climatology") & (F.col("series_id") == "view")
+    runs = {"expected": scores, "same": scores, "changed": scores.where(~gone).withColumn("rmse", F.when(off, F.col("rmse") + 1).otherwise(F.col("rmse")))}
+    for run, table in runs.items():
+        write_run(table, path, run)
+    expected = read_run(spark, path, "expected")
+    parts = [M.drift_check(expected, read_run(spark, path, run), keys, "rmse", 1e-6).withColumn("run", F.lit(run)) for run in ("same", "changed")]
+    return tidy(parts[0].unionByName(parts[1]))
+
+
 @query(
     "x30_sweep_spread",
     sql(

@@ -1,5 +1,6 @@
 import math
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 import numpy as np
 import pytest
@@ -7,8 +8,8 @@ from conftest import hourly_panel, rows
 from pyspark.sql import functions as F
 
 from panelcast.functions import columns as C
-from panelcast.functions.time import DAILY, HOURLY
-from panelcast.operators import align, features, solar, splits
+from panelcast.functions.time import DAILY, HOURLY, local_offset_slots
+from panelcast.operators import align, features, joins, solar, splits
 from panelcast.operators.reference import year_climatology
 
 
@@ -164,6 +165,44 @@ def test_local_clock_record_is_recovered_by_the_offset_scan(spark):
     assert max(got, key=got.get) == 0 and got[0] > 0.99
 
 
+def test_two_zones_in_one_scan_with_a_doubled_and_a_missing_hour(spark):
+    """Records of two sites, each in local time over both clock changes, on the hourly grid."""
+    zones = {"a": "Europe/London", "b": "America/New_York"}
+    start, n = datetime(2025, 3, 1), 24 * 260
+    rng = np.random.default_rng(4)
+    g = [max(math.sin((h % 24 - 6) / 12 * math.pi), 0) * 800 * rng.uniform(0.3, 1) for h in range(n)]
+    series, offsets = {}, {}
+    for s, zone in zones.items():
+        off = [int((start + timedelta(hours=h)).replace(tzinfo=timezone.utc).astimezone(ZoneInfo(zone)).utcoffset().total_seconds() // 3600) for h in range(n)]
+        y = [None] * n
+        for i in range(n):
+            if 0 <= i + off[i] < n:
+                y[i + off[i]] = g[i]
+        series[s], offsets[s] = y, off
+    frame = hourly_panel(spark, series, start, {"driver double": g}).withColumns({"active": F.col("driver") > 20, "capacity": F.lit(1000.0)})
+    zone = F.when(F.col("series_id") == "a", zones["a"]).otherwise(zones["b"])
+    offset = local_offset_slots(F.col("ts"), zone, HOURLY)
+    got = {(r["series_id"], r["hour"]): r["o"] for r in frame.select("series_id", F.col("slot").alias("hour"), offset.alias("o")).collect()}
+    first = min(h for _, h in got)
+    assert all(got[s, first + h] == offsets[s][h] for s in zones for h in range(n))
+    scan = {}
+    for r in align.offset_scan(frame, offset).collect():
+        scan.setdefault(r["series_id"], {})[r["extra"]] = r["r2"]
+    assert all(max(v, key=v.get) == 0 and v[0] > 0.99 for v in scan.values())
+    # in autumn one local slot is met by two UTC slots, in spring one by none
+    met = joins.moved_by_row(frame.select("series_id", "slot", "y"), frame.select("series_id", "slot", offset.alias("off")), F.col("off"), [0])
+    times = met.groupBy("series_id", "slot").count()
+    for s in zones:
+        twice = [r["slot"] for r in times.where((F.col("series_id") == s) & (F.col("count") == 2)).collect()]
+        seen = {r["slot"] for r in times.where(F.col("series_id") == s).collect()}
+        skipped = [t for t in range(min(seen), max(seen)) if t not in seen]
+        assert len(twice) == 1 and len(skipped) == 1
+        back = [i for i in range(1, n) if offsets[s][i] < offsets[s][i - 1]][0]
+        assert twice[0] == first + back + offsets[s][back]
+    with pytest.raises(ValueError):
+        local_offset_slots(F.col("ts"), "UTC", DAILY)
+
+
 def test_published_shift_choice(spark):
     # R2 per shift -3..3 of three published blocks and the shift chosen.
     blocks = {

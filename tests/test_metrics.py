@@ -1,11 +1,14 @@
 import math
+from datetime import datetime
 
 import numpy as np
 import pytest
 from conftest import hourly_panel
 from pyspark.sql import functions as F
 
-from panelcast.operators import metrics as M
+from panelcast.operators import joins, metrics as M, splits
+from panelcast.operators.grid import day_facts
+from panelcast.sources.results import read_run, write_run
 
 
 def pairs(spark, data):
@@ -136,3 +139,41 @@ def test_pivot_has_every_series(spark, monkeypatch):
     monkeypatch.setattr(scores, "_scores", lambda *a: df)
     got = scores.x19_degradation_pivot(spark, None).first().asDict()
     assert (got["click"], got["view"], got["refund"], got["error"]) == (1.0, 2.0, 3.0, None)
+
+
+def test_membership_counts_training_and_validation_apart(spark):
+    ys = {"a": [None if h % 31 == 0 else float(h % 50) for h in range(24 * 70)], "b": [float(h % 11) for h in range(24 * 70)]}
+    panel = hourly_panel(spark, ys, datetime(2025, 5, 20)).withColumn("active", F.hour("ts") > 3)
+    folds = splits.both_protocols(day_facts(panel), {"n_folds": 3, "first_test_days": 14}, {"n_folds": 4})
+    assigned = splits.assign(panel, folds)
+    cell = {"m": F.month("ts"), "s": F.hour("ts")}
+    cells = joins.training_cells(assigned, cell)
+    scored = M.observed(splits.eval_rows(assigned)).where("role = 'test' and active").withColumns(cell)
+    got = {(r["protocol"], r["fold"]): r for r in M.membership_audit(scored, cells, ["m", "s"], ["s"]).collect()}
+    pdf = panel.where("not is_missing").withColumns(cell).withColumn("day", F.to_date("ts")).toPandas()
+    joined = pdf.merge(folds.toPandas(), on=["series_id", "day"])
+    want = {}
+    for (p, f), g in joined.groupby(["protocol", "fold"]):
+        test = g[(g.role == "test") & g.active]
+        for of, roles in (("train", ["train"]), ("both", ["train", "val"])):
+            own = g[g.role.isin(roles)]
+            seen, slots = set(zip(own.series_id, own.m, own.s)), set(zip(own.series_id, own.s))
+            for key, n in ((f"unseen_cell_{of}", sum(x not in seen for x in zip(test.series_id, test.m, test.s))), (f"unseen_slot_{of}", sum(x not in slots for x in zip(test.series_id, test.s)))):
+                assert got[p, f][key] == n
+                want[p, key] = want.get((p, key), 0) + n
+        assert got[p, f]["scored"] == len(test)
+    for (p, key), n in want.items():
+        assert got[p, "ALL"][key] == n
+    assert want["rolling_origin", "unseen_cell_train"] > want["rolling_origin", "unseen_cell_both"]
+
+
+def test_a_run_is_checked_against_what_an_earlier_run_stored(spark, tmp_path):
+    scores = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", None)], "model string, rmse double")
+    path = f"file://{tmp_path}/runs"
+    for run, table in {"expected": scores, "same": scores, "new": scores.where("model <> 'a'").withColumn("rmse", F.col("rmse") + 0.5)}.items():
+        write_run(table, path, run)
+    check = lambda run: {r["model"]: r["verdict"] for r in M.drift_check(read_run(spark, path, "expected"), read_run(spark, path, run), ["model"], "rmse", 0.01).collect()}
+    assert check("same") == {"a": "ok", "b": "ok", "c": "ok"}
+    assert check("new") == {"a": "not computed", "b": "mismatch", "c": "ok"}
+    write_run(scores, path, "new")  # a rewrite replaces its own run only
+    assert check("new") == {"a": "ok", "b": "ok", "c": "ok"} and read_run(spark, path, "expected").count() == 3
