@@ -41,12 +41,12 @@ _HOUR = """SELECT series_id, protocol, fold, hour(ts) AS h, count(*) AS n, sum(S
 @query(
     "e08_per_hour_stack",
     sql(
-        f"""SELECT t.protocol, t.fold, t.series_id, t.ts, {r('greatest(CASE WHEN n >= 6 THEN (n1*Scaled + n2*OLS2)/(n1 + n2) ELSE (Scaled + OLS2)/2 END, 0)', 3)} AS yhat
+        f"""SELECT t.protocol, t.fold, t.series_id, t.ts, {r('greatest(CASE WHEN n >= 8 THEN (n1*Scaled + n2*OLS2)/(n1 + n2) ELSE (Scaled + OLS2)/2 END, 0)', 3)} AS yhat
         FROM test_h t LEFT JOIN ({_HOUR}) w ON w.series_id = t.series_id AND w.protocol = t.protocol AND w.fold = t.fold AND w.h = hour(t.ts)"""
     ),
 )
 def e08_per_hour_stack(spark, sf):
-    out = fusion.per_hour_stack(stored_forecasts(spark, sf, H), MEMBERS, min_rows=6)
+    out = fusion.per_hour_stack(stored_forecasts(spark, sf, H), MEMBERS, min_rows=8)
     return tidy(out.select(*_ID, F.col("PerHourStack").alias("yhat")), 3)
 
 
@@ -104,3 +104,79 @@ def e10_three_member_fusion(spark, sf):
     fused = stored_fused(spark, sf, H, ("Scaled", "OLS2", "Ridge"))
     rows = M.with_subsets(M.to_long(fused, list(fusion.VARIANTS)))
     return tidy(M.score(rows, ["series_id", "protocol", "model", "subset"], F.col("capacity")))
+
+
+# Three members: every active set of a non-negative fit, and every face of the simplex, in closed form.
+_THREE = ["Scaled", "OLS2", "SmartPersistence"]
+_IDX = (1, 2, 3)
+_g = lambda p, i, j: f"{p}{min(i, j)}{max(i, j)}"
+
+
+def _det(m) -> str:
+    if len(m) == 1:
+        return f"({m[0][0]})"
+    signed = (f"{'+' if c % 2 == 0 else '-'} ({m[0][c]})*{_det([row[:c] + row[c + 1:] for row in m[1:]])}" for c in range(len(m)))
+    return f"({' '.join(signed)})"
+
+
+def _solve(matrix, right) -> list[str]:
+    """Cramer's rule."""
+    n, whole = len(right), _det(matrix)
+    return [f"{_det([row[:c] + [right[i]] + row[c + 1:] for i, row in enumerate(matrix)])} / nullif({whole}, 0)" for c in range(n)]
+
+
+def _faces() -> list[tuple[int, ...]]:
+    return [tuple(i for k, i in enumerate(_IDX) if bits >> k & 1) for bits in range(1, 8)]
+
+
+def _best(candidates: list[tuple[list[str], str]]) -> str:
+    """The weights of the candidate without a negative one that has the largest score."""
+    listed = ", ".join(f"{{'s': {score}, 'w': [{', '.join(w)}]}}" for w, score in candidates)
+    return f"list_max(list_filter([{listed}], lambda x: x.s IS NOT NULL AND list_min(x.w) >= 0)).w"
+
+
+def _nnls() -> str:
+    out = []
+    for face in _faces():
+        w = dict(zip(face, _solve([[_g("g", i, j) for j in face] for i in face], [f"h{i}" for i in face])))
+        full = [w.get(i, "0.0") for i in _IDX]
+        out.append((full, " + ".join(f"h{i}*({w[i]})" for i in face)))
+    return _best(out)
+
+
+def _convex() -> str:
+    out = []
+    for face in _faces():
+        *free, last = face
+        if free:  # the last weight is one less the others
+            a = [[f"{_g('g', i, j)} - {_g('g', i, last)} - {_g('g', j, last)} + {_g('g', last, last)}" for j in free] for i in free]
+            w = dict(zip(free, _solve(a, [f"h{i} - h{last} - {_g('g', i, last)} + {_g('g', last, last)}" for i in free])))
+        else:
+            w = {}
+        w[last] = f"1 - ({' + '.join(f'({w[i]})' for i in free) or 0})"
+        full = [w.get(i, "0.0") for i in _IDX]
+        square = " + ".join(f"({w[i]})*({w[j]})*{_g('g', i, j)}" for i in face for j in face)
+        out.append((full, " + ".join(f"2*h{i}*({w[i]})" for i in face) + f" - ({square})"))
+    return _best(out)
+
+
+def _three_sql() -> str:
+    pairs = [(i, j) for i in _IDX for j in _IDX if i <= j]
+    name = dict(zip(_IDX, _THREE))
+    sums = [f"sum({name[i]}*{name[j]}) AS g{i}{j}" for i, j in pairs] + [f"sum({name[i]}*y) AS h{i}, sum({name[i]}) AS s{i}, sqrt(avg((y - {name[i]})**2)) AS e{i}" for i in _IDX]
+    ridge = _solve([[f"{_g('g', i, j)} - s{i}*s{j}/n" + (" + 1" if i == j else "") for j in _IDX] for i in _IDX], [f"h{i} - s{i}*sy/n" for i in _IDX])
+    dot = lambda w: " + ".join(f"{w}[{i}]*{name[i]}" for i in _IDX)
+    inverse = " + ".join(f"1/e{i}" for i in _IDX)
+    return f"""SELECT t.protocol, t.fold, t.series_id, t.ts, {r(f"({' + '.join(_THREE)})/3", 4)} AS Mean, {r(f"({' + '.join(f'{name[i]}/e{i}' for i in _IDX)}) / ({inverse})", 4)} AS InvRMSE,
+        {r(f"greatest((sy - {' - '.join(f'r[{i}]*s{i}' for i in _IDX)})/n + {dot('r')}, 0)", 4)} AS RidgeStack, {r(f'greatest({dot("w")}, 0)', 4)} AS NNLSStack,
+        {r(f'greatest(({dot("w")})/list_sum(w), 0)', 4)} AS NNLSRenormalised, {r(f'greatest({dot("c")}, 0)', 4)} AS NNLSConvex,
+        {r('CASE WHEN e1 <= e2 AND e1 <= e3 THEN Scaled WHEN e2 <= e3 THEN OLS2 ELSE SmartPersistence END', 4)} AS BestSingleByVal
+        FROM test_h t JOIN (SELECT *, {_nnls()} AS w, {_convex()} AS c, [{', '.join(ridge)}] AS r FROM (SELECT series_id, protocol, fold, count(*) AS n, sum(y) AS sy, {', '.join(sums)}
+        FROM fc_h WHERE role = 'val' AND active AND NOT is_missing GROUP BY ALL)) w ON w.series_id = t.series_id AND w.protocol = t.protocol AND w.fold = t.fold"""
+
+
+@query("e07_three_member_variants", sql(_three_sql()))
+def e07_three_member_variants(spark, sf):
+    """Every fusion of three members, row by row."""
+    fused = stored_fused(spark, sf, H, tuple(_THREE))
+    return tidy(fused.select(*_ID, *fusion.VARIANTS, "NNLSRenormalised", "NNLSConvex"), 4)

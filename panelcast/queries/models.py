@@ -61,7 +61,7 @@ _HOURFIT = ridge2("train_h", "n_events", "mean_k", "series_id, protocol, fold, h
 @query(
     "m06_per_hour_ridge",
     sql(
-        f"""SELECT t.protocol, t.fold, t.series_id, t.slot, {r('CASE WHEN f.n_train >= 12 THEN greatest(w0 + w1*t.n_events + w2*t.mean_k, 0) ELSE 0 END', 4)} AS yhat
+        f"""SELECT t.protocol, t.fold, t.series_id, t.slot, {r('CASE WHEN f.n_train >= 30 THEN greatest(w0 + w1*t.n_events + w2*t.mean_k, 0) ELSE 0 END', 4)} AS yhat
         FROM (SELECT w.*, s.protocol, s.fold FROM whole_h w JOIN splits_h s ON s.series_id = w.series_id AND s.day = w.day AND s.role = 'test') t
         LEFT JOIN ({_HOURFIT}) f ON f.series_id = t.series_id AND f.protocol = t.protocol AND f.fold = t.fold AND f.h = hour(t.ts)"""
     ),
@@ -71,7 +71,7 @@ def m06_per_hour_ridge(spark, sf):
     names = ["n_events", "mean_k"]
     fit = linear.ridge(rows, names, by={"h": F.hour("ts")})
     test = splits.eval_rows(rows).where(F.col("role") == "test").withColumn("h", F.hour("ts"))
-    value = F.when(F.col("n_train") >= 12, linear.linear_value(names)).otherwise(0.0)
+    value = F.when(F.col("n_train") >= 30, linear.linear_value(names)).otherwise(0.0)
     out = test.join(fit, [*_F, "h"], "left").withColumn("yhat", F.coalesce(value, F.lit(0.0)))
     return tidy(out.select("protocol", "fold", "series_id", "slot", "yhat"), 4)
 

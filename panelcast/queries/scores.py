@@ -160,7 +160,7 @@ def x23_residual_table(spark, sf):
 
 
 _WEEK = f"""SELECT {_KEY}, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n, sqrt(avg((y - yhat)**2) FILTER (WHERE active)) AS rmse FROM obs_h
-    GROUP BY ALL HAVING count(*) >= 40 AND count(*) FILTER (WHERE active) >= 10"""
+    GROUP BY ALL HAVING count(*) >= 140 AND count(*) FILTER (WHERE active) >= 25"""
 
 
 @query(
@@ -171,7 +171,7 @@ _WEEK = f"""SELECT {_KEY}, CAST(date_trunc('week', ts) AS DATE) AS week, count(*
     ),
 )
 def x24_representative_week(spark, sf):
-    return tidy(M.representative_week(pred(spark, sf), ["series_id", "protocol", "model"], 40, 10))
+    return tidy(M.representative_week(pred(spark, sf), ["series_id", "protocol", "model"], 140, 25))
 
 
 @query(
