@@ -52,6 +52,8 @@ def run_summary(found: DataFrame, long_run: int = 72, mid_run: int = 10) -> Data
 
 
 def gap_summary(panel: DataFrame, grid: Grid, slots_per_day: int, long_run: int = 72, mid_run: int = 10) -> DataFrame:
+    """Rows, missing rows and days with gaps per series, and a summary of its missing runs.
+    The panel is read twice (days, runs): pass a stored one."""
     days = panel.groupBy("series_id", day_of(F.col("ts")).alias("day")).agg(
         F.count("*").alias("n"), F.count_if("is_missing").alias("m")
     )
@@ -82,33 +84,22 @@ def clock_changes(slots: DataFrame, grid: Grid, zone: str) -> DataFrame:
     )
 
 
-def inner_slots(panel: DataFrame) -> DataFrame:
-    """Slots that have a predecessor in the record: all but each series' first.
-
-    The first slot comes from an aggregate of one row per series.
-    """
-    first = panel.groupBy("series_id").agg(F.min("slot").alias("_lo"))
-    return panel.join(first, "series_id").where(F.col("slot") > F.col("_lo")).drop("_lo")
-
-
 def spring_forward(panel: DataFrame, grid: Grid, zone: str) -> DataFrame:
     """Per series: forward clock changes in the record, how many of them are missing,
-    single-slot gaps, and whether every forward change is missing."""
-    changes = (
-        clock_changes(inner_slots(panel), grid, zone)
-        .where(F.col("offset_after") > F.col("offset_before"))
-        .groupBy("series_id")
-        .agg(F.count("*").alias("n_forward"), F.count_if("is_missing").alias("n_forward_missing"))
-    )
+    single-slot gaps, and whether every forward change is missing.
+
+    A series' first slot has no change before it: it is taken off again, so one pass over the
+    panel counts changes. The panel is read twice (changes, runs): pass a stored one."""
+    forward = local_offset_hours(F.col("ts"), zone) > local_offset_hours(ts_of(F.col("slot") - 1, grid), zone)
+    gone = forward & F.col("is_missing")
+    inner = lambda c: F.count_if(c) - F.min_by(c.cast("bigint"), "slot")
+    changes = panel.groupBy("series_id").agg(inner(forward).alias("n_forward"), inner(gone).alias("n_forward_missing"))
     singles = missing_runs(panel, grid).groupBy("series_id").agg(
         F.count_if(F.col("hours") == 1).alias("n_single_gaps")
     )
-    ids = panel.select("series_id").distinct()
-    zero = {"n_forward": 0, "n_forward_missing": 0, "n_single_gaps": 0}
     return (
-        ids.join(changes, "series_id", "left")
-        .join(singles, "series_id", "left")
-        .fillna(zero)
+        changes.join(singles, "series_id", "left")
+        .fillna({"n_single_gaps": 0})
         .withColumn(
             "all_forward_missing",
             (F.col("n_forward") > 0) & (F.col("n_forward") == F.col("n_forward_missing")),

@@ -12,7 +12,7 @@ from ..functions.time import DAILY, HOURLY, season_slot, ts_of
 from ..operators import grid, joins, quality
 from ..operators.features import active_by_elevation
 from ..operators.metrics import to_long
-from ..plans.datasets import D, H, stored_forecasts, stored_frame
+from ..plans.datasets import D, H, stored_as, stored_forecasts, stored_frame
 from ..sources import exogenous, measurements, results, tables
 from .registry import query, rnd, tidy
 from .sql import fill, r, sql
@@ -194,7 +194,7 @@ def q06_missing_runs_users(spark, sf):
     ),
 )
 def q07_gap_summary(spark, sf):
-    return tidy(quality.gap_summary(tables.panel_u(spark, sf), HOURLY, 24))
+    return tidy(quality.gap_summary(stored_as(spark, sf, "panel-u", lambda: tables.panel_u(spark, sf)), HOURLY, 24))
 
 
 _ZONE = "Europe/London"
@@ -228,7 +228,7 @@ def q08_clock_changes(spark, sf):
     ),
 )
 def q09_spring_forward(spark, sf):
-    return quality.spring_forward(tables.panel_d(spark, sf), DAILY, _ZONE)
+    return quality.spring_forward(stored_as(spark, sf, "panel-d", lambda: tables.panel_d(spark, sf)), DAILY, _ZONE)
 
 
 @query(
