@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.1"
 
 
 def features(text):
-    lexicon, machine = toxicity.Lexicon({"zork*": 1.0}), toxicity.grammar()
+    lexicon, machine = toxicity.Lexicon({"zork*": (1.0, toxicity.INSULT), "murde*": (1.0, toxicity.THREAT)}), toxicity.grammar()
     return dict(zip(toxicity.FEATURES, toxicity.clause_features(text, lexicon, machine)))
 
 
@@ -27,15 +27,43 @@ def test_grammar_tells_clauses_apart():
     assert both["denied"] and not both["insult"] and not both["quoted"]
 
 
+def test_patterns_of_insults_and_threats():
+    assert features("you are such an idiot.")["pinned"] and not features("you idiot.")["pinned"]
+    assert not features("are you there, an idiot asked.")["pinned"]  # the linking verb comes after the target
+    assert features("i am going to murder you.")["announced"] and not features("they murder people.")["announced"]
+    said = features("she wrote that he is an idiot.")
+    assert said["quoted"] and not said["pinned"]
+
+
+def test_a_learned_threat_counts_as_a_threat(spark):
+    plain = [f"we will kill and murder number {i}" for i in range(12)] + [f"you zorkish idiot number {i}" for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(plain)] + [(100 + i, f"a calm text with number {i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id bigint, toxic int")
+    learned, weights, _ = toxicity.learn(documents(spark, rows), labels)
+    assert learned["murder"][1] == toxicity.THREAT and learned["zorkish"][1] == toxicity.INSULT
+    lexicon = toxicity.Lexicon(learned)
+    assert lexicon["Murder!"][0] == toxicity.THREAT and lexicon["kill"][0] == toxicity.THREAT
+    found = dict(zip(toxicity.FEATURES, toxicity.clause_features("i will murder them", lexicon, toxicity.grammar())))
+    assert found["threat"] and found["announced"] and not found["insult"]
+    assert len(weights) == len(toxicity.FEATURES)
+
+
+def test_every_term_above_the_odds_is_learned(spark):
+    word = lambda i: "q" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) + "zz"
+    text = " ".join(word(i) for i in range(3000))
+    rows = [(i, text) for i in range(6)] + [(100 + i, f"calm {i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id bigint, toxic int")
+    learned, _, _ = toxicity.learn(documents(spark, rows), labels)
+    assert all(word(i) in learned for i in range(3000))
+
+
 def test_composition_is_one_after_the_other():
-    symbols1 = [*range(6), *(b + toxicity.DENIED for b in toxicity.BASE)]
-    symbols2 = symbols1 + [b + d + toxicity.QUOTED for b in toxicity.BASE for d in (0, toxicity.DENIED)]
-    parts = [toxicity._negation(), toxicity._reported(symbols1), toxicity._aimed(symbols2)]
+    parts = toxicity.machines()
     start, arcs = toxicity.grammar()
     rng = np.random.default_rng(1)
     for _ in range(300):
         state, states = start, [p[0] for p in parts]
-        for s in rng.integers(6, size=12).tolist():
+        for s in rng.integers(8, size=14).tolist():
             state, out, weight = arcs[state, s]
             total = 0.0
             for k, (_, a) in enumerate(parts):
