@@ -4,7 +4,7 @@ A text's ids are the ids of its white-space separated chunks, one after another,
 because the tokenizer drops white space before it splits. Chunks repeat, so each
 process keeps the ids of the chunks it has seen (a bounded number of them) and
 only new ones go through the library. When the store is full, chunks met again since
-the last time stay and the others go. A word keeps its ids whatever punctuation follows.
+the last time stay and the others go. A word has the same ids whatever punctuation follows.
 """
 
 from __future__ import annotations
@@ -80,7 +80,6 @@ class ChunkEncoder:
         size = max(1 << 14, 2 * len(names))
         self.start, self.length, self.uses = (np.zeros(size, np.int64) for _ in range(3))
         self.start[: len(names)], self.length[: len(names)] = ends - length, length
-        self.known: dict[str, list[int]] = {}
         self.generation = getattr(self, "generation", -1) + 1
 
     def _library(self, chunks: list[str]) -> list[list[int]]:
@@ -105,15 +104,21 @@ class ChunkEncoder:
 
     def _learn(self) -> None:
         """Ids of the chunks that got a slot since the last call."""
-        new, known, hard = self.slot.new, self.known, []
+        new, known, hard = self.slot.new, {}, []
         lists: list[list[int]] = []
+        slot, flat, start, length, learned = self.slot.get, self.flat, self.start, self.length, self.learned
         add, plain, tokenize, letters = lists.append, _PLAIN.fullmatch, self.model.tokenize, self.letters
         for chunk in new:
             if self.plain and (m := plain(chunk)):
                 word, end = m.groups()
                 word = word.lower()
                 if (ids := known.get(word)) is None:
-                    ids = known[word] = [t.id for t in tokenize(word if word.isascii() else word.translate(letters))]
+                    k = slot(word)  # the word may stand in the store without punctuation
+                    if k is not None and k < learned:
+                        ids = flat[start[k] : start[k] + length[k]].tolist()
+                    else:
+                        ids = [t.id for t in tokenize(word if word.isascii() else word.translate(letters))]
+                    known[word] = ids
                 if end:
                     if end not in known:
                         known[end] = self._pieces(end)
