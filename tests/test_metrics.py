@@ -131,14 +131,19 @@ def test_two_by_two(spark):
     assert (r["effect_with"], r["effect_without"], r["interaction"]) == (-3.0, -2.0, -1.0)
 
 
-def test_pivot_has_every_series(spark, monkeypatch):
-    from panelcast.queries import scores
-
-    data = [("fold", "Persistence", "active", s, v) for s, v in (("click", 1.0), ("view", 2.0), ("refund", 3.0))]
-    df = spark.createDataFrame(data, "protocol string, model string, subset string, series_id string, nrmse_pct double")
-    monkeypatch.setattr(scores, "_scores", lambda *a: df)
-    got = scores.x19_degradation_pivot(spark, None).first().asDict()
-    assert (got["click"], got["view"], got["refund"], got["error"]) == (1.0, 2.0, 3.0, None)
+def test_pivot_has_every_series_and_fixed_columns(spark, monkeypatch):
+    from panelcast.queries import models
+
+    off = {"now": 1.0, "late": 3.0, "other": 2.0}
+    data = [(c, s, "fold", "Persistence", float(i), float(i) + e, 100.0, True, False) for s in ("click", "view", "refund") for c, e in off.items() for i in range(6)]
+    data += [("now", "late only", "fold", "Persistence", 1.0 * i, 1.0 * i, 100.0, True, False) for i in range(6)]
+    kind = "config string, series_id string, protocol string, model string, y double, yhat double, capacity double, active boolean, is_missing boolean"
+    monkeypatch.setattr(models, "_products", lambda *a: spark.createDataFrame(data, kind))
+    out = models.x19_degradation_pivot(spark, None)
+    assert out.columns == ["series_id", "protocol", "model", "analysis_full", "analysis_matched", "day_ahead", "reanalysis_full"]
+    got = {r["series_id"]: tuple(r)[3:] for r in out.collect()}
+    assert {s: got[s] for s in ("click", "view", "refund")} == dict.fromkeys(("click", "view", "refund"), (1.0, 1.0, 3.0, 2.0))
+    assert got["late only"] == (0.0, 0.0, None, None)
 
 
 def test_membership_counts_training_and_validation_apart(spark):
