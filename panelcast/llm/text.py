@@ -77,7 +77,7 @@ class RowStore:
         self.names = {c if c in ("doc_id", "text") else f"other{i}": c for i, c in enumerate(docs.columns)}
         stored = docs.select(*[F.col(_quoted(c)).alias(n) for n, c in self.names.items()])
         self.schema = stored.schema
-        stored.write.parquet(self.path)
+        stored.write.option("compression", "zstd").parquet(self.path)
 
     def rows(self) -> DataFrame:
         """The stored columns, ``file`` and ``row``."""
