@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import sys
@@ -62,6 +63,9 @@ def per_process(owner: str, key: str, make):
         store["owner"], store["held"] = owner, {}
         gc.collect()
         pyarrow.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
     held = store["held"]
     if key not in held:
         held[key] = make()
