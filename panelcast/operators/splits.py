@@ -8,6 +8,7 @@ its windows hold a day list, not readings.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,9 +47,14 @@ def _with_validation(cand: DataFrame, size: Column, order: Sequence[Column]) ->
     )
 
 
+def _share(n: Column, share: float) -> Column:
+    """``share`` of a count, as the decimal it is written as: 0.7 of 90 is 63, not a hair less."""
+    return n * F.lit(Decimal(str(share)))
+
+
 def validation_tail_size(frac: float, at_least: int) -> Column:
     k = F.col("_k")
-    wanted = F.greatest(F.lit(at_least), F.ceil(k * frac).cast("int"))
+    wanted = F.greatest(F.lit(at_least), F.ceil(_share(k, frac)).cast("int"))
     return F.least(wanted, F.greatest(k - 1, F.lit(1)))
 
 
@@ -110,7 +116,7 @@ def random_days(
         .withColumn("_cand", ~F.col("_test") & (F.col("n_obs") > 0))
         .where("_cand or _test")
     )
-    n_val = F.greatest(F.lit(min_val_days), F.floor(F.col("_k") * val_frac).cast("int"))
+    n_val = F.greatest(F.lit(min_val_days), F.floor(_share(F.col("_k"), val_frac)).cast("int"))
     return _with_validation(
         rows, n_val, [draw_key(seed_col + F.col("_f"), F.col("day")), F.col("day")]
     ).select(
@@ -260,10 +266,10 @@ def time_split(panel: DataFrame, kind: str, value: float, at_least: int = 0, see
     if kind in ("tail_share", "head_share"):
         ranked = row_ranks(panel, ["series_id"])
         if kind == "tail_share":
-            k = F.greatest(F.lit(at_least), F.floor(F.col("n_rows") * value))
+            k = F.greatest(F.lit(at_least), F.floor(_share(F.col("n_rows"), value)))
             role = F.when(F.col("rank") > F.col("n_rows") - k, "val").otherwise("train")
         else:
-            role = F.when(F.col("rank") <= F.floor(F.col("n_rows") * value), "train").otherwise("test")
+            role = F.when(F.col("rank") <= F.floor(_share(F.col("n_rows"), value)), "train").otherwise("test")
         return ranked.withColumn("role", role).drop("rank", "n_rows")
     if kind == "tail_days":
         end = panel.groupBy("series_id").agg(F.max("ts").alias("_end"))
@@ -279,7 +285,7 @@ def time_split(panel: DataFrame, kind: str, value: float, at_least: int = 0, see
         roles = days.withColumn("_r", F.row_number().over(by_series.orderBy("day"))).withColumn(
             "_n", F.count("*").over(by_series)
         )
-        role = F.when(F.col("_r") <= F.floor(F.col("_n") * value), "train").otherwise("test")
+        role = F.when(F.col("_r") <= F.floor(_share(F.col("_n"), value)), "train").otherwise("test")
         return (
             panel.withColumn("day", day_of(F.col("ts")))
             .join(roles.select("series_id", "day", role.alias("role")), ["series_id", "day"])

@@ -90,3 +90,12 @@ def test_time_splits(spark):
     assert 0.07 < share < 0.13
     with pytest.raises(ValueError):
         splits.time_split(panel, "other", 1)
+
+
+def test_shares_are_decimal(spark):
+    # in binary 0.7 of 90 is a hair less than 63
+    panel = hourly_panel(spark, {"a": [1.0] * 90, "b": [1.0] * 91})
+    got = splits.time_split(panel, "head_share", 0.7).where("role = 'train'").groupBy("series_id").count().collect()
+    assert {r["series_id"]: r["count"] for r in got} == {"a": 63, "b": 63}
+    tail = splits.time_split(panel, "tail_share", 0.7).where("role = 'val'").groupBy("series_id").count().collect()
+    assert {r["series_id"]: r["count"] for r in tail} == {"a": 63, "b": 63}
