@@ -12,3 +12,10 @@ def test_weeks_with_gaps_count(spark):
     weeks = QUERIES["x24_representative_week"](spark, SF)
     most = weeks.groupBy("protocol").agg(F.max("n_weeks").alias("m")).collect()
     assert {r["protocol"]: r["m"] for r in most} == {"rolling_origin": 4, "random_day": 5}
+
+
+def test_hours_get_weights(spark):
+    key = ["protocol", "fold", "series_id", "ts"]
+    mean = QUERIES["e01_mean"](spark, SF).withColumnRenamed("yhat", "mean")
+    both = QUERIES["e08_per_hour_stack"](spark, SF).join(mean, key)
+    assert both.where(F.abs(F.col("yhat") - F.col("mean")) > 0.01).count() > 1000
