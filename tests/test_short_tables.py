@@ -19,3 +19,9 @@ def test_hours_get_weights(spark):
     mean = QUERIES["e01_mean"](spark, SF).withColumnRenamed("yhat", "mean")
     both = QUERIES["e08_per_hour_stack"](spark, SF).join(mean, key)
     assert both.where(F.abs(F.col("yhat") - F.col("mean")) > 0.01).count() > 1000
+
+
+def test_hours_get_models(spark):
+    out = QUERIES["m06_per_hour_ridge"](spark, SF)
+    assert out.where("protocol = 'random_day' and yhat > 0").count() > 3000
+    assert out.where("protocol = 'rolling_origin' and yhat > 0").count() > 500
