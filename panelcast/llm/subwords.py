@@ -19,6 +19,10 @@ from .text import per_process, words
 CACHE_CHUNKS = 500_000
 #: Letters of ASCII and Latin-1, then perhaps end punctuation: these chunks are split without the library's regular expressions.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+#: Such letters, digits and ASCII signs, but no apostrophe (contractions) and no < (special tokens): the
+#: library cuts these chunks into runs of letters, single digits and runs of signs.
+_MIXED = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+_RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -88,8 +92,14 @@ class ChunkEncoder:
     def _plain_is_exact(self) -> bool:
         """Whether this tokenizer lower-cases and splits as the short way below does."""
         probe = ["Hello", "ÄrGer.", "naïve,", "the!?", "Straße;", "xyzzyqwv...", "ÑANDÚ", "a"]
+        mixed = ["to%%%", "und.34@Mail7.example.com", '"04dbEb91"', "555-7713", "(Élan_É)=`x`~{|}[\\]^", "+-*/#$&;:>?"]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         try:
-            return all(self._split(_PLAIN.fullmatch(p)) == ids for p, ids in zip(probe, self._library(probe)))
+            return (
+                all("<" in t for t in special)
+                and all(self._split(_PLAIN.fullmatch(p)) == ids for p, ids in zip(probe, self._library(probe)))
+                and all(self._runs(p, {}) == ids for p, ids in zip(mixed, self._library(mixed)))
+            )
         except Exception:
             return False
 
@@ -102,6 +112,14 @@ class ChunkEncoder:
     def _split(self, m: re.Match) -> list[int]:
         return self._word(m[1].lower()) + (self._pieces(m[2]) if m[2] else [])
 
+    def _runs(self, chunk: str, known: dict[str, list[int]]) -> list[int]:
+        out: list[int] = []
+        for run in _RUNS.findall(chunk.lower()):
+            if (ids := known.get(run)) is None:
+                ids = known[run] = self._word(run)
+            out += ids
+        return out
+
     def _learn(self) -> None:
         """Ids of the chunks that got a slot since the last call."""
         new, known, hard = self.slot.new, {}, []
@@ -124,6 +142,8 @@ class ChunkEncoder:
                         known[end] = self._pieces(end)
                     ids = ids + known[end]
                 add(ids)
+            elif self.plain and _MIXED.fullmatch(chunk):
+                add(self._runs(chunk, known))
             else:
                 hard.append(len(lists))
                 add([])

@@ -65,3 +65,16 @@ def test_chunks_met_again_survive_a_full_store():
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
     assert code.generation > 2 and "often," in code.slot and "x0y0" not in code.slot
     assert len(code.names) == len(code.slot)
+
+
+def test_mixed_chunks_are_cut_without_the_library():
+    chunks = ["to%%%", "und.34@Mail7.example.com", '"04dbEb91"', "555-7713", "(Élan_É)=`x`"]
+    code = ChunkEncoder(tokenizer_path())
+    want = code._library(chunks)
+    asked = []
+    code._library = lambda new: asked.extend(new) or want
+    ids, at = code.encode([" ".join(chunks)])
+    assert ids.tolist() == [i for x in want for i in x] and asked == []
+    special = ["don't", "<|endoftext|>", "áb", "½a"]  # these still go through it
+    code.encode([" ".join(special)])
+    assert asked == special
