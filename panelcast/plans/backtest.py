@@ -48,12 +48,14 @@ def scored_frame(frame: DataFrame, setup: Setup) -> tuple[DataFrame, DataFrame]:
 
     The frame is read up to three times (capacity, days, rows): pass a stored one. Days are
     trimmed by the join with the fold table, which holds usable days only; lookback
-    runs on the full grid before that.
+    runs on the full grid before that. Days and the folds of each protocol are written, so that
+    no task holds the sorts of both beside those of the joins.
     """
     full = frame if "capacity" in frame.columns else attach(frame, capacity(frame), ["series_id"])
     full = reference.with_lookback(full, setup.grid, "driver", setup.seasons, setup.missing)
-    days = usable_days(day_facts(frame), setup.slots_per_day, setup.drop_gap_days)
-    folds = splits.both_protocols(days, setup.rolling, setup.random)
+    days = stage(usable_days(day_facts(frame), setup.slots_per_day, setup.drop_gap_days), "days")
+    rolling = stage(splits.rolling_origin(days, **setup.rolling), "rolling")
+    folds = rolling.unionByName(stage(splits.random_days(days, **setup.random), "random"))
     return splits.assign(full, folds), folds
 
 

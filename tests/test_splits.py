@@ -99,3 +99,17 @@ def test_shares_are_decimal(spark):
     assert {r["series_id"]: r["count"] for r in got} == {"a": 63, "b": 63}
     tail = splits.time_split(panel, "tail_share", 0.7).where("role = 'val'").groupBy("series_id").count().collect()
     assert {r["series_id"]: r["count"] for r in tail} == {"a": 63, "b": 63}
+
+
+def test_folds_are_read_from_storage(spark):
+    # sorts of a task add up, so folds are not computed in the stage that joins them
+    from panelcast.plans.backtest import scored_frame
+    from panelcast.plans.datasets import H
+
+    panel = hourly_panel(spark, {"a": [float(i % 24) for i in range(24 * 30)]}).withColumn("driver", F.lit(1.0)).withColumn("capacity", F.lit(23.0))
+    folds = scored_frame(panel, H.setup)[1]
+    plan = folds._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    days = day_facts(panel)
+    assert folds.exceptAll(splits.both_protocols(days, H.setup.rolling, H.setup.random)).count() == 0
+    assert folds.count() == splits.both_protocols(days, H.setup.rolling, H.setup.random).count()
