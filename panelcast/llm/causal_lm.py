@@ -11,17 +11,18 @@ the most to look back on.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stage import stage
+from ..functions.stage import shared_folder, stage
 from .subwords import encoder, tokenizer_path
 from .text import lower_ascii, per_process, text_batches, words
 
@@ -36,6 +37,8 @@ DENSE = 1024
 #: Training documents and steps that the attention layer starts with, before it goes over all
 #: training documents in so many rounds.
 SAMPLE_DOCS, STEPS, BATCH, ROUNDS = 1500, 600, 256, 4
+#: Windows that are scored at once, to fit a CPU's cache.
+PART = 256
 DISCOUNT = 0.75
 #: Words with a counter of their own in every task (numbered by 16 bits); the others are counted by a shuffle.
 FREQUENT_WORDS = 1 << 16
@@ -115,11 +118,11 @@ class Model:
     dense: np.ndarray  # (prev, next) among the first ranks: log share inside the class
     counts: Counts
     back: np.ndarray
-    row: np.ndarray  # rank -> row of the three tables
+    row: np.ndarray  # rank -> row of the three tables; -1 (no text) has the last row
     query: np.ndarray
     key: np.ndarray
-    value: np.ndarray
-    bias: np.ndarray  # by distance
+    value: np.ndarray  # and a one, which adds up the weights
+    decay: np.ndarray  # weight by place looked at and place of the one who looks
     out: np.ndarray
 
     def inside(self, prev: np.ndarray, nxt: np.ndarray) -> np.ndarray:
@@ -135,18 +138,16 @@ class Model:
     def context(self, x: np.ndarray) -> np.ndarray:
         """Attention's correction of the class logits after each of the last STRIDE ids of
         windows ``x`` (rows of WINDOW ranks; -1 where the text has not begun)."""
-        n, w = x.shape
-        r = self.row[np.maximum(x, 0)]
-        q = self.query[r[:, w - STRIDE :]]
-        scores = q @ self.key[r].transpose(0, 2, 1)
-        scores += _distances(self.bias, w)
-        np.exp(scores, out=scores)
-        scores *= _causal(w)
-        if (x[:, 0] < 0).any():
-            scores *= (x >= 0)[:, None, :]
-        scores /= scores.sum(axis=2, keepdims=True) + 1e-9
-        h = scores @ self.value[r]
-        return h.reshape(n * STRIDE, -1) @ self.out
+        r = self.row[x]
+        return self._attend(self.query[r[:, WINDOW - STRIDE :]], self.key[r], self.value[r])
+
+    def _attend(self, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> np.ndarray:
+        # weights with the places looked at before those who look: BLAS is faster on these
+        s = k @ q.transpose(0, 2, 1).copy()
+        np.exp(s, out=s)
+        s *= self.decay
+        h = (s.transpose(0, 2, 1) @ v).reshape(-1, v.shape[2])
+        return (h[:, :-1] / (h[:, -1:] + np.float32(1e-9))) @ self.out
 
     def log10(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of each text; ``starts`` cut ``ids``, which end with an end id
@@ -156,44 +157,46 @@ class Model:
         end = self.rank[ids[starts[1:] - 1]]
         # with the mark before it, a text's id k is predicted from positions up to k
         total = int(lengths.sum())
-        n_windows = -(-lengths // STRIDE)
-        pad = n_windows * STRIDE
-        base = np.cumsum(WINDOW - STRIDE + pad) - (WINDOW - STRIDE + pad)
-        buffer = np.full(int((WINDOW - STRIDE + pad).sum()), -1, np.int64)
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        place = np.arange(total) - np.repeat(starts[:-1], lengths)
         prev = np.empty(total, np.int64)
         prev[1:] = x[:-1]
         prev[starts[:-1]] = end
-        # what is looked at for id k: prev of all ids up to k
-        buffer[base[doc] + (WINDOW - STRIDE) + place] = prev
-        sums = np.zeros(len(lengths))
-        first = np.repeat(base, n_windows) + (np.arange(int(n_windows.sum())) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)) * STRIDE
-        w_doc = np.repeat(np.arange(len(lengths)), n_windows)
-        w_place = (first - base[w_doc])[:, None] + np.arange(STRIDE)[None, :]
-        inside = self.inside(prev, x)
-        for a in range(0, len(first), 1024):
-            f = first[a : a + 1024]
-            window = buffer[f[:, None] + np.arange(WINDOW)[None, :]]
-            there = w_place[a : a + 1024] < lengths[w_doc[a : a + 1024]][:, None]
-            at = (starts[w_doc[a : a + 1024]][:, None] + w_place[a : a + 1024])[there]
-            logits = self.context(window)[there.ravel()]
-            logits += self.log_class[prev[at]]
-            want = logits[np.arange(len(at)), self.of_class[x[at]]]
+        # texts in blocks of STRIDE ids, with an empty block before each: a window is a block
+        # to predict after and the block before it, so that neighbours share what they look at
+        blocks = -(-lengths // STRIDE) + 1
+        base = (np.cumsum(blocks) - blocks + 1) * STRIDE
+        size = int(blocks.sum()) * STRIDE
+        place = np.arange(total) + np.repeat(base - starts[:-1], lengths)
+        looked, wanted = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        looked[place] = prev
+        wanted[place] = self.of_class[x]
+        logs = np.zeros(size, np.float32)
+        ones = np.ones(self.out.shape[1], np.float32)
+        for a in range(STRIDE, size, PART * STRIDE):
+            b = min(a + PART * STRIDE, size)
+            r = self.row.take(looked[a - STRIDE : b], mode="wrap")
+            q = self.query.take(r[STRIDE:], axis=0).reshape(-1, STRIDE, self.query.shape[1])
+            logits = self._attend(q, _pairs(self.key.take(r, axis=0)), _pairs(self.value.take(r, axis=0)))
+            logits += self.log_class.take(looked[a:b], axis=0, mode="clip")
+            logs[a:b] = logits[np.arange(b - a), wanted[a:b]]
             np.exp(logits, out=logits)
-            got = want - np.log(logits.sum(axis=1)) + inside[at]
-            sums += np.bincount(doc[at], got, len(lengths))
-        return sums / np.log(10)
+            logs[a:b] -= np.log(logits @ ones)
+        return np.bincount(doc, logs[place] + self.inside(prev, x), len(lengths)) / np.log(10)
+
 
+def _pairs(rows: np.ndarray) -> np.ndarray:
+    """Each block of STRIDE rows with the one before it, without a copy."""
+    step, width = rows.strides
+    return np.lib.stride_tricks.as_strided(rows, (len(rows) // STRIDE - 1, 2 * STRIDE, rows.shape[1]), (STRIDE * step, step, width), writeable=False)
 
-def _causal(w: int) -> np.ndarray:
-    i, j = np.arange(w - STRIDE, w)[:, None], np.arange(w)[None, :]
-    return (j <= i).astype(np.float32)
 
+def _causal() -> np.ndarray:
+    """(place looked at, place of the one who looks): 1 where it may."""
+    return (np.arange(WINDOW)[:, None] <= np.arange(WINDOW - STRIDE, WINDOW)[None, :]).astype(np.float32)
 
-def _distances(bias: np.ndarray, w: int) -> np.ndarray:
-    i, j = np.arange(w - STRIDE, w)[:, None], np.arange(w)[None, :]
-    return bias[np.maximum(i - j, 0)]
+
+def _distances() -> np.ndarray:
+    return np.maximum(np.arange(WINDOW - STRIDE, WINDOW)[None, :] - np.arange(WINDOW)[:, None], 0)
 
 
 @dataclass
@@ -242,7 +245,16 @@ def fit(counts: Counts, sample: list[np.ndarray], classes: int = CLASSES, steps:
     if further is not None:
         further(layer)
     x, wq, wk, wv, out, bias = layer.params
-    return Model(counts.rank, n, of_class, log_class, dense.astype(np.float32), counts, back, row, x @ wq / np.float32(WIDTH**0.5), x @ wk, x @ wv, bias, out)
+    x = np.concatenate([x, np.zeros((1, WIDTH), np.float32)])
+    value = np.append(x @ wv, np.ones((len(x), 1), np.float32), axis=1)
+    value[-1] = 0
+    decay = np.exp(bias[_distances()]) * _causal()
+    return Model(counts.rank, n, of_class, log_class, dense.astype(np.float32), counts, back, np.append(row, size), x @ wq / np.float32(WIDTH**0.5), x @ wk, value, decay, out.copy())
+
+
+def _product(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
+    """``a``.T @ ``b`` of long and narrow tables, in so many parts: short ones are multiplied faster."""
+    return (a.reshape(parts, -1, a.shape[1]).transpose(0, 2, 1) @ b.reshape(parts, -1, b.shape[1])).sum(axis=0)
 
 
 def windows_of(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -260,63 +272,106 @@ class Layer:
     """The attention layer in training, with Adam's moments."""
 
     def __init__(self, row: np.ndarray, of_class: np.ndarray, log_class: np.ndarray, params: list[np.ndarray]):
-        self.row, self.of_class, self.log_class, self.params = row, of_class, log_class, params
-        self.first, self.second = ([np.zeros_like(p) for p in params] for _ in range(2))
+        self.row, self.of_class, self.log_class = row, of_class, log_class
+        kind, self.cuts = np.result_type(*params), np.cumsum([0, *(p.size for p in params)])
+        # parameters and both moments lie side by side, so that a step takes a few operations
+        self.state = np.zeros((3, self.cuts[-1]), kind)
+        self.params = [self.state[0, a:b].reshape(p.shape) for a, b, p in zip(self.cuts, self.cuts[1:], params)]
+        for mine, p in zip(self.params, params):
+            mine[...] = p
         self.steps = 0
+        # position -1, where a text has not begun, has the row after the last: all zeros
+        self.row_of = np.append(row, len(params[0])).astype(np.int16 if len(params[0]) < 1 << 15 else np.int64)
+        self.padded = np.zeros((len(params[0]) + 1, params[0].shape[1]), kind)
+        self.looked = np.ones((len(self.padded), 2 * self.padded.shape[1] + 1), kind)
+        self.looked[-1] = 0
 
-    def gradients(self, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
+    def gradients(self, w: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
         """Of the mean loss over the ids to predict."""
         x, wq, wk, wv, out, bias = self.params
-        causal, scale = _causal(WINDOW), np.float32(WIDTH**-0.5)
-        distance = np.maximum(np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
-        r = self.row[np.maximum(w, 0)]
-        e = x[r]
-        q, k, v = e[:, WINDOW - STRIDE :] @ wq, e @ wk, e @ wv
-        s = np.exp(np.clip(q @ k.transpose(0, 2, 1) * scale + bias[distance], -30, 30)) * causal * (w >= 0)[:, None, :]
-        s /= s.sum(axis=2, keepdims=True) + np.float32(1e-9)
-        h = s @ v
-        last = np.maximum(w[:, WINDOW - STRIDE :], 0)
-        p = (h.reshape(-1, WIDTH) @ out) + self.log_class[last.ravel()]
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        ok = ((t >= 0) & (w[:, WINDOW - STRIDE :] >= 0)).ravel()
-        p[np.arange(len(p)), self.of_class[np.maximum(t, 0)].ravel()] -= 1
-        p *= (ok / max(ok.sum(), 1))[:, None].astype(np.float32)
-        g_out = h.reshape(-1, WIDTH).T @ p
-        g_h = (p @ out.T).reshape(h.shape)
-        g_v = s.transpose(0, 2, 1) @ g_h
-        g_s = g_h @ v.transpose(0, 2, 1)
-        g_s = s * (g_s - (g_s * s).sum(axis=2, keepdims=True))
-        g_bias = np.bincount(distance.ravel(), g_s.sum(axis=0).ravel(), WINDOW).astype(np.float32)
-        g_q, g_k = g_s @ k * scale, g_s.transpose(0, 2, 1) @ q * scale
-        g_e = g_k @ wk.T + g_v @ wv.T
-        g_e[:, WINDOW - STRIDE :] += g_q @ wq.T
-        flat_e = e.reshape(-1, WIDTH)
-        g_wq = e[:, WINDOW - STRIDE :].reshape(-1, WIDTH).T @ g_q.reshape(-1, WIDTH)
-        g_wk, g_wv = flat_e.T @ g_k.reshape(-1, WIDTH), flat_e.T @ g_v.reshape(-1, WIDTH)
-        g_x = np.zeros_like(x)
-        order = np.argsort(r.ravel(), kind="stable")
-        rows, start = np.unique(r.ravel()[order], return_index=True)
-        g_x[rows] = np.add.reduceat(g_e.reshape(-1, WIDTH)[order], start, axis=0)
-        return g_x, g_wq, g_wk, g_wv, g_out, g_bias
+        flat = np.empty_like(self.state[0])
+        sums = [flat[a:b].reshape(p.shape) for a, b, p in zip(self.cuts, self.cuts[1:], self.params)]
+        n, d, half, kind = len(w), len(wq), WINDOW - STRIDE, self.padded.dtype
+        ok = (t >= 0) & (w[:, half:] >= 0)
+        weight = (ok.astype(kind) / max(int(ok.sum()), 1)).ravel()
+        distance, scale, both = _distances(), kind.type(d**-0.5), np.concatenate([wk, wv], axis=1)
+        self.padded[:-1] = x
+        # values have a column of ones, which adds up the weights; where no text is, all is zero
+        self.looked[:, : 2 * d] = self.padded @ both
+        r = self.row_of[w]
+        e, kv = self.padded.take(r.ravel(), axis=0), self.looked.take(r, axis=0)
+        asked = e.reshape(n, WINDOW, d)[:, half:].reshape(-1, d)
+        q = (asked @ (wq * scale)).reshape(n, STRIDE, d)
+        k, v = kv[:, :, :d], kv[:, :, d:]
+        # weights with the places looked at before those who look: BLAS is faster on these
+        s = k @ q.transpose(0, 2, 1).copy()
+        s += bias[distance]
+        np.clip(s, -30, 30, out=s)
+        np.exp(s, out=s)
+        s *= _causal()
+        h = (s.transpose(0, 2, 1) @ v).reshape(-1, d + 1)
+        total = h[:, d:] + kind.type(1e-9)
+        h = h[:, :d] / total
+        last, at = w[:, half:].ravel(), np.arange(n * STRIDE)  # of no text, -1: the first, without weight
+        logits = h @ out
+        logits += self.log_class.take(last, axis=0, mode="clip")
+        with np.errstate(over="ignore"):
+            p = np.exp(logits)
+        z = p @ np.ones(p.shape[1], kind)
+        if not (np.isfinite(z) & (z > 0)).all():
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
+            z = p @ np.ones(p.shape[1], kind)
+        # the softmax is p / z; its divisor goes to the narrow sides of the products
+        p[at, self.of_class[np.maximum(t, 0)].ravel()] -= z
+        part = (weight / z)[:, None]
+        sums[4][...] = _product(h * part, p, n)
+        g = np.empty((n * STRIDE, d + 1), kind)
+        np.multiply(p @ out.T, part / total, out=g[:, :d])
+        np.negative(np.einsum("ij,ij->i", g[:, :d], h), out=g[:, d])
+        g = g.reshape(n, STRIDE, d + 1)
+        g_s = v @ g.transpose(0, 2, 1).copy()
+        g_s *= s
+        sums[5][...] = np.bincount(distance.ravel(), g_s.sum(axis=0).ravel(), WINDOW)
+        g_q = (g_s.transpose(0, 2, 1) @ k).reshape(-1, d)
+        g_q *= scale
+        g_kv = np.empty((n, WINDOW, 2 * d), kind)
+        np.matmul(g_s, q, out=g_kv[:, :, :d])
+        np.matmul(s, g[:, :, :d], out=g_kv[:, :, d:])
+        g_kv = g_kv.reshape(-1, 2 * d)
+        g_e = g_kv @ both.T
+        g_e.reshape(n, WINDOW, d)[:, half:] += (g_q @ wq.T).reshape(n, STRIDE, d)
+        sums[1][...] = _product(asked, g_q, n)
+        g_both = _product(e, g_kv, n)
+        sums[2][...], sums[3][...] = g_both[:, :d], g_both[:, d:]
+        order = np.argsort(r, axis=None, kind="stable")
+        rows = r.ravel()[order]
+        start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        g_x = np.zeros_like(self.padded)
+        g_x[rows[start]] = np.add.reduceat(g_e.take(order, axis=0), start, axis=0)
+        sums[0][...] = g_x[:-1]
+        return sums
 
     def step(self, w: np.ndarray, t: np.ndarray, rate: float) -> None:
         self.steps += 1
-        for p, g, a, b in zip(self.params, self.gradients(w, t), self.first, self.second):
-            a += 0.1 * (g - a)
-            b += 0.01 * (g * g - b)
-            p -= (rate * (a / (1 - 0.9**self.steps)) / (np.sqrt(b / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
+        p, a, b = self.state
+        g = self.gradients(w, t)[0].base
+        a *= 0.9
+        a += 0.1 * g
+        b *= 0.99
+        b += 0.01 * (g * g)
+        np.divide(b, 1 - 0.99**self.steps, out=g)
+        np.sqrt(g, out=g)
+        g += 1e-8
+        np.divide(a, g, out=g)
+        g *= rate / (1 - 0.9**self.steps)
+        p -= g
 
     def flat(self) -> np.ndarray:
         """Parameters and moments in one."""
-        return np.concatenate([p.ravel() for p in (*self.params, *self.first, *self.second)])
+        return self.state.ravel().copy()
 
     def put(self, flat: np.ndarray) -> None:
-        at = 0
-        for p in (*self.params, *self.first, *self.second):
-            p[...] = flat[at : at + p.size].reshape(p.shape)
-            at += p.size
+        self.state[...] = flat.reshape(self.state.shape)
 
 
 def learn(layer: Layer, documents: DataFrame, rank: np.ndarray, rounds: int = ROUNDS) -> int:
@@ -379,8 +434,8 @@ def learn(layer: Layer, documents: DataFrame, rank: np.ndarray, rounds: int = RO
 
 # ---- counting and scoring ----------------------------------------------------------
 
-COUNTED = "kind int, a bigint, b bigint, n bigint, word string, ids binary, hot binary"
-BIGRAM, FREQUENT, TAIL, DOCUMENT, TAUGHT = range(5)
+COUNTED = "kind int, a bigint, b bigint, n bigint, ids binary, hot binary, tail array<string>"
+BIGRAM, FREQUENT, DOCUMENT, TAUGHT = range(4)
 
 
 def _sample(docs: DataFrame, train: Column, size: int) -> list[str]:
@@ -414,21 +469,20 @@ class _Places:
             self.generation, self.of = code.generation, np.zeros(0, np.int32)
         new = code.names[len(self.of) :]
         if new:
-            self.of = np.concatenate([self.of, np.fromiter((self.number.get(w, -1) for w in new), np.int32, len(new))])
+            self.of = np.concatenate([self.of, np.fromiter(map(self.number.get, new, repeat(-1)), np.int32, len(new))])
         return self.of[slots]
 
 
 def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: int) -> DataFrame:
-    """One pass over all documents (doc_id, text, train, row_key), in rows of five kinds:
+    """One pass over all documents (doc_id, text, train, row_key), in rows of four kinds:
     BIGRAM and FREQUENT, what a task has counted in training documents (ids a, b; word number a);
-    TAIL, every other word with its document's key, and a row without a word for each document;
-    DOCUMENT, a document's ids and the numbers of its frequent words, for scoring;
+    DOCUMENT, a document's ids, the numbers of its frequent words and all its other words;
     TAUGHT, the same of a training document."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        kinds = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "word": pa.string(), "ids": pa.binary(), "hot": pa.binary()}
+        kinds = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "ids": pa.binary(), "hot": pa.binary(), "tail": pa.list_(pa.string())}
         schema = pa.schema(list(kinds.items()))
         code = encoder(path)
         size = max(code.tokenizer.get_vocab_size(), end_id + 1)
@@ -438,7 +492,8 @@ def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: in
 
         def rows_of(kind, m, **columns):
             columns["kind"] = np.broadcast_to(np.int32(kind), m) if np.isscalar(kind) else kind
-            return pa.record_batch([pa.array(columns[c], t, from_pandas=True) if c in columns else pa.nulls(m, t) for c, t in kinds.items()], schema=schema)
+            there = {c: x if isinstance(x, pa.Array) else pa.array(x, kinds[c], from_pandas=True) for c, x in columns.items()}
+            return pa.record_batch([there[c] if c in there else pa.nulls(m, t) for c, t in kinds.items()], schema=schema)
 
         def merged():
             keys = np.concatenate([k for k, _ in pairs])
@@ -456,11 +511,9 @@ def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: in
             mine = at[taught[doc]]
             hot += np.bincount(mine[mine >= 0], minlength=len(hot))
             hot[0] += int(taught.sum())
-            tail = np.flatnonzero(at < 0)
-            if len(tail):
-                flat = list(chain.from_iterable(lists))
-                yield rows_of(TAIL, len(tail), a=rows[doc[tail]], b=taught[doc[tail]].astype(np.int64), word=[flat[i] for i in tail.tolist()])
-            yield rows_of(TAIL, len(rows), a=rows, b=taught.astype(np.int64))
+            other = np.concatenate([[0], np.cumsum(at < 0)])
+            flat = list(chain.from_iterable(lists))
+            tail = pa.array([flat[i] for i in np.flatnonzero(at < 0).tolist()], pa.string())
             ids = np.insert(ids, cut[1:], end_id)
             cut = cut + np.arange(len(cut))
             hits = np.concatenate([[0], np.cumsum(at >= 0)])
@@ -470,6 +523,7 @@ def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: in
                 np.where(taught, TAUGHT, DOCUMENT).astype(np.int32), len(rows), a=rows, b=batch.column("doc_id"), n=n,
                 ids=[slim[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])],
                 hot=[numbers[x:y].tobytes() for x, y in zip(hits[ends - n], hits[ends])],
+                tail=pa.ListArray.from_arrays(pa.array(other[np.append(0, ends)], pa.int32()), tail),
             )
             prev = np.empty(len(ids), np.int64)
             prev[1:] = ids[:-1]
@@ -492,6 +546,19 @@ def _count(docs: DataFrame, frequent: list[str], key: str, path: str, end_id: in
     return docs.select("doc_id", "text", "train", "row_key").mapInArrow(run, COUNTED)
 
 
+def _stored(counted: DataFrame) -> DataFrame:
+    """``counted``, written with each kind in files of its own."""
+    spark = counted.sparkSession
+    path, key = f"{shared_folder(spark)}/panelcast/lm-counts-{uuid.uuid4().hex}", "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 8)  # a task has a writer for each kind, so that rows need no sorting
+    try:
+        counted.write.partitionBy("kind").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(counted.schema).parquet(path)
+
+
 def _bigram_model(counted: DataFrame, size: int, keep: int, classes: int) -> tuple[Counts, Tables | None, DataFrame | None]:
     """Counts of ids, of their ``keep`` most frequent bigrams and the back-off mass over all;
     and if there are more bigrams, what ``fit`` needs of all and the others (a, b, n)."""
@@ -670,7 +737,7 @@ def score(docs: DataFrame, train: Column, *, path: str | None = None, end_id: in
     texts = _sample(own, F.col("train"), 2 * sample_docs)
     frequent = _frequent(texts)
     key = hashlib.sha256("\0".join(frequent).encode("utf-8", "surrogatepass")).hexdigest()
-    counted = stage(_count(own, frequent, key, path, end_id), "lm-counts")
+    counted = _stored(_count(own, frequent, key, path, end_id))
 
     code = encoder(path)
     ids, at = code.encode(texts[::2])
@@ -682,20 +749,29 @@ def score(docs: DataFrame, train: Column, *, path: str | None = None, end_id: in
     hot = np.zeros(len(frequent), np.int64)
     for r in counted.where(F.col("kind") == FREQUENT).groupBy("a").agg(F.sum("n").alias("n")).toLocalIterator():
         hot[r["a"]] = r["n"]
-    tail = counted.where(F.col("kind") == TAIL)
-    by_word = stage(tail.where("word is not null and b = 1").groupBy("word").agg(F.count("*").alias("c")), "lm-words")
-    tail_v, tail_n = by_word.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    n, v = int(hot.sum()) + tail_n, int((hot > 0).sum()) + tail_v
-    # the key of equal rows is one: their words come together and are shared out again
-    met = tail.join(by_word, "word", "left").select(
-        F.col("a").alias("row_key"), F.when(F.col("word").isNotNull(), F.log10(F.coalesce("c", F.lit(0)) + 1)).otherwise(0.0).alias("logs"),
-        F.col("c").isNotNull().cast("int").alias("known"), F.col("word").isNull().cast("int").alias("copies"), F.lit(0.0).alias("gain"),
-    )
     kept = counted.where(F.col("kind").isin(DOCUMENT, TAUGHT)).select("a", "b", "n", "ids", "hot")
+    # one shuffle by word counts the other words and hands the counts to their documents; words
+    # come here for being rare in a sample, so none has many rows
+    word = Window.partitionBy(F.xxhash64("word"), "word").orderBy(F.col("b").desc())
+    tail = counted.where(F.col("kind").isin(DOCUMENT, TAUGHT)).select(
+        F.explode("tail").alias("word"), F.col("a").alias("row_key"), (F.col("kind") == TAUGHT).cast("bigint").alias("b")
+    ).select(
+        "row_key", F.col("b").alias("taught"), F.sum("b").over(word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("c"),
+        F.row_number().over(word).alias("i"),
+    )
+    zero = F.lit(0).cast("bigint")
+    met = tail.select(
+        "row_key", "taught", (F.col("i") * F.col("taught") == 1).cast("bigint").alias("words"), F.log10(F.col("c") + 1).alias("logs"),
+        (F.col("c") > 0).cast("bigint").alias("known"), zero.alias("copies"), F.lit(0.0).alias("gain"),
+    )
+    # the key of equal rows is one: their words come together and are shared out again
+    nothing = [zero.alias("taught"), zero.alias("words"), F.lit(0.0).alias("logs"), zero.alias("known")]
+    met = met.unionByName(kept.select(F.col("a").alias("row_key"), *nothing, F.lit(1).cast("bigint").alias("copies"), F.lit(0.0).alias("gain")))
     if rare is not None:
-        gains = _rare_gains(kept, rare, counts)
-        met = met.unionByName(gains.select("row_key", F.lit(0.0).alias("logs"), F.lit(0).alias("known"), F.lit(0).alias("copies"), "gain"))
-    met = met.groupBy("row_key").agg(*[F.sum(c).alias(c) for c in ("logs", "known", "copies", "gain")])
+        met = met.unionByName(_rare_gains(kept, rare, counts).select("row_key", *nothing, zero.alias("copies"), "gain"))
+    met = stage(met.groupBy("row_key").agg(*[F.sum(c).alias(c) for c in ("taught", "words", "logs", "known", "copies", "gain")]), "lm-words")
+    tail_n, tail_v = met.agg(*[F.coalesce(F.sum(c), zero) for c in ("taught", "words")]).first()
+    n, v = int(hot.sum()) + tail_n, int((hot > 0).sum()) + tail_v
     logs, model_key = np.log10(hot + 1.0), f"lm:{key}:{hashlib.sha256(model.out.tobytes() + model.counts.counts.tobytes()).hexdigest()}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -714,7 +790,7 @@ def score(docs: DataFrame, train: Column, *, path: str | None = None, end_id: in
             )
 
     scored = kept.mapInPandas(run, "doc_id bigint, row_key bigint, n_tokens bigint, hot_logs double, hot_known bigint, score double")
-    out = scored.join(met, "row_key", "left")
+    out = scored.join(met.drop("taught", "words"), "row_key", "left")
     base = F.col("hot_logs") + F.col("logs") / F.col("copies") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1.0)))
     return out.select(
         "doc_id", "n_tokens", (F.col("hot_known") + F.col("known") / F.col("copies")).cast("bigint").alias("n_known"),

@@ -171,3 +171,35 @@ def test_gradients_are_those_of_the_loss():
 
 def test_size_of_the_layer():
     assert (causal_lm.WIDTH, causal_lm.CLASSES) == (16, 64)
+
+
+def test_training_rounds_read_training_documents_only(spark, monkeypatch):
+    """The files that the rounds go over again hold no words, bigrams or held-out documents."""
+    docs = stage(spark.read.parquet(f"{SF}/documents.parquet").limit(120), "docs")
+    seen, learn = [], causal_lm.learn
+
+    def watched(layer, documents, rank):
+        files = [r[0] for r in documents.select(F.input_file_name()).distinct().collect()]
+        seen.append((spark.read.parquet(*files).count(), documents.count()))
+        return learn(layer, documents, rank)
+
+    monkeypatch.setattr(causal_lm, "learn", watched)
+    causal_lm.score(docs, fold("doc_id", 7) != 2, sample_docs=5).count()
+    assert len(seen) == 1 and seen[0][0] == seen[0][1] > 0
+
+
+def test_neighbouring_windows_share_what_they_look_at():
+    rows = np.arange(4 * causal_lm.STRIDE * 3, dtype=np.float32).reshape(-1, 3)
+    pairs = causal_lm._pairs(rows)
+    assert np.shares_memory(pairs, rows)
+    assert all((pairs[i] == rows[i * causal_lm.STRIDE : (i + 2) * causal_lm.STRIDE]).all() for i in range(3)) and len(pairs) == 3
+
+
+def test_a_step_survives_logits_beyond_the_range_of_exp():
+    rng = np.random.default_rng(2)
+    n, classes, d = 9, 3, causal_lm.WIDTH
+    params = [rng.normal(0, 1, s).astype(np.float32) for s in ((n, d), *[(d, d)] * 3, (d, classes), (causal_lm.WINDOW,))]
+    params[4] *= 1000
+    layer = causal_lm.Layer(np.arange(n), np.arange(n) % classes, np.log(rng.dirichlet(np.ones(classes), n)).astype(np.float32), params)
+    layer.step(*causal_lm.windows_of([rng.integers(0, n, 50)]), 0.01)
+    assert all(np.isfinite(p).all() for p in layer.params)
