@@ -387,6 +387,7 @@ def learn(layer: Layer, documents: DataFrame, rank: np.ndarray, rounds: int = RO
         import pyarrow as pa
         from pyspark import TaskContext
 
+        per_process("lm", "learn", lambda: True)  # the encoder's store goes
         task = TaskContext.get().partitionId()
         rng = np.random.default_rng(task)
         flat = layer.flat()
@@ -752,7 +753,7 @@ def score(docs: DataFrame, train: Column, *, path: str | None = None, end_id: in
     kept = counted.where(F.col("kind").isin(DOCUMENT, TAUGHT)).select("a", "b", "n", "ids", "hot")
     # one shuffle by word counts the other words and hands the counts to their documents; words
     # come here for being rare in a sample, so none has many rows
-    word = Window.partitionBy(F.xxhash64("word"), "word").orderBy(F.col("b").desc())
+    word = Window.partitionBy("word").orderBy(F.col("b").desc())
     tail = counted.where(F.col("kind").isin(DOCUMENT, TAUGHT)).select(
         F.explode("tail").alias("word"), F.col("a").alias("row_key"), (F.col("kind") == TAUGHT).cast("bigint").alias("b")
     ).select(
